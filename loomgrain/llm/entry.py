@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm import mixing, packing, tiff, token_counts, warc
+from loomgrain.llm import licenses, mixing, packing, quality, tiff, token_counts, warc
 from loomgrain.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents")).drop("error")
 
@@ -38,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op10_tiff_media": op10_tiff_media,
 }
 
