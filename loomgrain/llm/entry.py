@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm import licenses, mixing, packing, quality, tiff, token_counts, warc
+from loomgrain.llm import licenses, mixing, neardup, packing, quality, tiff, token_counts, warc
 from loomgrain.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_license_scan": op8_license_scan,
     "op10_tiff_media": op10_tiff_media,
 }
