@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
@@ -25,6 +26,8 @@ from loomgrain.llm.token_counts import Kept
 
 #: Characters for which the library's normalising and splitting are plain lower case and white space.
 BEYOND_LATIN = re.compile(r"[^\t\n\r -~À-ÿ]")
+#: The vocabulary's splitting rule, for lower-case texts of those characters.
+LOWER_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 # ---------------------------------------------------------------- tokens
@@ -37,7 +40,7 @@ class WordEncoder:
     beyond Latin-1, and those with strings of special tokens, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -46,24 +49,32 @@ class WordEncoder:
         self.chunks = Kept(self._ids, keep)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def fill(self, texts: list[str]) -> None:
-        """Encode the chunks that aren't known yet together."""
-        new = {c for t in texts if not BEYOND_LATIN.search(t) for c in t.lower().split()}
-        new = [c for c in new.difference(self.chunks) if len(c) < 64 and c not in self.chunks.older]
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def fill(self, chunks: set[str]) -> None:
+        """Have the library encode what isn't known yet together, each part of a chunk once."""
+        known = self.chunks
+        known.make_room()
+        older = known.older
+        fresh = [c for c in chunks if c not in known and c not in older]
+        split = {c: LOWER_SPLIT.findall(c) for c in fresh if not c.isalpha()}
+        new = {c for c in fresh if c not in split}
+        new.update(w for ws in split.values() for w in ws if w not in known)
+        new = list(new)
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                if len(self.chunks) >= self.chunks.keep:
-                    self.chunks.older = dict(self.chunks)
-                    self.chunks.clear()
-                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+        for c, ws in split.items():
+            if c not in known:
+                known[c] = b"".join([known[w] for w in ws])
 
-    def encode(self, text: str) -> bytes:
-        if BEYOND_LATIN.search(text) or any(s in text for s in self.specials):
-            return self._ids(text)
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [bool(BEYOND_LATIN.search(t)) or any(s in t for s in self.specials) for t in texts]
+        split = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
+        self.fill(set().union(*split))
+        get = self.chunks.__getitem__
+        return [self._ids(t) if w else b"".join(map(get, c)) for t, w, c in zip(texts, whole, split, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -87,10 +98,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                enc.fill(texts)
                 rows, out = [], []
-                for k, t in enumerate(texts):
-                    ids = enc.encode(t) + end
+                for k, ids in enumerate(enc.encode(texts)):
+                    ids += end
                     for p, s in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[s : s + 4 * capacity]
                         rows.append(k)

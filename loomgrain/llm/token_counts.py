@@ -113,15 +113,18 @@ class Kept(dict):
         self.compute, self.keep, self.older = compute, keep, {}
 
     def __missing__(self, key):
-        if len(self) >= self.keep:
-            self.older = dict(self)
-            self.clear()
+        self.make_room()
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
         self[key] = value
         return value
 
+    def make_room(self) -> None:
+        if len(self) >= self.keep:
+            self.older = dict(self)
+            self.clear()
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter by which byte-level vocabularies write each byte: itself if visible, else the next free one from 256."""
