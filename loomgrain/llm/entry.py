@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgrain.llm import licenses, mixing, neardup, packing, quality, tiff, token_counts, warc
+from loomgrain.llm import language, licenses, mixing, neardup, packing, pii, quality, tiff, token_counts, warc
 from loomgrain.llm.common import table
 
+#: For the registered query; a deployment passes its own to pii.with_surrogates().
+PII_KEY = b"loomgrain example key"
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_and_read(spark, table(spark, sf_dir, "pages"), least=0)
@@ -33,6 +37,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit_model(docs))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +50,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = pii.with_surrogates(table(spark, sf_dir, "documents"), PII_KEY)
+    return safe.select("doc_id", "text", F.size("__entities").alias("n_entities"), F.to_json("__entities").alias("entities"))
+
+
 def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents")).drop("error")
 
@@ -51,8 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_license_scan": op8_license_scan,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_tiff_media": op10_tiff_media,
 }
 
