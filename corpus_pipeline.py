@@ -1,19 +1,52 @@
-"""documents -> packed training sequences, stage by stage."""
+"""documents -> packed training sequences: five stages, each a Parquet table that the next one reads.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgrain.llm import packing
+from loomgrain.llm import language, mixing, neardup, packing, pii
 from loomgrain.llm.common import table, written
+from loomgrain.llm.entry import PII_KEY
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified and not rejected; null and letterless texts go."""
+    return language.accepted(docs, language.fit_model(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their entities replaced by surrogates; n_chars follows the new text."""
+    safe = pii.with_surrogates(docs, PII_KEY)
+    return safe.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as it takes them."""
+    return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their place in sequences."""
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_copies),
+    ("PII", replace_personal_data),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 #: SQL can't express the models and sampling of these stages; tests hold them against brute force.
 ORACLE_SQL = None

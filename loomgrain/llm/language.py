@@ -248,23 +248,35 @@ def _usual(own) -> tuple[float, float, float]:
     return mean, max(0.05, float(np.std(e[n >= np.median(n)]))), max(0.5, float(np.sqrt(np.median(n * (e - mean) ** 2) / 0.455)))
 
 
-def identify(docs: DataFrame, model: Model | None, reject_at: float = 8.0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean) for every row.
+def identify(docs: DataFrame, model: Model | None, reject_at: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean) for every row.
 
     lang_pred is a learned language, or und if the text is null or has no letter (or nothing was learned): score 0,
     rejected. score is the posterior of the language among the learned ones at equal priors, with the evidence of at
     most 100 characters. rejected: the cross-entropy is more than reject_at deviations above the usual for that length.
     Whole texts are scored; ties go to the first language in order. Null ids stay null and count as not held out,
-    repeated rows give a row each, an empty table gives an empty table. Row-wise: no shuffle.
+    repeated rows give a row each, other columns are ignored, an empty table gives an empty table. No shuffle.
     """
-    cols = [F.col(id_col).alias("id"), *keep, held_out(id_col).alias("held_out"), F.col(text_col).alias("text")]
-    src = docs.select(*cols)
-    n_keep = 2 + len(keep)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n_keep])
+    src = docs.select(F.col(id_col).alias("__k0"), held_out(id_col).alias("__k1"), F.col(text_col).alias("__text"))
+    told = _judged(src, model, reject_at)
+    return told.withColumnsRenamed({"__k0": id_col, "__k1": "held_out"})
+
+
+def accepted(docs: DataFrame, model: Model | None, reject_at: float = 8.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with its columns, whose language is identified and not rejected."""
+    src = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(docs.columns)], F.col(text_col).alias("__text"))
+    told = _judged(src, model, reject_at).filter("not rejected")
+    return told.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _judged(src: DataFrame, model: Model | None, reject_at: float) -> DataFrame:
+    """src without its last column, the text, plus what the model says of it."""
+    kept = src.schema.fields[:-1]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(n_keep).to_pylist()]
+            texts = [t or "" for t in b.column(len(kept)).to_pylist()]
             names, scores, ents, out = [], [], [], []
             for at, end in _parts(texts):
                 for row in _judge(model, texts[at:end], reject_at):
@@ -272,9 +284,9 @@ def identify(docs: DataFrame, model: Model | None, reject_at: float = 8.0, id_co
                     scores.append(row[1])
                     ents.append(row[2])
                     out.append(row[3])
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n_keep)), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ents, pa.float64()), pa.array(out, pa.bool_())], names=[*b.schema.names[:n_keep], "lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ents, pa.float64()), pa.array(out, pa.bool_())], names=[*(f.name for f in kept), "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return src.mapInArrow(run, head + ", lang_pred string, score double, cross_entropy double, rejected boolean").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, head + ", lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def _parts(texts: list[str], most: int = 300_000) -> Iterator[tuple[int, int]]:
