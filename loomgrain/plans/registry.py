@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomgrain.plans import file_queries, graph_queries, image_queries, region_queries
+from loomgrain.plans.base import ORACLES, REGISTERED
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = REGISTERED
+ORACLE_SQL: dict[str, str] = ORACLES
+FLAGSHIP = region_queries.w2_region_texture
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["w2_region_texture"](spark, sf_dir)
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "file_queries", "graph_queries", "image_queries", "region_queries"]
