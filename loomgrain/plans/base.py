@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrain.functions.pixels import tiles_of
 from loomgrain.operators.masks import threshold_mean
 
 SIDE = 8
@@ -48,6 +49,15 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("image_id"), F.lit("0").alias("channel"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.col("embedding").cast("array<double>").alias("data"), "label")
 
 
+def mosaics(spark: SparkSession, sf_dir: str, across: int = 8) -> DataFrame:
+    """Larger tiles: across * across consecutive vectors side by side; the last, incomplete ones are left out."""
+    p = pixels(spark, sf_dir)
+    k = F.col("image_id") % (across * across)
+    p = p.select(F.floor(F.col("image_id") / (across * across)).alias("image_id"), "channel", (F.floor(k / across) * SIDE + F.col("y")).cast("int").alias("y"), ((k % across) * SIDE + F.col("x")).cast("int").alias("x"), "v")
+    t = tiles_of(p)
+    return t.filter(F.size("data") == (across * SIDE) ** 2)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, channel, y, x, v, label)."""
     t = tiles(spark, sf_dir).select("image_id", "channel", "label", F.posexplode("data").alias("i", "v"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgrain.functions import stats
 from loomgrain.operators import components, graphs, masks
 from loomgrain.plans import jobs
-from loomgrain.plans.base import GR, PX, graph, pixels, q6, query, r6, rounded, table, tiles
+from loomgrain.plans.base import GR, PX, graph, mosaics, pixels, q6, query, r6, rounded, table
 from loomgrain.sources import tables
 
 DEG = "bo AS (SELECT image_id, src AS a, dst AS b, r FROM edges UNION ALL SELECT image_id, dst, src, r FROM edges), dg AS (SELECT n.image_id, n.node_id, count(b) AS degree FROM nodes n LEFT JOIN bo ON bo.image_id = n.image_id AND bo.a = n.node_id GROUP BY 1, 2)"
@@ -93,8 +93,8 @@ def g12_clean_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g16_build_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks traced over enlarged tiles."""
-    return rounded(jobs.build_networks(tiles(spark, sf_dir), scale=4.0, r_thresh=1.5)[1])
+    """Networks traced over tiles of 64 vectors each."""
+    return rounded(jobs.build_networks(mosaics(spark, sf_dir))[1])
 
 
 @query()

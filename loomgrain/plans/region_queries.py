@@ -38,7 +38,7 @@ def r9_union_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.union_masks(layers).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FG}, a AS (SELECT * FROM fg), b AS (SELECT * FROM px WHERE v > 0.1) SELECT image_id, (SELECT count(*) FROM px p WHERE p.image_id = e.image_id AND (p.y, p.x) NOT IN (SELECT (y, x) FROM a WHERE a.image_id = e.image_id)) AS complement, (SELECT count(*) FROM a WHERE a.image_id = e.image_id AND (a.y, a.x) NOT IN (SELECT (y, x) FROM b WHERE b.image_id = e.image_id)) AS difference, (SELECT count(*) FROM a JOIN b USING (image_id, y, x) WHERE image_id = e.image_id) AS intersection FROM (SELECT vec_id AS image_id FROM embeddings) e")
+@query(f"WITH {FG}, t AS (SELECT p.image_id, f.v IS NOT NULL AS a, p.v > 0.1 AS b FROM px p LEFT JOIN fg f ON f.image_id = p.image_id AND f.y = p.y AND f.x = p.x) SELECT image_id, count(*) FILTER (WHERE NOT a) AS complement, count(*) FILTER (WHERE a AND NOT b) AS difference, count(*) FILTER (WHERE a AND b) AS intersection FROM t GROUP BY 1")
 def r10_mask_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir)
     a = foreground(spark, sf_dir).select("image_id", "y", "x")
@@ -100,10 +100,10 @@ def r5_glcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("image_id", "distance", "direction").agg(F.count("*").alias("pairs"), r6(F.sum("p")).alias("p"), r6(F.sum(F.col("p") * F.abs(F.col("i") - F.col("j")))).alias("apart"))
 
 
-@query(f"WITH {FG}, {GL}, mu AS (SELECT image_id, distance, direction, sum(i * p * p) AS mu FROM gz GROUP BY 1, 2, 3), ea AS (SELECT image_id, distance, direction, sum(p * p) AS asm, sqrt(sum(p * p)) AS energy, -sum(p * ln(p)) AS entropy, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p / (1 + abs(i - j))) AS similarity, sum(p * i * j) AS autocorrelation, max(mu) AS mean, sum(p * (i - mu) * (j - mu)) AS covariance, sum(2 * p * mu) AS clustering, CASE WHEN sum(p * (i - mu) * (i - mu)) < 1e-30 THEN 1.0 ELSE sum(p * (i - mu) * (j - mu)) / sum(p * (i - mu) * (i - mu)) END AS correlation FROM gz JOIN mu USING (image_id, distance, direction) GROUP BY 1, 2, 3) SELECT image_id, {', '.join(f'round(avg({c}), 4) + 0.0 AS {c}' for c in ('asm', 'energy', 'entropy', 'contrast', 'dissimilarity', 'homogeneity', 'similarity', 'autocorrelation', 'mean', 'covariance', 'clustering', 'correlation'))} FROM ea GROUP BY 1")
+@query(f"WITH {FG}, {GL}, mu AS (SELECT image_id, distance, direction, sum(i * p * p) AS mu FROM gz GROUP BY 1, 2, 3), ea AS (SELECT image_id, distance, direction, sum(p * p) AS asm, sqrt(sum(p * p)) AS energy, -sum(p * ln(p)) AS entropy, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p / (1 + abs(i - j))) AS similarity, sum(p * i * j) AS autocorrelation, max(mu) AS mean, sum(p * (i - mu) * (j - mu)) AS covariance, sum(2 * p * mu) AS clustering, CASE WHEN sum(p * (i - mu) * (i - mu)) < 1e-30 THEN 1.0 ELSE sum(p * (i - mu) * (j - mu)) / sum(p * (i - mu) * (i - mu)) END AS correlation FROM gz JOIN mu USING (image_id, distance, direction) GROUP BY 1, 2, 3) SELECT image_id, {', '.join(f'round(avg({c}), 8) + 0.0 AS {c}' for c in ('asm', 'energy', 'entropy', 'contrast', 'dissimilarity', 'homogeneity', 'similarity', 'autocorrelation', 'mean', 'covariance', 'clustering', 'correlation'))} FROM ea GROUP BY 1")
 def r6_glcm_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = regions.glcm_props(regions.glcm(grey_regions(spark, sf_dir))).drop("region_id")
-    return p.select("image_id", *[(F.round(c, 4) + 0.0).alias(c) for c in p.columns if c != "image_id"])
+    return p.select("image_id", *[(F.round(c, 8) + 0.0).alias(c) for c in p.columns if c != "image_id"])
 
 
 HI = f"{PX}, fg AS (SELECT image_id, y, x, v, y * 8 + x AS id FROM px WHERE v > 0.1)"
