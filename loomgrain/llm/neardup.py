@@ -4,10 +4,10 @@ Two small collections of m half-keys each (a half-key joins `rows` minimum hashe
 are all pairs of one half-key of either collection, so 2 * m * rows minimum hashes serve m * m tables. Documents with a key
 in common are candidates and are confirmed on their full shingle sets.
 
-Buckets are never paired out. Each bucket's members are held against one of them; what that links becomes components;
-then only members outside a bucket's largest component are held against the members of other components. Where more
-than `few` members are outside, candidates come from an exact prefix filter over those members instead. Links between
-members of one component would change nothing.
+Buckets are never paired out. Each bucket's members are held against the one of them that meets most others; what that
+links becomes components. Where a bucket's members are of several components, candidates between those come from an
+exact prefix filter (prefix, size and place) over the members of all such buckets. Links between members of one
+component would change nothing.
 """
 
 from __future__ import annotations
@@ -217,21 +217,21 @@ def prefix_candidates(members: DataFrame, texts: DataFrame, percent: int) -> Dat
     df = held.groupBy("w").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("s").orderBy("df", "w"))
     ranked = held.join(df, "w").withColumn("place", order)
-    first = ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("s", "n", "comp", F.col("w").alias("key"))
-    return across(written(first, "prefixes"), percent)
+    first = ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    first = written(first.select(F.col("w").alias("key"), "s", "n", "comp", "place"), "prefixes")
 
-
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """(x, y), x < y: members (key, s, n, comp) of one key, of different components, one being outside the key's largest."""
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    sizes = first.groupBy("key", "comp").agg(F.count("*").alias("k"))
     top = sizes.groupBy(F.col("key").alias("tk")).agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
-    split = members.join(top, F.col("key") == F.col("tk")).select("key", "s", "n", "comp", "most")
-    out = split.filter("comp != most").select(F.col("key").alias("ok"), F.col("s").alias("os"), F.col("n").alias("on"), F.col("comp").alias("oc"))
-    met = split.join(out, (F.col("key") == F.col("ok")) & (F.col("comp") != F.col("oc")) & similar_size(F.col("n"), F.col("on"), percent))
+    split = written(first.join(top, F.col("key") == F.col("tk")).select("key", "s", "n", "comp", "place", "most"), "split")
+    out = split.filter("comp != most").select(F.col("key").alias("ok"), F.col("s").alias("os"), F.col("n").alias("on"), F.col("comp").alias("oc"), F.col("place").alias("op"))
+    # at the first shingle that two sets share, only those after it can be shared too
+    needed = F.ceil((F.col("n") + F.col("on")) * percent / (100 + percent))
+    able = 1 + F.least(F.col("n") - F.col("place"), F.col("on") - F.col("op")) >= needed
+    met = split.join(out, (F.col("key") == F.col("ok")) & (F.col("comp") != F.col("oc")) & similar_size(F.col("n"), F.col("on"), percent) & able)
     return met.select(F.least("s", "os").alias("x"), F.greatest("s", "os").alias("y")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, m: int = 10, rows: int = 2, few: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, m: int = 10, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean) for every row of docs.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of 5-word shingles; component_id is
@@ -250,10 +250,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, m: int = 10, rows: int =
     live = half.join(common, "val", "left_semi").groupBy("s").agg(F.collect_list(F.when(F.col("pos") < m, F.col("val"))).alias("a"), F.collect_list(F.when(F.col("pos") >= m, F.col("val"))).alias("b"))
     keyed = live.withColumn("u", F.explode("a")).withColumn("v", F.explode("b")).select(F.xxhash64("u", "v").alias("key"), "s")
     keyed = written(keyed.join(nodes.select("s", "n"), "s"), "tables")
-    bucket = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("s", "n")).alias("rep"), F.bit_xor(F.xxhash64("s")).alias("who")).filter("c > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"), "c")
+    met = written(keyed.join(shared, F.col("key") == F.col("k")).select("key", "s", "n", "c"), "met")
+    # the member that meets most others in all tables speaks for a bucket: of copies of one text, mostly that text
+    known = met.groupBy(F.col("s").alias("ps")).agg(F.sum("c").alias("pop"))
+    met = written(met.join(known, F.col("s") == F.col("ps")).select("key", "s", "n", "c", "pop"), "met")
+    bucket = met.groupBy("key").agg(F.first("c").alias("c"), F.max(F.struct("pop", "s", "n")).alias("rep"), F.bit_xor(F.xxhash64("s")).alias("who"))
     # buckets with the same members say the same
-    bucket = bucket.groupBy("c", "rep", "who").agg(F.min("key").alias("bk")).select("bk", "c", F.col("rep.s").alias("rs"), F.col("rep.n").alias("rn"))
-    members = written(keyed.join(bucket, F.col("key") == F.col("bk")).select("key", "s", "n", "rs", "rn"), "members")
+    bucket = bucket.groupBy("c", "rep", "who").agg(F.min("key").alias("bk")).select("bk", F.col("rep.s").alias("rs"), F.col("rep.n").alias("rn"))
+    members = written(met.join(bucket, F.col("key") == F.col("bk")).select("key", "s", "n", "rs", "rn"), "members")
 
     star = members.filter((F.col("s") != F.col("rs")) & similar_size(F.col("n"), F.col("rn"), percent)).select(F.col("rs").alias("x"), F.col("s").alias("y")).distinct()
     wanted = nodes.join(members.select("s").distinct(), "s", "left_semi").select("s", F.col("id").alias("hid"), F.col("th").alias("hth"))
@@ -265,12 +270,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, m: int = 10, rows: int =
     comp = components(links)
     told = members.join(comp.withColumnRenamed("s", "cs"), F.col("s") == F.col("cs"), "left").select("key", "s", "n", F.coalesce("comp", "s").alias("comp"))
     told = written(told, "told")
-    parts = told.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy(F.col("key").alias("pk")).agg((F.sum("k") - F.max("k")).alias("outside")).filter("outside > 0")
-    open_ = written(told.join(parts, F.col("key") == F.col("pk")).select("key", "s", "n", "comp", "outside"), "open")
-    more = across(open_.filter(F.col("outside") <= few), percent)
-    crowd = open_.filter(F.col("outside") > few)
-    if not crowd.isEmpty():
-        more = more.union(prefix_candidates(crowd.select("s", "n", "comp").distinct(), texts, percent)).distinct()
+    parts = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select(F.col("key").alias("pk"))
+    open_ = told.join(parts, F.col("key") == F.col("pk"), "left_semi").select("s", "n", "comp").distinct()
+    more = prefix_candidates(open_, texts, percent)
     tried = star.select(F.least("x", "y").alias("px"), F.greatest("x", "y").alias("py"))
     more = more.join(tried, (F.col("x") == F.col("px")) & (F.col("y") == F.col("py")), "left_anti")
     again = written(confirmed(more, texts, percent), "links")
