@@ -19,7 +19,7 @@ def region_shape(pixels: DataFrame) -> DataFrame:
     """(image_id, region_id, area, bbox, extent, eccentricity, circularity, perimeter) of region pixels (…, y, x).
 
     Circularity is pi times the diameter of the circle of equal area over the perimeter; it is null for a perimeter of 0.
-    The eccentricity is that of the ellipse with the region's second moments, pixels being unit squares.
+    The eccentricity is that of the ellipse with the second moments of the pixels' places; 0 for a single pixel.
     """
     p = pixels.select(*REGION, "y", "x").distinct()
     a = p.groupBy(*REGION).agg(
@@ -33,9 +33,9 @@ def region_shape(pixels: DataFrame) -> DataFrame:
         F.covar_pop("y", "x").alias("c"),
     )
     half = F.sqrt((F.col("vy") - F.col("vx")) * (F.col("vy") - F.col("vx")) / 4 + F.col("c") * F.col("c"))
-    mid = (F.col("vy") + F.col("vx")) / 2 + 1 / 12
+    mid = (F.col("vy") + F.col("vx")) / 2
     a = a.withColumn("extent", F.col("area") / ((F.col("max_y") - F.col("min_y")) * (F.col("max_x") - F.col("min_x"))))
-    a = a.withColumn("eccentricity", F.sqrt(F.greatest(1 - (mid - half) / (mid + half), F.lit(0.0))))
+    a = a.withColumn("eccentricity", F.coalesce(F.sqrt(F.greatest(1 - (mid - half) / F.nullif(mid + half, F.lit(0.0)), F.lit(0.0))), F.lit(0.0)))
     a = a.join(perimeter(p), list(REGION), "left")
     round_ = math.pi * F.sqrt(4 * F.col("area") / math.pi) / F.nullif(F.col("perimeter"), F.lit(0.0))
     return a.withColumn("circularity", round_).drop("vy", "vx", "c")

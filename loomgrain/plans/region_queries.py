@@ -56,10 +56,10 @@ def r16_threshold_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreground(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("n"), r6(F.min("v")).alias("least"))
 
 
-SHAPE = "mo AS (SELECT image_id, count(*) AS area, min(y) AS min_y, min(x) AS min_x, max(y) + 1 AS max_y, max(x) + 1 AS max_x, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS c FROM fg GROUP BY 1), ec AS (SELECT *, sqrt((vy - vx) * (vy - vx) / 4 + c * c) AS h, (vy + vx) / 2 + 1.0 / 12 AS m FROM mo), bo AS (SELECT f.image_id, f.y, f.x FROM fg f JOIN fg g ON f.image_id = g.image_id AND abs(f.y - g.y) + abs(f.x - g.x) <= 1 GROUP BY 1, 2, 3 HAVING count(*) < 5), cd AS (SELECT a.image_id, a.y, a.x, sum(CASE WHEN a.y = b.y AND a.x = b.x THEN 1 WHEN a.y = b.y OR a.x = b.x THEN 2 ELSE 10 END) AS code FROM bo b JOIN bo a ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3), pe AS (SELECT image_id, sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN code IN (21, 33) THEN sqrt(2.0) WHEN code IN (13, 23) THEN (1 + sqrt(2.0)) / 2 ELSE 0 END) AS perimeter FROM cd GROUP BY 1)"
+SHAPE = "mo AS (SELECT image_id, count(*) AS area, min(y) AS min_y, min(x) AS min_x, max(y) + 1 AS max_y, max(x) + 1 AS max_x, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS c FROM fg GROUP BY 1), ec AS (SELECT *, sqrt((vy - vx) * (vy - vx) / 4 + c * c) AS h, (vy + vx) / 2 AS m FROM mo), bo AS (SELECT f.image_id, f.y, f.x FROM fg f JOIN fg g ON f.image_id = g.image_id AND abs(f.y - g.y) + abs(f.x - g.x) <= 1 GROUP BY 1, 2, 3 HAVING count(*) < 5), cd AS (SELECT a.image_id, a.y, a.x, sum(CASE WHEN a.y = b.y AND a.x = b.x THEN 1 WHEN a.y = b.y OR a.x = b.x THEN 2 ELSE 10 END) AS code FROM bo b JOIN bo a ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3), pe AS (SELECT image_id, sum(CASE WHEN code IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN code IN (21, 33) THEN sqrt(2.0) WHEN code IN (13, 23) THEN (1 + sqrt(2.0)) / 2 ELSE 0 END) AS perimeter FROM cd GROUP BY 1)"
 
 
-@query(f"WITH {FG}, {SHAPE} SELECT image_id, area, {q6('area * 1.0 / ((max_y - min_y) * (max_x - min_x))')} AS extent, {q6('sqrt(greatest(1 - (m - h) / (m + h), 0))')} AS eccentricity, {q6('perimeter')} AS perimeter, {q6('pi() * sqrt(4 * area / pi()) / nullif(perimeter, 0)')} AS circularity FROM ec JOIN pe USING (image_id)")
+@query(f"WITH {FG}, {SHAPE} SELECT image_id, area, {q6('area * 1.0 / ((max_y - min_y) * (max_x - min_x))')} AS extent, {q6('coalesce(sqrt(greatest(1 - (m - h) / nullif(m + h, 0), 0)), 0)')} AS eccentricity, {q6('perimeter')} AS perimeter, {q6('pi() * sqrt(4 * area / pi()) / nullif(perimeter, 0)')} AS circularity FROM ec JOIN pe USING (image_id)")
 def r3_region_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = regions.region_shape(one_region(spark, sf_dir))
     return rounded(s.select("image_id", "area", "extent", "eccentricity", "perimeter", "circularity"))
