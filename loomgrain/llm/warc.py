@@ -57,7 +57,7 @@ def zip_members(f, size: int) -> list[Member]:
     tail_at = max(0, size - 65_557)  # the end record and the longest comment
     tail = _range(f, tail_at, size - tail_at)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(END, 0, at)
     if at < 0:
         raise ValueError("no end-of-directory record: not a ZIP file")
