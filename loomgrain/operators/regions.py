@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrain.functions import kernels
 from loomgrain.functions.pixels import tensor_analysis
 from loomgrain.functions.stats import angle_sdi, entropy_of
-from loomgrain.operators.components import fill_enclosed, label_mask
 from loomgrain.operators.masks import CROSS, shifted
 
 REGION = ("image_id", "region_id")
@@ -84,21 +86,57 @@ def regions(mask: DataFrame, height: int, width: int, pixels: DataFrame | None =
     """(image_id, region_id, area, filled_area, total, rank) of a mask's 8-connected parts that pass, largest first.
 
     total is the sum of the pixel values on the region (null without pixels); filled_area counts what the region encloses.
+    Each image is measured in one task, after one shuffle by image.
     """
-    parts = label_mask(mask, width)
-    as_image = parts.select(F.struct("image_id", "region_id").alias("image_id"), "y", "x")
-    filled = fill_enclosed(as_image, as_image, height, width, diagonal=True).groupBy("image_id").agg(F.count("*").alias("filled_area"))
-    if pixels is not None:
-        parts = parts.join(pixels.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left")
-    else:
-        parts = parts.withColumn("v", F.lit(None).cast("double"))
-    per = parts.groupBy(*REGION).agg(F.count("*").alias("area"), F.sum("v").alias("total"))
-    per = per.join(filled.select("image_id.*", "filled_area"), list(REGION))
+    values = pixels.select("image_id", "y", "x", "v") if pixels is not None else None
+    m = mask.select("image_id", "y", "x").distinct()
+    m = m.withColumn("v", F.lit(None).cast("double")) if values is None else m.join(values, ["image_id", "y", "x"], "left")
+    kind = mask.schema["image_id"].dataType.simpleString()
+    per = m.groupBy("image_id").applyInPandas(lambda pdf: _measured(pdf, width), f"image_id {kind}, region_id int, area long, filled_area long, total double")
     out = passing(per, min_size, min_frac if pixels is not None else None)
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("filled_area"), "region_id"))
     return out.withColumn("rank", rank)
 
 
+def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
+    """One image's mask as an array that just holds it, and where that starts."""
+    y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
+    m = np.zeros((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1), bool)
+    m[pdf["y"] - y0, pdf["x"] - x0] = True
+    return m, y0, x0
+
+
+def _measured(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+    m, y0, x0 = _dense(pdf)
+    parts = kernels.label(m)
+    at = parts[pdf["y"] - y0, pdf["x"] - x0]
+    rows = []
+    for k in range(1, parts.max() + 1):
+        ys, xs = np.nonzero(parts == k)
+        own = np.pad(parts[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1] == k, 1)
+        around = kernels.label(~own)  # the background beyond the frame is the first part
+        v = pdf["v"].to_numpy(float)[at == k]
+        rows.append((pdf["image_id"].iloc[0], (ys[0] + y0) * width + xs[0] + x0, len(ys), int((around != around[0, 0]).sum()), None if np.isnan(v).all() else np.nansum(v)))
+    return pd.DataFrame(rows, columns=["image_id", "region_id", "area", "filled_area", "total"])
+
+
+def label_images(mask: DataFrame, width: int, diagonal: bool = True) -> DataFrame:
+    """label_mask() for images that fit a task each: one shuffle by image instead of rounds over the whole table."""
+    kind = mask.schema["image_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, y0, x0 = _dense(pdf)
+        parts = kernels.label(m, diagonal)
+        ys, xs = np.nonzero(parts)
+        k = parts[ys, xs]
+        _, first = np.unique(k, return_index=True)
+        names = (ys[first] + y0) * width + xs[first] + x0
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": ys + y0, "x": xs + x0, "region_id": names[k - 1]})
+
+    src = mask.select("image_id", "y", "x").distinct()
+    return src.groupBy("image_id").applyInPandas(run, f"image_id {kind}, y int, x int, region_id int")
+
+
 def to_segments(mask: DataFrame, tag: str, height: int, width: int, pixels: DataFrame | None = None, min_size: int = 0, min_frac: float | None = None) -> DataFrame:
     return regions(mask, height, width, pixels, min_size, min_frac).withColumn("tag", F.lit(tag))
 
@@ -118,7 +156,7 @@ def region_swap(masks: DataFrame, values: DataFrame, height: int, width: int, si
     now = {k: masks.filter(F.col("mask_id") == k).select("image_id", "y", "x") for k in (0, 1)}
     img = {k: values.filter(F.col("mask_id") == k).select("image_id", "y", "x", "v") for k in (0, 1)}
     for a, b in ((1, 0), (0, 1)):
-        parts = label_mask(now[a], width)
+        parts = label_images(now[a], width)
         good = regions(now[a], height, width, img[a], sizes[a], fracs[a]).select(*REGION)
         failing = parts.join(good, list(REGION), "left_anti")
         there = regions(now[a], height, width, img[b], sizes[b], fracs[b]).select(*REGION)

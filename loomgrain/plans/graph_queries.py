@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.functions import stats
-from loomgrain.operators import components, graphs, masks
+from loomgrain.operators import components, graphs, masks, regions
 from loomgrain.plans import jobs
 from loomgrain.plans.base import GR, PX, graph, mosaics, pixels, q6, query, r6, rounded, table
 from loomgrain.sources import tables
@@ -118,7 +118,7 @@ def a7_a8_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a14_metric_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image table of the four, for the corpus of embedded images."""
     n, e = graph(spark, sf_dir)
-    parts = components.label_mask(pixels(spark, sf_dir).filter("v > 0.1"), 8)
+    parts = regions.label_images(pixels(spark, sf_dir).filter("v > 0.1"), 8)
     made = jobs.metric_databases(parts, None, n, e, graphs.assign_fibres(n, e), pixels(spark, sf_dir).drop("label"))
     return rounded(made["global"])
 

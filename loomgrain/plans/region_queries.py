@@ -164,7 +164,7 @@ def r15_mean_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a10_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = components.label_mask(bright(spark, sf_dir), SIDE)
+    parts = regions.label_images(bright(spark, sf_dir), SIDE)
     return rounded(jobs.segment_table(parts, pixels(spark, sf_dir), "fibre"))
 
 
