@@ -183,3 +183,16 @@ def r12_network_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
     wide = masks.smooth(masks.dilate(masks.rasterise(n, e), 8, 8, 1, ("image_id",)), 8, 8, 0.3, ("image_id",))
     return components.fill_small(wide, n, 8, 8, 4).groupBy("image_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def r13_fibre_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = graph(spark, sf_dir)
+    return rounded(jobs.fibre_filter(masks.rasterise(n, e), n, 8, 8))
+
+
+@query("SELECT vec_id AS image_id, 'cell' AS tag, CAST(1 AS BIGINT) AS segments, CAST(64 AS BIGINT) AS area FROM embeddings")
+def r18_segment_shg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = graph(spark, sf_dir)
+    s = jobs.segment_by_filter(jobs.fibre_filter(masks.rasterise(n, e), n, 8, 8), 8, 8)
+    return s.groupBy("image_id", "tag").agg(F.count("*").alias("segments"), F.sum("area").alias("area"))
