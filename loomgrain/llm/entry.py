@@ -72,4 +72,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tiff_media": op10_tiff_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_BOILERPLATE = " OR ".join(f"contains(lower(x), '{p}')" for p in quality.BOILERPLATE)
+QUALITY_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM tri) WHERE n > 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
+lines AS (SELECT doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(x, '[|»·]')) AS seps,
+                 length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM (SELECT doc_id, unnest(l) AS x FROM w)),
+judged AS (SELECT doc_id, chars,
+                  len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 >= length(x) OR len(regexp_extract_all(x, '[!?]{{2,}}')) * 2 >= words
+                  OR (seps >= 3 AND seps * 4 >= words) OR {_BOILERPLATE} OR contains(x, '{{') OR contains(x, '}}') AS fails FROM lines),
+good AS (SELECT doc_id, count(*) FILTER (WHERE fails) AS removed, coalesce(sum(chars) FILTER (WHERE NOT fails), 0) AS stays FROM judged GROUP BY 1),
+base AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                coalesce(cover.n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines, coalesce(removed, 0) AS n_lines_removed, coalesce(stays, 0) AS stays
+         FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN good USING (doc_id)),
+told AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                CASE WHEN word_chars > 0 THEN 1 - CAST(stays AS DOUBLE) / word_chars ELSE 0.0 END AS lost FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_lines_removed, CAST(lost AS DOUBLE) AS lost,
+       NOT base_failed AND lost <= 0.5 AS kept FROM told"""
+
+_TEMPLATES = ", ".join(f"('{label}', {words!r})" for label, words in licenses.template_sets())
+_PHRASES = " UNION ALL ".join(
+    f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM spots WHERE " + " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase)) for phrase, label in licenses.PHRASES.items()
+)
+LICENSE_SQL = rf"""
+WITH w AS (SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+hits AS ({_PHRASES}),
+per AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM hits GROUP BY 1),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS x FROM w)),
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) t(label, ws)),
+found AS (SELECT doc_id, label, len(list_intersect(b, ws)) / len(ws) AS score FROM blocks, templates WHERE len(list_intersect(b, ws)) >= ceil(0.8 * len(ws) - 1e-9)),
+best AS (SELECT doc_id, max(score) AS score FROM found GROUP BY 1),
+based AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM hits) GROUP BY 1),
+alls AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM found) GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0) END AS DOUBLE) AS score
+FROM w LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN based USING (doc_id) LEFT JOIN alls USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op8_license_scan": LICENSE_SQL}
