@@ -35,7 +35,7 @@ PATTERNS = {
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: A text without any of these holds no entity; a quick look spares most texts the patterns.
-HINT = re.compile(r"[0-9@=:]|\b(?:AKIA|ASIA|Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|господин|госпожа|BEGIN)\b")
+HINT = re.compile(r"[\d@=:]|\b(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|господин|госпожа|BEGIN)\b")
 #: Titles that say a gender, and first names by script and gender.
 FEMALE = {"mrs", "ms", "miss", "frau", "madame", "mme", "señora", "sra", "госпожа"}
 FIRST = {

@@ -355,6 +355,24 @@ def test_collisions_are_drawn_again(spark):
     assert again and len(set(final)) == 20 and not set(final) & set(values)
 
 
+def test_hint_is_wider_than_entity():
+    """Letters only, wherever a kind allows it: the quick look must not skip what the patterns find."""
+    rng = random.Random(3)
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(50):
+        made = [("aws_key", p + word(up, 16)) for p in ("AKIA", "ASIA")]
+        made += [("token", p + word(low + up, 24)) for p in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxa-", "xoxb-", "xoxp-")]
+        made += [("private_key", f"-----BEGIN {k}PRIVATE KEY-----\n{word(low, 40)}\n-----END {k}PRIVATE KEY-----") for k in ("", "RSA ")]
+        made += [("email", f"{word(low, 5)}@{word(low, 5)}.com"), ("secret", f"Password{rng.choice('=:')} {word(low, 9)}"), ("ssn", "123-45-6789"), ("ip", "١.٢.٣.٤")]
+        made += [("card", "4111 1111 1111 1111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("phone", "(555) 123-4567")]
+        made += [("person", f"{title} {word(up, 1)}{word(low, 6)}") for title in ("Mr.", "Mrs", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr.", "Sra.", "господин", "госпожа")]
+        for kind, entity in made:
+            for text in (entity, f"It says ({entity}) there"):
+                assert pii.ENTITY.search(text) and pii.HINT.search(text), text
+                assert [e[2] for e in pii.find_entities(text)] == [kind], text
+
+
 # ---- 10
 
 
