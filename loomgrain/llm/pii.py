@@ -115,20 +115,39 @@ class _Draw:
 @lru_cache(maxsize=50_000)
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """What stands for an entity: never the entity itself."""
+    salt = 0
     while True:
-        d = _Draw(key, kind, value, attempt)
+        d = _Draw(key, kind, value, attempt + 1_000_003 * salt)
         d.hex = kind == "secret" and re.fullmatch("[0-9a-f]+", value) is not None
-        new = _make(d, kind, value)
+        new = _make(d, kind, value, _more(kind, attempt + max(0, salt - 2)))
         if new != (value[2:] if kind == "person" else value):
             return new
-        attempt += 1_000_003
+        salt += 1
 
 
-def _make(d: _Draw, kind: str, value: str) -> str:
+def _more(kind: str, attempt: int) -> int:
+    """How many syllables or characters an attempt adds, so that there is a free surrogate in the end, however many entities.
+
+    Names and e-mails can be longer and still look right; the others keep their format until eight rounds are lost.
+    """
+    return (attempt + 1) // 2 if kind in ("person", "email") else max(0, attempt - 8)
+
+
+def _make(d: _Draw, kind: str, value: str, more: int = 0) -> str:
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         name, dot, top = domain.rpartition(".")
-        return f"{d.like(local)}@{d.like(name)}{dot}{top}"
+        return f"{d.like(local)}{d.like('a' * more)}@{d.like(name)}{dot}{top}"
+    if kind == "person":
+        return _name(d, value, more)
+    if kind == "private_key":
+        lines = value.split("\n")
+        if len(lines) > 2:
+            return "\n".join([lines[0], *(d.like(x) for x in lines[1:-1]), *([d.like("0" * more)] if more else []), lines[-1]])
+    return _same_format(d, kind, value) + d.like("0" * more)
+
+
+def _same_format(d: _Draw, kind: str, value: str) -> str:
     if kind == "ip":
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "card":
@@ -148,25 +167,29 @@ def _make(d: _Draw, kind: str, value: str) -> str:
     if kind == "token":
         cut = re.match(r"gh[a-z]_|sk-|xox[a-z]-", value).end()
         return value[:cut] + d.like(value[cut:])
-    if kind == "private_key":
-        lines = value.split("\n")
-        return "\n".join([lines[0], *(d.like(x) for x in lines[1:-1]), lines[-1]]) if len(lines) > 2 else d.like(value)
-    if kind == "person":
-        gender, name = value[0], value[2:]
-        script = "cyrillic" if re.search("[А-Яа-я]", name) else "latin"
-        words = []
-        parts = name.split(" ")
-        for i, part in enumerate(parts):
-            if i == 0 and len(parts) > 1:
-                firsts = FIRST[script, gender]
-                words.append(firsts[d.below(len(firsts))])
-            else:
-                syl = SYLLABLES[script]
-                words.append("".join(syl[d.below(len(syl))] for _ in range(4 if len(part) > 6 else 3)).capitalize())
-        return " ".join(words)
     return d.like(value)
 
 
+def _name(d: _Draw, value: str, more: int) -> str:
+    gender, name = value[0], value[2:]
+    script = "cyrillic" if re.search("[А-Яа-я]", name) else "latin"
+    words = []
+    parts = name.split(" ")
+    for i, part in enumerate(parts):
+        if i == 0 and len(parts) > 1:
+            firsts = FIRST[script, gender]
+            words.append(firsts[d.below(len(firsts))])
+        else:
+            words.append(_family(d, script, (4 if len(part) > 6 else 3) + (more if i == len(parts) - 1 else 0)))
+    return " ".join(words)
+
+
+def _family(d: _Draw, script: str, n: int) -> str:
+    """A made-up family name of n syllables, hyphenated after every sixth."""
+    syl = [SYLLABLES[script][d.below(len(SYLLABLES[script]))] for _ in range(n)]
+    return "-".join("".join(syl[k : k + 6]).capitalize() for k in range(0, n, 6))
+
+
 # ---------------------------------------------------------------- on tables
 
 
@@ -187,11 +210,12 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, start int, stop int, kind string, value string")
 
 
-def redrawn(found: DataFrame, key: bytes, most: int = 50) -> DataFrame:
+def redrawn(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt int): the entities whose first surrogate isn't free, with the attempt that is.
 
     A surrogate is free if no other entity of the kind has it, and it isn't an entity of the kind itself. Of those that
-    share one, the first in order of value keeps it. Rounds go on for the rest, against all that is taken by then.
+    share one, the first in order of value keeps it. Rounds go on for the rest, against all that is taken by then, until
+    none is left; the space of surrogates grows with the attempt, so their number is a matter of the logarithm.
     """
     def drawn(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +231,7 @@ def redrawn(found: DataFrame, key: bytes, most: int = 50) -> DataFrame:
     now = written(drawn(known.withColumn("attempt", F.lit(0))), "surrogates")
     taken = None
     done = None
-    for _ in range(most):
+    while True:
         place = F.row_number().over(Window.partitionBy("kind", "sub").orderBy("value"))
         marked = now.withColumn("place", place).join(own, (F.col("kind") == F.col("ok")) & (F.col("sub") == F.col("os")), "left")
         if taken is not None:
@@ -223,7 +247,6 @@ def redrawn(found: DataFrame, key: bytes, most: int = 50) -> DataFrame:
             return done.filter("attempt > 0").select("kind", "value", "attempt")
         taken = done.select(F.col("kind").alias("tk"), F.col("sub").alias("ts"))
         now = written(drawn(lost.withColumn("attempt", F.col("attempt") + 1)), "surrogates")
-    raise RuntimeError(f"{most} rounds left surrogates that aren't distinct")
 
 
 def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -373,6 +373,18 @@ def test_hint_is_wider_than_entity():
                 assert [e[2] for e in pii.find_entities(text)] == [kind], text
 
 
+def test_redrawing_ends(spark):
+    """More entities of a shape than surrogates of that shape: 16**3 short names, 676 e-mails, 10 digits, nothing to change."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4)).capitalize()
+    values = [("person", f"m:{name(i)}") for i in range(6000)]
+    values += [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    values += [("phone", f"{i}") for i in range(10)] + [("secret", "------"), ("secret", "_-_-_-")]
+    table = spark.createDataFrame(values, "kind string, value string")
+    again = {(r.kind, r.value): r.attempt for r in pii.redrawn(table, b"k").collect()}
+    final = {(k, pii.surrogate(b"k", k, v, again.get((k, v), 0))) for k, v in values}
+    assert len(final) == len(values) and not final & {(k, v.removeprefix("m:")) for k, v in values}
+
+
 # ---- 10
 
 
