@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, of the same kind, format, script and gender, and distinct.
 
-Entities are found by pattern, normalised, and replaced by what a keyed hash of kind and value says; equal entities get
-equal surrogates in all documents. Surrogates that two entities would share, or that occur as an entity themselves, are
+Entities are found by pattern, normalised (digits of cards and phones, lower-case e-mails and names, each name part on its
+own), and replaced by what a keyed hash of kind and normal form says, laid into the form as written; equal entities get
+equal surrogates in all documents. Who has a title once is also found without it in the same document. Surrogates that two entities would share, or that occur as an entity themselves, are
 found by a corpus-wide check and drawn again until none is left.
 """
 
@@ -31,11 +32,11 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w])",
-    "person": r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|господин|госпожа)\b\.? ([A-ZÀ-ÖØ-ÞА-Я][\w'\-]+(?: [A-ZÀ-ÖØ-ÞА-Я][\w'\-]+){0,2})",
+    "person": r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|господин|госпожа|Dr|Prof)\b\.? (?:(?:Dr|Prof)\b\.? )*([A-ZÀ-ÖØ-ÞА-Я][\w'\-]+(?: [A-ZÀ-ÖØ-ÞА-Я][\w'\-]+){0,2})",
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: A text without any of these holds no entity; a quick look spares most texts the patterns.
-HINT = re.compile(r"[\d@=:]|\b(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|господин|госпожа|BEGIN)\b")
+HINT = re.compile(r"[\d@=:]|\b(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|господин|госпожа|Dr|Prof|BEGIN)\b")
 #: Titles that say a gender, and first names by script and gender.
 FEMALE = {"mrs", "ms", "miss", "frau", "madame", "mme", "señora", "sra", "госпожа"}
 FIRST = {
@@ -44,6 +45,9 @@ FIRST = {
     ("cyrillic", "f"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Ольга"),
     ("cyrillic", "m"): ("Андрей", "Борис", "Виктор", "Глеб", "Иван", "Максим", "Олег", "Павел"),
 }
+GENDER_OF = {name.lower(): gender for (_, gender), names in FIRST.items() for name in names}
+#: Calling codes of one and two digits; all others have three.
+CALLING = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})")
 #: Syllables of made-up family names.
 SYLLABLES = {
     "latin": ("ba", "den", "fer", "gol", "hin", "jor", "kel", "lam", "mor", "nev", "pol", "ros", "sal", "tor", "ver", "win"),
@@ -52,22 +56,76 @@ SYLLABLES = {
 
 
 def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of the entities of a whole text, in order; person values carry f: or m: for the title."""
+    """(start, end, kind, value) of the entities of a whole text, in order; value is the normal form.
+
+    Person values carry f:, m: or, for Dr and Prof, n: (no gender known). Full and family names that stand behind a title
+    somewhere are found everywhere in the text; given names alone are not.
+    """
     if not text or not HINT.search(text):
         return []
-    out = []
+    out, people = [], []
     for m in ENTITY.finditer(text):
         kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m.group(k) is not None)
         start, end = m.span()
         if kind in ("secret", "person"):
             inner = INNER[kind].match(m.group())
             start, end = start + inner.start(1), start + inner.end(1)
-        value = text[start:end]
         if kind == "person":
+            while text[end - 1] in "'-" or text[start:end].endswith("'s"):  # Mr Smith's
+                end -= 1
             title = re.split(r"[. ]", m.group(), maxsplit=1)[0].lower()
-            value = ("f:" if title in FEMALE else "m:") + value
-        out.append((start, end, kind, value))
-    return out
+            people.append((len(out), "f" if title in FEMALE else "n" if title in ("dr", "prof") else "m"))
+        out.append((start, end, kind, normal(kind, text[start:end])))
+    return _with_mentions(text, out, people) if people else out
+
+
+def normal(kind: str, written_as: str) -> str:
+    """What all ways to write an entity have in common."""
+    if kind in ("email", "person"):
+        return written_as.lower()
+    if kind == "card":
+        return re.sub(r"\D", "", written_as)
+    if kind == "phone":
+        return written_as[: written_as.startswith("+")] + re.sub(r"\D", "", written_as)
+    return written_as.replace(" ", "") if kind == "iban" else written_as
+
+
+def _with_mentions(text: str, found: list[tuple[int, int, str, str]], people: list[tuple[int, str]]) -> list[tuple[int, int, str, str]]:
+    """found with genders, and with what else in the text is a full or family name of its people."""
+    genders: dict[tuple[str, str], str] = {}  # of (family, given); a title that tells it comes first, then a known given name
+    families: dict[str, tuple[set[str], set[str]]] = {}
+    for known in (True, False):
+        for at, gender in people:
+            *given, family = found[at][3].split(" ")
+            for g in given:
+                if (gender != "n") == known:
+                    genders.setdefault((family, g), GENDER_OF.get(g, "n") if gender == "n" else gender)
+    for at, gender in people:
+        start, end, kind, value = found[at]
+        *given, family = value.split(" ")
+        found[at] = (start, end, kind, f"{genders[family, given[0]] if given and gender == 'n' else gender}:{value}")
+        as_written = text[start:end].split(" ")
+        names, firsts = families.setdefault(family, (set(), set()))
+        names |= _cases(as_written[-1])
+        for w in as_written[:-1]:
+            firsts |= _cases(w)
+    any_of = lambda words: "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    forms = [(rf"(?:(?:{any_of(firsts)})\s)*" if firsts else "") + f"(?:{any_of(names)})" for names, firsts in families.values()]
+    mention = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(forms, key=lambda f: (-len(f), f)))})(?=s?(?!\w))")  # s: the Schneiders
+    more, at = [], 0
+    for start, end in [*((e[0], e[1]) for e in found), (len(text), len(text))]:
+        for m in mention.finditer(text, at, start):
+            if m.end() == start < len(text) and re.match(r"\w", text[start]):
+                continue  # the first letters of an entity's word
+            *given, family = m.group().lower().split()
+            gender = genders.get((family, given[0]), "n") if given else "n"
+            more.append((m.start(), m.end(), "person", f"{gender}:{' '.join([*given, family])}"))
+        at = end
+    return sorted(found + more)
+
+
+def _cases(word: str) -> set[str]:
+    return {word, word.upper(), *([word.capitalize()] if word.isupper() else [])}
 
 
 INNER = {k: re.compile(PATTERNS[k]) for k in ("secret", "person")}
@@ -114,13 +172,13 @@ class _Draw:
 
 @lru_cache(maxsize=50_000)
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """What stands for an entity: never the entity itself."""
+    """What stands for an entry of entries_of(): never the entry itself."""
     salt = 0
     while True:
         d = _Draw(key, kind, value, attempt + 1_000_003 * salt)
         d.hex = kind == "secret" and re.fullmatch("[0-9a-f]+", value) is not None
         new = _make(d, kind, value, _more(kind, attempt + max(0, salt - 2)))
-        if new != (value[2:] if kind == "person" else value):
+        if new != (value.split(" ")[1] if kind == "given" else value):
             return new
         salt += 1
 
@@ -130,7 +188,7 @@ def _more(kind: str, attempt: int) -> int:
 
     Names and e-mails can be longer and still look right; the others keep their format until eight rounds are lost.
     """
-    return (attempt + 1) // 2 if kind in ("person", "email") else max(0, attempt - 8)
+    return (attempt + 1) // 2 if kind in ("given", "family", "email") else max(0, attempt - 8)
 
 
 def _make(d: _Draw, kind: str, value: str, more: int = 0) -> str:
@@ -138,8 +196,12 @@ def _make(d: _Draw, kind: str, value: str, more: int = 0) -> str:
         local, domain = value.rsplit("@", 1)
         name, dot, top = domain.rpartition(".")
         return f"{d.like(local)}{d.like('a' * more)}@{d.like(name)}{dot}{top}"
-    if kind == "person":
-        return _name(d, value, more)
+    if kind == "given":  # a further name for each lost round: Alma-Dora
+        gender, name = value[0], value.split(" ")[1]
+        firsts = [x for g in ("fm" if gender == "n" else gender) for x in FIRST[_script(name), g]]
+        return "-".join(firsts[d.below(len(firsts))] for _ in range(1 + more)).lower()
+    if kind == "family":
+        return _family(d, _script(value), (4 if len(value) > 6 else 3) + more)
     if kind == "private_key":
         lines = value.split("\n")
         if len(lines) > 2:
@@ -157,7 +219,7 @@ def _same_format(d: _Draw, kind: str, value: str) -> str:
         full = iter(digits + str(-total % 10))
         return "".join(next(full) if c.isdigit() else c for c in value)
     if kind == "phone":
-        head = re.match(r"\+\d{1,3}", value)  # the country stays
+        head = CALLING.match(value)  # the country stays
         cut = head.end() if head else 0
         return value[:cut] + d.like(value[cut:])
     if kind == "iban":
@@ -170,31 +232,53 @@ def _same_format(d: _Draw, kind: str, value: str) -> str:
     return d.like(value)
 
 
-def _name(d: _Draw, value: str, more: int) -> str:
-    gender, name = value[0], value[2:]
-    script = "cyrillic" if re.search("[А-Яа-я]", name) else "latin"
-    words = []
-    parts = name.split(" ")
-    for i, part in enumerate(parts):
-        if i == 0 and len(parts) > 1:
-            firsts = FIRST[script, gender]
-            words.append(firsts[d.below(len(firsts))])
-        else:
-            words.append(_family(d, script, (4 if len(part) > 6 else 3) + (more if i == len(parts) - 1 else 0)))
-    return " ".join(words)
+def _script(name: str) -> str:
+    return "cyrillic" if re.search("[А-Яа-я]", name) else "latin"
 
 
 def _family(d: _Draw, script: str, n: int) -> str:
     """A made-up family name of n syllables, hyphenated after every sixth."""
     syl = [SYLLABLES[script][d.below(len(SYLLABLES[script]))] for _ in range(n)]
-    return "-".join("".join(syl[k : k + 6]).capitalize() for k in range(0, n, 6))
+    return "-".join("".join(syl[k : k + 6]) for k in range(0, n, 6))
+
+
+def entries_of(kind: str, value: str) -> list[tuple[str, str]]:
+    """(kind, value) of the hashed entries of an entity: itself, or the parts of a name.
+
+    Family names are entries on their own, given names within their family: that family's Maria is the same everywhere.
+    """
+    if kind != "person":
+        return [(kind, value)]
+    *given, family = value[2:].split(" ")
+    return [*(("given", f"{value[0]}:{family} {g}") for g in given), ("family", family)]
+
+
+def laid(kind: str, new: list[str], written_as: str) -> str:
+    """Surrogates of an entity's entries in the form in which it was written."""
+    if kind == "person":
+        parts = iter(new)
+        return re.sub(r"\S+", lambda m: _cased_name(next(parts), m.group()), written_as)
+    if kind == "email":
+        return "@".join(_cased(n, w) for n, w in zip(new[0].rsplit("@", 1), written_as.rsplit("@", 1), strict=True))
+    if kind in ("card", "phone", "iban"):
+        rest = iter(new[0].removeprefix("+"))
+        return "".join([*(next(rest) if c.isalnum() else c for c in written_as), *rest])
+    return new[0]
+
+
+def _cased(new: str, written_as: str) -> str:
+    return "".join(c.upper() if k < len(written_as) and written_as[k].isupper() else c for k, c in enumerate(new))
+
+
+def _cased_name(new: str, written_as: str) -> str:
+    return new.upper() if len(written_as) > 1 and written_as.isupper() else "-".join(p.capitalize() for p in new.split("-"))
 
 
 # ---------------------------------------------------------------- on tables
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start int, stop int, kind string, value string): every entity of every row of docs, by code points."""
+    """(id, start int, stop int, kind string, value string): every entity of every row of docs, by code points; value is normal."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,24 +294,37 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, start int, stop int, kind string, value string")
 
 
+def entries(found: DataFrame) -> DataFrame:
+    """(id, kind, value), distinct: what entries_of() makes of entities()."""
+    words = F.split(F.substring("value", 3, 1 << 30), " ")
+    family = F.element_at(words, -1)
+    given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda g: F.struct(F.lit("given").alias("kind"), F.concat(F.substring("value", 1, 2), family, F.lit(" "), g).alias("value")))
+    own = F.array(F.struct("kind", "value"))
+    parts = F.when(F.col("kind") == "person", F.concat(given, F.array(F.struct(F.lit("family").alias("kind"), family.alias("value"))))).otherwise(own)
+    return found.select("id", F.explode(parts).alias("e")).select("id", "e.kind", "e.value").distinct()
+
+
 def redrawn(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt int): the entities whose first surrogate isn't free, with the attempt that is.
+    """(kind, value, attempt int): the entries whose first surrogate isn't free, with the attempt that is.
 
-    A surrogate is free if no other entity of the kind has it, and it isn't an entity of the kind itself. Of those that
-    share one, the first in order of value keeps it. Rounds go on for the rest, against all that is taken by then, until
+    A surrogate is free if no other entry of the kind (for given names: and the family) has it, and it isn't an entry of
+    the kind itself. Of those that share one, the first in order of value keeps it. Rounds go on for the rest, against all that is taken by then, until
     none is left; the space of surrogates grows with the attempt, so their number is a matter of the logarithm.
     """
+    def scoped(kind: str, value: str, attempt: int) -> str:
+        new = surrogate(key, kind, value, attempt)
+        return f"{value[2:].split(' ')[0]} {new}" if kind == "given" else new
+
     def drawn(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([surrogate(key, *r) for r in rows], pa.string())], names=["kind", "value", "attempt", "sub"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([scoped(*r) for r in rows], pa.string())], names=["kind", "value", "attempt", "sub"])
 
         return df.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, sub string")
 
     known = written(found.select("kind", "value").distinct(), "entities")
-    plain = F.when(F.col("kind") == "person", F.substring("value", 3, 1 << 30)).otherwise(F.col("value"))
-    own = known.select(F.col("kind").alias("ok"), plain.alias("os")).distinct()
+    own = known.select(F.col("kind").alias("ok"), F.col("value").alias("os"))
     now = written(drawn(known.withColumn("attempt", F.lit(0))), "surrogates")
     taken = None
     done = None
@@ -257,7 +354,7 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     shuffled: entities once for the distinctness check; documents whose entities had to be drawn again get those attempts
     by a join on the id. The key decides all surrogates; without it they can't be traced.
     """
-    found = written(entities(docs, id_col, text_col).select("id", "kind", "value").distinct(), "found")
+    found = written(entries(entities(docs, id_col, text_col)), "found")
     again = redrawn(found, key)
     per = found.select("id", F.col("kind").alias("k"), F.col("value").alias("v")).join(again, (F.col("k") == F.col("kind")) & (F.col("v") == F.col("value")))
     per = per.groupBy(F.col("id").alias("__rid")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "value"), "attempt"))).alias("__again"))
@@ -291,7 +388,7 @@ def replace_entities(text: str | None, key: bytes, again: dict[str, int] | None
         return text, []
     out, marks, at, n = [], [], 0, 0
     for start, end, kind, value in found:
-        new = surrogate(key, kind, value, (again or {}).get(f"{kind}\0{value}", 0))
+        new = laid(kind, [surrogate(key, k, v, (again or {}).get(f"{k}\0{v}", 0)) for k, v in entries_of(kind, value)], text[start:end])
         n += start - at
         out += (text[at:start], new)
         marks.append({"kind": kind, "start": n, "stop": n + len(new), "surrogate": new})
