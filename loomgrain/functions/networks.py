@@ -5,6 +5,7 @@ A graph is (xy, pairs): coordinates by node number, and pairs of node numbers in
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import defaultdict
 
@@ -182,19 +183,102 @@ def spectrum(n: int, e: np.ndarray, r: np.ndarray, dense: int = 2000) -> tuple[f
         w[e[:, 0], e[:, 1]] = w[e[:, 1], e[:, 0]] = r
         return float(np.linalg.eigvalsh(a)[-1]), float(np.linalg.eigvalsh(np.diag(w.sum(0)) - w)[1])
 
-    def times(v: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return np.bincount(e[:, 0], k * v[e[:, 1]], n) + np.bincount(e[:, 1], k * v[e[:, 0]], n)
+    ones: list[dict[int, float]] = [{} for _ in range(n)]
+    weights: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, x in zip(e[:, 0].tolist(), e[:, 1].tolist(), np.asarray(r, float).tolist(), strict=True):
+        ones[a][b] = ones[b][a] = 1.0
+        if a != b and x > 0:
+            weights[a][b] = weights[b][a] = x
+        elif a != b:
+            weights[a].pop(b, None)
+            weights[b].pop(a, None)
+    whole = len(components(n, [(a, b) for a in range(n) for b in weights[a] if a < b])) == 1
+    return _largest(ones), (_fiedler(weights) if whole else 0.0)
 
-    one, v = np.ones(len(e)), np.random.default_rng(0).random(n)
-    degree = np.bincount(e[:, 0], r, n) + np.bincount(e[:, 1], r, n)
-    shift, u = 2 * degree.max(), np.random.default_rng(1).standard_normal(n)
-    for _ in range(2000):
-        v = times(v, one) + v  # shifted by one, so that bipartite graphs settle
+
+class _Factor:
+    """The Laplacian of a connected graph, or with diag diag - near, nodes eliminated by fewest neighbours first.
+
+    With diag, elimination only tells whether the matrix is positive definite: it is if all pivots are positive.
+    """
+
+    def __init__(self, near: list[dict[int, float]], diag: list[float] | None = None):
+        near = [{j: x for j, x in row.items() if j != i} for i, row in enumerate(near)]
+        heap = [(len(row), i) for i, row in enumerate(near)]
+        heapq.heapify(heap)
+        gone, self.steps, self.positive = [False] * len(near), [], True
+        diag, laplacian = list(diag or ()), diag is None
+        while heap:
+            k, v = heapq.heappop(heap)
+            if gone[v] or k != len(near[v]):
+                continue
+            gone[v] = True
+            row = list(near[v].items())
+            pivot = sum(x for _, x in row) if laplacian else diag[v]  # sums of positive weights lose no digits
+            if pivot <= 0 and not laplacian:
+                self.positive = False
+                return
+            self.steps.append((v, pivot, row))
+            for i, (a, x) in enumerate(row):
+                del near[a][v]
+                if not laplacian:
+                    diag[a] -= x * x / pivot
+                for b, y in row[i + 1 :]:
+                    near[a][b] = near[b][a] = near[a].get(b, 0.0) + x * y / pivot
+            for a, _ in row:
+                heapq.heappush(heap, (len(near[a]), a))
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        """The solution of mean 0; b has mean 0."""
+        x = b.tolist()
+        for v, pivot, row in self.steps[:-1]:
+            share = x[v] / pivot
+            for a, w in row:
+                x[a] += w * share
+        x[self.steps[-1][0]] = 0.0
+        for v, pivot, row in reversed(self.steps[:-1]):
+            x[v] = (x[v] + sum(w * x[a] for a, w in row)) / pivot
+        out = np.array(x)
+        return out - out.mean()
+
+
+def _largest(near: list[dict[int, float]], tol: float = 1e-10) -> float:
+    """Largest adjacency eigenvalue, enclosed: a Rayleigh quotient is below it, c above if c - near is positive definite."""
+    n = len(near)
+    a, b = np.array([(i, j) for i, row in enumerate(near) for j in row]).T
+    v = np.ones(n)
+    for _ in range(2000):  # only a good start
+        v = np.bincount(a, v[b], n) + v
         v /= np.linalg.norm(v)
-        u = shift * u - (degree * u - times(u, r))
-        u -= u.mean()
-        u /= np.linalg.norm(u)
-    return float(v @ times(v, one)), float(u @ (degree * u - times(u, r)))
+    low = float(v @ np.bincount(a, v[b], n))
+    width, high = tol * low, math.inf
+    while high - low > 1.01 * tol * low:
+        c = low + width if high == math.inf else (low + high) / 2
+        if _Factor(near, [c - (i in row) for i, row in enumerate(near)]).positive:
+            high = c
+        else:
+            low, width = c, 16 * width
+    return low
+
+
+def _fiedler(near: list[dict[int, float]], tol: float = 1e-10) -> float:
+    """Second-smallest Laplacian eigenvalue of a connected graph: Lanczos on the inverse until the residual is below tol."""
+    n, factor = len(near), _Factor(near)
+    q = np.random.default_rng(0).standard_normal(n)
+    q -= q.mean()
+    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+    while True:
+        z = factor.solve(basis[-1])
+        alpha.append(float(z @ basis[-1]))
+        for _ in range(2):
+            z -= z.mean()
+            for u in basis:
+                z -= (z @ u) * u
+        rest = float(np.linalg.norm(z))
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+        if rest * abs(vectors[-1, -1]) <= tol * values[-1] or len(alpha) == n - 1:
+            return float(1 / values[-1])
+        beta.append(rest)
+        basis.append(z / rest)
 
 
 # ---------------------------------------------------------------- tracing

@@ -89,3 +89,22 @@ def test_spectrum_by_iteration():
     e = np.array([[0, 1], [1, 2], [2, 3], [3, 0], [0, 2]])
     r = np.array([1.0, 2, 1, 3, 1])
     assert N.spectrum(4, e, r, dense=0) == pytest.approx(N.spectrum(4, e, r), rel=1e-3)
+
+
+def test_spectrum_of_long_paths_and_of_many_parts():
+    n = 3000
+    path = np.array([(i, i + 1) for i in range(n - 1)])
+    top, second = N.spectrum(n, path, np.ones(n - 1))
+    assert top == pytest.approx(2 * np.cos(np.pi / (n + 1)), rel=1e-9)
+    assert second == pytest.approx(4 * np.sin(np.pi / (2 * n)) ** 2, rel=1e-8)
+    rng = np.random.default_rng(5)
+    for size, more, far in ((60, 10, 1), (80, 200, 1), (40, 0, 20), (30, 3, 1)):
+        e = [(i, i + 1) for i in range(size - 1) if i % 20 or far == 1] + [tuple(sorted(rng.choice(size, 2, replace=False).tolist())) for _ in range(more)]
+        e = np.array(sorted(set(e)))
+        r = rng.uniform(0.1, 5, len(e))
+        assert N.spectrum(size, e, r, dense=0) == pytest.approx(N.spectrum(size, e, r), rel=1e-7, abs=1e-12)
+    star = np.array([(0, i) for i in range(1, 2500)])
+    assert N.spectrum(2500, star, np.ones(2499)) == pytest.approx((2499**0.5, 1.0), rel=1e-8)
+    tail = lambda n: np.array([(0, n + 1), (0, n + 2), (0, n + 3), *((i, i + 1) for i in range(n))])  # noqa: E731  # its first eigenvector fades to 0 along the path
+    long, short = (N.spectrum(n + 4, tail(n), np.ones(n + 3))[0] for n in (2400, 300))
+    assert long == pytest.approx(short, rel=1e-9) and short > 2.1
