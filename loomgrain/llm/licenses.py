@@ -1,7 +1,9 @@
 """License texts by exact set-similarity join, and license phrases by their words.
 
-Blocks are the lines of a text, templates are short license notices; both are sets of words. A block holds a template if
-it has at least the given share of the template's words. With words in the order of their document frequency, a block
+Blocks are short lines of a text and, across its line breaks, windows of its paragraphs; templates are short license
+notices; both are sets of words. Windows have up to twice as many words as a template and overlap by half, so that no notice
+is cut and no words are gathered from afar. A block holds a template if it has at least the given share of the template's
+words, all of those that tell variants apart, and none that tells of another variant. With words in the order of their document frequency, a block
 that does must share one of the template's rarest words (prefix), have enough words (length) and have enough of them
 after the first shared one (position); what passes is counted in full. DataFrame functions only.
 """
@@ -29,6 +31,11 @@ TEMPLATES = {
     "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
 }
+#: Words of a template that a block must have, and words that, next to one of a template's, tell of another.
+TELLING = {"2", "3", "4", "apache", "attribution", "cc", "gnu", "mit", "mozilla", "nc", "noncommercial"}
+OTHERS = {"gnu": {"affero", "lesser"}, "cc": {"nc", "nd", "sa"}, "attribution": {"nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike"}}
+#: Windows are made for templates of up to so many words, and of up to multiples of it.
+STEP = 12
 
 
 def lowered(text: Column) -> Column:
@@ -62,19 +69,52 @@ def template_sets(templates: dict[str, tuple[str, ...]] | None = None) -> list[t
     return [(label, sorted(set(text.split()))) for label, texts in sorted((templates or TEMPLATES).items()) for text in texts]
 
 
+def window_step(template: str) -> int:
+    return -(-len(template.split()) // STEP) * STEP
+
+
+def blocks_of(low: Column, rare: Column, vocabulary: Column, steps: list[int]) -> Column:
+    """array<struct<line int, step int, words>>: the blocks with a rare word; line is where a block starts, from 0."""
+    apart = F.split(low, r"\n(?=[\x00-\x09\x0B-\x20]*\n)")  # one line break goes with each cut
+    first = lambda j: F.when(j == 0, 0).otherwise(F.size(F.split(F.array_join(F.slice(apart, 1, j), "\n"), "\n")))
+    pieces = F.filter(F.transform(apart, lambda x, j: F.struct(x.alias("text"), j.alias("j"))), lambda p: F.arrays_overlap(split_tokens(p["text"]), rare))
+
+    def block(line: Column, step: Column, words: Column) -> Column:
+        return F.struct(line.cast("int").alias("line"), step.cast("int").alias("step"), F.array_intersect(vocabulary, words).alias("words"))
+
+    def of_piece(p: Column) -> Column:
+        """p: line int, lines array<array<string>>, words array<struct<i, w>>."""
+        return F.concat(*[x for step in steps for x in (short_lines(p, step), windows(p, step))])
+
+    def short_lines(p: Column, step: int) -> Column:
+        lines = F.transform(p["lines"], lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        short = F.filter(lines, lambda x: (F.size(x["x"]) <= 2 * step) & F.arrays_overlap(x["x"], rare))
+        return F.transform(short, lambda x: block(p["line"] + x["i"], F.lit(step), x["x"]))
+
+    def windows(p: Column, step: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(p["words"]) - 2 * step) / step).cast("int")))
+        cut = F.filter(F.transform(starts, lambda k: F.slice(p["words"], k * step + 1, 2 * step)), lambda x: F.arrays_overlap(x["w"], rare))
+        return F.transform(cut, lambda x: block(p["line"] + F.get(x["i"], F.lit(0)), F.lit(step), x["w"]))
+
+    split = F.transform(pieces, lambda p: F.struct(first(p["j"]).alias("line"), F.transform(F.split(p["text"], "\n"), split_tokens).alias("lines")))
+    tagged = F.transform(split, lambda p: F.struct(p["line"].alias("line"), p["lines"].alias("lines"), F.flatten(F.transform(p["lines"], lambda x, i: F.transform(x, lambda w: F.struct(i.alias("i"), w.alias("w"))))).alias("words")))
+    return F.array_distinct(F.flatten(F.transform(tagged, of_piece)))
+
+
 def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with its phrases and the templates that one of its lines holds.
+    """Every row of docs with its phrases and the templates that one of its blocks holds.
 
     Columns: id; n_words long; n_base long (places of phrases), first_word and last_word long (their smallest and largest
     start, else null); base_labels and labels string (distinct, sorted, comma-joined, empty if none); score double (the
-    largest share of a template's words on a line that meets the threshold, 1 where a phrase stands, else 0); matches
+    largest share of a template's words in a block that holds it, 1 where a phrase stands, else 0); matches
     array<struct<line int, template string, score double>>.
 
     Null texts count as empty. Null ids stay null; repeated rows give a row each and equal results; other columns are
     ignored; an empty table gives an empty table. Document frequencies are those of all documents and of the templates'
-    words only, so what reaches the driver is bounded by the templates. Only lines with a rare enough word leave their row.
+    words only, so what reaches the driver is bounded by the templates. Only blocks with a rare enough word leave their row.
     """
     sets = template_sets(templates)
+    steps = [window_step(text) for _, texts in sorted((templates or TEMPLATES).items()) for text in texts]
     vocabulary = sorted({w for _, words in sets for w in words})
     d = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     low = d.withColumn("__low", lowered(F.col("__text")))
@@ -85,13 +125,15 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, tuple[str
     ordered = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ordered)}
     rows, prefix_words = [], set()
-    for number, (label, words) in enumerate(sets):
+    for number, ((label, words), step) in enumerate(zip(sets, steps, strict=True)):
+        must = sorted(TELLING & set(words))
+        never = sorted({x for w in words for x in OTHERS.get(w, ())} - set(words))
         need = math.ceil(threshold * len(words) - 1e-9)
         words = sorted(words, key=rank.__getitem__)
         for place, w in enumerate(words[: len(words) - need + 1]):
-            rows.append((number, label, words, need, place, w))
+            rows.append((number, label, words, need, place, w, step, must, never))
             prefix_words.add(w)
-    prefixes = docs.sparkSession.createDataFrame(rows, "template int, label string, words array<string>, need int, place int, word string")
+    prefixes = docs.sparkSession.createDataFrame(rows, "template int, label string, words array<string>, need int, place int, word string, step int, must array<string>, never array<string>")
     rare = words_array(sorted(prefix_words))
 
     w = low.withColumn("__words", split_tokens(F.col("__low")))
@@ -100,25 +142,26 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, tuple[str
     for i, phrase in enumerate(PHRASES):
         w = w.withColumn(f"__at{i}", F.when(maybe, phrase_starts("__words", phrase)).otherwise(none))
     starts = F.concat(*[F.col(f"__at{i}") for i in range(len(PHRASES))])
-    lines = F.transform(F.split("__low", "\n"), lambda x, i: F.struct(i.alias("line"), F.array_intersect(words_array(ordered), split_tokens(x)).alias("words")))
-    lines = F.filter(lines, lambda x: F.arrays_overlap(x["words"], rare))
-    empty_lines = F.array().cast("array<struct<line:int,words:array<string>>>")
+    others = sorted({x for xs in OTHERS.values() for x in xs} - set(vocabulary))
+    cut = blocks_of(F.col("__low"), rare, words_array([*ordered, *others]), sorted(set(steps)))
+    no_blocks = F.array().cast("array<struct<line:int,step:int,words:array<string>>>")
     w = w.select(
         F.col("__id"),
         F.xxhash64("__id", "__text").alias("__key"),
         F.size("__words").cast("long").alias("n_words"),
         starts.alias("__starts"),
         F.array_compact(F.array(*[F.when(F.size(f"__at{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())])).alias("__base"),
-        F.when(F.arrays_overlap("__words", rare), lines).otherwise(empty_lines).alias("__blocks"),
+        F.when(F.arrays_overlap("__words", rare), cut).otherwise(no_blocks).alias("__blocks"),
     )
     per_doc = written(w, "license-rows")
 
-    blocks = per_doc.select("__key", F.explode("__blocks").alias("b")).select("__key", "b.line", F.col("b.words").alias("block")).distinct()
-    tokens = blocks.select("__key", "line", "block", F.posexplode("block").alias("at", "token"))
+    blocks = per_doc.select("__key", F.explode("__blocks").alias("b")).select("__key", "b.line", F.col("b.step").alias("size"), F.col("b.words").alias("block")).distinct()
+    tokens = blocks.select("__key", "line", "size", "block", F.posexplode("block").alias("at", "token"))
     candidate = (
         tokens.join(F.broadcast(prefixes), F.col("token") == F.col("word"))  # bounded by the templates
-        .filter(F.size("block") >= F.col("need"))
+        .filter((F.col("size") == F.col("step")) & (F.size("block") >= F.col("need")))
         .filter(1 + F.least(F.size("block") - F.col("at") - 1, F.size("words") - F.col("place") - 1) >= F.col("need"))
+        .filter((F.size(F.array_except("must", "block")) == 0) & ~F.arrays_overlap("never", "block"))
         .select("__key", "line", "template", "label", "need", "words", "block")
         .distinct()
     )

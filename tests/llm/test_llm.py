@@ -321,6 +321,25 @@ def test_licenses(spark, docs, odd):
     assert licenses.scan(docs.filter("false")).count() == 0
 
 
+def test_wrapped_and_variant_licenses(spark):
+    whole = [(label, text) for label, texts in licenses.TEMPLATES.items() for text in texts]
+    rows = []
+    for label, text in whole:
+        w = text.split()
+        half = len(w) // 2
+        rows.append(({label}, "Some words before.\n\n# " + " ".join(w[:half]) + "\n# " + " ".join(w[half:]) + ".\n\nafter"))
+        rows.append(({label}, "x " * 31 + "\n" + "\n".join(w) + "\n" + "y " * 50))
+        rows.append(({label}, "x " * 500 + text + " y" * 500))
+    rows += [(set(), x) for x in ("Licensed under CC BY 4.0.", "Released under the Apache License.", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License version 3", "Licensed under CC BY-NC-SA 4.0")]
+    rows += [(set(), " ".join(x + " z" * 30 for x in "licensed under the apache license version 2 0".split()))]
+    rows += [({"cc-by-nc-4.0"}, "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License")]
+    d = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, text string")
+    for r in licenses.scan(d).collect():
+        assert {m.template for m in r.matches} == rows[r.doc_id][0], rows[r.doc_id]
+    at = spark.createDataFrame([(1, "a\n\n\nb\nReleased under\nthe MIT License")], "doc_id long, text string")
+    assert [m.line for m in licenses.scan(at).first().matches] == [3]
+
+
 # ---- 9
 
 
