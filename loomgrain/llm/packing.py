@@ -9,6 +9,7 @@ their rank among the pieces of their length.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 from array import array
@@ -22,59 +23,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.llm.common import written
-from loomgrain.llm.token_counts import Kept
+from loomgrain.llm.token_counts import byte_letters
 
 #: Characters for which the library's normalising and splitting are plain lower case and white space.
 BEYOND_LATIN = re.compile(r"[^\t\n\r -~À-ÿ]")
-#: The vocabulary's splitting rule, for lower-case texts of those characters.
-LOWER_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: What the vocabulary's splitting rule sets apart from letters and white space, in lower-case texts of those characters.
+APART = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Words this long go to the library, whose merging of long words is the faster one.
+LONG = re.compile(r"(?<!\S)\S{1000}")
 
 
 # ---------------------------------------------------------------- tokens
 
 
 class WordEncoder:
-    """Little-endian 32-bit ids of whole texts, by the tokenizers library, one white-space chunk at a time.
+    """Little-endian 32-bit ids of whole texts, equal to those of the tokenizers library.
 
-    The vocabulary splits at white space and drops it, so the ids of a text are those of its chunks in order. Texts
-    beyond Latin-1, and those with strings of special tokens, go to the library whole.
+    The vocabulary ends each word's last byte with a mark. Texts within Latin-1 are lowered and their words set apart by
+    spaces, and the space after a word is taken for that mark: so the vocabulary is one of bytes, its ids are in order of
+    rank (a byte and the mark come first), and tiktoken merges a text in one call. Texts beyond Latin-1, with very long
+    words or with strings of special tokens go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        mark = model["end_of_word_suffix"]
         self.library = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.chunks = Kept(self._ids, keep)
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def fill(self, chunks: set[str]) -> None:
-        """Have the library encode what isn't known yet together, each part of a chunk once."""
-        known = self.chunks
-        known.make_room()
-        older = known.older
-        fresh = [c for c in chunks if c not in known and c not in older]
-        split = {c: LOWER_SPLIT.findall(c) for c in fresh if not c.isalpha()}
-        new = {c for c in fresh if c not in split}
-        new.update(w for ws in split.values() for w in ws if w not in known)
-        new = list(new)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        for c, ws in split.items():
-            if c not in known:
-                known[c] = b"".join([known[w] for w in ws])
+        added = self.library.get_added_tokens_decoder()
+        self.specials = [t.content for t in added.values()]
+        byte_of = {c: b for b, c in byte_letters().items()}
+        ranks = {}
+        for token, i in model["vocab"].items():
+            if i not in added:
+                ends = token.endswith(mark) and token != mark
+                ranks[bytes(byte_of[c] for c in token.removesuffix(mark if ends else "")) + b" " * ends] = i
+        merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"][a + b] != len(ranks) - len(merges) + k for k, (a, b) in enumerate(merges)):
+            raise ValueError(f"the ids of {path} aren't in order of rank")
+        self.words = Encoding(os.path.basename(path), pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        if BEYOND_LATIN.search(text) or LONG.search(text) or any(s in text for s in self.specials):
+            return self.library.encode(text, add_special_tokens=False).ids
+        apart = APART.sub(r" \g<0> ", text.lower())
+        return self.words.encode_ordinary(apart.replace("\n", " ").replace("\t", " ").replace("\r", " ") + " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(BEYOND_LATIN.search(t)) or any(s in t for s in self.specials) for t in texts]
-        split = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        self.fill(set().union(*split))
-        get = self.chunks.__getitem__
-        return [self._ids(t) if w else b"".join(map(get, c)) for t, w, c in zip(texts, whole, split, strict=True)]
+        return [array("I", self.ids(t)).tobytes() for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -311,8 +311,13 @@ def pack(pieces: DataFrame, capacity: int = 4096, classes: int = 64, parts: int
 
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = 4096, digest: bool = True) -> DataFrame:
-    """Token pieces of docs with their place; the ids themselves, or where `digest` their unsigned CRC-32."""
+    """Token pieces of docs with their place; the ids themselves, or where `digest` their unsigned CRC-32.
+
+    Nulls, repeated rows, other columns and empty tables: see token_pieces(). The number of a row in the written table
+    tells equal ones apart, so that they are dealt and ranked like any others.
+    """
     pieces = token_pieces(docs, path, capacity)
     if digest:
         pieces = pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
-    return pack(written(pieces, "pieces"), capacity)
+    pieces = written(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    return pack(pieces, capacity, keys=("doc_id", "piece", "__row")).drop("__row")

@@ -41,7 +41,7 @@ class MergeCounter:
         self.merge = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special_split = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        shown = _byte_letters()
+        shown = byte_letters()
         self.symbol = [ids[shown[b]] for b in range(256)]
         self.library = Tokenizer.from_file(path)
         self.pre = self.library.pre_tokenizer
@@ -126,7 +126,7 @@ class Kept(dict):
             self.clear()
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter by which byte-level vocabularies write each byte: itself if visible, else the next free one from 256."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(visible)]
