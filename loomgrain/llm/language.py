@@ -36,9 +36,13 @@ def fold_table() -> np.ndarray:
     return _fold[0]
 
 
-def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, starts): letters in lower case, all else one space, a space before and after each text."""
-    joined = "\0" + "\0".join(texts) + "\0"
+def folded(texts: list[str], pad: int = ORDER - 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, at, n): letters in lower case, all else one space; `pad` spaces before each text and one after it.
+
+    at are the places to score, text by text (its letters, the spaces between them and the one after), n their number by
+    text. An n-gram that ends at one of them begins in its own text or in the spaces before it, never in another text.
+    """
+    joined = "\0" + "\0".join(t.replace("\0", " ") for t in texts) + "\0"
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = fold_table()[raw]
     gap = code == 32
@@ -49,7 +53,11 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # a space that ends a text stands before a cut; it goes, as the cut is one
     last = np.concatenate([(code[:-1] == 32) & ~cut[:-1] & cut[1:], [False]])
     code, cut = code[~last], cut[~last]
-    return code, np.flatnonzero(cut)
+    n = np.diff(np.flatnonzero(cut))
+    wide = np.repeat(code, np.where(cut, 1 + pad, 1))  # the space after a text, and those before the next
+    first = np.cumsum(np.concatenate([[1 + pad], n[:-1] + pad]))
+    at = np.arange(n.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(n[:-1])]), n)
+    return wide, at, n
 
 
 def gram_hashes(code: np.ndarray, order: int) -> np.ndarray:
@@ -74,9 +82,9 @@ class Model:
     floor: np.ndarray  # log probability of a character never seen
     usual: np.ndarray | None = None  # a row a language: mean cross-entropy, deviation among texts, among characters
 
-    def scores(self, code: np.ndarray) -> np.ndarray:
-        """Log probabilities of each character, a column a language, by the longest n-gram known."""
-        return self._order(len(self.grams), [gram_hashes(code, k + 1) for k in range(len(self.grams))], np.arange(len(code)))
+    def scores(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probabilities of the characters at some places, a column a language, by the longest n-gram known."""
+        return self._order(len(self.grams), [gram_hashes(code, k + 1) for k in range(len(self.grams))], at)
 
     def _order(self, k: int, hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
         if k == 0:
@@ -96,15 +104,23 @@ class Model:
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropy in nats a character, number of characters) of each text, a column a language."""
-        code, cuts = folded(texts)
-        p = self.scores(code)
-        p[: ORDER - 1] = 0
-        total = np.add.reduceat(p[1:].astype(np.float64), cuts[:-1], axis=0)  # a text and the cut that ends it
-        n = np.diff(cuts)
+        """(cross-entropy in nats a character, number of characters) of each text, a column a language.
+
+        A text's row depends on that text alone.
+        """
+        code, at, n = folded(texts, len(self.grams) - 1)
+        p = self.scores(code, at).astype(np.float64)
+        total = np.add.reduceat(p, np.concatenate([[0], np.cumsum(n[:-1])]), axis=0)
         return -total / n[:, None], n
 
 
+def text_grams(text: str, order: int = ORDER) -> list[Counter]:
+    """The n-grams of 1 to order characters that end at a scored place of a text, with their numbers."""
+    code, at, _ = folded([text], order - 1)
+    s = "".join(map(chr, code.tolist()))
+    return [Counter(s[i - k + 1 : i + 1] for i in at.tolist()) for k in range(1, order + 1)]
+
+
 def train(counts: dict[str, dict[int, Counter]], order: int = ORDER) -> Model:
     """counts: language -> order -> n-gram -> how often. Interpolated Kneser-Ney with one discount."""
     languages = sorted(counts)
@@ -211,10 +227,8 @@ def fit_model(docs: DataFrame, per_language: int = 400, order: int = ORDER, id_c
             seen: Counter = Counter()
             for b in batches:
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    code, _ = folded([text])
-                    s = " " + "".join(map(chr, code[1:-1].tolist())) + " "
-                    for k in range(1, order + 1):
-                        for g, n in Counter(s[i : i + k] for i in range(len(s) - k + 1)).items():
+                    for k, grams_ in enumerate(text_grams(text, order), 1):
+                        for g, n in grams_.items():
                             seen[lang, k, g] += n
             rows = list(seen.items())
             yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.int32()), pa.array([r[0][2] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["lang", "k", "gram", "n"])
@@ -233,16 +247,20 @@ def fit_model(docs: DataFrame, per_language: int = 400, order: int = ORDER, id_c
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own), pa.array(n, pa.int64())], names=["lang", "e", "n"])
 
         seen = sample.filter("not fit").select("lang", "text").mapInArrow(usual, "lang string, e double, n long").toPandas()
-        model.usual = np.array([_usual(seen[seen["lang"] == lang]) for lang in model.languages])
+        model.usual = np.array([_usual(seen[seen["lang"] == lang], seen) for lang in model.languages])
         return model
     finally:
         sample.unpersist()
 
 
-def _usual(own) -> tuple[float, float, float]:
-    """Mean cross-entropy, its deviation among long texts, and that of one character, from texts of one language."""
+def _usual(own, everyone) -> tuple[float, float, float]:
+    """Mean cross-entropy, its deviation among long texts, and that of one character, from texts of one language.
+
+    With fewer than 8 texts, those of all languages count instead; with fewer than 8 of these, nothing is unusual.
+    """
+    own = own if len(own) >= 8 else everyone
     if len(own) < 8:
-        return 2.5, 0.5, 2.0
+        return np.inf, 1.0, 1.0
     e, n = own["e"].to_numpy(), own["n"].to_numpy()
     mean = float((e * n).sum() / n.sum())
     return mean, max(0.05, float(np.std(e[n >= np.median(n)]))), max(0.5, float(np.sqrt(np.median(n * (e - mean) ** 2) / 0.455)))
@@ -252,10 +270,11 @@ def identify(docs: DataFrame, model: Model | None, reject_at: float = 8.0, id_co
     """(id, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean) for every row.
 
     lang_pred is a learned language, or und if the text is null or has no letter (or nothing was learned): score 0,
-    rejected. score is the posterior of the language among the learned ones at equal priors, with the evidence of at
-    most 100 characters. rejected: the cross-entropy is more than reject_at deviations above the usual for that length.
-    Whole texts are scored; ties go to the first language in order. Null ids stay null and count as not held out,
-    repeated rows give a row each, other columns are ignored, an empty table gives an empty table. No shuffle.
+    rejected. rejected: the cross-entropy is more than reject_at deviations above the usual for that length; the score is
+    0 then. Else it is the posterior of the language among the learned ones at equal priors, with the evidence of at most
+    100 characters. Whole texts are scored, each on its own, so equal texts get equal rows however the table is dealt; ties
+    go to the first language in order. Null ids stay null and count as not held out, repeated rows give a row each, other
+    columns are ignored, an empty table gives an empty table. No shuffle.
     """
     src = docs.select(F.col(id_col).alias("__k0"), held_out(id_col).alias("__k1"), F.col(text_col).alias("__text"))
     told = _judged(src, model, reject_at)
@@ -263,7 +282,11 @@ def identify(docs: DataFrame, model: Model | None, reject_at: float = 8.0, id_co
 
 
 def accepted(docs: DataFrame, model: Model | None, reject_at: float = 8.0, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with its columns, whose language is identified and not rejected."""
+    """The rows of docs, with its columns, whose language is identified and not rejected; see identify().
+
+    Rows with null or letterless texts go. Null ids, repeated rows and all other columns, whatever their names, stay as they
+    are; an empty table, or no model, gives an empty table.
+    """
     src = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(docs.columns)], F.col(text_col).alias("__text"))
     told = _judged(src, model, reject_at).filter("not rejected")
     return told.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])
@@ -304,7 +327,7 @@ def _judge(model: Model | None, texts: list[str], reject_at: float) -> Iterator[
     if model is None:
         yield from (("und", 0.0, None, True) for _ in texts)
         return
-    e, n = model.entropies([t.replace("\0", " ") for t in texts])
+    e, n = model.entropies(texts)
     best = e.argmin(axis=1)
     z = -(e - e[np.arange(len(best)), best][:, None]) * np.minimum(n, 100)[:, None]
     post = 1 / np.exp(z).sum(axis=1)
@@ -312,4 +335,4 @@ def _judge(model: Model | None, texts: list[str], reject_at: float) -> Iterator[
     mean, among, each = model.usual[best].T
     far = (lowest - mean) > reject_at * np.sqrt(among**2 + each**2 / n)
     for t, b, s, x, k, r in zip(texts, best.tolist(), post.tolist(), lowest.tolist(), n.tolist(), far.tolist(), strict=True):
-        yield ("und", 0.0, None, True) if k <= 1 else (model.languages[b], s, x, r)
+        yield ("und", 0.0, None, True) if k <= 1 else (model.languages[b], 0.0 if r else s, x, r)

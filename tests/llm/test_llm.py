@@ -231,18 +231,42 @@ def test_language(docs, odd):
     assert all(0 <= s <= 1 for *_, s in told)
     assert language.fit_model(docs.filter("false")) is None
     assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
-    assert language.accepted(odd, model).columns == odd.columns
+    kept = language.accepted(odd, model)
+    assert kept.columns == odd.columns
+    judged = {r.doc_id: r.rejected for r in language.identify(odd, model).collect()}
+    assert collections.Counter(map(str, kept.collect())) == collections.Counter(str(r) for r in odd.collect() if not judged[r.doc_id])
+    assert judged[1] and judged[2] and judged[3]
+
+
+def test_language_of_a_text_is_its_own(spark, docs):
+    model = language.fit_model(docs)
+    told = lambda d: sorted((r.doc_id, r.lang_pred, r.score, r.cross_entropy, r.rejected) for r in language.identify(d, model).collect())
+    want = told(docs)
+    for parts in (1, 3, 7):
+        assert told(docs.repartition(parts)) == want
+    e, n = model.entropies(["Hi", "Hi", "", "x\0y", "Hi", "a b", "Hi"])
+    assert n.tolist() == [3, 3, 1, 4, 3, 4, 3]
+    for i in (1, 4, 6):
+        assert e[i].tolist() == e[0].tolist() == model.entropies(["Hi"])[0][0].tolist()
+
+
+def test_language_rejects_what_it_never_saw(spark, docs):
+    model = language.fit_model(docs)
+    rng = random.Random(4)
+    alien = ["これは日本語の文章です。" * 5, "Это предложение на русском языке. " * 4, "".join(rng.choice("qxzjkvwy ") for _ in range(300)), "zzzz qqqq xxxx " * 20]
+    got = language.identify(spark.createDataFrame(list(enumerate(alien)), "doc_id long, text string"), model).collect()
+    assert all(r.rejected and r.score == 0 and r.lang_pred in model.languages for r in got)
 
 
 def test_probabilities_sum_to_one():
-    counts = {"x": {k: collections.Counter({g: n for g, n in collections.Counter(" abac aba "[i : i + k] for i in range(11 - k)).items()}) for k in range(1, 5)}}
-    m = language.train(counts)
-    code, _ = language.folded(["aba"])
-    p = []
-    for c in " abc":
-        seq = np.array([*map(ord, " ab"), ord(c)], np.uint32)
-        p.append(np.exp(m.scores(seq)[3, 0]))
-    assert sum(p) + np.exp(m.floor[0]) == pytest.approx(1, abs=0.1)
+    texts = {"x": "abac aba", "y": "bcd dcb a"}
+    m = language.train({lang: dict(enumerate(language.text_grams(t), 1)) for lang, t in texts.items()})
+    letters = sorted({c for t in texts.values() for c in t})
+    for before in ("   ", "  a", " ab", "aba", "bcd", "zzz", "a b"):
+        seqs = [np.array([*map(ord, before), ord(c)], np.uint32) for c in letters]
+        p = sum(np.exp(m.scores(s, np.array([3]))[0].astype(float)) for s in seqs)
+        rest = np.exp(m.scores(np.array([*map(ord, before), ord("~")], np.uint32), np.array([3]))[0].astype(float))
+        assert p + rest == pytest.approx([1, 1], abs=1e-3)
 
 
 # ---- 7
