@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrain.llm.common import written
+from loomgrain.llm.common import forget, free_name, hot_keys, spread_join, written
 
 U = np.uint64
 SHINGLE = 5
@@ -146,10 +146,17 @@ def similar_size(a: Column, b: Column, percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of (x, y) those whose full shingle sets have 100 * intersection >= percent * union; texts: (s, text), s unique."""
-    tx = texts.select(F.col("s").alias("x"), F.col("text").alias("tx"))
-    ty = texts.select(F.col("s").alias("y"), F.col("text").alias("ty"))
-    both = pairs.select("x", "y").join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty")
+    """Of (x, y) those whose full shingle sets have 100 * intersection >= percent * union; texts: (s, text), s unique.
+
+    A written table. An x or y of very many pairs is dealt over many tasks.
+    """
+    tx = texts.select(F.col("s").alias("sx"), F.col("text").alias("tx"))
+    ty = texts.select(F.col("s").alias("sy"), F.col("text").alias("ty"))
+    pairs = written(pairs.select("x", "y"), "pairs")
+    n = pairs.count()
+    hot_x, hot_y = (hot_keys(pairs.groupBy(c).agg(F.count("*").alias("c")), c, n) for c in "xy")
+    # the one with the text of y comes second: its rows arrive in order of x
+    both = spread_join(spread_join(pairs, ty, ("y", "sy"), hot_y).drop("sy"), tx, ("x", "sx"), hot_x).select("x", "y", "tx", "ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}  # the sets of the last few x: their pairs mostly come one after another
@@ -175,34 +182,44 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 k = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(1).filter(k)], names=["x", "y"])
 
-    return both.mapInArrow(run, "x long, y long")
+    out = written(both.mapInArrow(run, "x long, y long"), "links")
+    forget(pairs)
+    return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(s, comp): every end of a link with the smallest end that it reaches.
+def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(s, low struct<id, s>): every end of a link with the smallest (id, s) that it reaches; nodes: (s, id), s unique.
 
     Each round takes the least label among neighbours and then the label's own label, so rounds grow with the logarithm
-    of the longest path; each is written, and only a count comes back. Minima are combined before they are shuffled.
+    of the longest path; each is written, and only counts come back. Minima are combined before they are shuffled, and
+    neighbours and labels that very many share are dealt over many tasks.
     """
-    ends = written(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    label = written(ends.groupBy(F.col("x").alias("s")).agg(F.least(F.first("x"), F.min("y")).alias("comp")), "labels")
+    ends = written(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "ends")
+    hot = hot_keys(ends.groupBy("y").agg(F.count("*").alias("c")), "y", ends.count())
+    own = nodes.select("s", F.struct("id", "s").alias("low"))
+    label = written(own.join(ends.select(F.col("x").alias("s")).distinct(), "s", "left_semi"), "labels")
+    n = label.count()
     while True:
-        near = ends.join(label, F.col("y") == F.col("s")).groupBy("x").agg(F.min("comp").alias("best"))
-        step = label.join(near, F.col("s") == F.col("x")).select("s", F.col("comp").alias("was"), F.least("comp", "best").alias("comp"))
-        above = step.select(F.col("s").alias("t"), F.col("comp").alias("up"))
-        step = step.join(above, F.col("comp") == F.col("t"), "left").select("s", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
-        step = written(step, "labels")
-        label = step.select("s", "comp")
-        if step.filter("was != comp").isEmpty():
-            return label
+        near = spread_join(ends, label, ("y", "s"), hot).groupBy("x").agg(F.min("low").alias("best"))
+        step = label.join(near, F.col("s") == F.col("x")).select("s", F.col("low").alias("was"), F.least("low", "best").alias("low"))
+        step = written(step.withColumn("t", F.col("low.s")), "steps")
+        above = step.select(F.col("s").alias("u"), F.col("low").alias("up"))
+        near_root = spread_join(step, above, ("t", "u"), hot_keys(step.groupBy("t").agg(F.count("*").alias("c")), "t", n))
+        after = written(near_root.select("s", "was", F.least("low", "up").alias("low")), "labels")
+        settled = after.filter("was != low").isEmpty()
+        forget(label, step)
+        label = after
+        if settled:
+            forget(ends)
+            return label.select("s", "low")
 
 
 def prefix_candidates(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(x, y) of members (s, n, comp) of different components that can be similar, by an exact prefix filter.
 
     Shingles stand in order of how many members hold them. Two sets with 100 * intersection >= percent * union share one
-    of the first n - ceil(n * percent / 100) + 1 of both, so only those meet. Of a shingle's holders the most frequent
-    component is held against the others only.
+    of the first n - ceil(n * percent / 100) + 1 of both, so only those meet; shingles of one member only are counted as
+    first, but not dealt further. Of a shingle's holders the most frequent component is held against the others only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,24 +228,43 @@ def prefix_candidates(members: DataFrame, texts: DataFrame, percent: int) -> Dat
                 hashes, ends = shingle_sets(raw)
                 starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
                 rows = pa.array(np.repeat(np.arange(len(raw)), ends - starts) + at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows), pa.array(hashes.view(np.int64))], names=["s", "n", "comp", "w"])
-
-    held = written(members.join(texts, "s").select("s", "n", "comp", "text").mapInArrow(run, "s long, n long, comp long, w long"), "shingles")
-    df = held.groupBy("w").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("s").orderBy("df", "w"))
-    ranked = held.join(df, "w").withColumn("place", order)
-    first = ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(hashes.view(np.int64))], names=["s", "w"])
+
+    members = written(members, "open")
+    held = written(members.select("s").join(texts, "s").select("s", "text").mapInArrow(run, "s long, w long"), "shingles")
+    df = written(held.groupBy(F.col("w").alias("dw")).agg(F.count("*").alias("c")).filter("c > 1"), "frequencies")
+    shared = spread_join(held, df, ("w", "dw"), hot_keys(df, "dw", held.count())).select("s", "w", "c")
+    by_rank = Window.partitionBy("s").orderBy("c", "w")
+    # rank among the shared ones; the others stand before them
+    ranked = shared.select("s", "w", F.row_number().over(by_rank).alias("rank"), F.count("*").over(Window.partitionBy("s")).alias("k"))
+    ranked = ranked.join(members, "s").withColumn("place", F.col("n") - F.col("k") + F.col("rank"))
+    first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     first = written(first.select(F.col("w").alias("key"), "s", "n", "comp", "place"), "prefixes")
 
     sizes = first.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    top = sizes.groupBy(F.col("key").alias("tk")).agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
-    split = written(first.join(top, F.col("key") == F.col("tk")).select("key", "s", "n", "comp", "place", "most"), "split")
+    top = sizes.groupBy(F.col("key").alias("tk")).agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("k").alias("c")).filter("comps > 1")
+    top = written(top.select("tk", "most", "c"), "tops")
+    hot = hot_keys(top, "tk", first.count())
+    split = written(spread_join(first, top, ("key", "tk"), hot).select("key", "s", "n", "comp", "place", "most"), "split")
     out = split.filter("comp != most").select(F.col("key").alias("ok"), F.col("s").alias("os"), F.col("n").alias("on"), F.col("comp").alias("oc"), F.col("place").alias("op"))
     # at the first shingle that two sets share, only those after it can be shared too
     needed = F.ceil((F.col("n") + F.col("on")) * percent / (100 + percent))
     able = 1 + F.least(F.col("n") - F.col("place"), F.col("on") - F.col("op")) >= needed
-    met = split.join(out, (F.col("key") == F.col("ok")) & (F.col("comp") != F.col("oc")) & similar_size(F.col("n"), F.col("on"), percent) & able)
-    return met.select(F.least("s", "os").alias("x"), F.greatest("s", "os").alias("y")).distinct()
+    met = spread_join(split, out, ("key", "ok"), hot).filter((F.col("comp") != F.col("oc")) & similar_size(F.col("n"), F.col("on"), percent) & able)
+    found = written(met.select(F.least("s", "os").alias("x"), F.greatest("s", "os").alias("y")).distinct(), "candidates")
+    forget(members, held, df, first, top, split)
+    return found
+
+
+def shared_halves(rows: DataFrame, first: int, m: int) -> DataFrame:
+    """(s, halves array<long>) of the rows (s, keys) that share one of keys[first : first + m] with another row."""
+    half = rows.select("s", F.explode(F.slice("keys", first + 1, m)).alias("val"))
+    common = written(half.groupBy("val").agg(F.count("*").alias("c")).filter("c > 1"), "common")
+    hot = hot_keys(common, "val", rows.count() * m)
+    live = spread_join(half, common.select(F.col("val").alias("cv")), ("val", "cv"), hot, "left_semi")
+    out = written(live.groupBy("s").agg(F.collect_list("val").alias("halves")), "halves")
+    forget(common)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, m: int = 10, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,58 +272,89 @@ def near_duplicates(docs: DataFrame, percent: int = 75, m: int = 10, rows: int =
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of 5-word shingles; component_id is
     the smallest id reachable, kept is id = component_id. Null, empty and blank texts have no shingles and are linked
-    with nothing. A null id is linked with nothing, its component is null and it is kept. Rows with equal ids are kept or
-    not together; equal sets are one class whatever the rows. Other columns are ignored. An empty table gives an empty
+    with nothing. A null id is linked with nothing, its component is null and it is kept. Rows are judged by id and text:
+    of rows with equal ids and unequal texts each has its own component, and all rows of a component's smallest id that
+    belong to it are kept (drop_near_duplicates() keeps one). Other columns are ignored. An empty table gives an empty
     table. At the threshold a pair meets in some table with probability (1 - (1 - p**rows)**m)**2, 0.9995 for the
     defaults; above it, more. Sets are told apart by 64-bit hashes.
     """
+    out = row_components(docs, percent, m, rows, id_col, text_col)
+    component = F.coalesce("low.id", "id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def row_components(docs: DataFrame, percent: int = 75, m: int = 10, rows: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th long, n long, s long, low struct<id, s>) for every row of docs.
+
+    th is the hash of the text, n the size of its set and s the set's hash; low is the smallest (id, s) of its component,
+    null where n is 0 or the id is null. See near_duplicates().
+    """
     sig = written(signatures(docs, m, rows, id_col, text_col), "signatures")
-    classed = sig.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s").agg(F.min(F.struct("id", "th")).alias("head"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = written(classed.select("s", "head.id", "head.th", "n", "keys"), "classes")
-
-    half = nodes.select("s", F.posexplode("keys").alias("pos", "val"))
-    common = half.groupBy("val").agg(F.count("*").alias("c")).filter("c > 1").select("val")
-    live = half.join(common, "val", "left_semi").groupBy("s").agg(F.collect_list(F.when(F.col("pos") < m, F.col("val"))).alias("a"), F.collect_list(F.when(F.col("pos") >= m, F.col("val"))).alias("b"))
-    keyed = live.withColumn("u", F.explode("a")).withColumn("v", F.explode("b")).select(F.xxhash64("u", "v").alias("key"), "s")
-    keyed = written(keyed.join(nodes.select("s", "n"), "s"), "tables")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"), "c")
-    met = written(keyed.join(shared, F.col("key") == F.col("k")).select("key", "s", "n", "c"), "met")
+    classed = sig.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("s").agg(F.min(F.struct("id", "th")).alias("head"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("c"))
+    nodes = written(classed.select("s", "head.id", "head.th", "n", "keys", "c"), "classes")
+
+    # a document needs a shared half-key of either collection, so the second one is for those of the first only
+    a = shared_halves(nodes.select("s", "keys"), 0, m)
+    b = shared_halves(nodes.join(a, "s", "left_semi").select("s", "keys"), m, m)
+    live = nodes.select("s", "n").join(a.withColumnRenamed("halves", "a"), "s").join(b.withColumnRenamed("halves", "b"), "s")
+    keyed = live.withColumn("u", F.explode("a")).withColumn("v", F.explode("b")).select(F.xxhash64("u", "v").alias("key"), "s", "n")
+    keyed = written(keyed, "tables")
+    shared = written(keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+    hot = hot_keys(shared, "k", keyed.count())
+    met = written(spread_join(keyed, shared, ("key", "k"), hot).select("key", "s", "n", "c"), "met")
     # the member that meets most others in all tables speaks for a bucket: of copies of one text, mostly that text
     known = met.groupBy(F.col("s").alias("ps")).agg(F.sum("c").alias("pop"))
-    met = written(met.join(known, F.col("s") == F.col("ps")).select("key", "s", "n", "c", "pop"), "met")
-    bucket = met.groupBy("key").agg(F.first("c").alias("c"), F.max(F.struct("pop", "s", "n")).alias("rep"), F.bit_xor(F.xxhash64("s")).alias("who"))
+    ranked = written(met.join(known, F.col("s") == F.col("ps")).select("key", "s", "n", "c", "pop"), "ranked")
+    bucket = ranked.groupBy("key").agg(F.first("c").alias("c"), F.max(F.struct("pop", "s", "n")).alias("rep"), F.bit_xor(F.xxhash64("s")).alias("who"))
     # buckets with the same members say the same
     bucket = bucket.groupBy("c", "rep", "who").agg(F.min("key").alias("bk")).select("bk", F.col("rep.s").alias("rs"), F.col("rep.n").alias("rn"))
-    members = written(met.join(bucket, F.col("key") == F.col("bk")).select("key", "s", "n", "rs", "rn"), "members")
+    members = written(spread_join(ranked, bucket, ("key", "bk"), hot).select("key", "s", "n", "rs", "rn"), "members")
 
     star = members.filter((F.col("s") != F.col("rs")) & similar_size(F.col("n"), F.col("rn"), percent)).select(F.col("rs").alias("x"), F.col("s").alias("y")).distinct()
     wanted = nodes.join(members.select("s").distinct(), "s", "left_semi").select("s", F.col("id").alias("hid"), F.col("th").alias("hth"))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
     texts = texts.join(wanted, (F.col("i") == F.col("hid")) & (F.col("t") == F.col("hth"))).select("s", "text").dropDuplicates(["s"])
     texts = written(texts, "texts")
-    links = written(confirmed(star, texts, percent), "links")
+    links = confirmed(star, texts, percent)
 
-    comp = components(links)
-    told = members.join(comp.withColumnRenamed("s", "cs"), F.col("s") == F.col("cs"), "left").select("key", "s", "n", F.coalesce("comp", "s").alias("comp"))
+    comp = components(links, nodes)
+    told = members.join(comp.select(F.col("s").alias("cs"), "low"), F.col("s") == F.col("cs"), "left").select("key", "s", "n", F.coalesce("low.s", "s").alias("comp"))
     told = written(told, "told")
-    parts = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select(F.col("key").alias("pk"))
-    open_ = told.join(parts, F.col("key") == F.col("pk"), "left_semi").select("s", "n", "comp").distinct()
+    parts = told.groupBy(F.col("key").alias("pk")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("pk")
+    open_ = spread_join(told, parts, ("key", "pk"), hot, "left_semi").select("s", "n", "comp").distinct()
     more = prefix_candidates(open_, texts, percent)
     tried = star.select(F.least("x", "y").alias("px"), F.greatest("x", "y").alias("py"))
-    more = more.join(tried, (F.col("x") == F.col("px")) & (F.col("y") == F.col("py")), "left_anti")
-    again = written(confirmed(more, texts, percent), "links")
+    again = confirmed(more.join(tried, (F.col("x") == F.col("px")) & (F.col("y") == F.col("py")), "left_anti"), texts, percent)
     if not again.isEmpty():
-        comp = components(links.union(again))
+        comp = components(links.union(again), nodes)
 
-    ids = nodes.join(comp.withColumnRenamed("s", "cs"), F.col("s") == F.col("cs"), "left").select("s", "id", "comp")
-    least = ids.filter("comp is not null").groupBy(F.col("comp").alias("c")).agg(F.min("id").alias("first"))
-    heads = ids.join(least, F.col("comp") == F.col("c"), "left").select(F.col("s").alias("hs"), F.coalesce("first", "id").alias("component"))
-    out = sig.join(heads, (F.col("s") == F.col("hs")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    heads = nodes.select("s", "id", "c").join(comp, "s", "left").select(F.col("s").alias("hs"), F.coalesce("low", F.struct("id", "s")).alias("low"))
+    many = hot_keys(nodes, "s", sig.count())
+    real = sig.select("id", "th", "n", "s", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("s")).alias("rs"))
+    out = written(spread_join(real, heads, ("rs", "hs"), many, "left").select("id", "th", "n", "s", "low"), "components")
+    forget(sig, nodes, a, b, keyed, shared, met, ranked, members, texts, links, told, more, again)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are not kept; columns and all other rows as they are."""
-    gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).filter("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of docs for each component, that with the smallest id; its columns, and all other rows, as they are.
+
+    Rows are known by id and text, so of rows with equal ids and unequal texts each is judged by its own text, and of rows
+    equal in both one stays. Rows with null ids, and with null, empty or blank texts, all stay. An empty table gives an
+    empty table; other columns stay whatever their names.
+    """
+    judged = row_components(docs, percent, id_col=id_col, text_col=text_col).filter("low is not null")
+    # of a component's rows: those of the smallest id, of these the smallest set, of these the smallest text
+    each = judged.groupBy("id", "th").agg(F.first("low").alias("low"), F.first("s").alias("s"), F.count("*").alias("k"))
+    best = each.groupBy(F.col("low").alias("of")).agg(F.min(F.struct("id", "s", "th")).alias("best"))
+    best = best.select(F.col("best.id").alias("bi"), F.col("best.th").alias("bt"))
+    each = each.join(best, (F.col("id") == F.col("bi")) & (F.col("th") == F.col("bt")), "left")
+    known, hashed = free_name(docs, "__id"), free_name(docs, "__th")
+    change = written(each.filter("bi is null or k > 1").select(F.col("id").alias(known), F.col("th").alias(hashed), F.col("bi").isNotNull().alias("stays")), "copies")
+    row = (F.col(id_col) == F.col(known)) & (F.xxhash64(text_col) == F.col(hashed))
+    once = docs.join(change, row, "left_anti")
+    repeated = change.filter("stays")
+    if repeated.isEmpty():
+        return once
+    few = docs.join(repeated.select(known, hashed), row).dropDuplicates([known, hashed]).select(*[f"`{c}`" for c in docs.columns])
+    return once.unionByName(few)

@@ -320,6 +320,30 @@ def test_near_duplicates_of_odd_rows(odd):
     assert neardup.near_duplicates(odd.filter("false")).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (9, a), (9, b), (20, c), (20, c), (None, a), (None, a), (3, None), (3, None), (4, " "), (4, " "), (30, "x y"), (30, "X  y")]
+    d = spark.createDataFrame([(*r, k, "s", "t") for k, r in enumerate(rows)], "doc_id long, text string, `__id` int, `__th` string, s string")
+    kept = neardup.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    left = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    small = [k for k in left if k[0] == 30]
+    assert len(small) == 1 and left.pop(small[0]) == 1
+    assert left == collections.Counter([(1, a), (9, b), (20, c), (None, a), (None, a), (3, None), (3, None), (4, " "), (4, " ")])
+    assert neardup.drop_near_duplicates(d.filter("false")).count() == 0
+
+
+def test_joins_of_hot_keys(spark):
+    from loomgrain.llm.common import hot_keys, spread_join
+
+    left = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(0, 4500).select(F.col("id").alias("r"), (F.col("id") * 2).alias("w")).union(spark.createDataFrame([(7, 1)], "r long, w long"))
+    hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("c")), "k", 5000)
+    assert hot == [7]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert collections.Counter(spread_join(left, right, ("k", "r"), hot, how).collect()) == collections.Counter(left.join(right, F.col("k") == F.col("r"), how).collect())
+
+
 # ---- 8
 
 
