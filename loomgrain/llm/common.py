@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,35 @@ def spread_join(left: DataFrame, right: DataFrame, on: tuple[str, str], hot: lis
     return left.join(right, (F.col(a) == F.col(b)) & (F.col("__salt") == F.col("__salt_")), how).drop("__salt", "__salt_")
 
 
+#: Bits of a key filter: 8 MB, however many keys.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, key: str):
+    """A column function: longs -> whether a long may be among keys' column `key` (never wrong about one that is).
+
+    A Bloom filter of FILTER_BITS bits with two probes, made by a grouped bit_or; at most FILTER_BITS / 64 words come back.
+    It spares a later join rows that can't match: most of them up to some ten million keys, fewer and fewer beyond; what
+    the join gives is the same.
+    """
+    spots = keys.select(F.explode(F.array(F.col(key), F.shiftright(key, 32))).alias("h")).select(F.pmod("h", F.lit(FILTER_BITS)).alias("bit"))
+    words = spots.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")).toPandas()
+    filled = np.zeros(FILTER_BITS >> 6, np.int64)
+    filled[words["at"].to_numpy("i8")] = words["bits"].to_numpy("i8")
+    shared = keys.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        table = shared.value
+        h = h.to_numpy("i8")
+        out = np.ones(len(h), bool)
+        for spot in (h & (FILTER_BITS - 1), (h >> 32) & (FILTER_BITS - 1)):
+            out &= (table[spot >> 6] >> (spot & 63)) & 1 == 1
+        return pd.Series(out)
+
+    return may_be
+
+
 def word_count(text: Column) -> Column:
     """Number of WORD matches as long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -9,6 +9,7 @@ never unpacked as a whole.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm.common import fresh_path, written
+from loomgrain.llm.common import fresh_path, hot_keys, key_filter, spread_join, written
 
 #: Fixed values of the ZIP format: signatures.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Records fetched by one range read, at most so many bytes (or one record).
 RANGE_BYTES = 4 << 20
+#: A package is closed once its archive has so many bytes.
+PACKAGE_BYTES = 32 << 20
 
 
 def store(uri: str):
@@ -162,9 +165,10 @@ def bare_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, response: bool) -> bytes:
-    """One uncompressed record; a revisit has the HTTP head of its payload and no body."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def warc_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One uncompressed record; a revisit (no payload) has the HTTP head of what it stands for, of `size` bytes, and no body."""
+    response = payload is not None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload if response else http
     head = ["WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
@@ -200,62 +204,69 @@ def _fields(lines: list[str]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
-def page_of(uri: str | None) -> int | None:
-    number = (uri or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
-
-
 # ---------------------------------------------------------------- jobs
 
 
 def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(page_id, url, payload binary, sha string, refers_to long) for every row of pages.
+    """(page_id, url, payload binary, size long, sha string, refers_to long) for every row of pages.
 
-    Of equal payloads of at least `least` bytes the smallest page_id is the response and the rest refer to it. Null html
-    is an empty payload. Rows that repeat the smallest page_id are responses too; null ids come last and are revisits
-    unless all ids of the group are null. Only groups' smallest ids meet (a partial aggregate), so a frequent payload
-    costs no more than a rare one; payloads stay where they were read if few repeat.
+    Of equal payloads of at least `least` bytes the smallest page_id is the response and the rest refer to it, without a
+    payload of their own. Null html is an empty payload. Rows that repeat the smallest page_id are responses too; null ids
+    come last and are revisits unless all ids of the group are null. Other columns are ignored, an empty table gives an
+    empty table. Groups are found by digests and ids alone; of the payloads only those that may repeat are shuffled, a
+    frequent one over many tasks.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(body_col), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    first = rows.filter(F.length("payload") >= least).groupBy(F.col("sha").alias("s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    both = rows.join(first.select("s", "first"), (F.col("sha") == F.col("s")) & (F.length("payload") >= least), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return both.select("page_id", "url", "payload", "sha", refers.alias("refers_to"))
+    rows = rows.select("page_id", "url", "payload", F.length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha"))
+    groups = rows.filter(F.col("size") >= least).groupBy(F.col("sha").alias("s")).agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    groups = written(groups.withColumn("h", F.xxhash64("s")), "digests")
+    repeats = key_filter(groups, "h")(F.xxhash64("sha"))
+    alone = rows.filter(~repeats).withColumn("refers_to", F.lit(None).cast("long"))
+    both = spread_join(rows.filter(repeats), groups.select("s", "first"), ("sha", "s"), hot_keys(groups, "s", pages.count()), "left")
+    both = both.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    both = both.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    return alone.unionByName(both.select(*alone.columns))
 
 
 def write_packages(records: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """Write rows of with_revisits() as packages in `folder`, one for each task; (path, n_records, n_bytes) of each.
+    """Write rows of with_revisits() as packages in `folder`; (path, n_records, n_bytes) of each, a written table.
 
-    A package appears under its final name only when complete, and the returned table is written, so a lost executor's
-    work is done again without a trace. The archive is kept in memory while it is written: a task's share.
+    A task closes a package at PACKAGE_BYTES (or one record), so that is what it holds in memory. A package appears under
+    its final name only when complete, and the returned table is written, so a lost executor's work is done again without
+    a trace. Null ids and urls are left out of the records; repeated rows are records each; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, lines, crc, at = [], [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            fs, base = store(folder)
+            fs.create_dir(base, recursive=True)
+            name = uuid.uuid4().hex
+            with fs.open_output_stream(f"{base}/{name}.part") as out:
+                z = ZipWriter(out)
+                z.add(ARCHIVE, at, crc, iter(body))
+                index = "\n".join(lines).encode()
+                z.add(INDEX, len(index), zlib.crc32(index), iter([index]))
+                z.close()
+            fs.move(f"{base}/{name}.part", f"{base}/{name}.wacz")
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.wacz"]), pa.array([len(lines)], pa.int64()), pa.array([z.at], pa.int64())], names=["path", "n_records", "n_bytes"])
+
         for b in batches:
             for r in b.to_pylist():
                 digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                raw = warc_record(r["page_id"], r["url"], r["payload"], digest, r["refers_to"], r["refers_to"] is None)
+                raw = warc_record(r["page_id"], r["url"], r["payload"], r["size"], digest, r["refers_to"])
                 squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
                 packed = squeeze.compress(raw) + squeeze.flush()
-                lines.append(json.dumps({"url": r["url"], "digest": f"sha1:{digest}", "filename": ARCHIVE, "offset": at, "length": len(packed)}))
+                lines.append(json.dumps({"url": r["url"], "digest": f"sha1:{digest}", "filename": ARCHIVE.rsplit("/", 1)[1], "offset": at, "length": len(packed)}))
                 body.append(packed)
                 crc = zlib.crc32(packed, crc)
                 at += len(packed)
-        if not body:
-            return
-        fs, base = store(folder)
-        fs.create_dir(base, recursive=True)
-        name = uuid.uuid4().hex
-        with fs.open_output_stream(f"{base}/{name}.part") as out:
-            z = ZipWriter(out)
-            z.add(ARCHIVE, at, crc, iter(body))
-            index = "\n".join(lines).encode()
-            z.add(INDEX, len(index), zlib.crc32(index), iter([index]))
-            z.close()
-        fs.move(f"{base}/{name}.part", f"{base}/{name}.wacz")
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.wacz"]), pa.array([len(lines)], pa.int64()), pa.array([z.at], pa.int64())], names=["path", "n_records", "n_bytes"])
+                if at >= PACKAGE_BYTES:
+                    yield close()
+                    body, lines, crc, at = [], [], 0, 0
+        if body:
+            yield close()
 
     return written(records.mapInArrow(run, "path string, n_records long, n_bytes long"), "packages")
 
@@ -263,7 +274,9 @@ def write_packages(records: DataFrame, folder: str, level: int = 6) -> DataFrame
 def package_index(packages: DataFrame, path_col: str = "path") -> DataFrame:
     """(path, start long, length long, offsets array, lengths array): ranges of whole records, from each package's index.
 
-    A null path gives no row; archives whose member is compressed can't be read by range and are an error.
+    Indexes are CDXJ lines, plain or compressed (.gz); they name an archive by its member's full name or by what follows
+    archive/. A null path gives no row, an equal path its rows again; archives whose member is compressed can't be read by
+    range and are an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +291,10 @@ def package_index(packages: DataFrame, path_col: str = "path") -> DataFrame:
                     members = {m.name: m for m in zip_members(f, size)}
                     starts = {}
                     for m in members.values():
-                        if m.name.startswith("indexes/"):
+                        if m.name.startswith("indexes/") and m.name.removesuffix(".gz").endswith((".cdxj", ".cdx")):
                             raw = _range(f, member_start(f, m), m.packed)
                             raw = raw if m.method == 0 else zlib.decompress(raw, -15)
+                            raw = gzip.decompress(raw) if m.name.endswith(".gz") else raw
                             out += _ranges(path, raw, members, starts, f)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["path", "start", "length", "offsets", "lengths"])
 
@@ -290,8 +304,10 @@ def package_index(packages: DataFrame, path_col: str = "path") -> DataFrame:
 def _ranges(path: str, index: bytes, members: dict[str, Member], starts: dict[str, int], f) -> list[tuple]:
     out, now = [], None
     for line in index.decode().splitlines():
+        if not line.strip() or line.startswith("!"):  # a head line of the index
+            continue
         e = json.loads(line[line.index("{") :])
-        m = members[e["filename"]]
+        m = members.get(e["filename"]) or members["archive/" + e["filename"]]
         if m.method != 0:
             raise ValueError(f"{m.name} in {path} isn't stored")
         if m.name not in starts:
@@ -307,25 +323,29 @@ def _ranges(path: str, index: bytes, members: dict[str, Member], starts: dict[st
 
 
 def read_records(ranges: DataFrame) -> DataFrame:
-    """(page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary).
+    """(record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary).
 
-    One row for each record of the ranges. A response's length and digest are those of the payload read; a revisit's are
-    the ones its headers give for the payload it stands for, and its payload is null. A digest that doesn't match is an
-    error.
+    One row for each record of the ranges; ids are the URIs of the records' headers, null where there is none. A response's
+    length and digest (bare upper-case base32 SHA-1) are those of the payload read; a revisit's are the ones its headers
+    give for the payload it stands for, and its payload is null. A payload that doesn't match the digest in its headers is
+    an error; digests are checked by the algorithm they name, where hashlib has it.
     """
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def row(data: bytes) -> tuple:
         r = parse_record(data)
         h = r.headers
-        said = h["warc-payload-digest"].removeprefix("sha1:")
+        kind, _, said = h.get("warc-payload-digest", "").partition(":")
         if r.payload is None:
-            size, digest = int(r.http["content-length"]), said
+            length = r.http.get("content-length")
+            size, digest = None if length is None else int(length), said if kind == "sha1" else None
         else:
             size, digest = len(r.payload), bare_digest(r.payload)
-            if digest != said:
-                raise ValueError(f"the payload of {h['warc-record-id']} isn't what was written")
-        return page_of(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], page_of(h.get("warc-refers-to")), size, digest, r.payload
+            if kind.replace("-", "") in hashlib.algorithms_guaranteed and said:
+                own = hashlib.new(kind.replace("-", ""), r.payload).digest()
+                if said.rstrip("=").upper() not in (base64.b32encode(own).decode().rstrip("="), own.hex().upper()):
+                    raise ValueError(f"the payload of {h.get('warc-record-id')} isn't what was written")
+        return h.get("warc-record-id"), h.get("warc-target-uri"), h["warc-type"], h.get("warc-refers-to"), size, digest, r.payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,12 +356,17 @@ def read_records(ranges: DataFrame) -> DataFrame:
                 rows = [row(zlib.decompress(data[o : o + n], 31)) for o, n in zip(x["offsets"], x["lengths"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    names = ", ".join(f"{f.name} {t}" for f, t in zip(schema, ("long", "string", "string", "long", "long", "string", "binary"), strict=True))
+    names = ", ".join(f"{f.name} {t}" for f, t in zip(schema, ("string", "string", "string", "string", "long", "string", "binary"), strict=True))
     return ranges.mapInArrow(run, names)
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write every page to packages in the shared folder and read all records back; see read_records()."""
+    """Write every page to packages in the shared folder and read all records back.
+
+    read_records() with page_id and refers_to as longs, from ids <urn:page:N>, in place of record_id and refers_to. For
+    nulls, repeated rows, other columns and empty tables see with_revisits().
+    """
     packages = write_packages(with_revisits(pages, least), fresh_path(spark, "warc"))
     ranges = package_index(packages.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    return read_records(ranges)
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as long)")
+    return read_records(ranges).select(number("record_id").alias("page_id"), "url", "record_type", number("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "payload")

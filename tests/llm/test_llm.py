@@ -76,6 +76,52 @@ def test_archives_round_trip(spark):
     assert least[3] == "response"
 
 
+def test_archives_of_odd_pages(spark, monkeypatch):
+    """Repeated rows, a long page, a frequent page, columns with clashing names, packages of a record each."""
+    monkeypatch.setattr(warc, "PACKAGE_BYTES", 1)
+    long = "<p>ü" * 700_000
+    rows = [(1, "u", "same", 1, "x"), (1, "u", "same", 1, "x"), (2, "u", long, 2, None), (3, "v", long, 3, "s")] + [(10 + i, "w", "often", i, "h") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, size int, sha string")
+    got = warc.archive_and_read(spark, pages).collect()
+    assert collections.Counter((r.page_id, r.record_type, r.refers_to) for r in got) == collections.Counter([(1, "response", None)] * 2 + [(2, "response", None), (3, "revisit", 2), (10, "response", None)] + [(10 + i, "revisit", 10) for i in range(1, 300)])
+    by = {r.page_id: r for r in got}
+    assert bytes(by[2].payload) == long.encode() and by[3].payload is None and by[3].payload_bytes == len(long.encode()) and by[3].payload_digest == by[2].payload_digest
+
+
+def test_packages_of_others_are_read(spark, tmp_path):
+    """Built by zipfile and gzip: record ids of another kind, base names and a compressed index, a head line, another digest."""
+    import gzip
+    import json
+
+    def record(kind, rid, body, digest, more=""):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\nWARC-Target-URI: http://x/{rid[-4:-1]}\r\nWARC-Payload-Digest: {digest}\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    body = b"<html>hello</html>"
+    parts = [record("response", "<urn:uuid:aaa1>", body, "sha256:" + hashlib.sha256(body).hexdigest()), record("revisit", "<urn:uuid:bbb2>", b"", "sha1:" + warc.bare_digest(body), "WARC-Refers-To: <urn:uuid:aaa1>\r\n")]
+    lines, at = ['!meta {"format": "x"}'], 0
+    for p in parts:
+        lines.append("com,x)/ 20240101000000 " + json.dumps({"filename": "data.warc.gz", "offset": str(at), "length": str(len(p))}))
+        at += len(p)
+    with zipfile.ZipFile(tmp_path / "o.wacz", "w") as z:
+        z.writestr("archive/data.warc.gz", b"".join(parts), zipfile.ZIP_STORED)
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()), zipfile.ZIP_STORED)
+        z.writestr("indexes/index.idx", "!meta\n", zipfile.ZIP_DEFLATED)
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+    got = warc.read_records(warc.package_index(spark.createDataFrame([(str(tmp_path / "o.wacz"),), (None,)], "path string"))).collect()
+    assert [(r.record_id, r.record_type, r.refers_to, r.payload_digest) for r in got] == [("<urn:uuid:aaa1>", "response", None, warc.bare_digest(body)), ("<urn:uuid:bbb2>", "revisit", "<urn:uuid:aaa1>", warc.bare_digest(body))]
+    assert bytes(got[0].payload) == body
+
+
+def test_key_filter_passes_what_it_holds(spark):
+    from loomgrain.llm.common import key_filter
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    assert keys.filter(key_filter(keys, "h")("h")).count() == 3000
+    assert spark.range(10_000, 40_000).filter(key_filter(keys, "h")(F.xxhash64("id"))).count() < 30
+
+
 # ---- 2
 
 
