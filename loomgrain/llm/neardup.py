@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrain.llm.common import forget, free_name, hot_keys, spread_join, written
+from loomgrain.llm.common import forget, free_name, hot_keys, key_filter, spread_join, written
 
 U = np.uint64
 SHINGLE = 5
@@ -312,7 +312,9 @@ def row_components(docs: DataFrame, percent: int = 75, m: int = 10, rows: int =
 
     star = members.filter((F.col("s") != F.col("rs")) & similar_size(F.col("n"), F.col("rn"), percent)).select(F.col("rs").alias("x"), F.col("s").alias("y")).distinct()
     wanted = nodes.join(members.select("s").distinct(), "s", "left_semi").select("s", F.col("id").alias("hid"), F.col("th").alias("hth"))
+    wanted = written(wanted.withColumn("h", F.xxhash64("hid", "hth")), "wanted")
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
+    texts = texts.filter(key_filter(wanted, "h")(F.xxhash64("i", "t")))
     texts = texts.join(wanted, (F.col("i") == F.col("hid")) & (F.col("t") == F.col("hth"))).select("s", "text").dropDuplicates(["s"])
     texts = written(texts, "texts")
     links = confirmed(star, texts, percent)
@@ -332,7 +334,7 @@ def row_components(docs: DataFrame, percent: int = 75, m: int = 10, rows: int =
     many = hot_keys(nodes, "s", sig.count())
     real = sig.select("id", "th", "n", "s", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("s")).alias("rs"))
     out = written(spread_join(real, heads, ("rs", "hs"), many, "left").select("id", "th", "n", "s", "low"), "components")
-    forget(sig, nodes, a, b, keyed, shared, met, ranked, members, texts, links, told, more, again)
+    forget(sig, nodes, a, b, keyed, shared, met, ranked, members, wanted, texts, links, told, more, again)
     return out
 
 
