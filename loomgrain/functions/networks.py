@@ -382,10 +382,13 @@ class Tracer:
 
     def run(self) -> tuple[Points, Pairs]:
         self.seed(nuclei(self.img, self.nuc_thresh, self.r_thresh))
-        for _ in range(10 * self.img.size):  # every sweep moves each tip on or retires it
-            if not self.tips:
-                break
+        seen = set()
+        while self.tips:  # every sweep moves each tip on or retires it
             before = list(self.xy)
             for tip in list(self.tips):
                 self.grow(tip, before)
+            state = (len(self.xy), tuple((t, self.xy[t], self.direction[t]) for t in self.tips))
+            if state in seen:  # tips that go round in circles would do so for ever
+                break
+            seen.add(state)
         return [(float(y), float(x)) for y, x in self.xy], self.links.pairs()

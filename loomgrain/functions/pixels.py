@@ -1,6 +1,6 @@
 """Per-pixel work on pixel tables (image_id, channel, y, x, v): ranges, norms, derivatives and tensors.
 
-Everything is keyed by image, so one shuffle by image_id serves all that follows it.
+Everything is keyed by image; a table dealt by image_id needs no further shuffle for the steps keyed by image and channel.
 """
 
 from __future__ import annotations
@@ -53,10 +53,16 @@ def unit_vector(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(norm != 0, x / norm).otherwise(x))
 
 
-def composite(pixels: DataFrame) -> DataFrame:
-    """(image_id, y, x, red, green, blue) from channels 0, 1, 2: the first, the root of the product of the other two, the third."""
+def composite(pixels: DataFrame, third: DataFrame | None = None) -> DataFrame:
+    """(image_id, y, x, red, green, blue) from channels 0, 1, 2: the first, the root of the product of the other two, the third.
+
+    third: (image_id, y, x, v) to stand for the third, such as its equalised form.
+    """
     wide = pixels.groupBy("image_id", "y", "x").pivot("channel", ["0", "1", "2"]).agg(F.first("v"))
-    return wide.select("image_id", "y", "x", F.col("0").alias("red"), F.sqrt(F.greatest(F.col("1") * F.col("2"), F.lit(0.0))).alias("green"), F.col("2").alias("blue"))
+    rgb = wide.select("image_id", "y", "x", F.col("0").alias("red"), F.sqrt(F.greatest(F.col("1") * F.col("2"), F.lit(0.0))).alias("green"), F.col("2").alias("blue"))
+    if third is None:
+        return rgb
+    return rgb.drop("blue").join(third.select("image_id", "y", "x", F.col("v").alias("blue")), ["image_id", "y", "x"], "left")
 
 
 #: Luma weights of red, green and blue.
@@ -109,28 +115,26 @@ def spherical(c0: Column, c1: Column, c2: Column) -> tuple[Column, Column, Colum
 
 
 def equalise(pixels: DataFrame, bins: int = 256) -> DataFrame:
-    """Values mapped through their image's cumulative histogram, linear between bin centres; constant images become 1."""
+    """Values mapped through their image's cumulative histogram, linear between bin centres; constant images become 1.
+
+    The histogram becomes one array an image (of `bins` numbers); a pixel looks up its own bin and the one beside it.
+    """
     w = Window.partitionBy(*IMAGE)
-    lo, hi = F.min("v").over(w), F.max("v").over(w)
-    p = pixels.withColumns({"__lo": lo, "__step": (hi - lo) / bins})
+    p = pixels.withColumns({"__lo": F.min("v").over(w), "__step": (F.max("v").over(w) - F.min("v").over(w)) / bins})
     place = F.when(F.col("__step") > 0, F.least(F.floor((F.col("v") - F.col("__lo")) / F.col("__step")), F.lit(bins - 1))).otherwise(F.lit(0))
     p = p.withColumn("__bin", place.cast("int"))
     hist = p.groupBy(*IMAGE, "__bin").agg(F.count("*").alias("__n"))
-    run = Window.partitionBy(*IMAGE).orderBy("__bin")
-    cdf = hist.withColumn("__cdf", F.sum("__n").over(run) / F.sum("__n").over(w)).select(*IMAGE, "__bin", "__cdf", F.lag("__cdf").over(run).alias("__under"))
-    # a bin that is empty has the value of the last one below it, so the left neighbour's is that of the bin before
-    p = p.join(cdf.drop("__under"), [*IMAGE, "__bin"])
+    at = hist.groupBy(*IMAGE).agg(F.map_from_entries(F.collect_list(F.struct("__bin", "__n"))).alias("__m"), F.sum("__n").alias("__t"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("__m", b), F.lit(0)))
+    grown = F.aggregate(counts, F.array().cast("array<bigint>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
+    cdf = at.select(*IMAGE, F.transform(grown, lambda n: n / F.col("__t")).alias("__cdf"))
+    p = p.join(cdf, list(IMAGE))
     centre = F.col("__lo") + (F.col("__bin") + 0.5) * F.col("__step")
-    side = F.when(F.col("v") < centre, -1).otherwise(1)
-    p = p.withColumn("__side", F.greatest(F.least(F.col("__bin") + side, F.lit(bins - 1)), F.lit(0)))
-    other = hist.withColumn("__cdf2", F.sum("__n").over(run) / F.sum("__n").over(w)).select(*IMAGE, F.col("__bin").alias("__b2"), "__cdf2", F.lead("__bin").over(run).alias("__next"))
-    fits = (F.col("__side") >= F.col("__b2")) & ((F.col("__side") < F.col("__next")) | F.col("__next").isNull())
-    p = p.alias("p").join(other.alias("o"), [F.col(f"p.{c}") == F.col(f"o.{c}") for c in IMAGE] + [fits], "left")
+    side = F.greatest(F.least(F.col("__bin") + F.when(F.col("v") < centre, -1).otherwise(1), F.lit(bins - 1)), F.lit(0))
+    own, beside = F.get("__cdf", F.col("__bin")), F.get("__cdf", side)
     far = F.abs(F.col("v") - centre) / F.nullif(F.col("__step"), F.lit(0.0))
-    beyond = F.coalesce("__cdf2", F.lit(0.0))  # below the first filled bin nothing has been counted
-    at_end = F.col("__side") == F.col("__bin")
-    v = F.when(at_end | far.isNull(), F.col("__cdf")).otherwise(F.col("__cdf") + (beyond - F.col("__cdf")) * far)
-    return p.select(*[F.col(f"p.{c}").alias(c) for c in pixels.columns if c != "v"], v.alias("v"))
+    v = F.when((side == F.col("__bin")) | far.isNull(), F.when(far.isNull(), F.lit(1.0)).otherwise(own)).otherwise(own + (beside - own) * far)
+    return p.select(*[v.alias("v") if c == "v" else F.col(c) for c in pixels.columns])
 
 
 # ---------------------------------------------------------------- derivatives and tensors
@@ -154,16 +158,49 @@ def derivatives(pixels: DataFrame, rank: int = 1) -> DataFrame:
     return out
 
 
-def nematic_tensor(pixels: DataFrame) -> DataFrame:
-    """(image_id, channel, y, x, jxx, jxy, jyy): outer product of the unit gradient, turned by a right angle; 0 where flat."""
+def blurred(df: DataFrame, cols: tuple[str, ...], sigma: float, mirrored: bool = True) -> DataFrame:
+    """df with Gaussian-blurred columns (kernel cut at four deviations), image by image, along rows and then columns.
+
+    Beyond the border values are mirrored, or else 0. Each row or column becomes one array from which its pixels look up
+    what they need, so nothing is multiplied by the kernel's size. A deviation whose kernel is one pixel changes nothing.
+    """
+    reach = int(4 * sigma + 0.5)
+    if reach == 0:
+        return df
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    weights = [w / sum(raw) for w in raw]
+    for along, other in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(*IMAGE, other).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        df = df.withColumns({f"__a_{c}": F.collect_list(c).over(w) for c in cols})
+        n = F.size(f"__a_{cols[0]}")
+        new = {}
+        for c in cols:
+            total = F.lit(0.0)
+            for k, weight in zip(range(-reach, reach + 1), weights, strict=True):
+                at = F.col(along) + k
+                if mirrored:
+                    turn = F.pmod(at, 2 * n)
+                    at = F.when(turn < n, turn).otherwise(2 * n - 1 - turn)
+                    value = F.get(f"__a_{c}", at.cast("int"))
+                else:
+                    value = F.when((at >= 0) & (at < n), F.get(f"__a_{c}", at.cast("int"))).otherwise(F.lit(0.0))
+                total = total + weight * value
+            new[c] = total
+        df = df.withColumns(new).drop(*[f"__a_{c}" for c in cols])
+    return df
+
+
+def nematic_tensor(pixels: DataFrame, sigma: float = 0.0001) -> DataFrame:
+    """(image_id, channel, y, x, jxx, jxy, jyy): outer product of the unit gradient, turned by a right angle; 0 where flat; blurred."""
     d = derivatives(pixels)
     r2 = F.nullif(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"), F.lit(0.0))
     part = lambda e: F.coalesce(e / r2, F.lit(0.0))
-    return d.select(*IMAGE, "y", "x", part(F.col("dx") * F.col("dx")).alias("jxx"), part(-F.col("dy") * F.col("dx")).alias("jxy"), part(F.col("dy") * F.col("dy")).alias("jyy"))
+    n = d.select(*IMAGE, "y", "x", part(F.col("dx") * F.col("dx")).alias("jxx"), part(-F.col("dy") * F.col("dx")).alias("jxy"), part(F.col("dy") * F.col("dy")).alias("jyy"))
+    return blurred(n, ("jxx", "jxy", "jyy"), sigma)
 
 
-def structure_tensor(pixels: DataFrame) -> DataFrame:
-    """(image_id, channel, y, x, jxx, jxy, jyy) of Sobel derivatives without blur, pixels beyond the border counting 0.
+def structure_tensor(pixels: DataFrame, sigma: float = 0.0001) -> DataFrame:
+    """(image_id, channel, y, x, jxx, jxy, jyy) of Sobel derivatives, blurred, pixels beyond the border counting 0.
 
     Neighbours come by windows along rows and columns, so nothing is multiplied by a kernel's size.
     """
@@ -174,7 +211,8 @@ def structure_tensor(pixels: DataFrame) -> DataFrame:
     lead = lambda c, w: F.coalesce(F.lead(c).over(w), z)
     d = pixels.withColumns({"__dx": lead("v", row) - lag("v", row), "__sx": lag("v", row) + 2 * F.col("v") + lead("v", row)})
     d = d.withColumns({"__ix": (lag("__dx", col) + 2 * F.col("__dx") + lead("__dx", col)) / 4, "__iy": (lead("__sx", col) - lag("__sx", col)) / 4})
-    return d.select(*IMAGE, "y", "x", (F.col("__ix") * F.col("__ix")).alias("jxx"), (F.col("__ix") * F.col("__iy")).alias("jxy"), (F.col("__iy") * F.col("__iy")).alias("jyy"))
+    j = d.select(*IMAGE, "y", "x", (F.col("__ix") * F.col("__ix")).alias("jxx"), (F.col("__ix") * F.col("__iy")).alias("jxy"), (F.col("__iy") * F.col("__iy")).alias("jyy"))
+    return blurred(j, ("jxx", "jxy", "jyy"), sigma, mirrored=False)
 
 
 def tensor_analysis(tensors: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
-from loomgrain.functions.pixels import LUMA, spherical, unit_vector
+from loomgrain.functions.pixels import LUMA, composite, normalise_stack, pixels_of, spherical, tiles_of, unit_vector
+from loomgrain.operators import stencils
 
 #: Largest asin, asin, acos and intensity of a cellular cluster.
 BOUNDARY = (0.65, 1.1, 1.40, 0.92)
@@ -118,32 +119,81 @@ def by_boundary(labels: np.ndarray, centres: np.ndarray, grey: np.ndarray, bound
     return (v <= np.array(boundary)).all(1), float(-np.nansum(np.abs(v - np.array(boundary))))
 
 
+def scale_images(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, red, green, blue, grey) of images (image_id, y, x, red, green, blue) by scale_image(), image by image."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rgb, pdf = _dense(pdf)
+        scaled, grey = scale_image(rgb)
+        return pdf[["image_id", "y", "x"]].assign(red=scaled[:, :, 0].ravel(), green=scaled[:, :, 1].ravel(), blue=scaled[:, :, 2].ravel(), grey=grey.ravel())
+
+    src = pixels.select(F.col("image_id").cast("long"), "y", "x", "red", "green", "blue")
+    return src.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, red double, green double, blue double, grey double")
+
+
+def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    """One whole image as height x width x 3, and its rows in that order."""
+    h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+    pdf = pdf.sort_values(["y", "x"], ignore_index=True)
+    return pdf[["red", "green", "blue"]].to_numpy(float).reshape(h, w, 3), pdf
+
+
+def cell_mask(rgb: np.ndarray, k: int, runs: int, min_object: int, classifier: Classifier, seed: int) -> np.ndarray:
+    """One image's cell pixels: scaled, clustered `runs` times, classified; the cheapest run, opened, filled and cleaned."""
+    scaled, grey = scale_image(rgb)
+    best = None
+    for r in range(runs):
+        labels, c = lloyd(scaled.reshape(-1, 3), k, seed + r)
+        cells, cost = classifier(labels, c, grey.ravel())
+        if best is None or cost < best[0]:
+            best = (cost, np.asarray(cells)[labels].reshape(grey.shape))
+    m = kernels.dilate(kernels.erode(best[1], 2), 2)
+    return kernels.fill_small(kernels.drop_small(kernels.fill_enclosed(m), min_object), min_object)
+
+
 def cell_masks(pixels: DataFrame, k: int = 10, runs: int = 2, min_object: int = 200, classifier: Classifier = by_boundary, seed: int = 0) -> DataFrame:
-    """(image_id, y, x): cell pixels of images (image_id, y, x, red, green, blue).
+    """(image_id, y, x): cell pixels of whole images (image_id, y, x, red, green, blue); see cell_mask().
 
-    Images are scaled and clustered `runs` times; of the runs the one of least cost counts. The mask is opened twice,
-    holes are filled and small parts dropped. `classifier` may be any callable (labels, centres, grey) -> (mask, cost).
+    `classifier` may be any callable (labels, centres, grey) -> (which clusters are cells, cost). Equal seeds give equal
+    masks however images are dealt; an image without cells gives no rows.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        pdf = pdf.sort_values(["y", "x"])
-        scaled, grey = scale_image(pdf[["red", "green", "blue"]].to_numpy(float).reshape(h, w, 3))
-        best = None
-        for r in range(runs):
-            labels, c = lloyd(scaled.reshape(-1, 3), k, seed + r)
-            cells, cost = classifier(labels, c, grey.ravel())
-            if best is None or cost < best[0]:
-                best = (cost, cells[labels].reshape(h, w))
-        m = kernels.dilate(kernels.erode(best[1], 2), 2)
-        m = kernels.fill_small(kernels.drop_small(kernels.fill_enclosed(m), min_object), min_object)
-        ys, xs = np.nonzero(m)
-        return pd.DataFrame({"image_id": np.full(len(ys), pdf["image_id"].iloc[0]), "y": ys, "x": xs})
+        rgb, pdf = _dense(pdf)
+        return pdf.loc[cell_mask(rgb, k, runs, min_object, classifier, seed).ravel(), ["image_id", "y", "x"]]
 
     src = pixels.select(F.col("image_id").cast("long"), "y", "x", "red", "green", "blue")
     return src.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int")
 
 
+def composite_rgb(stacks: DataFrame) -> DataFrame:
+    """(image_id, y, x, red, green, blue) of stacks (image_id, channel, y, x, v): the third channel adaptively equalised."""
+    third = stencils.equalise_adaptive(tiles_of(stacks.filter("channel = '2'")))
+    return composite(stacks, pixels_of(third))
+
+
+def rgb_segmentation(rgb: DataFrame, scale: float = 1.0, k: int = 10, runs: int = 2, min_object: int = 200, classifier: Classifier = by_boundary, seed: int = 0) -> DataFrame:
+    """(image_id, y, x, is_cell) of every pixel of whole images (image_id, y, x, red, green, blue).
+
+    Each pixel's colours are brought to unit length, images enlarged by `scale`, their cell pixels found (cell_mask()), and
+    the mask brought back to size: any pixel that a cell touches is cell, all others are fibre.
+    """
+    channels = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("channel"), F.col(c).alias("v")) for i, c in enumerate(("red", "green", "blue"))]))
+    long = rgb.select("image_id", "y", "x", channels.alias("p")).select("image_id", "y", "x", "p.channel", "p.v")
+    wide = normalise_stack(long).groupBy("image_id", "y", "x").pivot("channel", ["0", "1", "2"]).agg(F.first("v"))
+    src = wide.select(F.col("image_id").cast("long"), "y", "x", F.col("0").alias("red"), F.col("1").alias("green"), F.col("2").alias("blue"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image, pdf = _dense(pdf)
+        big = image if scale == 1 else np.stack([kernels.rescale(image[:, :, c], scale) for c in range(3)], axis=2)
+        mask = cell_mask(big, k, runs, min_object, classifier, seed)
+        if scale != 1:
+            mask = kernels.resize(mask.astype(float), image.shape[:2]) > 0
+        return pdf[["image_id", "y", "x"]].assign(is_cell=mask.ravel())
+
+    return src.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, is_cell boolean")
+
+
 def map_images(pixels: DataFrame, schema: str, fn: Callable[[pd.DataFrame], Iterator[dict]]) -> DataFrame:
     """A metric or filter of one's own: fn(pixels of an image) -> rows of the schema, image by image."""
     return pixels.groupBy("image_id").applyInPandas(lambda pdf: pd.DataFrame(list(fn(pdf))), schema)

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.functions import kernels
+
 #: Half of the neighbours of a pixel; the other half is the same pairs turned round.
 HALF_CROSS, HALF_SQUARE = ((0, 1), (1, 0)), ((0, 1), (1, -1), (1, 0), (1, 1))
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder that the session names; tests without one get a temporary folder."""
+    """A reliable checkpoint, in the folder that the session names; only local mode may go without, in a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             named = "file://" + tempfile.mkdtemp(prefix="loomgrain-checkpoint-")
@@ -53,25 +59,54 @@ def label_mask(mask: DataFrame, width: int, diagonal: bool = True, keys: tuple[s
     return m.join(c, [*keys, "node_id"]).select(*keys, "y", "x", F.col("component").alias("region_id"))
 
 
+def dense(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
+    """One image's mask as an array that just holds it, and where that starts."""
+    y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
+    m = np.zeros((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1), bool)
+    m[pdf["y"] - y0, pdf["x"] - x0] = True
+    return m, y0, x0
+
+
+def label_images(mask: DataFrame, width: int, diagonal: bool = True, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """label_mask() for images that fit a task each: one shuffle by image instead of rounds over the whole table.
+
+    Repeated pixels count once, an empty mask gives no rows, other columns are dropped.
+    """
+    head = ", ".join(f"`{c}` {mask.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m, y0, x0 = dense(pdf)
+        parts = kernels.label(m, diagonal)
+        ys, xs = np.nonzero(parts)
+        k = parts[ys, xs]
+        _, first = np.unique(k, return_index=True)
+        names = (ys[first] + y0) * width + xs[first] + x0
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "y": ys + y0, "x": xs + x0, "region_id": names[k - 1]})
+
+    src = mask.select(*keys, "y", "x").distinct()
+    return src.groupBy(*keys).applyInPandas(run, f"{head}, y int, x int, region_id int")
+
+
 def drop_small(mask: DataFrame, width: int, size: int, diagonal: bool = False, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """The mask without parts of fewer than `size` pixels."""
-    parts = label_mask(mask, width, diagonal, keys)
+    parts = label_images(mask, width, diagonal, keys)
     large = parts.groupBy(*keys, "region_id").agg(F.count("*").alias("n")).filter(F.col("n") >= size)
     return parts.join(large, [*keys, "region_id"], "left_semi").select(*keys, "y", "x")
 
 
 def fill_small(mask: DataFrame, images: DataFrame, height: int, width: int, size: int = 64) -> DataFrame:
-    """The mask with background parts of fewer than `size` pixels added."""
+    """The mask with background parts of fewer than `size` pixels added; an image that is all background becomes a full mask where it is that small."""
     from loomgrain.operators.masks import complement
 
-    return complement(drop_small(complement(mask, images, height, width), width, size), images, height, width)
+    own = images.select("image_id").distinct()
+    return complement(drop_small(complement(mask, own, height, width), width, size), own, height, width)
 
 
 def fill_enclosed(mask: DataFrame, images: DataFrame, height: int, width: int, diagonal: bool = False) -> DataFrame:
     """The mask with background parts added that don't touch the frame."""
     from loomgrain.operators.masks import complement
 
-    parts = label_mask(complement(mask, images, height, width), width, diagonal)
+    parts = label_images(complement(mask, images, height, width), width, diagonal)
     frame = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)
     open_ = parts.filter(frame).select("image_id", "region_id").distinct()
     holes = parts.join(open_, ["image_id", "region_id"], "left_anti").select("image_id", "y", "x")

@@ -12,7 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrain.functions import networks
+from loomgrain.functions import kernels, networks
+from loomgrain.functions.pixels import pixels_of
+from loomgrain.operators import stencils
+from loomgrain.operators.components import connected_components
+from loomgrain.operators.masks import shifted, square
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -184,6 +188,47 @@ def clean_network(nodes: DataFrame, edges: DataFrame, within: float = 2.0) -> tu
     return _per_image(nodes, edges, lambda xy, e: networks.clean(xy, e, within))
 
 
+def nucleation_points(tiles: DataFrame, least: float, thresh: float) -> DataFrame:
+    """(image_id, node_id, y, x, w): local maxima of at least `least`, thinned by reduce_coords(); node_id counts row-major.
+
+    w is the value. Null tiles give no rows.
+    """
+    peak = pixels_of(stencils.local_maxima(tiles)).filter("v > 0").select("image_id", "y", "x")
+    width = tiles.select("image_id", "width").distinct()
+    p = pixels_of(tiles).filter(F.col("v") >= least).join(peak, ["image_id", "y", "x"], "left_semi").join(width, "image_id")
+    return reduce_coords(p.select("image_id", (F.col("y") * F.col("width") + F.col("x")).cast("long").alias("node_id"), "y", "x", F.col("v").alias("w")), thresh)
+
+
+def new_branches(points: DataFrame, pixels: DataFrame, half: int, least: float) -> DataFrame:
+    """(image_id, node_id, y, x, v, dy, dx, r): where values peak on the square ring around each point (image_id, node_id, y, x).
+
+    Of the pixels on a ring of half-width `half` the local maxima (all else counting 0, plateaus as one) of at least
+    `least` > 0, thinned within sqrt(2); (dy, dx) leads back to the point and r is how far it is. Points and offsets meet
+    pixels by equality; a group is one point's ring, at most 8 * half pixels.
+    """
+    offsets = tuple(o for o in square(half) if max(abs(o[0]), abs(o[1])) == half)
+    around = shifted(points.select("image_id", "node_id", F.col("y").alias("cy"), F.col("x").alias("cx"), "y", "x"), offsets)
+    ring = around.join(pixels.select("image_id", "y", "x", F.col("v").cast("double").alias("v")), ["image_id", "y", "x"])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for image, node, cy, cx, places in zip(pdf["image_id"], pdf["node_id"], pdf["cy"], pdf["cx"], pdf["ring"], strict=True):
+                win = np.zeros((2 * half + 3, 2 * half + 3))
+                for p in places:
+                    win[p["y"] - cy + half + 1, p["x"] - cx + half + 1] = p["v"]
+                top = kernels.local_maxima(win)
+                peak = [p for p in places if p["v"] >= least and top[p["y"] - cy + half + 1, p["x"] - cx + half + 1]]
+                for i in networks.thin([(p["y"], p["x"]) for p in peak], [p["v"] for p in peak], 1):
+                    dy, dx = cy - peak[i]["y"], cx - peak[i]["x"]
+                    rows.append((image, node, peak[i]["y"], peak[i]["x"], peak[i]["v"], dy, dx, math.hypot(dy, dx)))
+            yield pd.DataFrame(rows, columns=["image_id", "node_id", "y", "x", "v", "dy", "dx", "r"])
+
+    kind = points.schema["image_id"].dataType.simpleString()
+    rings = ring.groupBy("image_id", F.col("node_id").cast("long").alias("node_id"), "cy", "cx").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("ring"))
+    return rings.mapInPandas(run, f"image_id {kind}, node_id long, y int, x int, v double, dy int, dx int, r double")
+
+
 def assign_fibres(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least: int = 4) -> DataFrame:
     """(image_id, network_id, fibre_id, seq, node_id, y, x): fibres of every network, networks by node count ascending."""
     e = edges.groupBy("image_id").agg(F.collect_list(F.struct("src", "dst")).alias("e"))
@@ -204,3 +249,38 @@ def assign_fibres(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least
             yield pd.DataFrame(rows, columns=["image_id", "network_id", "fibre_id", "seq", "node_id", "y", "x"])
 
     return n.join(e, "image_id").mapInPandas(run, out)
+
+
+def assign_networks(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fibres, simplified nodes, simplified edges) of the networks that have fibres, all keyed by image_id and network_id.
+
+    fibres are those of assign_fibres(); each such network's chains are contracted to their ends and branch points, nodes
+    keep their ids and r is the straight distance. Networks without fibres, and images without edges, give no rows.
+    """
+    fibres = assign_fibres(nodes, edges, angle, least)
+    net = fibres.select("image_id", "network_id", "node_id").distinct()
+    comp = connected_components(nodes, edges)
+    of = comp.join(net, ["image_id", "node_id"]).select("image_id", "component", "network_id").distinct()
+    member = comp.join(of, ["image_id", "component"]).select("image_id", "network_id", "node_id")
+    n = nodes.join(member, ["image_id", "node_id"])
+    e = edges.join(member.withColumnRenamed("node_id", "src"), ["image_id", "src"])
+    key = F.struct("image_id", "network_id").alias("image_id")
+    listed = n.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("node_id", "y", "x"))).alias("n")).join(e.groupBy(key).agg(F.collect_list(F.struct("src", "dst")).alias("e")), "image_id")
+    flat = listed.select("image_id.image_id", "image_id.network_id", "n", "e")
+    image = nodes.schema["image_id"].dataType.simpleString()
+    schema = f"image_id {image}, network_id int, n array<struct<node_id:long,y:double,x:double>>, e array<struct<src:long,dst:long,r:double>>"
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for image_id, network, ns, es in zip(pdf["image_id"], pdf["network_id"], pdf["n"], pdf["e"], strict=True):
+                ids = [int(r["node_id"]) for r in ns]
+                at = {v: i for i, v in enumerate(ids)}
+                named = {(float(r["y"]), float(r["x"])): v for r, v in zip(ns, ids, strict=True)}
+                xy, pairs = networks.simplify(list(named), [(at[r["src"]], at[r["dst"]]) for r in es])
+                left = [named[p] for p in xy]
+                rows.append((image_id, network, [{"node_id": v, "y": p[0], "x": p[1]} for v, p in zip(left, xy, strict=True)], [{"src": min(left[a], left[b]), "dst": max(left[a], left[b]), "r": math.dist(xy[a], xy[b])} for a, b in pairs]))
+            yield pd.DataFrame(rows, columns=["image_id", "network_id", "n", "e"])
+
+    g = flat.mapInPandas(run, schema)
+    return fibres, g.select("image_id", "network_id", F.inline("n")), g.select("image_id", "network_id", F.inline("e"))

@@ -82,11 +82,25 @@ def threshold_mean(pixels: DataFrame, keys: tuple[str, ...] = ("image_id", "chan
     return pixels.withColumn("__m", mean).filter(F.col("v") >= F.col("__m")).drop("__m")
 
 
-def mean_of_masks(masks: DataFrame, pixels: DataFrame, least: float) -> DataFrame:
-    """(image_id, y, x) where image value times the share of masks that have the pixel is above `least`."""
-    n = masks.select("image_id", "mask_id").distinct().groupBy("image_id").agg(F.count("*").alias("n"))
-    share = masks.groupBy("image_id", "y", "x").agg(F.count_distinct("mask_id").alias("k")).join(n, "image_id")
-    return pixels.join(share, ["image_id", "y", "x"]).filter(F.col("v") * F.col("k") / F.col("n") > least).select("image_id", "y", "x")
+def mean_of_masks(masks: DataFrame, pixels: DataFrame, least: float, height: int, width: int, layers: int | None = None, area: int = 0, times: int = 1) -> DataFrame:
+    """(image_id, y, x) where image value times the share of masks that have the pixel is above `least`, cleaned and widened.
+
+    Holes and then parts of fewer than `area` pixels (4-connected) go, and the rest is dilated `times` times. `layers` is
+    the number of an image's masks, those without any pixel included; without it the masks that have one are counted.
+    """
+    k = masks.groupBy("image_id", "y", "x").agg(F.count_distinct("mask_id").alias("k"))
+    p = pixels.select("image_id", "y", "x", "v").join(k, ["image_id", "y", "x"], "left")
+    if layers is None:
+        n = masks.select("image_id", "mask_id").distinct().groupBy("image_id").agg(F.count("*").alias("n"))
+        p = p.join(n, "image_id")
+    else:
+        p = p.withColumn("n", F.lit(layers))
+    out = p.filter(F.col("v") * F.coalesce("k", F.lit(0)) / F.col("n") > least).select("image_id", "y", "x")
+    if area > 0:
+        from loomgrain.operators.components import drop_small, fill_small
+
+        out = drop_small(fill_small(out, out, height, width, area), width, area)
+    return dilate(out, height, width, times, ("image_id",)) if times else out
 
 
 def rasterise(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgrain.functions import kernels
 from loomgrain.functions.pixels import tensor_analysis
 from loomgrain.functions.stats import angle_sdi, entropy_of
+from loomgrain.operators.components import dense, label_images
 from loomgrain.operators.masks import CROSS, shifted
 
 REGION = ("image_id", "region_id")
@@ -74,67 +75,75 @@ def structure_metrics(tensors: DataFrame, value: str = "energy") -> DataFrame:
     return whole.join(angle_sdi(t, REGION, value, "coherence", name="angle_sdi"), list(REGION), "left")
 
 
-def passing(regions: DataFrame, min_size: int = 0, min_frac: float | None = None, edges: Column | None = None) -> DataFrame:
-    """Regions with filled_area of at least min_size and, if asked for, total / filled_area of at least min_frac."""
+def passing(regions: DataFrame, min_size: int = 0, min_frac: float | None = None, frame: tuple[int, int] | None = None, total: str = "total") -> DataFrame:
+    """Regions with filled_area of at least min_size and, if asked for, total / filled_area of at least min_frac.
+
+    With frame (height, width) those whose bounding box touches the frame go too. A null total fails min_frac.
+    """
     out = regions.filter(F.col("filled_area") >= min_size)
     if min_frac is not None:
-        out = out.filter(F.col("total") / F.col("filled_area") >= min_frac)
-    return out if edges is None else out.filter(~edges)
+        out = out.filter(F.col(total) / F.col("filled_area") >= min_frac)
+    if frame is not None:
+        out = out.filter((F.col("min_y") > 0) & (F.col("min_x") > 0) & (F.col("max_y") < frame[0]) & (F.col("max_x") < frame[1]))
+    return out
 
 
-def regions(mask: DataFrame, height: int, width: int, pixels: DataFrame | None = None, min_size: int = 0, min_frac: float | None = None) -> DataFrame:
-    """(image_id, region_id, area, filled_area, total, rank) of a mask's 8-connected parts that pass, largest first.
+MEASURED = "region_id int, area long, filled_area long, min_y int, min_x int, max_y int, max_x int"
+
 
-    total is the sum of the pixel values on the region (null without pixels); filled_area counts what the region encloses.
-    Each image is measured in one task, after one shuffle by image.
+def measured(mask: DataFrame, width: int, values: DataFrame | None = None, by_pixel: bool = False) -> DataFrame:
+    """A mask's 8-connected parts, measured in one task an image after one shuffle by image.
+
+    (image_id, region_id, area, filled_area, bounding box, total_<name> of every further column of values (image_id, y, x,
+    ...)); filled_area counts what the region encloses; totals are null without a value. by_pixel gives that row for each
+    pixel, with y and x. Repeated pixels count once, an empty mask gives no rows.
     """
-    values = pixels.select("image_id", "y", "x", "v") if pixels is not None else None
     m = mask.select("image_id", "y", "x").distinct()
-    m = m.withColumn("v", F.lit(None).cast("double")) if values is None else m.join(values, ["image_id", "y", "x"], "left")
+    names = [] if values is None else [c for c in values.columns if c not in ("image_id", "y", "x")]
+    if names:
+        m = m.join(values, ["image_id", "y", "x"], "left")
+    m = m.select("image_id", "y", "x", *[F.col(c).cast("double") for c in names])
     kind = mask.schema["image_id"].dataType.simpleString()
-    per = m.groupBy("image_id").applyInPandas(lambda pdf: _measured(pdf, width), f"image_id {kind}, region_id int, area long, filled_area long, total double")
-    out = passing(per, min_size, min_frac if pixels is not None else None)
-    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("filled_area"), "region_id"))
-    return out.withColumn("rank", rank)
-
-
-def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
-    """One image's mask as an array that just holds it, and where that starts."""
-    y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
-    m = np.zeros((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1), bool)
-    m[pdf["y"] - y0, pdf["x"] - x0] = True
-    return m, y0, x0
-
-
-def _measured(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    m, y0, x0 = _dense(pdf)
-    parts = kernels.label(m)
-    at = parts[pdf["y"] - y0, pdf["x"] - x0]
-    rows = []
-    for k in range(1, parts.max() + 1):
-        ys, xs = np.nonzero(parts == k)
-        own = np.pad(parts[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1] == k, 1)
-        around = kernels.label(~own)  # the background beyond the frame is the first part
-        v = pdf["v"].to_numpy(float)[at == k]
-        rows.append((pdf["image_id"].iloc[0], (ys[0] + y0) * width + xs[0] + x0, len(ys), int((around != around[0, 0]).sum()), None if np.isnan(v).all() else np.nansum(v)))
-    return pd.DataFrame(rows, columns=["image_id", "region_id", "area", "filled_area", "total"])
+    schema = f"image_id {kind}, {MEASURED}" + "".join(f", `total_{c}` double" for c in names) + (", y int, x int" if by_pixel else "")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, y0, x0 = dense(pdf)
+        parts = kernels.label(m)
+        ys, xs = (pdf["y"] - y0).to_numpy(), (pdf["x"] - x0).to_numpy()
+        at = parts[ys, xs]
+        order = np.argsort(at, kind="stable")
+        rows, pixels = [], []
+        for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            py, px_ = ys[own], xs[own]
+            box = py.min(), px_.min(), py.max() + 1, px_.max() + 1
+            shape = np.zeros((box[2] - box[0] + 2, box[3] - box[1] + 2), bool)
+            shape[py - box[0] + 1, px_ - box[1] + 1] = True
+            around = kernels.label(~shape)  # the background beyond the frame is the first part
+            first = np.lexsort((px_, py))[0]
+            v = pdf[names].to_numpy(float)[own]
+            totals = [None if np.isnan(c).all() else float(np.nansum(c)) for c in v.T]
+            rows.append((pdf["image_id"].iloc[0], int((py[first] + y0) * width + px_[first] + x0), len(own), int((around != around[0, 0]).sum()), int(box[0] + y0), int(box[1] + x0), int(box[2] + y0), int(box[3] + x0), *totals))
+            pixels.append(own)
+        out = pd.DataFrame(rows, columns=["image_id", "region_id", "area", "filled_area", "min_y", "min_x", "max_y", "max_x", *(f"total_{c}" for c in names)])
+        if by_pixel:
+            out = out.loc[np.repeat(np.arange(len(out)), [len(p) for p in pixels])].reset_index(drop=True)
+            flat = np.concatenate(pixels)
+            out["y"], out["x"] = pdf["y"].to_numpy()[flat], pdf["x"].to_numpy()[flat]
+        return out
+
+    return m.groupBy("image_id").applyInPandas(run, schema)
 
-def label_images(mask: DataFrame, width: int, diagonal: bool = True) -> DataFrame:
-    """label_mask() for images that fit a task each: one shuffle by image instead of rounds over the whole table."""
-    kind = mask.schema["image_id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, y0, x0 = _dense(pdf)
-        parts = kernels.label(m, diagonal)
-        ys, xs = np.nonzero(parts)
-        k = parts[ys, xs]
-        _, first = np.unique(k, return_index=True)
-        names = (ys[first] + y0) * width + xs[first] + x0
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": ys + y0, "x": xs + x0, "region_id": names[k - 1]})
+def regions(mask: DataFrame, height: int, width: int, pixels: DataFrame | None = None, min_size: int = 0, min_frac: float | None = None) -> DataFrame:
+    """(image_id, region_id, area, filled_area, total, rank) of a mask's 8-connected parts that pass, largest first.
 
-    src = mask.select("image_id", "y", "x").distinct()
-    return src.groupBy("image_id").applyInPandas(run, f"image_id {kind}, y int, x int, region_id int")
+    total is the sum of the pixel values on the region (null without pixels); see measured().
+    """
+    per = measured(mask, width, pixels.select("image_id", "y", "x", "v") if pixels is not None else None)
+    total = F.col("total_v") if pixels is not None else F.lit(None).cast("double")
+    out = passing(per.withColumn("total", total), min_size, min_frac if pixels is not None else None)
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("filled_area"), "region_id"))
+    return out.select("image_id", "region_id", "area", "filled_area", "total", rank.alias("rank"))
 
 
 def to_segments(mask: DataFrame, tag: str, height: int, width: int, pixels: DataFrame | None = None, min_size: int = 0, min_frac: float | None = None) -> DataFrame:
@@ -142,27 +151,30 @@ def to_segments(mask: DataFrame, tag: str, height: int, width: int, pixels: Data
 
 
 def bbox_sample(boxes: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Pixels inside the half-open bounding box of each region (image_id, region_id, min_y, min_x, max_y, max_x)."""
-    b = boxes.select(*REGION, "min_y", "min_x", "max_y", "max_x")
-    met = pixels.join(b, "image_id").filter("y >= min_y and y < max_y and x >= min_x and x < max_x")
+    """Pixels inside the half-open bounding box of each region (image_id, region_id, min_y, min_x, max_y, max_x).
+
+    Boxes are dealt to the rows they cover, so a pixel meets only the boxes of its own row.
+    """
+    b = boxes.select(*REGION, "min_x", "max_x", F.explode(F.sequence(F.col("min_y"), F.col("max_y") - 1)).alias("y"))
+    met = pixels.join(b, ["image_id", "y"]).filter("x >= min_x and x < max_x")
     return met.select(*REGION, "y", "x", "v")
 
 
-def region_swap(masks: DataFrame, values: DataFrame, height: int, width: int, sizes: tuple[int, int], fracs: tuple[float, float]) -> DataFrame:
+def region_swap(masks: DataFrame, values: DataFrame, width: int, sizes: tuple[int, int], fracs: tuple[float, float]) -> DataFrame:
     """(image_id, mask_id, y, x) of masks 0 and 1 after failing regions of either join the other where they pass there.
 
-    Mask 1 is tried against 0 first; then what 0 has become is tried against 1. values: (image_id, mask_id, y, x, v).
+    Regions of mask 0 are tried first; then those of what mask 1 has become. A region stays if it has at least its mask's
+    size and mean; else it leaves, and joins the other mask if its mean in the other image is enough, whatever its size.
+    values: (image_id, mask_id, y, x, v). Each mask is labelled and measured against both images in one pass.
     """
     now = {k: masks.filter(F.col("mask_id") == k).select("image_id", "y", "x") for k in (0, 1)}
-    img = {k: values.filter(F.col("mask_id") == k).select("image_id", "y", "x", "v") for k in (0, 1)}
-    for a, b in ((1, 0), (0, 1)):
-        parts = label_images(now[a], width)
-        good = regions(now[a], height, width, img[a], sizes[a], fracs[a]).select(*REGION)
-        failing = parts.join(good, list(REGION), "left_anti")
-        there = regions(now[a], height, width, img[b], sizes[b], fracs[b]).select(*REGION)
-        moving = failing.join(there, list(REGION), "left_semi").select("image_id", "y", "x")
-        now[a] = now[a].join(failing.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")
-        now[b] = now[b].union(moving).distinct()
+    both = values.groupBy("image_id", "y", "x").agg(*[F.max(F.when(F.col("mask_id") == k, F.col("v"))).alias(f"v{k}") for k in (0, 1)])
+    for a, b in ((0, 1), (1, 0)):
+        parts = measured(now[a], width, both, by_pixel=True)
+        mean = {k: F.coalesce(F.col(f"total_v{k}") / F.col("filled_area"), F.lit(float("-inf"))) for k in (a, b)}
+        stays = (F.col("filled_area") >= sizes[a]) & (mean[a] >= fracs[a])
+        now[a] = parts.filter(stays).select("image_id", "y", "x")
+        now[b] = now[b].union(parts.filter(~stays & (mean[b] >= fracs[b])).select("image_id", "y", "x")).distinct()
     return now[0].withColumn("mask_id", F.lit(0)).union(now[1].withColumn("mask_id", F.lit(1))).select("image_id", "mask_id", "y", "x")
 
 

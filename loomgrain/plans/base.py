@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.functions.pixels import tiles_of
-from loomgrain.operators.masks import threshold_mean
+from loomgrain.operators.masks import grid, threshold_mean
 
 SIDE = 8
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,12 +50,12 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaics(spark: SparkSession, sf_dir: str, across: int = 8) -> DataFrame:
-    """Larger tiles: across * across consecutive vectors side by side; the last, incomplete ones are left out."""
+    """Larger tiles: across * across consecutive vectors side by side; places that no vector fills are 0."""
     p = pixels(spark, sf_dir)
     k = F.col("image_id") % (across * across)
     p = p.select(F.floor(F.col("image_id") / (across * across)).alias("image_id"), "channel", (F.floor(k / across) * SIDE + F.col("y")).cast("int").alias("y"), ((k % across) * SIDE + F.col("x")).cast("int").alias("x"), "v")
-    t = tiles_of(p)
-    return t.filter(F.size("data") == (across * SIDE) ** 2)
+    every = grid(p, across * SIDE, across * SIDE).withColumn("channel", F.lit("0"))
+    return tiles_of(every.join(p, ["image_id", "channel", "y", "x"], "left").na.fill(0.0, ["v"]))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,3 +92,17 @@ edges AS (SELECT a.image_id, a.node_id AS src, b.node_id AS dst, sqrt(CAST(abs(a
 
 def q6(expr: str) -> str:
     return f"round({expr}, 6) + 0.0"
+
+
+def parts_sql(p: str, source: str) -> str:
+    """CTEs over a table source(image_id, y, x, v) of 8 x 8 images: {p}_lb (…, region_id) and {p}_fa (area, filled_area, total).
+
+    Parts are 8-connected; filled_area is what can't be reached from outside through pixels that aren't the part's.
+    """
+    return f"""{p}_m AS (SELECT image_id, y, x, v, y * 8 + x AS id FROM {source}),
+{p}_re(image_id, id, root) AS (SELECT image_id, id, id FROM {p}_m UNION SELECT b.image_id, b.id, r.root FROM {p}_re r JOIN {p}_m a ON a.image_id = r.image_id AND a.id = r.id JOIN {p}_m b ON b.image_id = a.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+{p}_lb AS (SELECT image_id, y, x, v, region_id FROM {p}_m JOIN (SELECT image_id, id, min(root) AS region_id FROM {p}_re GROUP BY 1, 2) USING (image_id, id)),
+{p}_rg AS (SELECT image_id, region_id, count(*) AS area, sum(v) AS total FROM {p}_lb GROUP BY 1, 2),
+{p}_ce AS (SELECT r.image_id, r.region_id, c.y, c.x FROM {p}_rg r, (SELECT CAST(i // 10 - 1 AS INTEGER) AS y, CAST(i % 10 - 1 AS INTEGER) AS x FROM range(100) t(i)) c ANTI JOIN {p}_lb l ON l.image_id = r.image_id AND l.region_id = r.region_id AND l.y = c.y AND l.x = c.x),
+{p}_ou(image_id, region_id, y, x) AS (SELECT image_id, region_id, -1, -1 FROM {p}_rg UNION SELECT c.image_id, c.region_id, c.y, c.x FROM {p}_ou o JOIN {p}_ce c ON c.image_id = o.image_id AND c.region_id = o.region_id AND abs(c.y - o.y) <= 1 AND abs(c.x - o.x) <= 1),
+{p}_fa AS (SELECT image_id, region_id, area, total, 100 - n AS filled_area FROM {p}_rg JOIN (SELECT image_id, region_id, count(*) AS n FROM {p}_ou GROUP BY 1, 2) USING (image_id, region_id))"""

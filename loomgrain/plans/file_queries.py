@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.plans.base import PX, pixels, q6, query, r6, rounded, table, tiles
+from loomgrain.plans.base import PX, SIDE, parts_sql, pixels, q6, query, r6, rounded, table, tiles
 from loomgrain.sources import files, tables
 
 #: Endings of the made-up names, by id modulo their number.
@@ -63,21 +64,32 @@ def s7_described_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.described_meta(d).select("event_id", "n_modes")
 
 
-@query("SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 3 END AS INTEGER) AS minor_axis, CAST(2 AS INTEGER) AS n_modes FROM events")
+#: Numbers of modes and slices and the order of axes come from an event's props, user and value; images are 100 x 100.
+META = "ev AS (SELECT event_id, 2 + CAST(json_extract(props, '$.k') AS INTEGER) % 7 AS m, 10 + user_id % 80 AS s, CAST(floor(value) AS INTEGER) % 4 AS layout FROM events), sh AS (SELECT event_id, m, s, CASE layout WHEN 0 THEN [m, 100, 100] WHEN 1 THEN [m, s, 100, 100] WHEN 2 THEN [s, m, 100, 100] ELSE [m, 100, 100, s] END AS shape FROM ev)"
+
+
+def acquired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    e = e.select("event_id", (2 + F.get_json_object("props", "$.k").cast("int") % 7).alias("m"), (10 + F.col("user_id") % 80).cast("int").alias("s"), (F.floor("value") % 4).alias("layout"))
+    m, s, side = F.col("m"), F.col("s"), F.lit(100)
+    shape = F.when(F.col("layout") == 0, F.array(m, side, side)).when(F.col("layout") == 1, F.array(m, s, side, side)).when(F.col("layout") == 2, F.array(s, m, side, side)).otherwise(F.array(m, side, side, s))
+    return e.select("event_id", "m", "s", shape.alias("shape"), F.array(side, side).alias("xy_dim"))
+
+
+@query(f"WITH {META}, ax AS (SELECT event_id, m, shape, list_position(shape, m) AS mode FROM sh) SELECT event_id, CAST(list_filter(range(1, len(shape) + 1), lambda i: i <> mode AND shape[i] <> 100)[1] - 1 AS INTEGER) AS minor_axis, m AS n_modes FROM ax WHERE m IS NOT NULL")
 def s8_laser_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two modes in stacks of three layouts."""
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 3).alias("k"))
-    shape = F.when(F.col("k") == 0, F.array(F.lit(2), F.lit(20), F.lit(20))).when(F.col("k") == 1, F.array(F.lit(2), F.lit(3), F.lit(20), F.lit(20))).otherwise(F.array(F.lit(2), F.lit(20), F.lit(20), F.lit(5)))
-    d = e.select("event_id", F.lit("Gamma=1\nGamma=2\n").alias("description"), F.array(F.lit(20), F.lit(20)).alias("xy_dim"), shape.alias("shape"))
-    return files.laser_meta(d).select("event_id", "minor_axis", "n_modes")
+    """One Gamma line for each mode."""
+    a = acquired(spark, sf_dir).filter("m is not null")
+    lines = F.concat(F.lit("Images\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("m")), lambda i: F.concat(F.lit("Gamma="), i.cast("string"))), "\n"), F.lit("\nend"))
+    return files.laser_meta(a.withColumn("description", lines)).select("event_id", "minor_axis", "n_modes")
 
 
-@query("SELECT event_id, CAST(event_id % 2 AS INTEGER) AS minor_axis, CAST(CASE event_id % 2 WHEN 0 THEN 1 ELSE 2 END AS INTEGER) AS n_modes FROM events")
+@query(f"WITH {META}, ax AS (SELECT event_id, shape, list_position(shape, s) AS minor FROM sh WHERE m IS NOT NULL) SELECT event_id, CAST(minor - 1 AS INTEGER) AS minor_axis, CAST(coalesce(list_filter(range(1, len(shape) + 1), lambda i: (minor IS NULL OR i <> minor) AND shape[i] <> 100)[1], -1) AS INTEGER) AS axis, CAST(CASE WHEN len(list_filter(range(1, len(shape) + 1), lambda i: (minor IS NULL OR i <> minor) AND shape[i] <> 100)) = 0 THEN 1 ELSE shape[list_filter(range(1, len(shape) + 1), lambda i: (minor IS NULL OR i <> minor) AND shape[i] <> 100)[1]] END AS INTEGER) AS n_modes FROM ax".replace("CAST(coalesce(list_filter(range(1, len(shape) + 1), lambda i: (minor IS NULL OR i <> minor) AND shape[i] <> 100)[1], -1) AS INTEGER) AS axis, ", ""))
 def s9_stack_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 2).alias("k"))
-    shape = F.when(F.col("k") == 0, F.array(F.lit(3), F.lit(20), F.lit(20))).otherwise(F.array(F.lit(2), F.lit(3), F.lit(20), F.lit(20)))
-    d = e.select("event_id", F.lit("images=1\nslices=3\n").alias("description"), F.array(F.lit(20), F.lit(20)).alias("xy_dim"), shape.alias("shape"))
-    return files.stack_meta(d).select("event_id", "minor_axis", "n_modes")
+    """The number of slices is named; modes are what is left."""
+    a = acquired(spark, sf_dir).filter("m is not null")
+    a = a.withColumn("description", F.concat(F.lit("images=1\nslices="), F.col("s").cast("string"), F.lit("\n")))
+    return files.stack_meta(a).select("event_id", "minor_axis", "n_modes")
 
 
 @query(f"WITH {NAMES} SELECT ord, coalesce(CAST(nullif(regexp_extract(regexp_replace(base, '\\.[^.]*$', ''), 'acc(\\d+)$', 1), '') AS INTEGER), 1) AS acc FROM bs")
@@ -92,11 +104,13 @@ def s11_average_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tables.average_stack(raw).drop("channel"))
 
 
-@query("SELECT CASE vec_id % 3 WHEN 0 THEN 'SHG' WHEN 1 THEN 'PL' ELSE 'Trans' END AS channel, count(*) AS n FROM embeddings GROUP BY 1")
+@query("SELECT vec_id AS image_id, CASE WHEN label % 2 = 0 AND vec_id % 3 = 1 THEN 'PL' WHEN label % 2 = 0 AND vec_id % 3 = 2 THEN 'Trans' ELSE 'SHG' END AS channel FROM embeddings WHERE label % 2 = 0 OR vec_id % 3 = 0")
 def s12_order_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = tiles(spark, sf_dir).select("image_id", F.lit("combined").alias("source"), (F.col("image_id") % 3).cast("int").alias("idx"))
+    """Images of even labels are from combined files, all others from separate ones, of which only the first channel counts."""
+    source = F.when(F.col("label") % 2 == 0, "combined").otherwise("separate")
+    raw = tiles(spark, sf_dir).select("image_id", source.alias("source"), (F.col("image_id") % 3).cast("int").alias("idx"))
     wanted = spark.createDataFrame([("combined", 0, "SHG"), ("combined", 1, "PL"), ("combined", 2, "Trans"), ("separate", 0, "SHG")], "source string, idx int, channel string")
-    return tables.order_channels(raw, wanted).groupBy("channel").agg(F.count("*").alias("n"))
+    return tables.order_channels(raw, wanted)
 
 
 @query("SELECT vec_id // 3 AS image_id, CASE WHEN count(*) = 3 THEN 'whole' ELSE 'channels' END AS verdict FROM embeddings GROUP BY 1")
@@ -107,13 +121,17 @@ def s13_verify_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("image_id").distinct().withColumn("verdict", F.lit("whole")).union(bad.select("image_id", F.col("reason").alias("verdict")))
 
 
-@query("SELECT vec_id // 3 AS image_id, count(*) AS n_channels, 8 AS height, 8 AS width, CAST(count(*) * 64 AS BIGINT) AS n_values FROM embeddings WHERE vec_id % 3 <> 1 GROUP BY 1")
+@query("WITH c AS (SELECT vec_id // 3 AS image_id, vec_id, embedding FROM embeddings WHERE vec_id % 3 <> 1), s AS (SELECT image_id, count(*) AS k, sum(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE)))) AS total, bool_or(vec_id % 3 = 0) AS appended, sum(CASE WHEN vec_id % 3 = 0 THEN list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) END) AS more FROM c GROUP BY 1) SELECT image_id, k + CAST(appended AS INTEGER) AS n_channels, 8 AS height, 8 AS width, CAST((k + CAST(appended AS INTEGER)) * 64 AS BIGINT) AS n_values, round(total + coalesce(more, 0), 5) + 0.0 AS total FROM s")
 def s14_stack_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels removed, the rest packed into stacks and unpacked again, and their shape."""
+    """A channel removed, the first one appended again under another name, packed into stacks and unpacked; shape and sum."""
     t = tiles(spark, sf_dir)
     t = t.select(F.floor(F.col("image_id") / 3).alias("image_id"), (F.col("image_id") % 3).cast("string").alias("channel"), "height", "width", "data")
-    back = tables.from_stack(tables.to_stack(tables.remove_channel(t, "1"))).withColumns({"height": F.lit(8), "width": F.lit(8)})
-    return tables.stack_shape(back)
+    more = t.filter("channel = '0'").withColumn("channel", F.lit("3"))
+    wrong = more.withColumns({"channel": F.lit("4"), "width": F.col("width") + 1})  # another shape: left out
+    grown = tables.append_channel(tables.append_channel(tables.remove_channel(t, "1"), more), wrong)
+    back = tables.from_stack(tables.to_stack(grown))
+    total = back.groupBy("image_id").agg((F.round(F.sum(F.aggregate("data", F.lit(0.0), lambda s, v: s + v)), 5) + 0.0).alias("total"))
+    return tables.stack_shape(back).join(total, "image_id")
 
 
 @query(f"WITH {NAMES} SELECT ord, base, regexp_replace(path, '/?[^/]*$', '') AS folder, regexp_replace(path, '\\.[^./]*$', '') || '.json' AS json FROM bs")
@@ -122,19 +140,50 @@ def s15_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).select("ord", files.base_name(p).alias("base"), files.directory(p).alias("folder"), files.replace_extension(p, "json").alias("json"))
 
 
-@query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
-def s16_database_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def own_folder(spark: SparkSession, tag: str) -> str:
+    """A folder that no other run uses, in the shared one that the session names; only local mode may go without."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{named.rstrip('/')}/loomgrain-db" if named else "file://" + tempfile.mkdtemp(prefix="loomgrain-db-")
-    made = tiles(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named.rstrip('/')}/loomgrain/{tag}-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix=f"loomgrain-{tag}-")
+
+
+@query("SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) + 0.0 AS first FROM embeddings GROUP BY 1")
+def s16_database_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table saved and loaded, as Parquet and from there as CSV."""
+    folder = own_folder(spark, "db")
+    made = tiles(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), r6(F.avg(F.col("data")[0])).alias("first"))
     tables.save_database(made, folder, "images", "global")
-    return tables.load_database(spark, folder, "images", "global")
+    tables.save_database(tables.load_database(spark, folder, "images", "global"), folder, "images", "csv", "csv")
+    back = tables.load_database(spark, folder, "images", "csv", "csv")
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in made.schema])
 
 
-@query("SELECT vec_id AS image_id, CAST(map_keep AS VARCHAR) AS kept FROM (SELECT vec_id, 'a' AS map_keep FROM embeddings)")
+@query("SELECT doc_id, '{\"lang\":\"' || coalesce(lang, '?') || '\",\"at\":[{\"n\":' || coalesce(n_chars, 0) || '}]}' AS kept FROM documents")
 def s18_drop_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tiles(spark, sf_dir).select("image_id", F.create_map(F.lit("a"), F.lit(1), F.lit("_b"), F.lit(2), F.lit("contraction_c"), F.lit(3)).alias("m"))
-    return tables.drop_map_keys(m, "m").select("image_id", F.array_join(F.map_keys("m"), ",").alias("kept"))
+    """Private keys and those left by contractions, dropped at every level of a struct."""
+    d = table(spark, sf_dir, "documents")
+    n = F.coalesce(F.col("n_chars"), F.lit(0))
+    inner = F.array(F.struct(n.alias("n"), F.col("source").alias("_source"), n.alias("contraction")))
+    g = d.select("doc_id", F.struct(F.coalesce("lang", F.lit("?")).alias("lang"), F.col("source").alias("__source__"), F.col("doc_id").alias("contraction_of"), inner.alias("at")).alias("g"))
+    return tables.drop_keys(g, "g").select("doc_id", F.to_json("g").alias("kept"))
+
+
+@query("SELECT doc_id, '{\"' || coalesce(source, '?') || '\":' || coalesce(n_chars, 0) || '}' AS kept FROM documents")
+def s18_drop_map_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    n, name = F.coalesce(F.col("n_chars"), F.lit(0)), F.coalesce(F.col("source"), F.lit("?"))
+    m = d.select("doc_id", F.create_map(F.concat(F.lit("_"), name), n, name, n, F.concat(F.lit("contraction"), name), n).alias("m"))
+    return tables.drop_map_keys(m, "m").select("doc_id", F.to_json("m").alias("kept"))
+
+
+@query(f"WITH RECURSIVE {PX}, hi AS (SELECT image_id, y, x, v FROM px WHERE v > 0.1), {parts_sql('a', 'hi')} SELECT image_id // 4 AS image_id, image_id AS mask_id, y, x FROM a_lb WHERE (image_id, region_id) IN (SELECT (image_id, min(region_id)) FROM a_lb GROUP BY image_id)")
+def s19_masks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four layers an image, saved and loaded as objects: of each layer the first part is kept."""
+    path = own_folder(spark, "masks") + "/layers"
+    layers = pixels(spark, sf_dir).filter("v > 0.1").select(F.floor(F.col("image_id") / 4).alias("image_id"), F.col("image_id").alias("mask_id"), "y", "x")
+    tables.save_masks(layers, path)
+    return tables.load_masks(spark, path, SIDE, first_only=True)
 
 
 @query("SELECT vec_id AS image_id, vec_id % 2 = 1 AS do_network, vec_id % 2 = 1 OR vec_id % 3 <> 0 AS do_segment, vec_id % 2 = 1 OR vec_id % 3 <> 0 OR vec_id % 5 <> 0 AS do_metric FROM embeddings")

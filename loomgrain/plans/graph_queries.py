@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import stats
-from loomgrain.operators import components, graphs, masks, regions
+from loomgrain.operators import components, graphs, masks
 from loomgrain.plans import jobs
-from loomgrain.plans.base import GR, PX, graph, mosaics, pixels, q6, query, r6, rounded, table
-from loomgrain.sources import tables
+from loomgrain.plans.base import GR, PX, SIDE, graph, mosaics, parts_sql, pixels, q6, query, r6, rounded, stacks, table, tiles
+from loomgrain.plans.image_queries import GAUSS
+from loomgrain.plans.region_queries import SEGMENT_ROWS, segments_sql
+from loomgrain.sources import tables as stores
 
 DEG = "bo AS (SELECT image_id, src AS a, dst AS b, r FROM edges UNION ALL SELECT image_id, dst, src, r FROM edges), dg AS (SELECT n.image_id, n.node_id, count(b) AS degree FROM nodes n LEFT JOIN bo ON bo.image_id = n.image_id AND bo.a = n.node_id GROUP BY 1, 2)"
 
@@ -19,10 +21,11 @@ def g1_node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.node_degree(*graph(spark, sf_dir))
 
 
-@query(f"WITH {GR} SELECT a.image_id, count(*) AS pairs, CAST(sum((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)) AS BIGINT) AS r2, CAST(sum(abs(b.y - a.y)) AS BIGINT) AS dy FROM nodes a JOIN nodes b ON a.image_id = b.image_id GROUP BY 1")
+@query(f"WITH {GR} SELECT a.image_id, a.node_id, count(*) AS n, CAST(sum((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)) AS BIGINT) AS r2, CAST(sum(b.y - a.y) AS BIGINT) AS dy, CAST(sum(b.x - a.x) AS BIGINT) AS dx, max((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x)) AS farthest FROM nodes a JOIN nodes b ON a.image_id = b.image_id GROUP BY 1, 2")
 def g2_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row sums of each image's distance matrix."""
     d = graphs.distance_matrix(graph(spark, sf_dir)[0])
-    return d.groupBy("image_id").agg(F.count("*").alias("pairs"), F.sum("r2").alias("r2"), F.sum(F.abs("dy")).alias("dy"))
+    return d.groupBy("image_id", F.col("a").alias("node_id")).agg(F.count("*").alias("n"), F.sum("r2").alias("r2"), F.sum("dy").alias("dy"), F.sum("dx").alias("dx"), F.max("r2").alias("farthest"))
 
 
 @query(f"WITH {GR} SELECT a.image_id, a.node_id AS a, b.node_id AS b, CAST((b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x) AS DOUBLE) AS r2 FROM nodes a JOIN nodes b ON a.image_id = b.image_id AND a.node_id < b.node_id WHERE (b.y - a.y) * (b.y - a.y) + (b.x - a.x) * (b.x - a.x) <= 4")
@@ -91,6 +94,35 @@ def g12_clean_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graphs.clean_network(*graph(spark, sf_dir), 1.2)[1])
 
 
+PEAKS = "pk AS (SELECT a.image_id, a.y * 8 + a.x AS node_id, a.y, a.x, a.v FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY 1, 2, 3, 4, 5 HAVING a.v > max(b.v) AND a.v >= 0.1), cl AS (SELECT a.image_id, CASE WHEN a.v >= b.v THEN a.node_id ELSE b.node_id END AS gone FROM pk a JOIN pk b ON a.image_id = b.image_id AND a.node_id < b.node_id AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 8), nu AS (SELECT image_id, CAST(node_id AS BIGINT) AS node_id, y, x, v FROM pk ANTI JOIN cl ON cl.image_id = pk.image_id AND cl.gone = pk.node_id)"
+
+
+@query(f"WITH {PX}, {PEAKS} SELECT image_id, node_id, y, x, {q6('v')} AS w FROM nu")
+def g13_nucleation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graphs.nucleation_points(tiles(spark, sf_dir), 0.1, 2.0))
+
+
+RING = "ri AS (SELECT n.image_id, n.node_id, n.y AS cy, n.x AS cx, p.y, p.x, p.v, p.y * 8 + p.x AS id FROM nu n JOIN px p ON p.image_id = n.image_id AND greatest(abs(p.y - n.y), abs(p.x - n.x)) = 2), rp AS (SELECT * FROM ri a WHERE v >= 0.05 AND NOT EXISTS (SELECT 1 FROM ri b WHERE b.image_id = a.image_id AND b.node_id = a.node_id AND b.id <> a.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND b.v >= a.v))"
+
+
+@query(f"WITH {PX}, {PEAKS}, {RING}, rc AS (SELECT a.image_id, a.node_id, CASE WHEN a.v >= b.v THEN a.id ELSE b.id END AS gone FROM rp a JOIN rp b ON a.image_id = b.image_id AND a.node_id = b.node_id AND a.id < b.id AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 2) SELECT r.image_id, r.node_id, r.y, r.x, {q6('r.v')} AS v, cy - r.y AS dy, cx - r.x AS dx, {q6('sqrt(CAST((cy - r.y) * (cy - r.y) + (cx - r.x) * (cx - r.x) AS DOUBLE))')} AS r FROM rp r ANTI JOIN rc ON rc.image_id = r.image_id AND rc.node_id = r.node_id AND rc.gone = r.id")
+def g14_new_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = graphs.nucleation_points(tiles(spark, sf_dir), 0.1, 2.0)
+    return rounded(graphs.new_branches(seeds, pixels(spark, sf_dir), 2, 0.05))
+
+
+@query()
+def g15_trace_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks grown over each vector's image as it is."""
+    return rounded(jobs.trace_networks(tiles(spark, sf_dir), 0.1, 0.05, 70, 4)[1])
+
+
+@query()
+def g19_assign_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracted networks of those with fibres."""
+    return rounded(graphs.assign_networks(*graph(spark, sf_dir))[2])
+
+
 @query()
 def g16_build_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Networks traced over tiles of 64 vectors each."""
@@ -114,13 +146,32 @@ def a7_a8_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graphs.spectra(graph(spark, sf_dir)[1], ("image_id",)))
 
 
+def databases(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four tables: bright parts as fibres, dark parts as cells, foreground graphs as networks."""
+    n, e = graph(spark, sf_dir)
+    p = pixels(spark, sf_dir).drop("label")
+    fibre, cell = (components.label_images(p.filter(c), SIDE) for c in ("v > 0.1", "v < -0.1"))
+    return jobs.metric_databases(fibre, cell, n, e, graphs.assign_fibres(n, e), p)
+
+
 @query()
 def a14_metric_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The image table of the four, for the corpus of embedded images."""
-    n, e = graph(spark, sf_dir)
-    parts = regions.label_images(pixels(spark, sf_dir).filter("v > 0.1"), 8)
-    made = jobs.metric_databases(parts, None, n, e, graphs.assign_fibres(n, e), pixels(spark, sf_dir).drop("label"))
-    return rounded(made["global"])
+    return rounded(databases(spark, sf_dir)["global"])
+
+
+@query(f"WITH RECURSIVE {segments_sql('v > 0.1', 'fibre')} {SEGMENT_ROWS}")
+def a14_fibre_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(databases(spark, sf_dir)["fibre"])
+
+
+@query()
+def a14_network_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(databases(spark, sf_dir)["network"])
+
+
+@query(f"WITH RECURSIVE {segments_sql('v < -0.1', 'cell')} {SEGMENT_ROWS}")
+def a14_cell_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(databases(spark, sf_dir)["cell"])
 
 
 @query("SELECT l_orderkey % 100 AS k, round(sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0), 4) + 0.0 AS price, round(avg(l_discount), 6) + 0.0 AS discount FROM (SELECT l_orderkey, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_discount AS DOUBLE) AS l_discount FROM lineitem) GROUP BY 1")
@@ -160,39 +211,67 @@ def a6_degree_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graphs.degree_correlation(graph(spark, sf_dir)[1]))
 
 
-@query(f"WITH {GR} SELECT n.image_id, count(*) AS n_nodes, (SELECT count(*) FROM edges e WHERE e.image_id = n.image_id) AS n_edges, CAST(sum(node_id) AS BIGINT) AS ids FROM nodes n GROUP BY 1")
+@query(f"WITH {GR} SELECT e.image_id, src, dst, {q6('r')} AS r, CAST(a.y AS DOUBLE) AS y0, CAST(a.x AS DOUBLE) AS x0, CAST(b.y AS DOUBLE) AS y1, CAST(b.x AS DOUBLE) AS x1 FROM edges e JOIN nodes a ON a.image_id = e.image_id AND a.node_id = src JOIN nodes b ON b.image_id = e.image_id AND b.node_id = dst")
 def s17_graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graphs to JSON and back."""
+    """Graphs to JSON and back: the edges with the places of their ends."""
     n, e = graph(spark, sf_dir)
     nodes = n.select("image_id", "node_id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
-    back_n, back_e = tables.graphs_from_json(tables.graphs_to_json(nodes, e))
-    k = back_e.groupBy("image_id").agg(F.count("*").alias("n_edges"))
-    out = back_n.groupBy("image_id").agg(F.count("*").alias("n_nodes"), F.sum("node_id").alias("ids")).join(k, "image_id", "left")
-    return out.select("image_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "ids")
+    back_n, back_e = stores.graphs_from_json(stores.graphs_to_json(nodes, e))
+    for end, k in (("src", 0), ("dst", 1)):
+        back_e = back_e.join(back_n.withColumnsRenamed({"node_id": end, "y": f"y{k}", "x": f"x{k}"}), ["image_id", end])
+    return rounded(back_e.select("image_id", "src", "dst", "r", "y0", "x0", "y1", "x1"))
 
 
-@query()
+def long_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Foreground pixels as nodes, each joined to the next but two in row-major order."""
+    n = graph(spark, sf_dir)[0]
+    dst = F.lead("node_id", 3).over(Window.partitionBy("image_id").orderBy("node_id"))
+    return n, n.select("image_id", F.col("node_id").alias("src"), dst.alias("dst"), F.lit(1.0).alias("r")).filter("dst is not null")
+
+
+LONG = f"{GR}, lg AS (SELECT image_id, y AS y0, x AS x0, lead(y, 3) OVER w AS y1, lead(x, 3) OVER w AS x1 FROM nodes WINDOW w AS (PARTITION BY image_id ORDER BY node_id)), ln AS (SELECT *, greatest(abs(y1 - y0), abs(x1 - x0)) AS n FROM lg WHERE y1 IS NOT NULL), ra AS (SELECT DISTINCT image_id, CAST(floor(y0 + (y1 - y0) * CAST(t AS DOUBLE) / n + 0.5) AS INTEGER) AS y, CAST(floor(x0 + (x1 - x0) * CAST(t AS DOUBLE) / n + 0.5) AS INTEGER) AS x FROM (SELECT *, unnest(range(0, n + 1)) AS t FROM ln) UNION SELECT image_id, y, x FROM nodes)"
+
+
+@query(f"WITH {LONG} SELECT image_id, y, x FROM ra")
 def r11_rasterise_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = graph(spark, sf_dir)
-    return masks.rasterise(n, e).groupBy("image_id").agg(F.count("*").alias("n"))
+    return masks.rasterise(*long_graph(spark, sf_dir))
 
 
-@query()
+HOLES = "wd AS (SELECT DISTINCT p.image_id, p.y, p.x FROM px p JOIN fg f ON f.image_id = p.image_id AND abs(f.y - p.y) + abs(f.x - p.x) <= 1), wi AS (SELECT DISTINCT p.image_id, p.y, p.x FROM px p JOIN wd f ON f.image_id = p.image_id AND abs(f.y - p.y) <= 1 AND abs(f.x - p.x) <= 1), bk AS (SELECT image_id, y, x, y * 8 + x AS id FROM px ANTI JOIN wi USING (image_id, y, x)), br(image_id, id, root) AS (SELECT image_id, id, id FROM bk UNION SELECT b.image_id, b.id, r.root FROM br r JOIN bk a ON a.image_id = r.image_id AND a.id = r.id JOIN bk b ON b.image_id = a.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1), bl AS (SELECT image_id, id, min(root) AS part FROM br GROUP BY 1, 2), bs AS (SELECT image_id, part FROM bl GROUP BY 1, 2 HAVING count(*) >= 4)"
+
+
+@query(f"WITH RECURSIVE {GR.replace('WHERE v >= m', 'WHERE v >= m + 0.15')}, {HOLES} SELECT image_id, y, x FROM px WHERE (image_id, y * 8 + x) NOT IN (SELECT (image_id, id) FROM bl JOIN bs USING (image_id, part))")
 def r12_network_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks drawn, widened, smoothed, holes filled."""
+    """Networks of the brightest pixels drawn, widened, smoothed, holes filled."""
+    p = pixels(spark, sf_dir)
+    mean = F.avg("v").over(Window.partitionBy("image_id"))
+    top = p.withColumn("m", mean).filter("v >= m + 0.15").select("image_id", "y", "x")
+    nodes = top.withColumn("node_id", (F.col("y") * SIDE + F.col("x")).cast("long"))
     n, e = graph(spark, sf_dir)
-    wide = masks.smooth(masks.dilate(masks.rasterise(n, e), 8, 8, 1, ("image_id",)), 8, 8, 0.3, ("image_id",))
-    return components.fill_small(wide, n, 8, 8, 4).groupBy("image_id").agg(F.count("*").alias("n"))
+    e = e.join(nodes.select("image_id", F.col("node_id").alias("src")), ["image_id", "src"]).join(nodes.select("image_id", F.col("node_id").alias("dst")), ["image_id", "dst"])
+    wide = masks.smooth(masks.dilate(masks.rasterise(nodes, e), SIDE, SIDE, 1, ("image_id",)), SIDE, SIDE, 0.3, ("image_id",))
+    return components.fill_small(wide, p, SIDE, SIDE, 4)
 
 
-@query()
+FILTERED = f"{GR}, dr AS (SELECT p.image_id, p.y, p.x, CASE WHEN f.v IS NULL THEN 0.25 ELSE 2.0 END AS v FROM px p LEFT JOIN fg f ON f.image_id = p.image_id AND f.y = p.y AND f.x = p.x), {GAUSS}, ga AS (SELECT image_id, CAST(t AS INTEGER) AS y, x, sum(w * v) AS v FROM dr JOIN m ON m.s = dr.y GROUP BY 1, 2, 3), fl AS (SELECT image_id, y, CAST(t AS INTEGER) AS x, sum(w * v) AS v FROM ga JOIN m ON m.s = ga.x GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {FILTERED} SELECT image_id, y, x, {q6('v')} AS v FROM fl")
 def r13_fibre_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    return rounded(jobs.fibre_filter(masks.rasterise(n, e), n, 8, 8))
+    return rounded(jobs.fibre_filter(masks.rasterise(n, e), n, SIDE, SIDE))
 
 
-@query("SELECT vec_id AS image_id, 'cell' AS tag, CAST(1 AS BIGINT) AS segments, CAST(64 AS BIGINT) AS area FROM embeddings")
+@query(f"WITH RECURSIVE {FILTERED}, hi AS (SELECT image_id, y, x, v FROM fl WHERE v > 1.2), lo AS (SELECT image_id, y, x, v FROM fl WHERE v <= 1.2), {parts_sql('h', 'hi')}, {parts_sql('l', 'lo')} SELECT image_id, region_id, area, filled_area, 'fibre' AS tag FROM h_fa UNION ALL SELECT image_id, region_id, area, filled_area, 'cell' FROM l_fa")
 def r18_segment_shg(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = graph(spark, sf_dir)
-    s = jobs.segment_by_filter(jobs.fibre_filter(masks.rasterise(n, e), n, 8, 8), 8, 8)
-    return s.groupBy("image_id", "tag").agg(F.count("*").alias("segments"), F.sum("area").alias("area"))
+    s = jobs.segment_by_filter(jobs.fibre_filter(masks.rasterise(n, e), n, SIDE, SIDE), SIDE, SIDE, 1.2, fibre_above=True)
+    return s.select("image_id", "region_id", "area", "filled_area", "tag")
+
+
+@query()
+def r19_segment_shg_pl_trans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fibre and cell segments of three-channel stacks, with the first channel's foreground as networks."""
+    st = stacks(spark, sf_dir)
+    network = masks.threshold_mean(st.filter("channel = '0'")).select("image_id", "y", "x")
+    return rounded(jobs.segment_shg_pl_trans(st, network, SIDE, SIDE, min_sizes=(2, 2), min_fracs=(0.0, 0.0), swap_sizes=(4, 3), swap_fracs=(0.01, 0.1), holes=2, least=0.1, k=4, min_object=4))

@@ -34,9 +34,15 @@ def p4_unit_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 RGB = "rgb AS (SELECT image_id, y, x, max(v) FILTER (WHERE channel = 0) AS red, sqrt(max(v) FILTER (WHERE channel = 1) * max(v) FILTER (WHERE channel = 2)) AS green, max(v) FILTER (WHERE channel = 2) AS blue FROM st GROUP BY 1, 2, 3)"
 
 
-@query(f"WITH {ST}, {RGB} SELECT image_id, y, x, {q6('red')} AS red, {q6('green')} AS green, {q6('blue')} AS blue FROM rgb")
+@query(f"WITH {ST}, {RGB} SELECT image_id, y, x, {q6('red')} AS red, {q6('green')} AS green FROM rgb")
 def p5_composite_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(px.composite(stacks(spark, sf_dir)))
+    """The first two colours of the composite; the third is adaptively equalised: p5_composite_blue."""
+    return rounded(clusters.composite_rgb(stacks(spark, sf_dir)).drop("blue"))
+
+
+@query()
+def p5_composite_blue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clusters.composite_rgb(stacks(spark, sf_dir)).select("image_id", "y", "x", "blue"))
 
 
 @query(f"WITH {ST}, {RGB}, g AS (SELECT image_id, y, x, 0.2125 * red + 0.7154 * green + 0.0721 * blue AS l FROM rgb) SELECT image_id, y, x, round(l / nullif(max(l) OVER (PARTITION BY image_id), 0), 6) + 0.0 AS grey FROM g")
@@ -44,9 +50,9 @@ def p6_greyscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.greyscale(px.composite(stacks(spark, sf_dir))))
 
 
-@query(f"WITH {PX} SELECT image_id, {q6('sum(CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN v ELSE 0 END)')} AS total FROM px GROUP BY 1")
+@query(f"WITH {PX} SELECT image_id, y, x, {q6('CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN v ELSE 0 END')} AS v FROM px")
 def p7_clear_border(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.clear_border(pixels(spark, sf_dir), 1).groupBy("image_id").agg(r6(F.sum("v")).alias("total"))
+    return rounded(px.clear_border(pixels(spark, sf_dir), 1).select("image_id", "y", "x", "v"))
 
 
 @query(f"WITH {PX} SELECT image_id, CAST((CASE WHEN y < 4 THEN 0 ELSE 1 END) * 3 + (CASE WHEN x < 3 THEN 0 WHEN x < 6 THEN 1 ELSE 2 END) AS INTEGER) AS tile_id, count(*) AS n, {q6('sum(v)')} AS total FROM px GROUP BY 1, 2")
@@ -88,6 +94,7 @@ def f2_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.derivatives(pixels(spark, sf_dir), 2).select("image_id", "y", "x", "dy", "dx", "dyy", "dydx", "dxdy", "dxx"))
 
 
+GAUSS = "k AS (SELECT o, exp(-0.5 * o * o / 0.25) / sum(exp(-0.5 * o * o / 0.25)) OVER () AS w FROM (SELECT unnest(range(-2, 3)) AS o)), m AS (SELECT t, o, w, CASE WHEN t + o < 0 THEN -(t + o) - 1 WHEN t + o > 7 THEN 15 - (t + o) ELSE t + o END AS s FROM k, (SELECT unnest(range(0, 8)) AS t))"
 J3 = ", ".join(q6(c) + " AS " + c for c in ("jxx", "jxy", "jyy"))
 
 
@@ -101,6 +108,26 @@ def f4_nematic_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.nematic_tensor(pixels(spark, sf_dir)).drop("channel"))
 
 
+#: A blur of 0.5 along one axis: mirrored() and with 0 beyond the border.
+ZERO = "k AS (SELECT o, exp(-0.5 * o * o / 0.25) / sum(exp(-0.5 * o * o / 0.25)) OVER () AS w FROM (SELECT unnest(range(-2, 3)) AS o)), m AS (SELECT t, o, w, t + o AS s FROM k, (SELECT unnest(range(0, 8)) AS t))"
+
+
+def blurred_sql(source: str) -> str:
+    one = ", ".join(f"sum(w * {c}) AS {c}" for c in ("jxx", "jxy", "jyy"))
+    two = ", ".join(f"round(sum(w * {c}), 6) + 0.0 AS {c}" for c in ("jxx", "jxy", "jyy"))
+    return f"bl AS (SELECT image_id, CAST(t AS INTEGER) AS y, x, {one} FROM {source} JOIN m ON m.s = {source}.y GROUP BY 1, 2, 3) SELECT image_id, y, CAST(t AS INTEGER) AS x, {two} FROM bl JOIN m ON m.s = bl.x GROUP BY 1, 2, 3"
+
+
+@query(f"WITH {PX}, {SOB}, {ZERO}, {blurred_sql('so')}")
+def f3_blurred_structure_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(px.structure_tensor(pixels(spark, sf_dir), 0.5).drop("channel"))
+
+
+@query(f"WITH {PX}, {NEM}, {GAUSS}, {blurred_sql('tn')}")
+def f4_blurred_nematic_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(px.nematic_tensor(pixels(spark, sf_dir), 0.5).drop("channel"))
+
+
 @query(f"WITH {PX}, {SOB}, {analysed('so')} SELECT image_id, y, x, {q6('coherence')} AS coherence, {q6('angle')} AS angle, {q6('energy')} AS energy FROM ta")
 def f5_tensor_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.tensor_analysis(px.structure_tensor(pixels(spark, sf_dir))).select("image_id", "y", "x", "coherence", "angle", "energy"))
@@ -118,7 +145,6 @@ def p13_flatten_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.groupBy("label").agg(F.count("*").alias("n"), (F.round(F.sum("e"), 4) + 0.0).alias("total"))
 
 
-GAUSS = "k AS (SELECT o, exp(-0.5 * o * o / 0.25) / sum(exp(-0.5 * o * o / 0.25)) OVER () AS w FROM (SELECT unnest(range(-2, 3)) AS o)), m AS (SELECT t, o, w, CASE WHEN t + o < 0 THEN -(t + o) - 1 WHEN t + o > 7 THEN 15 - (t + o) ELSE t + o END AS s FROM k, (SELECT unnest(range(0, 8)) AS t))"
 
 
 @query(f"WITH {PX}, {GAUSS}, a AS (SELECT image_id, CAST(t AS INTEGER) AS y, x, sum(w * v) AS v FROM px JOIN m ON m.s = px.y GROUP BY 1, 2, 3) SELECT image_id, y, CAST(t AS INTEGER) AS x, {q6('sum(w * v)')} AS v FROM a JOIN m ON m.s = a.x GROUP BY 1, 2, 3")
@@ -140,18 +166,31 @@ def f10_equalise_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("image_id", "y", "x", (F.round("v", 5) + 0.0).alias("v"))
 
 
-@query(f"WITH {FG}, o AS (SELECT unnest([0, -1, 1, 0, 0]) AS dy, unnest([0, 0, 0, -1, 1]) AS dx), s AS (SELECT image_id, y + dy AS y, x + dx AS x FROM fg, o WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7), c AS (SELECT image_id, y, x, count(*) AS n FROM s GROUP BY 1, 2, 3) SELECT image_id, count(*) AS dilated, count(*) FILTER (WHERE n = 5) AS eroded FROM c GROUP BY 1")
+@query(f"WITH {FG}, o AS (SELECT unnest([0, -1, 1, 0, 0]) AS dy, unnest([0, 0, 0, -1, 1]) AS dx), s AS (SELECT image_id, y + dy AS y, x + dx AS x FROM fg, o WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7), c AS (SELECT image_id, y, x, count(*) AS n FROM s GROUP BY 1, 2, 3) SELECT image_id, y, x, n = 5 AS eroded FROM c")
 def f14_dilate_erode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the widened mask, and whether the narrowed one has them."""
     m = foreground(spark, sf_dir).select("image_id", "y", "x")
-    big = masks.dilate(m, SIDE, SIDE, keys=("image_id",)).groupBy("image_id").agg(F.count("*").alias("dilated"))
-    small = masks.erode(m, SIDE, SIDE, keys=("image_id",)).groupBy("image_id").agg(F.count("*").alias("eroded"))
-    return big.join(small, "image_id", "left").select("image_id", "dilated", F.coalesce("eroded", F.lit(0)).alias("eroded"))
+    small = masks.erode(m, SIDE, SIDE, keys=("image_id",)).withColumn("e", F.lit(True))
+    return masks.dilate(m, SIDE, SIDE, keys=("image_id",)).join(small, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("e", F.lit(False)).alias("eroded"))
 
 
-@query(f"WITH {FG} SELECT p.image_id, count(*) AS n FROM px p WHERE EXISTS (SELECT 1 FROM fg f WHERE f.image_id = p.image_id AND f.v > 1.5 AND abs(f.y - p.y) <= 2 AND abs(f.x - p.x) <= 2) GROUP BY 1".replace("f.v > 1.5", "f.v > 0.2"))
+def stepped(name: str, source: str, narrow: bool) -> str:
+    """SQL of one dilation of a pixel table, or of one erosion."""
+    at_least = " HAVING count(*) = 5" if narrow else ""
+    return f"{name} AS (SELECT p.image_id, p.y, p.x FROM px p JOIN {source} f ON f.image_id = p.image_id AND abs(f.y - p.y) + abs(f.x - p.x) <= 1 GROUP BY 1, 2, 3{at_least})"
+
+
+@query(f"WITH {FG}, {stepped('er', 'fg', True)}, {stepped('op', 'er', False)}, {stepped('di', 'fg', False)}, {stepped('cl', 'di', True)} SELECT *, 'opened' AS part FROM op UNION ALL SELECT *, 'closed' FROM cl")
+def f14_open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = foreground(spark, sf_dir).select("image_id", "y", "x")
+    opened = masks.opened(m, SIDE, SIDE, keys=("image_id",)).withColumn("part", F.lit("opened"))
+    return opened.unionByName(masks.closed(m, SIDE, SIDE, keys=("image_id",)).withColumn("part", F.lit("closed")))
+
+
+@query(f"WITH {FG} SELECT p.image_id, p.y, p.x FROM px p WHERE EXISTS (SELECT 1 FROM fg f WHERE f.image_id = p.image_id AND f.v > 0.2 AND abs(f.y - p.y) <= 2 AND abs(f.x - p.x) <= 2)")
 def f17_smooth_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = foreground(spark, sf_dir).filter("v > 0.2").select("image_id", "y", "x")
-    return masks.smooth(m, SIDE, SIDE, 0.5, keys=("image_id",)).groupBy("image_id").agg(F.count("*").alias("n"))
+    return masks.smooth(m, SIDE, SIDE, 0.5, keys=("image_id",))
 
 
 @query(f"WITH {FG}, bg AS (SELECT image_id, y, x FROM px WHERE (image_id, y, x) NOT IN (SELECT (image_id, y, x) FROM fg)) SELECT f.image_id, f.y, f.x, {q6('sqrt(CAST(min((f.y - b.y) * (f.y - b.y) + (f.x - b.x) * (f.x - b.x)) AS DOUBLE))')} AS distance FROM fg f JOIN bg b ON f.image_id = b.image_id GROUP BY 1, 2, 3")
@@ -188,7 +227,10 @@ def f12_equalise_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.pixels_of(stencils.equalise_adaptive(tiles(spark, sf_dir))).drop("channel"))
 
 
-@query()
+GROWN = "ax AS (SELECT t, CAST(floor(pos) AS INTEGER) AS lo, least(CAST(floor(pos) AS INTEGER) + 1, 7) AS hi, pos - floor(pos) AS f FROM (SELECT t, greatest(least((t + 0.5) * 8 / 12.0 - 0.5, 7.0), 0.0) AS pos FROM (SELECT unnest(range(0, 12)) AS t))), ro AS (SELECT image_id, t, x, sum(v * CASE WHEN lo = hi THEN 1 WHEN y = lo THEN 1 - f ELSE f END) AS v FROM px JOIN ax ON y = lo OR y = hi GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {PX}, {GROWN} SELECT image_id, CAST(ro.t AS INTEGER) AS y, CAST(ax.t AS INTEGER) AS x, round(sum(v * CASE WHEN lo = hi THEN 1 WHEN x = lo THEN 1 - f ELSE f END), 6) + 0.0 AS v FROM ro JOIN ax ON x = lo OR x = hi GROUP BY 1, 2, 3")
 def f13_rescale_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.pixels_of(stencils.rescale(tiles(spark, sf_dir), 1.5)).drop("channel"))
 
@@ -203,6 +245,20 @@ def g17_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.pixels_of(stencils.preprocess(tiles(spark, sf_dir), patch=3, distance=5)).drop("channel"))
 
 
+SCALED = """ch AS (SELECT image_id, y, x, c, CASE c WHEN 0 THEN red WHEN 1 THEN green ELSE blue END AS v FROM rgb, (SELECT unnest([0, 1, 2]) AS c)), cb AS (SELECT image_id, c, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM ch GROUP BY 1, 2), ci AS (SELECT image_id, c, y, x, floor(least(greatest(v, lo), hi) * 255.99999) AS v FROM ch JOIN cb USING (image_id, c)),
+pi AS (SELECT t, CASE WHEN t < 0 THEN -t - 1 WHEN t > 7 THEN 15 - t ELSE t END AS s FROM (SELECT unnest(range(-2, 10)) AS t)), pd AS (SELECT image_id, c, a.t AS y, b.t AS x, v FROM ci JOIN pi a ON a.s = ci.y JOIN pi b ON b.s = ci.x),
+sp AS (SELECT *, min(v) OVER w AS lo, (max(v) OVER w - min(v) OVER w) / 256 AS st FROM pd WINDOW w AS (PARTITION BY image_id, c)), bb AS (SELECT *, least(floor((v - lo) / st), 255) AS b FROM sp), sd AS (SELECT *, greatest(least(b + CASE WHEN v < lo + (b + 0.5) * st THEN -1 ELSE 1 END, 255), 0) AS b2 FROM bb),
+hh AS (SELECT image_id, c, b, count(*) AS n FROM bb GROUP BY 1, 2, 3), cd AS (SELECT image_id, c, b, sum(n) OVER (PARTITION BY image_id, c ORDER BY b) / 144.0 AS cdf FROM hh), jn AS (SELECT s.*, d.cdf, coalesce((SELECT max(e.cdf) FROM cd e WHERE e.image_id = s.image_id AND e.c = s.c AND e.b <= s.b2), 0) AS cdf2 FROM sd s JOIN cd d ON d.image_id = s.image_id AND d.c = s.c AND d.b = s.b),
+eq AS (SELECT image_id, c, y, x, CASE WHEN b2 = b THEN cdf ELSE cdf + (cdf2 - cdf) * abs(v - (lo + (b + 0.5) * st)) / st END AS v FROM jn),
+d3 AS (SELECT unnest(range(-1, 2)) AS d), m1 AS (SELECT image_id, c, y + a.d AS y, x + b.d AS x, quantile_cont(v, 0.5) AS v FROM eq, d3 a, d3 b WHERE y + a.d BETWEEN -1 AND 8 AND x + b.d BETWEEN -1 AND 8 GROUP BY 1, 2, 3, 4), m2 AS (SELECT image_id, c, y + a.d AS y, x + b.d AS x, quantile_cont(v, 0.5) AS v FROM m1, d3 a, d3 b WHERE y + a.d BETWEEN 0 AND 7 AND x + b.d BETWEEN 0 AND 7 GROUP BY 1, 2, 3, 4),
+sc AS (SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, max(v) FILTER (WHERE c = 0) AS red, max(v) FILTER (WHERE c = 1) AS green, max(v) FILTER (WHERE c = 2) AS blue FROM m2 GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {ST}, {RGB}, {SCALED} SELECT image_id, y, x, {q6('red')} AS red, {q6('green')} AS green, {q6('blue')} AS blue, round((0.2125 * red + 0.7154 * green + 0.0721 * blue) / max(0.2125 * red + 0.7154 * green + 0.0721 * blue) OVER (PARTITION BY image_id), 6) + 0.0 AS grey FROM sc")
+def f11_scale_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clusters.scale_images(px.composite(stacks(spark, sf_dir))))
+
+
 @query()
 def k1_kmeans_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = clusters.kmeans_colours(px.composite(stacks(spark, sf_dir)), k=4)
@@ -214,6 +270,24 @@ def k6_cell_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cell_masks(px.composite(stacks(spark, sf_dir)), k=4, min_object=4)
 
 
+@query()
+def k7_rgb_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell or fibre for every pixel, clustered at twice the size."""
+    return clusters.rgb_segmentation(clusters.composite_rgb(stacks(spark, sf_dir)), 2.0, k=4, min_object=4)
+
+
+def darkest_half(labels, centres, grey):
+    """A classifier of one's own: the clusters of less than the mean brightness; the cost is their number."""
+    light = centres.mean(axis=1)
+    cells = light < light.mean()
+    return cells, float(cells.sum())
+
+
+@query()
+def k8_own_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cell_masks(px.composite(stacks(spark, sf_dir)), k=4, min_object=2, classifier=darkest_half)
+
+
 CL = f"{ST}, {RGB}, g0 AS (SELECT image_id, y, x, 0.2125 * red + 0.7154 * green + 0.0721 * blue AS l FROM rgb), gr AS (SELECT image_id, y, x, l / nullif(max(l) OVER (PARTITION BY image_id), 0) AS grey FROM g0), cl AS (SELECT r.image_id, CAST(r.y // 2 AS INTEGER) AS cluster, CAST(r.x // 4 AS INTEGER) AS run, avg(red) AS c0, avg(green) AS c1, avg(blue) AS c2, sum(grey) / nullif(count(*) FILTER (WHERE grey <> 0), 0) AS intensity FROM rgb r JOIN gr g ON r.image_id = g.image_id AND r.y = g.y AND r.x = g.x GROUP BY 1, 2, 3), un AS (SELECT *, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS n FROM cl), an AS (SELECT image_id, run, cluster, intensity, asin(least(c0 / n, 1.0)) AS a0, asin(least(c1 / n, 1.0)) AS a1, acos(least(c2 / n, 1.0)) AS a2 FROM un), co AS (SELECT image_id, run, -sum(abs(a0 - 0.65) + abs(a1 - 1.1) + abs(a2 - 1.4) + abs(intensity - 0.92)) AS cost FROM an GROUP BY 1, 2)"
 
 

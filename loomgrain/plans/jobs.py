@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.functions import networks, stats
-from loomgrain.functions.pixels import pixels_of, structure_tensor, tiles_of
-from loomgrain.operators import graphs, regions, stencils
+from loomgrain.functions.pixels import pixels_of, rescale, structure_tensor, tiles_of
+from loomgrain.operators import clusters, components, graphs, masks, regions, stencils
 from loomgrain.operators.masks import grid
 
 #: Columns of the segment tables, in order.
@@ -33,6 +33,22 @@ def build_networks(tiles: DataFrame, scale: float = 1.25, alpha: float = 1.0, si
     return g.select("image_id", F.inline("n")), g.select("image_id", F.inline("e"))
 
 
+def trace_networks(tiles: DataFrame, nuc_thresh: float = 2, lmp_thresh: float = 0.15, angle: float = 70, r_thresh: float = 8) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) grown over distance images as they are: seeds, then tips until none moves; image by image."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for image, h, w, data in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf["data"], strict=True):
+                xy, pairs = networks.Tracer(np.asarray(data, float).reshape(h, w), nuc_thresh, lmp_thresh, angle, r_thresh).run()
+                e = [{"src": min(a, b), "dst": max(a, b), "r": float(np.hypot(xy[a][0] - xy[b][0], xy[a][1] - xy[b][1]))} for a, b in pairs]
+                rows.append((image, [{"node_id": i, "y": y, "x": x} for i, (y, x) in enumerate(xy)], e))
+            yield pd.DataFrame(rows, columns=["image_id", "n", "e"])
+
+    g = tiles.select(F.col("image_id").cast("long"), "height", "width", "data").mapInPandas(run, "image_id long, n array<struct<node_id:long,y:double,x:double>>, e array<struct<src:long,dst:long,r:double>>")
+    return g.select("image_id", F.inline("n")), g.select("image_id", F.inline("e"))
+
+
 def trace(img: np.ndarray, scale: float, alpha: float, sigma: float, nuc_thresh: float, lmp_thresh: float, angle: float, r_thresh: float) -> tuple[networks.Points, networks.Pairs]:
     """One image's cleaned network in its own coordinates."""
     far = stencils.distance_of(img, scale, alpha, sigma * scale)
@@ -96,15 +112,25 @@ def file_tag(table: DataFrame, name_col: str, tag: str) -> DataFrame:
     return table.withColumn("file", F.concat_ws("_", F.col(name_col), F.lit(tag)))
 
 
+def cell_table(cells: DataFrame, image_size: DataFrame) -> DataFrame:
+    """One row an image of its cell segments (segment_table()): metrics averaged by area, their number and their coverage.
+
+    image_size: (image_id, pixels). Images without a cell have no row.
+    """
+    metrics = [m for m in SEGMENT_METRICS if m not in ("area", "coverage")]
+    out = cells.groupBy("image_id").agg(*[stats.nanmean(F.col(m), F.col("area")).alias(f"cell_{m}") for m in metrics], F.count("*").alias("no_cells"), F.sum("area").alias("__area"))
+    return out.join(image_size, "image_id").withColumn("cell_coverage", F.col("__area") / F.col("pixels")).drop("__area", "pixels")
+
+
 def metric_databases(segments: DataFrame, cells: DataFrame | None, nodes: DataFrame, edges: DataFrame, fibres: DataFrame, pixels: DataFrame) -> dict[str, DataFrame]:
-    """The four tables of a corpus: global, fibre, network and cell (empty without cells)."""
+    """The four tables of a corpus: global, fibre, network and cell (empty, and nothing of cells in global, without cells)."""
     size = pixels.groupBy("image_id").agg(F.count("*").alias("pixels"))
     fibre = segment_table(segments, pixels, "fibre")
     network = network_table(nodes, edges, fibres)
     cell = segment_table(cells, pixels, "cell") if cells is not None else fibre.limit(0)
     whole = image_table(fibre, size, network, stats.fibre_properties(fibres))
     if cells is not None:
-        whole = whole.join(cell.groupBy("image_id").agg(F.count("*").alias("no_cells"), F.sum("area").alias("cell_area")), "image_id", "left")
+        whole = whole.join(cell_table(cell, size), "image_id", "left")
     return {"global": whole, "fibre": fibre, "network": network, "cell": cell}
 
 
@@ -126,3 +152,44 @@ def segment_by_filter(filtered: DataFrame, height: int, width: int, threshold: f
     below = filtered.filter(F.col("v") <= threshold).select("image_id", "y", "x")
     fibre, cell = (above, below) if fibre_above else (below, above)
     return regions.to_segments(fibre, "fibre", height, width).unionByName(regions.to_segments(cell, "cell", height, width))
+
+
+def segment_shg_pl_trans(
+    stacks: DataFrame,
+    network_pixels: DataFrame,
+    height: int,
+    width: int,
+    scale: float = 1.0,
+    min_sizes: tuple[int, int] = (100, 200),
+    min_fracs: tuple[float, float] = (100, 0.1),
+    swap_sizes: tuple[int, int] = (250, 150),
+    swap_fracs: tuple[float, float] = (0.01, 0.1),
+    holes: int = 64,
+    least: float = 0.1,
+    **clustering,
+) -> DataFrame:
+    """Fibre and cell segments of three-channel stacks (image_id, channel 0 SHG, 1 PL, 2 transmission, y, x, v).
+
+    Colour clusters say which pixels are cell; regions that fit the other side better change sides (sizes and means of
+    cell and fibre: swap_sizes, swap_fracs); holes under `holes` pixels are filled. The fibre side, widened twice and
+    closed, and the fibre filter of the traced networks (network_pixels: image_id, y, x), cut at its mean, count half each:
+    where their mean times the SHG value (over its range) is above `least` is fibre, all else is cell. min_sizes and
+    min_fracs of fibre and cell decide which regions become segments; further arguments go to rgb_segmentation().
+    """
+    keys = ("image_id",)
+    norm = rescale(stacks)
+    images = stacks.select("image_id").distinct()
+    clustered = clusters.rgb_segmentation(clusters.composite_rgb(norm), scale, **clustering)
+    sides = clustered.select("image_id", F.when(F.col("is_cell"), 0).otherwise(1).alias("mask_id"), "y", "x")
+    value = stacks.filter("channel in ('0', '1')").select("image_id", F.when(F.col("channel") == "1", 0).otherwise(1).alias("mask_id"), "y", "x", "v")
+    swapped = regions.region_swap(sides, value, width, swap_sizes, swap_fracs)
+    fibre = components.fill_small(swapped.filter("mask_id = 1").select("image_id", "y", "x"), images, height, width, holes)
+    fibre = masks.closed(masks.dilate(fibre, height, width, 2, keys), height, width, 1, keys)
+    drawn = masks.threshold_mean(fibre_filter(network_pixels, images, height, width), keys).select("image_id", "y", "x")
+    layers = fibre.withColumn("mask_id", F.lit(1)).unionByName(drawn.withColumn("mask_id", F.lit(0)))
+    shg = norm.filter("channel = '0'").select("image_id", "y", "x", "v")
+    fibrous = masks.mean_of_masks(layers, shg, least, height, width, layers=2)
+    cellular = masks.complement(fibrous, images, height, width)
+    raw = {c: stacks.filter(F.col("channel") == c).select("image_id", "y", "x", "v") for c in ("0", "1")}
+    made = regions.to_segments(fibrous, "fibre", height, width, raw["0"], min_sizes[0], min_fracs[0])
+    return made.unionByName(regions.to_segments(cellular, "cell", height, width, raw["1"], min_sizes[1], min_fracs[1]))

@@ -9,7 +9,7 @@ from loomgrain.functions import pixels as px
 from loomgrain.functions import stats
 from loomgrain.operators import components, masks, regions
 from loomgrain.plans import jobs
-from loomgrain.plans.base import FG, PX, SIDE, foreground, pixels, q6, query, r6, rounded
+from loomgrain.plans.base import FG, PX, SIDE, foreground, parts_sql, pixels, q6, query, r6, rounded
 from loomgrain.plans.image_queries import SOB, analysed
 
 TEX = "ent AS (SELECT image_id, -sum(n * 1.0 / t * log2(n * 1.0 / t)) AS entropy FROM (SELECT image_id, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY image_id) AS t FROM fg GROUP BY 1, 2) GROUP BY 1), tex AS (SELECT image_id, avg(v) AS mean, stddev_pop(v) AS std FROM fg GROUP BY 1)"
@@ -32,23 +32,20 @@ def w2_region_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-@query(f"WITH {FG}, m AS (SELECT vec_id // 4 AS image_id, y, x FROM fg JOIN embeddings ON vec_id = image_id) SELECT image_id, count(DISTINCT y * 8 + x) AS n FROM m GROUP BY 1")
+@query(f"WITH {FG} SELECT DISTINCT image_id // 4 AS image_id, y, x FROM fg")
 def r9_union_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = foreground(spark, sf_dir).select(F.floor(F.col("image_id") / 4).alias("image_id"), F.col("image_id").alias("mask_id"), "y", "x")
-    return masks.union_masks(layers).groupBy("image_id").agg(F.count("*").alias("n"))
+    return masks.union_masks(layers)
 
 
-@query(f"WITH {FG}, t AS (SELECT p.image_id, f.v IS NOT NULL AS a, p.v > 0.1 AS b FROM px p LEFT JOIN fg f ON f.image_id = p.image_id AND f.y = p.y AND f.x = p.x) SELECT image_id, count(*) FILTER (WHERE NOT a) AS complement, count(*) FILTER (WHERE a AND NOT b) AS difference, count(*) FILTER (WHERE a AND b) AS intersection FROM t GROUP BY 1")
+@query(f"WITH {FG}, t AS (SELECT p.image_id, p.y, p.x, f.v IS NOT NULL AS a, p.v > 0.1 AS b FROM px p LEFT JOIN fg f ON f.image_id = p.image_id AND f.y = p.y AND f.x = p.x) SELECT image_id, y, x, CASE WHEN NOT a THEN 'complement' WHEN NOT b THEN 'difference' ELSE 'intersection' END AS part FROM t")
 def r10_mask_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir)
     a = foreground(spark, sf_dir).select("image_id", "y", "x")
     b = p.filter("v > 0.1").select("image_id", "y", "x")
-    parts = [(masks.complement(a, p, SIDE, SIDE), "complement"), (masks.difference(a, b), "difference"), (masks.intersect(a, b), "intersection")]
-    told = parts[0][0].withColumn("k", F.lit(parts[0][1]))
-    for df, name in parts[1:]:
-        told = told.unionByName(df.withColumn("k", F.lit(name)))
-    n = told.groupBy("image_id").agg(*[F.count_if(F.col("k") == name).alias(name) for _, name in parts])
-    return p.select("image_id").distinct().join(n, "image_id", "left").na.fill(0)
+    told = masks.complement(a, p, SIDE, SIDE).withColumn("part", F.lit("complement"))
+    told = told.unionByName(masks.difference(a, b).withColumn("part", F.lit("difference")))
+    return told.unionByName(masks.intersect(a, b).withColumn("part", F.lit("intersection")))
 
 
 @query(f"WITH {FG} SELECT image_id, count(*) AS n, {q6('min(v)')} AS least FROM fg GROUP BY 1")
@@ -114,8 +111,14 @@ def bright(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).filter("v > 0.1").select("image_id", "y", "x", "v")
 
 
-@query(f"WITH RECURSIVE {LAB} SELECT image_id, region_id, count(*) AS n FROM lb GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {LAB} SELECT image_id, CAST(id // 8 AS INTEGER) AS y, CAST(id % 8 AS INTEGER) AS x, region_id FROM lb")
 def c1_label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.label_images(bright(spark, sf_dir), SIDE)
+
+
+@query(f"WITH RECURSIVE {LAB} SELECT image_id, region_id, count(*) AS n FROM lb GROUP BY 1, 2")
+def c1_label_large_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by rounds over the table, for images that don't fit a task."""
     return components.label_mask(bright(spark, sf_dir), SIDE).groupBy("image_id", "region_id").agg(F.count("*").alias("n"))
 
 
@@ -123,51 +126,102 @@ def c1_label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f15_small_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of at least four pixels, with their total."""
     kept = components.drop_small(bright(spark, sf_dir), SIDE, 4, diagonal=True)
-    parts = components.label_mask(kept, SIDE).join(bright(spark, sf_dir), ["image_id", "y", "x"])
+    parts = components.label_images(kept, SIDE).join(bright(spark, sf_dir), ["image_id", "y", "x"])
     return parts.groupBy("image_id", "region_id").agg(F.count("*").alias("area"), r6(F.sum("v")).alias("total"))
 
 
 BG = f"{PX}, bgp AS (SELECT image_id, y, x, y * 8 + x AS id FROM px WHERE v <= 0.1), re(image_id, id) AS (SELECT image_id, id FROM bgp WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT b.image_id, b.id FROM re JOIN bgp a ON a.image_id = re.image_id AND a.id = re.id JOIN bgp b ON b.image_id = a.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1)"
 
 
-@query(f"WITH RECURSIVE {BG} SELECT image_id, count(*) AS n FROM px WHERE (image_id, y * 8 + x) NOT IN (SELECT (image_id, id) FROM re) GROUP BY 1")
+@query(f"WITH RECURSIVE {BG} SELECT image_id, y, x FROM px WHERE (image_id, y * 8 + x) NOT IN (SELECT (image_id, id) FROM re)")
 def f15_fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = bright(spark, sf_dir).select("image_id", "y", "x")
-    return components.fill_enclosed(m, pixels(spark, sf_dir), SIDE, SIDE).groupBy("image_id").agg(F.count("*").alias("n"))
+    return components.fill_enclosed(m, pixels(spark, sf_dir), SIDE, SIDE)
+
+
+BR = f"{PX}, br AS (SELECT image_id, y, x, v FROM px WHERE v > 0.1), {parts_sql('a', 'br')}"
+RANKED = "row_number() OVER (PARTITION BY image_id ORDER BY filled_area DESC, region_id) AS rank"
 
 
-@query()
+@query(f"WITH RECURSIVE {BR} SELECT image_id, region_id, area, filled_area, {q6('total')} AS total, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {RANKED} FROM a_fa WHERE filled_area >= 3 AND total / filled_area >= 0.12)")
 def r1_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of at least three filled pixels and a mean of at least 0.12, largest first."""
     return rounded(regions.regions(bright(spark, sf_dir), SIDE, SIDE, bright(spark, sf_dir), 3, 0.12))
 
 
-@query()
+@query(f"WITH RECURSIVE {BR}, bx AS (SELECT image_id, region_id FROM a_lb GROUP BY 1, 2 HAVING min(y) > 0 AND min(x) > 0 AND max(y) < 7 AND max(x) < 7) SELECT image_id, region_id, area, filled_area, {q6('total')} AS total FROM a_fa JOIN bx USING (image_id, region_id) WHERE filled_area >= 2 AND total / filled_area >= 0.11")
+def r2_region_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by size, mean and distance from the frame."""
+    b = bright(spark, sf_dir)
+    kept = regions.passing(regions.measured(b, SIDE, b), 2, 0.11, (SIDE, SIDE), total="total_v")
+    return rounded(kept.select("image_id", "region_id", "area", "filled_area", F.col("total_v").alias("total")))
+
+
+@query(f"WITH RECURSIVE {BR} SELECT image_id, region_id, area, filled_area, {q6('total')} AS total, CAST(rank AS INTEGER) AS rank, 'cell' AS tag FROM (SELECT *, {RANKED} FROM a_fa WHERE filled_area >= 2 AND total / filled_area >= 0.1)")
 def r17_to_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regions.to_segments(bright(spark, sf_dir), "cell", SIDE, SIDE, bright(spark, sf_dir), 2, 0.1))
 
 
-@query()
+SWAP = f"""{PX}, im AS (SELECT image_id // 2 AS image_id, image_id % 2 AS k, y, x, v FROM px),
+m0 AS (SELECT image_id, y, x, v FROM im WHERE k = 0 AND v > 0.1), {parts_sql('p', 'm0')},
+p_t AS (SELECT image_id, region_id, sum(im.v) AS other FROM p_lb JOIN im USING (image_id, y, x) WHERE k = 1 GROUP BY 1, 2),
+p_g AS (SELECT f.*, other / filled_area AS there, filled_area >= 3 AND total / filled_area >= 0.12 AS stays FROM p_fa f LEFT JOIN p_t USING (image_id, region_id)),
+n0 AS (SELECT image_id, y, x FROM p_lb JOIN p_g USING (image_id, region_id) WHERE stays),
+n1 AS (SELECT image_id, y, x FROM im WHERE k = 1 AND v > 0.1 UNION SELECT image_id, y, x FROM p_lb JOIN p_g USING (image_id, region_id) WHERE NOT stays AND there >= 0.12),
+m1 AS (SELECT n1.image_id, n1.y, n1.x, im.v FROM n1 JOIN im ON k = 1 AND im.image_id = n1.image_id AND im.y = n1.y AND im.x = n1.x), {parts_sql('q', 'm1')},
+q_t AS (SELECT image_id, region_id, sum(im.v) AS other FROM q_lb JOIN im USING (image_id, y, x) WHERE k = 0 GROUP BY 1, 2),
+q_g AS (SELECT f.*, other / filled_area AS there, filled_area >= 3 AND total / filled_area >= 0.12 AS stays FROM q_fa f LEFT JOIN q_t USING (image_id, region_id))"""
+
+
+@query(f"WITH RECURSIVE {SWAP} SELECT image_id, 0 AS mask_id, y, x FROM (SELECT image_id, y, x FROM n0 UNION SELECT image_id, y, x FROM q_lb JOIN q_g USING (image_id, region_id) WHERE NOT stays AND there >= 0.12) UNION ALL SELECT image_id, 1, y, x FROM q_lb JOIN q_g USING (image_id, region_id) WHERE stays")
 def r14_region_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir).select(F.floor(F.col("image_id") / 2).alias("image_id"), (F.col("image_id") % 2).cast("int").alias("mask_id"), "y", "x", "v")
-    swapped = regions.region_swap(p.filter("v > 0.1"), p, SIDE, SIDE, (3, 3), (0.12, 0.12))
-    return swapped.groupBy("image_id", "mask_id").agg(F.count("*").alias("n"))
+    return regions.region_swap(p.filter("v > 0.1"), p, SIDE, (3, 3), (0.12, 0.12))
+
 
+MEANS = """mk AS (SELECT image_id // 3 AS image_id, image_id AS mask_id, y, x FROM px WHERE v > 0.05), n AS (SELECT image_id, count(DISTINCT mask_id) AS n FROM mk GROUP BY 1), sh AS (SELECT image_id, y, x, count(*) AS k FROM mk GROUP BY 1, 2, 3), im AS (SELECT image_id // 3 AS image_id, y, x, sum(v) AS v FROM px GROUP BY 1, 2, 3),
+th AS (SELECT image_id, y, x, v * coalesce(k, 0) / n.n > 0.02 AS on_ FROM im LEFT JOIN sh USING (image_id, y, x) JOIN n USING (image_id)),
+nb AS (SELECT a.image_id, a.y, a.x, a.on_, coalesce(bool_or(b.on_), false) AS any_on, coalesce(bool_or(NOT b.on_), false) AS any_off FROM th a LEFT JOIN th b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2, 3, 4),
+fi AS (SELECT image_id, y, x, on_ OR NOT any_off AS on_ FROM nb), ob AS (SELECT a.image_id, a.y, a.x FROM fi a JOIN fi b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND b.on_ WHERE a.on_ GROUP BY 1, 2, 3)"""
 
-@query(f"WITH {PX}, mk AS (SELECT vec_id // 3 AS image_id, vec_id AS mask_id, y, x FROM px JOIN embeddings ON vec_id = image_id WHERE v > 0.05), n AS (SELECT image_id, count(DISTINCT mask_id) AS n FROM mk GROUP BY 1), sh AS (SELECT image_id, y, x, count(*) AS k FROM mk GROUP BY 1, 2, 3), im AS (SELECT image_id // 3 AS image_id, y, x, v FROM px WHERE image_id % 3 = 0) SELECT image_id, count(*) AS n FROM im JOIN sh USING (image_id, y, x) JOIN n USING (image_id) WHERE v * k / n.n > 0.02 GROUP BY 1")
+
+@query(f"WITH {PX}, {MEANS} SELECT DISTINCT f.image_id, f.y, f.x FROM fi f JOIN ob o ON o.image_id = f.image_id AND abs(o.y - f.y) + abs(o.x - f.x) <= 1")
 def r15_mean_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three masks and the sum of their images; single-pixel holes and parts go, the rest is widened by one pixel."""
     p = pixels(spark, sf_dir)
     layers = p.filter("v > 0.05").select(F.floor(F.col("image_id") / 3).alias("image_id"), F.col("image_id").alias("mask_id"), "y", "x")
-    first = p.filter("image_id % 3 = 0").select(F.floor(F.col("image_id") / 3).alias("image_id"), "y", "x", "v")
-    return masks.mean_of_masks(layers, first, 0.02).groupBy("image_id").agg(F.count("*").alias("n"))
+    whole = p.groupBy(F.floor(F.col("image_id") / 3).alias("image_id"), "y", "x").agg(F.sum("v").alias("v"))
+    return masks.mean_of_masks(layers, whole, 0.02, SIDE, SIDE, area=2)
+
+
+def segments_sql(condition: str, tag: str) -> str:
+    """CTEs whose table sg is segment_table() of the parts of px where the condition holds; keys are image * 64 + part."""
+    oriented = STM.replace("rt AS (SELECT t.* FROM ta t JOIN fg USING (image_id, y, x))", "rt AS (SELECT f.image_id, t.* EXCLUDE (image_id) FROM ta t JOIN fg f ON f.image_id // 64 = t.image_id AND f.y = t.y AND f.x = t.x)")
+    made = f"{PX}, so_ AS (SELECT image_id, y, x, v FROM px WHERE {condition}), {parts_sql('s', 'so_')}, fg AS (SELECT image_id * 64 + region_id AS image_id, y, x, v FROM s_lb), {TEX}, {SHAPE}, {oriented}"
+    return f"""{made}, sg AS (SELECT CAST(image_id // 64 AS BIGINT) AS image_id, CAST(image_id % 64 AS INTEGER) AS region_id, area, pi() * sqrt(4 * area / pi()) / nullif(perimeter, 0) AS circularity, coalesce(sqrt(greatest(1 - (m - h) / nullif(m + h, 0), 0)), 0) AS eccentricity, area * 1.0 / ((max_y - min_y) * (max_x - min_x)) AS coverage, mean, std, entropy, angle_sdi, {COH} * {COH} AS coherence, local_coherence, '{tag}' AS tag FROM ec JOIN pe USING (image_id) JOIN tex USING (image_id) JOIN ent USING (image_id) LEFT JOIN (me JOIN sd USING (image_id)) USING (image_id))"""
+
+
+NUMBERS = ("circularity", "eccentricity", "coverage", "mean", "std", "entropy", "angle_sdi", "coherence", "local_coherence")
+SEGMENT_ROWS = "SELECT image_id, region_id, area, " + ", ".join(f"{q6(c)} AS {c}" for c in NUMBERS) + ", tag FROM sg"
 
 
-@query()
+@query(f"WITH RECURSIVE {segments_sql('v > 0.1', 'fibre')} {SEGMENT_ROWS}")
 def a10_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = regions.label_images(bright(spark, sf_dir), SIDE)
+    parts = components.label_images(bright(spark, sf_dir), SIDE)
     return rounded(jobs.segment_table(parts, pixels(spark, sf_dir), "fibre"))
 
 
+CELL_MEANS = ("circularity", "eccentricity", "mean", "std", "entropy", "angle_sdi", "coherence", "local_coherence")
+
+
+@query(f"WITH RECURSIVE {segments_sql('v < -0.1', 'cell')} SELECT image_id, " + ", ".join(f"{q6(f'sum({c} * area) / sum(area) FILTER (WHERE {c} IS NOT NULL)')} AS cell_{c}" for c in CELL_MEANS) + f", count(*) AS no_cells, {q6('sum(area) / 64.0')} AS cell_coverage FROM sg GROUP BY 1")
+def a13_global_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell metrics of each image: averages by area, number and coverage of its dark parts."""
+    p = pixels(spark, sf_dir)
+    cells = components.label_images(p.filter("v < -0.1"), SIDE)
+    return rounded(jobs.cell_table(jobs.segment_table(cells, p, "cell"), p.groupBy("image_id").agg(F.count("*").alias("pixels"))))
+
+
 @query(f"WITH {FG}, {TEX}, {STM}, ar AS (SELECT image_id, count(*) AS area FROM fg GROUP BY 1) SELECT image_id, area AS total_area, {q6('area / 64.0')} AS coverage, {q6('mean')} AS mean, {q6('entropy')} AS entropy, {q6('local_coherence')} AS local_coherence FROM ar JOIN tex USING (image_id) JOIN ent USING (image_id) JOIN me USING (image_id)")
 def a12_image_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image row of a corpus with one segment an image: averages by area and coverage."""

@@ -39,15 +39,16 @@ def remove_channel(tiles: DataFrame, channel: str) -> DataFrame:
 
 
 def to_stack(tiles: DataFrame) -> DataFrame:
-    """(image_id, channels, stack array<array<double>>): one row an image, channels in order of name."""
-    s = F.sort_array(F.collect_list(F.struct("channel", "data")))
-    return tiles.groupBy("image_id").agg(s.alias("s")).select("image_id", F.transform("s", lambda t: t["channel"]).alias("channels"), F.transform("s", lambda t: t["data"]).alias("stack"))
+    """(image_id, channels, heights, widths, stack array<array<double>>): one row an image, channels in order of name."""
+    s = F.sort_array(F.collect_list(F.struct("channel", "height", "width", "data")))
+    part = lambda name: F.transform("s", lambda t: t[name])
+    return tiles.groupBy("image_id").agg(s.alias("s")).select("image_id", part("channel").alias("channels"), part("height").alias("heights"), part("width").alias("widths"), part("data").alias("stack"))
 
 
 def from_stack(stacks: DataFrame) -> DataFrame:
-    """(image_id, channel, data) from rows of to_stack()."""
-    z = stacks.select("image_id", F.explode(F.arrays_zip("channels", "stack")).alias("z"))
-    return z.select("image_id", F.col("z.channels").alias("channel"), F.col("z.stack").alias("data"))
+    """(image_id, channel, height, width, data) from rows of to_stack()."""
+    z = stacks.select("image_id", F.explode(F.arrays_zip("channels", "heights", "widths", "stack")).alias("z"))
+    return z.select("image_id", F.col("z.channels").alias("channel"), F.col("z.heights").alias("height"), F.col("z.widths").alias("width"), F.col("z.stack").alias("data"))
 
 
 def stack_shape(tiles: DataFrame) -> DataFrame:
@@ -129,8 +130,8 @@ def load_masks(spark: SparkSession, path: str, width: int | None = None, first_o
     m = spark.read.parquet(path).drop("bucket")
     if not first_only:
         return m
-    from loomgrain.operators.components import label_mask
+    from loomgrain.operators.components import label_images
 
-    parts = label_mask(m, width, keys=("image_id", "mask_id"))
+    parts = label_images(m, width, keys=("image_id", "mask_id"))
     first = F.min("region_id").over(Window.partitionBy("image_id", "mask_id"))
     return parts.withColumn("f", first).filter("region_id = f").select("image_id", "mask_id", "y", "x")

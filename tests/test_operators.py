@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgrain.functions import pixels as px
 from loomgrain.functions import stats
-from loomgrain.operators import components, graphs, masks, regions, stencils
+from loomgrain.operators import clusters, components, graphs, masks, regions, stencils
+from loomgrain.plans import jobs
 from loomgrain.sources import files, tables
 
 
@@ -139,3 +141,151 @@ def test_tiles_are_independent_of_partitions(spark, probe):
 def test_keys_are_dropped(spark):
     d = spark.sql("select named_struct('a', 1, '_b', 2, 'c', array(named_struct('contraction', 3, 'd', 4))) as s")
     assert tables.drop_keys(d, "s").first().s.asDict(recursive=True) == {"a": 1, "c": [{"d": 4}]}
+
+
+# ---------------------------------------------------------------- segmentation
+
+
+def test_mean_of_masks(spark, probe):
+    """The published 37 pixels: the probe's bars and a diagonal, widened by a pixel."""
+    bars = probe.filter("v > 0").select("image_id", F.lit(0).alias("mask_id"), "y", "x")
+    diagonal = probe.filter("y = x").select("image_id", F.lit(1).alias("mask_id"), "y", "x")
+    assert masks.mean_of_masks(bars.union(diagonal), probe, 0.0, 10, 10).count() == 37
+    assert masks.mean_of_masks(bars, probe, 0.0, 10, 10, layers=2, times=0).count() == 12
+    assert masks.mean_of_masks(bars, probe, 0.0, 10, 10, area=4, times=0).count() == 9
+    assert masks.mean_of_masks(bars.filter("false"), probe, 0.0, 10, 10).count() == 0
+
+
+def test_region_swap(spark, probe):
+    """The published 9 and 3 pixels; a region too small for its side joins the other whatever its size there."""
+    bars = probe.filter("v > 0").select("image_id", F.lit(0).alias("mask_id"), "y", "x")
+    values = probe.select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("mask_id"), "y", "x", "v")
+    got = {r.mask_id: r["count"] for r in regions.region_swap(bars, values, 10, (4, 0), (0, 0)).groupBy("mask_id").count().collect()}
+    assert got == {0: 9, 1: 3}
+    dark = regions.region_swap(bars, values, 10, (4, 0), (0, 20)).groupBy("mask_id").count().collect()
+    assert [(r.mask_id, r["count"]) for r in dark] == [(0, 9)]
+
+
+def test_region_check(spark, probe):
+    b = probe.filter("v > 0").select("image_id", "y", "x", "v")
+    m = regions.measured(b, 10, b)
+    first = m.filter("area = 9")
+    assert first.first().total_v == 32 and regions.passing(first, 9, 3.5, total="total_v").count() == 1
+    assert [regions.passing(first, *a, total="total_v").count() for a in ((10,), (0, 3.6), (0, None, (10, 10)))] == [0, 0, 0]
+    assert regions.passing(m.filter("area = 3"), frame=(10, 10)).count() == 1
+
+
+def test_cell_table(spark, probe):
+    cells = components.label_images(probe.filter("y = 8 and v > 0"), 10)
+    t = jobs.segment_table(cells, probe, "cell")
+    r = jobs.cell_table(t, probe.groupBy("image_id").agg(F.count("*").alias("pixels"))).first()
+    assert r.no_cells == 1 and r.cell_coverage == pytest.approx(3 / 100) and r.cell_mean == pytest.approx(10)
+    base = jobs.metric_databases(cells, cells, *empty_graph(spark), graphs.assign_fibres(*empty_graph(spark)), probe)
+    assert set(base) == {"global", "fibre", "network", "cell"} and base["cell"].count() == 1 and base["global"].first().no_cells == 1
+
+
+def empty_graph(spark):
+    return table(spark, [], "image_id long, node_id long, y int, x int"), table(spark, [], "image_id long, src long, dst long, r double")
+
+
+def stack(spark, side=24):
+    """Three channels: a bright diagonal band in the first, a bright block in the second, a gradient in the third."""
+    rows = []
+    for y in range(side):
+        for x in range(side):
+            v = (10.0 if abs(y - x) < 3 else 0.5 + (y * 7 + x * 3) % 5 * 0.05, 9.0 if y > 14 and x < 9 else 0.4 + (y + x) % 3 * 0.05, 1.0 + (x + y) / side)
+            rows += [(1, str(c), y, x, v[c]) for c in range(3)]
+    return table(spark, rows, "image_id long, channel string, y int, x int, v double")
+
+
+def test_colour_segmentation(spark):
+    s = stack(spark)
+    rgb = clusters.composite_rgb(px.rescale(s))
+    assert rgb.count() == 24 * 24 and rgb.filter("blue < 0 or blue > 1").count() == 0
+    for scale in (1.0, 1.5):
+        got = clusters.rgb_segmentation(rgb, scale, k=3, min_object=4)
+        assert got.count() == 24 * 24 and got.select("y", "x").distinct().count() == 24 * 24
+    one = clusters.rgb_segmentation(rgb.repartition(5), 1.0, k=3, min_object=4).filter("is_cell").count()
+    assert one == clusters.rgb_segmentation(rgb, 1.0, k=3, min_object=4).filter("is_cell").count()
+    none = clusters.rgb_segmentation(rgb, 1.0, k=3, classifier=lambda labels, centres, grey: (centres[:, 0] > 9, 0.0))
+    assert none.filter("is_cell").count() == 0
+
+
+def test_three_channel_segments(spark):
+    s = stack(spark)
+    network = s.filter("channel = '0' and v > 9").select("image_id", "y", "x")
+    seg = jobs.segment_shg_pl_trans(s, network, 24, 24, min_sizes=(20, 20), min_fracs=(1.0, 0.1), swap_sizes=(30, 30), swap_fracs=(0.01, 0.1), holes=8, k=3, min_object=4).collect()
+    assert {r.tag for r in seg} <= {"fibre", "cell"} and any(r.tag == "fibre" for r in seg) and any(r.tag == "cell" for r in seg)
+    assert sum(r.area for r in seg) <= 24 * 24
+
+
+def test_blurred_tensors(spark, probe):
+    from loomgrain.functions import kernels
+
+    img = np.zeros((10, 10))
+    for r in probe.collect():
+        img[r.y, r.x] = r.v
+    want = kernels.gaussian(img, 1.0)
+    got = {(r.y, r.x): r.v for r in px.blurred(probe, ("v",), 1.0).collect()}
+    assert all(got[y, x] == pytest.approx(want[y, x]) for y in range(10) for x in range(10))
+    zero = {(r.y, r.x): r.v for r in px.blurred(probe, ("v",), 1.0, mirrored=False).collect()}
+    assert zero[5, 5] == pytest.approx(got[5, 5]) and zero[0, 4] < got[0, 4]
+    assert px.structure_tensor(probe, 1.0).count() == px.nematic_tensor(probe, 1.0).count() == 100
+
+
+def test_equalised_constant_and_steps(spark):
+    flat = table(spark, [(1, "0", 0, x, 3.0) for x in range(4)], "image_id long, channel string, y int, x int, v double")
+    assert [r.v for r in px.equalise(flat).collect()] == [1.0] * 4
+    v = [0.0, 1.0, 2.0, 2.0, 7.0, 9.5]
+    p = table(spark, [(1, "0", 0, x, a) for x, a in enumerate(v)], flat.schema)
+    n, edges = np.histogram(v, 256)
+    want = np.interp(v, (edges[:-1] + edges[1:]) / 2, n.cumsum() / n.sum())
+    assert [r.v for r in px.equalise(p).orderBy("x").collect()] == pytest.approx(list(want))
+
+
+# ---------------------------------------------------------------- networks and files
+
+
+def test_seeds_and_branches(spark):
+    img = np.zeros((20, 20))
+    for k in (5, 4):
+        img += 2 * np.eye(20, 20, k) + np.rot90(np.eye(20, 20, k))
+    t = table(spark, [(1, "0", 20, 20, img.ravel().tolist()), (2, "0", 20, 20, None)], stencils.TILE)
+    seeds = graphs.nucleation_points(t, 2.0, 8.0)
+    assert [(r.image_id, r.y, r.x) for r in seeds.collect()] == [(1, 5, 10)]
+    b = graphs.new_branches(seeds, px.pixels_of(t), 4, 0.15)
+    assert {(r.y, r.x) for r in b.collect()} == {(1, 14), (2, 6), (9, 6), (9, 14)}
+    assert all(r.r == pytest.approx(math.hypot(r.dy, r.dx)) and (r.y + r.dy, r.x + r.dx) == (5, 10) for r in b.collect())
+    nodes, edges = jobs.trace_networks(t.filter("data is not null"), 2, 0.15, 70, 8)
+    assert nodes.count() == 8 and sorted((r.src, r.dst) for r in edges.collect()) == [(0, 1), (0, 2), (0, 3), (0, 4), (3, 5), (4, 6), (5, 7)]
+
+
+def test_networks_are_assigned_and_contracted(spark):
+    n = table(spark, [(1, 2, 0, 0), (1, 3, 1, 1), (1, 4, 2, 2), (1, 5, 2, 3), (1, 9, 7, 7), (2, 1, 0, 0)], "image_id long, node_id long, y int, x int")
+    e = table(spark, [(1, 2, 3, 1.41), (1, 3, 4, 1.41), (1, 4, 5, 1.0)], "image_id long, src long, dst long, r double")
+    fibres, nodes, edges = graphs.assign_networks(n, e)
+    assert [r.node_id for r in fibres.orderBy("seq").collect()] == [2, 3, 4, 5]
+    assert sorted((r.image_id, r.network_id, r.node_id) for r in nodes.collect()) == [(1, 0, 2), (1, 0, 5)]
+    assert [(r.src, r.dst, r.r) for r in edges.collect()] == [(2, 5, pytest.approx(3.605551275463989))]
+    assert all(t.count() == 0 for t in graphs.assign_networks(*empty_graph(spark)))
+
+
+def test_inputs_are_listed(spark, tmp_path):
+    (tmp_path / "deeper").mkdir()
+    for name in ("a-shg.tif", "b-pl.tif", "deeper/c-shg.tif"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.list_inputs(spark, str(tmp_path)).collect()) == ["a-shg.tif", "b-pl.tif"]
+    assert [r.path.rsplit("/", 1)[1] for r in files.list_inputs(spark, str(tmp_path), "-shg").collect()] == ["a-shg.tif"]
+    assert files.list_inputs(spark, str(tmp_path / "b-pl.tif")).count() == 1
+
+
+def test_masks_are_saved_and_loaded(spark, probe, tmp_path):
+    layers = probe.filter("v > 0").select("image_id", F.lit(7).alias("mask_id"), "y", "x")
+    tables.save_masks(layers, str(tmp_path / "m"))
+    assert sorted(map(tuple, tables.load_masks(spark, str(tmp_path / "m")).select(*layers.columns).collect())) == sorted(map(tuple, layers.collect()))
+    assert tables.load_masks(spark, str(tmp_path / "m"), 10, first_only=True).count() == 9
+
+
+def test_stacks_keep_their_shape(spark):
+    t = table(spark, [(1, "b", 1, 2, [1.0, 2.0]), (1, "a", 2, 1, [3.0, 4.0])], stencils.TILE)
+    assert sorted(map(tuple, tables.from_stack(tables.to_stack(t)).collect())) == sorted(map(tuple, t.collect()))
