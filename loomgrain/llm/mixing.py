@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrain.llm.common import word_count, written
+from loomgrain.llm.common import hot_keys, spread_join, word_count, written
 
 #: The weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -22,14 +22,16 @@ WEIGHTS = (5, 2, 1)
 LANDING = 14
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: float = 3.0, source_col: str = "source") -> DataFrame:
+def source_targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: float = 3.0) -> DataFrame:
     """(source, docs, source_size, target double): one row for each source, null being one too (last in order).
 
+    units: (source, size, rows). docs counts units.
+
     Sources in order of code points weigh `weights` in turn and share the total size. No target is above ceiling times
     its source's size: with sources sorted by the level at which each hits its ceiling, the share per weight is the
-    largest that the rest can take, found by running sums in one pass. Rows are sources, not documents.
+    largest that the rest can take, found by running sums in one pass over the sources (one task: sources, not documents).
     """
-    per = sized.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
+    per = units.groupBy("source").agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.col("size") * F.col("rows")), F.lit(0)).alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1))
@@ -126,50 +128,45 @@ def spared(p: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return at[np.unique(np.linspace(0, max(0, int(0.9 * len(at)) - 1), min(n, len(at))).astype(int))] if len(at) else at
 
 
-def take_counts(sized: DataFrame, seed: int = 1, block: int = 1000, weights: tuple[int, ...] = WEIGHTS, ceiling: float = 3.0, keys: tuple[str, ...] = ("doc_id",), source_col: str = "source") -> DataFrame:
-    """sized (with `size` long) plus source_size long, target double, copies long.
+def take_counts(sized: DataFrame, seed: int = 1, block: int = 1000, weights: tuple[int, ...] = WEIGHTS, ceiling: float = 3.0) -> DataFrame:
+    """(key, source, size, source_size long, target double, rows long, copies long) for each distinct (key, source, size).
 
-    Copies of a source sum up, by size, to within about a document of its target. Equal seeds give equal results,
-    however rows are dealt: blocks are formed by hash and sorted by (`keys`, size). Repeated rows are units of their
-    own. Null keys count as one value, a null source is a source, size 0 or null counts 0 (no words to take: 0 copies
-    where the whole source is empty). Empty tables give empty tables. Hot sources are split into blocks of about
-    `block` rows, so no task holds a source.
+    rows is how many rows of sized are equal in these, copies how often the mix takes them altogether: at most
+    ceiling * rows. Copies of a source sum up, by size, to within about a document of its target. Equal seeds give equal
+    results, however rows are dealt: blocks are formed by hash and sorted by key and size. A null key is a key, a null
+    source a source; size 0 or null counts 0 (0 copies where the whole source is empty). Empty tables give empty tables.
+    Hot sources are split into blocks of about `block` units, and equal rows are one unit, so no task holds a source.
     """
-    if "source" != source_col:
-        sized = sized.withColumn("source", F.col(source_col))
-    targets = source_targets(sized, weights, ceiling)
+    units = sized.groupBy("key", "source", "size").agg(F.count("*").alias("rows"))
+    units = written(units, "mix-units")
+    targets = source_targets(units, weights, ceiling)
     # one row per source, joined by whatever way its measured size allows
-    names = [c for c in sized.columns if c not in ("source_size", "target", "copies", "docs")]
-    joined = sized.select(*names).withColumnRenamed("source", "__s").join(
-        targets.withColumnRenamed("source", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left"
-    )
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    joined = units.withColumnRenamed("source", "__s").join(targets.withColumnRenamed("source", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left").drop("__t")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("rows")
     # a ratio within rounding of a whole number is that number
-    ratio = F.when(F.abs(ratio - F.round(ratio)) < 1e-12, F.round(ratio)).otherwise(ratio)
-    joined = joined.withColumn("__q", F.floor(ratio).cast("double")).withColumn("__p", ratio - F.floor(ratio))
+    ratio = F.when(F.abs(ratio - F.round(ratio)) < 1e-9, F.round(ratio)).otherwise(ratio)
+    unit = joined.withColumn("__q", F.floor(ratio).cast("double")).withColumn("__p", ratio - F.floor(ratio))
     level = 0
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / block))
-    kept = [f"`{c}`" for c in joined.columns if c not in ("__t",)]
-    unit = joined.selectExpr(*kept).withColumn("__n", blocks.cast("long"))
-    unit = unit.withColumn("__b", F.pmod(F.xxhash64(*keys, F.lit(seed)), "__n"))
-    unit = written(_fly(unit, keys, seed, last=False), "mix-0")
+    unit = unit.withColumn("__n", F.greatest(F.lit(1), F.ceil(F.col("docs") / block)).cast("long"))
+    unit = unit.withColumn("__b", F.pmod(F.xxhash64("key", "size", F.lit(seed)), "__n"))
+    unit = written(_fly(unit, seed, last=False), "mix-0")
     settled = unit.filter("__p in (0, 1)")
     undecided = unit.filter("__p not in (0, 1)")
     while not undecided.isEmpty():  # each level leaves at most 2 units of each block: log(documents) levels
         level += 1
         last = undecided.filter(F.col("__n") * 2 > block).isEmpty()
         n = F.lit(1).cast("long") if last else F.ceil(F.col("__n") * 2 / block).cast("long")
-        undecided = undecided.withColumn("__n", n).withColumn("__b", F.pmod(F.xxhash64(*keys, F.lit(seed + level)), "__n"))
-        unit = written(_fly(undecided, keys, seed + level, last=last), f"mix-{level}")
+        undecided = undecided.withColumn("__n", n).withColumn("__b", F.pmod(F.xxhash64("key", "size", F.lit(seed + level)), "__n"))
+        unit = written(_fly(undecided, seed + level, last=last), f"mix-{level}")
         settled = settled.unionByName(unit.filter("__p in (0, 1)"))
         undecided = unit.filter("__p not in (0, 1)")
-    done = settled.withColumn("copies", (F.col("__q") + F.col("__p")).cast("long")).withColumnRenamed("__s", "source")
-    return done.drop("__q", "__p", "__n", "__b", "docs")
+    copies = (F.col("__q") + F.col("__p")).cast("long")
+    return settled.select("key", F.col("__s").alias("source"), "size", "source_size", "target", "rows", copies.alias("copies"))
 
 
-def _fly(units: DataFrame, keys: tuple[str, ...], seed: int, last: bool) -> DataFrame:
+def _fly(units: DataFrame, seed: int, last: bool) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "size"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["key", "size"], kind="stable", na_position="last").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(pdf["__b"].iloc[0]), len(pdf)])
         p = pdf["__p"].to_numpy("f8")
         x = pdf["size"].fillna(0).to_numpy("f8")
@@ -184,29 +181,41 @@ def _fly(units: DataFrame, keys: tuple[str, ...], seed: int, last: bool) -> Data
     return units.groupBy("__s", "__b").applyInPandas(run, units.schema)
 
 
+def each_row(n: Column) -> Column:
+    """0 to n - 1 for explode(), in arrays of at most 10,000."""
+    whole = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 10_000)), lambda k: F.sequence(k * 10_000, F.least(k * 10_000 + 9_999, n - 1)))
+    return F.when(n > 0, whole).otherwise(F.array().cast("array<array<bigint>>"))
+
+
 def mixed_sizes(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size long, source_size long, target double, copies long, taken long) for every row of docs.
 
     size is the number of words of the whole text (null: 0); taken = copies * size. Only ids, sources and sizes are
-    shuffled.
+    shuffled. Rows equal in these share their copies as evenly as can be. Null ids stay null, a null source is a source,
+    other columns are ignored, an empty table gives an empty table.
     """
-    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    out = take_counts(sized, seed, keys=(id_col,))
-    return out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    sized = docs.select(F.col(id_col).alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    out = take_counts(sized, seed)
+    out = out.withColumn("__k", F.explode(each_row(F.col("rows")))).withColumn("__k", F.explode("__k"))
+    own = (F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("__k") < F.col("copies") % F.col("rows"), 1).otherwise(0)).cast("long")
+    return out.select(F.col("key").alias(id_col), "source", "size", "source_size", "target", own.alias("copies"), (own * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 1, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with the columns of docs.
+def mixed_documents(docs: DataFrame, seed: int = 1, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken, with the columns of docs, whatever their names.
 
-    A row that isn't a whole number of times in the mix isn't cut: it is left out, or repeated.
+    No text is cut: a row is left out, or there once or several times. Rows are known by the hash of all they hold; equal
+    ones share what the mix takes of them. Null ids and sources are like others, documents without words (null texts too)
+    have nothing to be taken for and come by the ratio of their source; an empty table gives an empty table.
     """
-    columns = docs.columns
-    # rows are known by the hash of all they hold; equal rows share what the mix takes of them
-    hashed = docs.withColumn("__h", F.xxhash64(*columns))
-    sized = hashed.select("__h", "source", word_count(F.col(text_col)).alias("size"))
-    counts = take_counts(sized, seed, keys=("__h",)).groupBy(F.col("__h").alias("__g")).agg(F.sum("copies").alias("__m"), F.count("*").alias("__n"))
-    taken = hashed.join(counts.filter("__m > 0"), F.col("__h") == F.col("__g"))
-    rank = F.when(F.col("__n") > 1, F.row_number().over(Window.partitionBy("__h").orderBy("__h"))).otherwise(F.lit(1))
-    each = (F.floor(F.col("__m") / F.col("__n")) + F.when(rank <= F.col("__m") % F.col("__n"), 1).otherwise(0)).cast("int")
-    taken = taken.withColumn("__copies", each).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    rows = docs.select(F.struct("*").alias("d"), F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("h"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    counts = written(take_counts(rows.select(F.col("h").alias("key"), "source", "size"), seed).groupBy(F.col("key").alias("g")).agg(F.sum("copies").alias("m"), F.sum("rows").alias("c")), "mix-counts")
+    hot = hot_keys(counts, "g", rows.count())
+    taken = spread_join(rows.select("d", "h"), counts.filter("m > 0"), ("h", "g"), hot)
+    again = F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy")
+    out = taken.filter("c = 1").select("d", again).select("d")
+    if not counts.filter("c > 1 and m > 0").isEmpty():  # equal rows: one of them, as often as all are taken
+        equal = taken.filter("c > 1").groupBy("h").agg(F.first("d").alias("d"), F.first("m").alias("m"))
+        several = equal.withColumn("k", F.explode(each_row(F.col("m"))))
+        out = out.unionByName(several.select("d", F.explode("k").alias("copy")).select("d"))
+    return out.select("d.*")

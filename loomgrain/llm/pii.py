@@ -15,10 +15,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.common import written
+from loomgrain.llm.common import forget, hot_keys, key_filter, spread_join, written
 
 #: What each kind of entity looks like. The first group, where there is one, is what gets replaced.
 PATTERNS = {
@@ -329,13 +329,14 @@ def redrawn(found: DataFrame, key: bytes) -> DataFrame:
     taken = None
     done = None
     while True:
-        place = F.row_number().over(Window.partitionBy("kind", "sub").orderBy("value"))
-        marked = now.withColumn("place", place).join(own, (F.col("kind") == F.col("ok")) & (F.col("sub") == F.col("os")), "left")
+        first = now.groupBy(F.col("kind").alias("fk"), F.col("sub").alias("fs")).agg(F.min("value").alias("first"))
+        marked = now.join(first, (F.col("kind") == F.col("fk")) & (F.col("sub") == F.col("fs")))
+        marked = marked.join(own, (F.col("kind") == F.col("ok")) & (F.col("sub") == F.col("os")), "left")
         if taken is not None:
             marked = marked.join(taken, (F.col("kind") == F.col("tk")) & (F.col("sub") == F.col("ts")), "left")
         else:
             marked = marked.withColumn("ts", F.lit(None).cast("string"))
-        free = (F.col("place") == 1) & F.col("os").isNull() & F.col("ts").isNull()
+        free = (F.col("value") == F.col("first")) & F.col("os").isNull() & F.col("ts").isNull()
         marked = written(marked.select("kind", "value", "attempt", "sub", free.alias("free")), "marked")
         won = marked.filter("free")
         done = won if done is None else done.union(won)
@@ -343,42 +344,54 @@ def redrawn(found: DataFrame, key: bytes) -> DataFrame:
         if lost.isEmpty():
             return done.filter("attempt > 0").select("kind", "value", "attempt")
         taken = done.select(F.col("kind").alias("tk"), F.col("sub").alias("ts"))
+        forget(now)
         now = written(drawn(lost.withColumn("attempt", F.col("attempt") + 1)), "surrogates")
 
 
 def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every entity of the text replaced, plus __entities array<struct<kind, start int, stop int, surrogate>>.
 
-    start and stop are code points of the text given back. All other columns and rows stay, whatever their names; null
-    and empty texts stay as they are, with no entities; repeated rows stay; null ids too. Only entities, never texts, are
-    shuffled: entities once for the distinctness check; documents whose entities had to be drawn again get those attempts
-    by a join on the id. The key decides all surrogates; without it they can't be traced.
+    start and stop are code points of the text given back. All other columns and rows stay, whatever their names (but a
+    column __entities is replaced); null and empty texts stay as they are, with no entities; repeated rows and null ids
+    stay; an empty table gives an empty table. Of most documents only entities, never texts, are shuffled: entities once for
+    the distinctness check, known by the hash of their text; the texts with entities that had to be drawn again meet those
+    attempts by a join, hot texts and entities dealt over many tasks. The key decides all surrogates; without it they can't
+    be traced.
     """
-    found = written(entries(entities(docs, id_col, text_col)), "found")
+    columns = [c for c in docs.columns if c != "__entities"]
+    rest = [c for c in columns if c != text_col]
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(rest)], F.lit(0).alias("k")).alias("row"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    found = written(entries(entities(hashed, "h", "text")), "found")
     again = redrawn(found, key)
-    per = found.select("id", F.col("kind").alias("k"), F.col("value").alias("v")).join(again, (F.col("k") == F.col("kind")) & (F.col("v") == F.col("value")))
-    per = per.groupBy(F.col("id").alias("__rid")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "value"), "attempt"))).alias("__again"))
-    per = written(per, "again")
-    rest = [c for c in docs.columns if c != text_col]
+    name = F.concat_ws("\0", "kind", "value")
+    again = written(again.select(name.alias("n"), "attempt"), "attempts")
+    said = found.select(F.col("id").alias("h"), name.alias("name"))
+    often = said.join(again.select("n"), F.col("name") == F.col("n"), "left_semi").groupBy("name").agg(F.count("*").alias("c"))
+    per = spread_join(said, again, ("name", "n"), hot_keys(often, "name", found.count()))
+    per = written(per.groupBy(F.col("h").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("again")), "again")
+    nothing = F.lit(None).cast("map<string,int>")
     if per.isEmpty():
-        joined = docs.withColumn("__again", F.lit(None).cast("map<string,int>"))
+        joined = hashed.select("row", nothing.alias("again"), "text")
     else:
-        joined = docs.join(per, F.col(id_col).eqNullSafe(F.col("__rid")), "left").drop("__rid")
-    joined = joined.select(*[f"`{c}`" for c in rest], F.col("__again"), F.col(text_col).alias("__text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(rest)]]
+        told = key_filter(per, "of")
+        some = hashed.filter(told("h"))
+        hot = hot_keys(some.groupBy("h").agg(F.count("*").alias("c")), "h", docs.count())
+        joined = hashed.filter(~told("h")).select("row", nothing.alias("again"), "text")
+        joined = joined.unionByName(spread_join(some, per, ("h", "of"), hot, "left").select("row", "again", "text"))
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("surrogate", pa.string())]))
+    kind = joined.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, seen = [], []
-            for again_, t in zip(b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_pylist(), strict=True):
+            for again_, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 new, marks = replace_entities(t, key, dict(again_ or ()))
                 texts.append(new)
                 seen.append(marks)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(rest))), pa.array(texts, pa.string()), pa.array(seen, spans)], names=[*rest, text_col, "__entities"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(seen, spans)], names=["row", "text", "entities"])
 
-    schema = ", ".join([*kept, f"`{text_col}` string", "__entities array<struct<kind:string,start:int,stop:int,surrogate:string>>"])
-    return joined.mapInArrow(run, schema).select(*[f"`{c}`" for c in docs.columns], "__entities")
+    out = joined.mapInArrow(run, f"row {kind}, text string, entities array<struct<kind:string,start:int,stop:int,surrogate:string>>")
+    return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"row.k{rest.index(c)}").alias(c) for c in columns], F.col("entities").alias("__entities"))
 
 
 def replace_entities(text: str | None, key: bytes, again: dict[str, int] | None = None) -> tuple[str | None, list[dict]]:

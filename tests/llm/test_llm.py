@@ -229,8 +229,54 @@ def test_mix(spark, docs, odd):
     again = sorted((r.doc_id, r.taken) for r in mixing.mixed_sizes(docs.repartition(7)).collect())
     assert again == sorted((r.doc_id, r.taken) for r in mixing.mixed_sizes(docs).collect())
     assert mixing.mixed_sizes(docs.filter("false")).count() == 0
-    made = mixing.mixed_documents(odd)
-    assert made.columns == odd.columns
+
+
+def test_mixed_documents(spark, docs, odd):
+    """What comes out is what the counts say, by source and in words, and no row comes more than three times as often."""
+    for df in (docs, odd, docs.union(docs.limit(40)).union(docs.limit(40))):
+        made = mixing.mixed_documents(df)
+        assert made.columns == df.columns
+        out, source = collections.Counter(map(str, made.collect())), collections.Counter(map(str, df.collect()))
+        assert all(out[r] <= 3 * source[r] for r in out)
+        words = collections.Counter()
+        for r in made.collect():
+            words[r.source] += len(WORD.findall(r.text or ""))
+        sizes, longest = collections.Counter(), collections.Counter()
+        for r in df.collect():
+            n = len(WORD.findall(r.text or ""))
+            sizes[r.source] += n
+            longest[r.source] = max(longest[r.source], n)
+        want = brute_targets({s: sizes[s] for s in {r.source for r in df.collect()}})
+        assert all(abs(words[s] - want[s]) <= max(1, longest[s]) for s in want)
+    assert mixing.mixed_documents(docs.filter("false")).count() == 0
+    clash = docs.select("*", F.lit(1).alias("h"), F.lit(2).alias("__h"), F.lit(3).alias("m"), F.lit(4).alias("d"))
+    assert mixing.mixed_documents(clash).columns == clash.columns and mixing.mixed_documents(clash).count() == mixing.mixed_documents(clash.repartition(3)).count()
+
+
+def test_equal_rows_are_one_unit(spark):
+    same = spark.createDataFrame([(None, "a b c", "x")] * 5000 + [(7, "d e", "y")], "doc_id long, text string, source string")
+    got = mixing.mixed_sizes(same).collect()
+    assert len(got) == 5001 and len({r.copies for r in got if r.source == "x"}) <= 2
+    assert abs(sum(r.taken for r in got if r.source == "x") - got[0].target) <= 3 or got[0].source == "y"
+
+
+def test_inclusion_probabilities_are_met(spark):
+    """Over seeds each document is taken as often, on average, as its source's ratio says."""
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), "a" if i < 60 else "b") for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    total, seeds = collections.Counter(), 24
+    for seed in range(seeds):
+        for r in mixing.mixed_sizes(d, seed).collect():
+            total[r.doc_id] += r.copies
+            ratio = r.target / r.source_size
+            assert r.copies in (int(ratio), int(ratio) + 1) or ratio == r.copies
+    shares = {s: np.mean([total[i] / seeds for i, _, x in rows if x == s]) for s in "ab"}
+    sizes = {s: sum(1 + i % 7 for i, _, x in rows if x == s) for s in "ab"}
+    want = brute_targets(sizes)
+    for s in "ab":
+        assert shares[s] == pytest.approx(want[s] / sizes[s], abs=0.05)
+        each = [total[i] / seeds for i, _, x in rows if x == s]
+        assert np.abs(np.array(each) - want[s] / sizes[s]).max() < 0.5
 
 
 # ---- 5
@@ -451,13 +497,61 @@ def test_surrogates(spark, docs, odd):
     woman = next(e.surrogate for e in got[1]["__entities"] if e.kind == "person")
     assert woman.split()[0] in pii.FIRST["latin", "f"]
     assert pii.with_surrogates(d, b"other").filter("doc_id = 1").first().text != got[1].text
-    assert pii.with_surrogates(odd, b"k").columns == [*odd.columns, "__entities"]
+    safe = pii.with_surrogates(odd, b"k")
+    assert safe.columns == [*odd.columns, "__entities"]
+    assert collections.Counter(str(r) for r in safe.drop("__entities").collect()) == collections.Counter(str(r) for r in odd.collect())
+    named = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("h", "row", "again", "__again", "k0", "id", "kind"))])
+    assert pii.with_surrogates(named, b"k").count() == named.count() and pii.with_surrogates(named, b"k").columns[:-1] == named.columns
     assert pii.with_surrogates(docs.filter("false"), b"k").count() == 0
     for kind in ("email", "ip", "phone"):
         pairs = {(e[3], pii.surrogate(b"k", kind, e[3])) for _, t in texts_of(docs) for e in pii.find_entities(t) if e[2] == kind}
         assert len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_surrogates_by_brute_force(spark):
+    """Over a table in which many surrogates meet: distinct, coreferent, of one gender, script and format, wherever they stand."""
+    rng = random.Random(8)
+    latin, cyrillic = [f"{c}{a}{b}" for c in "BDK" for a in "aeo" for b in "nrst"], ["Кац", "Лем", "Рой", "Чуб"]
+    rows = []
+    for i in range(400):
+        name, title = (rng.choice(latin), rng.choice(("Mr", "Frau"))) if i % 5 else (rng.choice(cyrillic), rng.choice(("господин", "госпожа")))
+        given = {"Mr": "John", "Frau": "Erika", "господин": "Пётр", "госпожа": "Алла"}[title]
+        rows.append((None if i % 9 == 0 else i % 50, f"{title} {given} {name} has {rng.choice('abcde')}{rng.randint(0, 9)}@x{rng.randint(0, 9)}.com, 10.0.{rng.randint(0, 9)}.{rng.randint(0, 9)}"))
+    rows += rows[:100]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.with_surrogates(d, b"k").collect()
+    assert len(out) == len(rows)
+    entry, back = {}, collections.defaultdict(set)
+    originals = collections.Counter(t for _, t in rows)
+    values = {(k, v) for t in originals for e in pii.find_entities(t) for k, v in pii.entries_of(e[2], e[3])}
+    seen = set()
+    for r in out:
+        for e in r["__entities"]:
+            assert r.text[e.start : e.stop] == e.surrogate
+        seen.add(r.text)
+    assert len(seen) == len(originals)  # unequal documents stay unequal, equal ones equal
+    again = {(r.kind, r.value): r.attempt for r in pii.redrawn(pii.entries(pii.entities(d)), b"k").collect()}
+    assert again  # some had to be drawn again
+    for t in originals:
+        new, marks = pii.replace_entities(t, b"k", {f"{k}\0{v}": n for (k, v), n in again.items()})
+        assert new in seen
+        for (_, _, kind, value), m in zip(pii.find_entities(t), marks, strict=True):
+            for (k, v), sub in zip(pii.entries_of(kind, value), m["surrogate"].split(" ") if kind == "person" else [m["surrogate"]], strict=True):
+                assert entry.setdefault((k, v), sub) == sub  # coreference
+                back[k if k != "given" else (k, v[:2] + v[2:].split(" ")[0]), sub.lower()].add((k, v))
+                if kind == "person":
+                    script = "cyrillic" if re.search("[А-я]", v) else "latin"
+                    assert bool(re.search("[А-я]", sub)) == (script == "cyrillic")
+                    if k == "given":
+                        assert set(sub.split("-")) <= set(pii.FIRST[script, v[0]])
+                if kind == "email":
+                    assert re.fullmatch(r"[a-z]\w+@\w+\.com", sub)
+                if kind == "ip":
+                    assert re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", sub)
+    assert all(len(v) == 1 for v in back.values())  # distinctness
+    assert not {(k, sub.lower()) for (k, _), sub in entry.items()} & values  # no surrogate is an entity itself
+
+
 def test_collisions_are_drawn_again(spark):
     d = spark.createDataFrame([(i, f"ip 10.0.0.{i} end") for i in range(200)], "doc_id long, text string")
     assert pii.redrawn(pii.entities(d), b"k").count() == 0
