@@ -72,7 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tiff_media": op10_tiff_media,
 }
 
-_BOILERPLATE = " OR ".join(f"contains(lower(x), '{p}')" for p in quality.BOILERPLATE)
+_BOILERPLATE = " OR ".join("contains(lower(x), '{}')".format(p.replace("'", "''")) for p in quality.BOILERPLATE)
+_LINE_END = quality.LINE_END.replace("'", "''")
 QUALITY_SQL = rf"""
 WITH w AS (
   SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -85,7 +86,8 @@ lines AS (SELECT doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w
                  length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM (SELECT doc_id, unnest(l) AS x FROM w)),
 judged AS (SELECT doc_id, chars,
                   len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 >= length(x) OR len(regexp_extract_all(x, '[!?]{{2,}}')) * 2 >= words
-                  OR (seps >= 3 AND seps * 4 >= words) OR {_BOILERPLATE} OR contains(x, '{{') OR contains(x, '}}') AS fails FROM lines),
+                  OR (seps >= 3 AND seps * 4 >= words) OR (words < 5 AND NOT regexp_matches(x, '{_LINE_END}')) OR len(regexp_extract_all(lower(x), 'https?://|www\.')) * 2 >= words
+                  OR (words <= {quality.FURNITURE_WORDS} AND ({_BOILERPLATE})) OR contains(x, '{{') OR contains(x, '}}') AS fails FROM lines),
 good AS (SELECT doc_id, count(*) FILTER (WHERE fails) AS removed, coalesce(sum(chars) FILTER (WHERE NOT fails), 0) AS stays FROM judged GROUP BY 1),
 base AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                 CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,

@@ -11,21 +11,44 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Phrases of page furniture (lower case).
+#: Phrases of page furniture (lower case), in English, German, French and Spanish.
 BOILERPLATE = (
     "accept cookies",
+    "aceptar cookies",
+    "accepter les cookies",
+    "alle cookies akzeptieren",
     "click here",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "condiciones de uso",
     "cookie policy",
+    "datenschutzerklärung",
     "enable javascript",
+    "haga clic aquí",
+    "hier klicken",
+    "iniciar sesión",
     "log in to",
+    "mentions légales",
+    "newsletter abonnieren",
+    "nutzungsbedingungen",
+    "política de privacidad",
+    "politique de confidentialité",
     "privacy policy",
+    "s'abonner à la newsletter",
+    "se connecter",
     "share this",
     "sign up for",
     "skip to content",
     "subscribe to our",
+    "suscríbete a",
     "terms of service",
     "terms of use",
+    "zum inhalt springen",
 )
+#: How lines of prose end, before white space.
+LINE_END = r"[.!?…:;\"'»”’)\]][\x20\x09-\x0D]*$"
+#: Phrases of page furniture count on lines of up to so many words; longer ones are prose.
+FURNITURE_WORDS = 20
 
 
 def split_words(text: Column) -> Column:
@@ -38,20 +61,21 @@ def line_rules(line: Column) -> dict[str, Column]:
     """What a line fails, by name; lines are judged alone.
 
     punctuation: a tenth or more of its characters are symbols, or there are at least as many doubled exclamation or
-    question marks as half its words; navigation: three or more separators (|, », ·) that stand between words, one for
-    every four words at least; boilerplate: it holds a phrase of page furniture; braces: it holds a curly brace.
+    question marks as half its words; fragment: fewer than five words without a mark that ends prose; navigation: three or
+    more separators (|, », ·) that stand between words, one for every four words at least; links: web addresses make up half
+    its words; boilerplate: it is short and holds a phrase of page furniture; braces: it holds a curly brace.
     """
     low = F.lower(line)
     words = F.size(split_words(line))
     separators = F.regexp_count(line, F.lit(r"[|»·]"))
     marks = F.regexp_count(line, F.lit(r"[!?]{2,}"))
-    found = F.lit(False)
-    for phrase in BOILERPLATE:
-        found = found | F.contains(low, F.lit(phrase))
+    links = F.regexp_count(low, F.lit(r"https?://|www\."))
     return {
         "punctuation": (F.regexp_count(line, F.lit(SYMBOLS)) * 10 >= F.length(line)) | (marks * 2 >= words),
+        "fragment": (words < 5) & ~F.rlike(line, F.lit(LINE_END)),
         "navigation": (separators >= 3) & (separators * 4 >= words),
-        "boilerplate": found,
+        "links": links * 2 >= words,
+        "boilerplate": (words <= FURNITURE_WORDS) & F.rlike(low, F.lit("|".join(BOILERPLATE))),
         "braces": F.contains(line, F.lit("{")) | F.contains(line, F.lit("}")),
     }
 
@@ -59,28 +83,38 @@ def line_rules(line: Column) -> dict[str, Column]:
 def repeat_words(words: str) -> list[tuple[str, Column]]:
     """Steps (column, expression) from a words column to __covered: words inside a 3-word window that occurs twice.
 
-    Windows are sorted as hash and place in one long; equal neighbours are then compared word by word.
+    Windows are sorted as hash and place in one long; neighbours of equal hash are then compared word by word, and with all
+    others of that hash only where they differ.
     """
-    w = F.col(words)
+    w, h = F.col(words), F.col("__hash")
     bits = F.ceil(F.log2(F.size(w) + F.lit(2))).cast("int")
-    keys = F.transform(w, lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), F.col("__bits")) + i)
+    keys = F.transform(h, lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)), F.col("__bits")) + i)
     s = F.col("__sorted")
 
     def place(v: Column) -> Column:
         return v.bitwiseAND(F.col("__mask"))
 
+    def meets(v: Column, u: Column) -> Column:
+        return F.coalesce(F.call_function("shiftright", v, F.col("__bits")) == F.call_function("shiftright", u, F.col("__bits")), F.lit(False))
+
     def same(v: Column, u: Column) -> Column:
-        alike = F.call_function("shiftright", v, F.col("__bits")) == F.call_function("shiftright", u, F.col("__bits"))
+        alike = F.lit(True)
         for k in range(3):
             alike = alike & (F.get(w, (place(v) + k).cast("int")) == F.get(w, (place(u) + k).cast("int")))
         return F.coalesce(alike, F.lit(False))
 
+    def repeats(v: Column, i: Column) -> Column:
+        before, after = F.get(s, i - 1), F.get(s, i + 1)
+        beside = (meets(v, before) & same(v, before)) | (meets(v, after) & same(v, after))
+        return F.when(~meets(v, before) & ~meets(v, after), F.lit(False)).when(beside, F.lit(True)).otherwise(F.exists(s, lambda u: (u != v) & meets(v, u) & same(v, u)))
+
     p = F.col("__places")
     return [
         ("__bits", bits),
         ("__mask", (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bits")) - 1).cast("long")),
+        ("__hash", F.transform(w, lambda x: F.xxhash64(x))),
         ("__sorted", F.when(F.size(w) > 3, F.sort_array(F.slice(keys, 1, F.greatest(F.size(w) - 2, F.lit(0))))).otherwise(F.array().cast("array<long>"))),
-        ("__places", F.sort_array(F.transform(F.filter(s, lambda v, i: same(v, F.get(s, i - 1)) | same(v, F.get(s, i + 1))), place))),
+        ("__places", F.sort_array(F.transform(F.filter(s, repeats), place))),
         ("__covered", F.aggregate(F.transform(p, lambda v, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - v, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, v: a + v)),
     ]
 

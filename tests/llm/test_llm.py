@@ -307,6 +307,34 @@ def test_lines_decide(spark):
     assert got[3].n_lines_removed == 1 and got[3].clean_text == prose
 
 
+def test_line_rules(spark):
+    lines = {
+        "A sentence that says something and ends.": None,
+        "Contact us": "fragment",
+        "He said: «so»": None,
+        "http://a.b/c and www.x.org": "links",
+        "Bitte die Datenschutzerklärung lesen.": "boilerplate",
+        "The court held that a privacy policy which is not shown to those whom it binds, at a time when they can still turn away, does not bind them at all.": None,
+        "Home | About | News | Shop.": "navigation",
+        "Buy now!! Now!!": "punctuation",
+        "if (x) { y; }": "braces",
+    }
+    d = spark.createDataFrame([(x,) for x in lines], "x string")
+    for r in d.select("x", *[c.alias(n) for n, c in quality.line_rules(F.col("x")).items()]).collect():
+        failed = {n for n in r.asDict() if n != "x" and r[n]}
+        assert (lines[r.x] in failed) if lines[r.x] else not failed, (r.x, failed)
+
+
+def test_colliding_windows_still_count(spark):
+    """Windows whose shortened hashes meet but whose words differ: with the hash of all words equal, every window collides."""
+    words = "a b c x y z a b c q r s x y z t u v a b c".split()
+    d = spark.createDataFrame([(words,)], "w array<string>")
+    for name, step in quality.repeat_words("w"):
+        d = d.withColumn(name, F.transform("w", lambda x: F.lit(7).cast("long")) if name == "__hash" else step)
+    c = collections.Counter(zip(words, words[1:], words[2:]))
+    assert d.first()["__covered"] == len({k + j for k in range(len(words) - 2) if c[tuple(words[k : k + 3])] > 1 for j in range(3)})
+
+
 # ---- 6
 
 
