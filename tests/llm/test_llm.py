@@ -693,6 +693,48 @@ def test_pipeline(spark, docs):
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
 
 
+def test_pipeline_on_odd_rows(spark, docs, tmp_path):
+    """Null, empty, very long and repeated rows, null ids and sources, from end to end, against plain Python."""
+    import corpus_pipeline as c
+
+    prose = [r for r in docs.filter("length(text) between 300 and 3000 and lang is not null").orderBy("doc_id").limit(60).collect()]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in prose]
+    rows += rows[:5]  # equal rows
+    rows += [(None, prose[7].text, "en", None, None), (90_001, None, None, None, None), (90_002, "", "en", "", 0), (90_003, " 12 !! ", None, "b", 7), (90_004, " ".join(r.text for r in prose if r.lang == prose[0].lang) * 3, prose[0].lang, "b", None), (90_005, prose[9].text + " ann@ex.com", prose[9].lang, "b", None), (prose[1].doc_id, prose[2].text + " " + prose[3].text, prose[2].lang, "b", None)]
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    d, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in c.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == docs.columns
+        kept.append(d.collect())
+    by_language, no_copies, safe, mixed = kept
+    assert {r.doc_id for r in by_language} >= {r.doc_id for r in prose} | {90_004, 90_005, None} and not {90_001, 90_002, 90_003} & {r.doc_id for r in by_language}
+    named = [(i, r.text) for i, r in enumerate(r for r in by_language if r.doc_id is not None)]
+    groups, _ = components(named)
+    assert len([r for r in no_copies if r.doc_id is not None]) == len(set(groups.values())) and sum(r.doc_id is None for r in no_copies) == 1
+    assert len(safe) == len(no_copies) and not any("ann@ex.com" in r.text for r in safe) and all(r.n_chars == len(r.text) for r in safe)
+    words = collections.Counter()
+    for r in mixed:
+        words[r.source] += len(WORD.findall(r.text))
+    sizes = collections.Counter()
+    for r in safe:
+        sizes[r.source] += len(WORD.findall(r.text))
+    want = brute_targets(dict(sizes))
+    longest = {s: max(len(WORD.findall(r.text)) for r in safe if r.source == s) for s in sizes}
+    assert all(abs(words[s] - want[s]) <= longest[s] for s in sizes)
+    out = c.run(spark, str(tmp_path)).collect()
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(r.length for r in out) == sum(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
+    for _, seq in itertools.groupby(sorted(out, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        at = 0
+        for r in seq:
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert c.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in entry.QUERIES) == list(range(1, 11))
     assert F is not None
