@@ -207,7 +207,19 @@ def f18_local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.pixels_of(stencils.local_maxima(tiles(spark, sf_dir))).filter("v > 0").select("image_id", "y", "x")
 
 
-@query()
+def slope(v: str, across: str, along: str) -> str:
+    """Central differences along one axis of 8 x 8 images, one-sided at its ends."""
+    w = f"OVER (PARTITION BY image_id, s, {across} ORDER BY {along})"
+    return f"CASE {along} WHEN 0 THEN lead({v}) {w} - {v} WHEN 7 THEN {v} - lag({v}) {w} ELSE (lead({v}) {w} - lag({v}) {w}) / 2 END"
+
+
+#: Blurs of widths 1 to 3 as 8 x 8 matrices with repeated edges, and the slopes of the blurred negated images.
+RIDGE = f"""bw AS (SELECT s, k, exp(-0.5 * k * k / (s * s)) AS w FROM range(1, 4) a(s), range(-12, 13) b(k) WHERE abs(k) <= 4 * s), bm AS (SELECT s, i, least(greatest(i + k, 0), 7) AS j, sum(w / t) AS g FROM bw JOIN (SELECT s, sum(w) AS t FROM bw GROUP BY 1) USING (s), range(8) c(i) GROUP BY 1, 2, 3),
+b1 AS (SELECT image_id, s, CAST(i AS INTEGER) AS y, x, -sum(g * v) AS v FROM px JOIN bm ON j = y GROUP BY 1, 2, 3, 4), b2 AS (SELECT image_id, s, y, CAST(i AS INTEGER) AS x, sum(g * v) AS v FROM b1 JOIN bm USING (s) WHERE j = x GROUP BY 1, 2, 3, 4),
+s1 AS (SELECT *, {slope('v', 'x', 'y')} AS gy, {slope('v', 'y', 'x')} AS gx FROM b2), s2 AS (SELECT image_id, s, y, x, {slope('gy', 'x', 'y')} AS yy, {slope('gy', 'y', 'x')} AS yx, {slope('gx', 'y', 'x')} AS xx FROM s1)"""
+
+
+@query(f"WITH {PX}, {RIDGE} SELECT image_id, y, x, {q6('max(greatest((yy + xx) / 2 + sqrt((yy - xx) * (yy - xx) / 4 + yx * yx), 0) * s * s)')} AS v FROM s2 GROUP BY 1, 2, 3")
 def f6_tubeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.pixels_of(stencils.tubeness(tiles(spark, sf_dir), 3)).drop("channel"))
 
