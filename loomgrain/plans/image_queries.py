@@ -224,7 +224,18 @@ def f6_tubeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.pixels_of(stencils.tubeness(tiles(spark, sf_dir), 3)).drop("channel"))
 
 
-@query()
+#: Minimum cross-entropy by rounds (l1), the first of 256 levels midway between the means beside it (l2), and what high pixels reach.
+GROWN = f"""l0 AS (SELECT image_id, min(v) AS lo, max(v) AS hi, avg(v) AS mean, list(v) AS vs, min(v - b) / 2 AS tol FROM (SELECT image_id, v, nullif(lag(v) OVER (PARTITION BY image_id ORDER BY v), v) AS b FROM px) GROUP BY 1),
+l1(image_id, k, t, stop) AS (SELECT image_id, 0, mean, false FROM l0 UNION ALL SELECT image_id, k + 1, new, abs(new - t) <= tol FROM (SELECT image_id, k, t, tol, lo + (back - front) / (ln(back) - ln(front)) AS new FROM (SELECT image_id, k, t, tol, lo, list_avg(list_filter(vs, lambda v: v > t)) - lo AS front, list_avg(list_filter(vs, lambda v: v <= t)) - lo AS back FROM l1 JOIN l0 USING (image_id) WHERE NOT stop AND k < 1000) WHERE back > 0 AND front IS NOT NULL)),
+bi AS (SELECT image_id, lo, (hi - lo) / 256 AS w, least(floor((v - lo) * 256 / nullif(hi - lo, 0)), 255) AS b FROM px JOIN l0 USING (image_id)),
+cu AS (SELECT image_id, lo + (k + 0.5) * w AS mid, w, (avg(lo + (b + 0.5) * w) FILTER (WHERE b <= k) + avg(lo + (b + 0.5) * w) FILTER (WHERE b > k)) / 2 - (lo + (k + 0.5) * w) AS gap FROM bi, range(255) t(k) GROUP BY image_id, lo, w, k),
+l2 AS (SELECT image_id, coalesce(min(mid) FILTER (WHERE gap >= 0 AND gap < w), min(mid)) AS high FROM cu GROUP BY 1),
+th AS (SELECT image_id, least(mean, li, high) AS low, high FROM l0 JOIN l2 USING (image_id) JOIN (SELECT image_id, max_by(t, k) AS li FROM l1 GROUP BY 1) USING (image_id)),
+ab AS (SELECT image_id, y, x, v > high AS strong FROM px JOIN th USING (image_id) WHERE v > low),
+gr(image_id, y, x) AS (SELECT image_id, y, x FROM ab WHERE strong UNION SELECT a.image_id, a.y, a.x FROM gr g JOIN ab a ON a.image_id = g.image_id AND abs(a.y - g.y) + abs(a.x - g.x) = 1)"""
+
+
+@query(f"WITH RECURSIVE {PX}, {GROWN} SELECT image_id, y, x FROM gr")
 def f7_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.pixels_of(stencils.hysteresis(tiles(spark, sf_dir), 1.0)).filter("v > 0").select("image_id", "y", "x")
 
