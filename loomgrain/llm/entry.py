@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import language, licenses, mixing, neardup, packing, pii, quality, tiff, token_counts, warc
-from loomgrain.llm.common import table
+from loomgrain.llm import language, licenses, mixing, neardup, packing, pii, quality, runs, spelling, tiff, token_counts, token_files, warc
+from loomgrain.llm.common import WORD, table, written
 
 #: For the registered query; a deployment passes its own to pii.with_surrogates().
 PII_KEY = b"loomgrain example key"
@@ -59,6 +59,36 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents")).drop("error")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Of every tenth document, by the CRC-32 of its id, the words from one on become repeats of the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    n = F.nullif(F.size("w"), F.lit(0))
+    w = w.select("*", (F.col("g") % n).cast("int").alias("a")).withColumn("rest", n - F.col("a"))
+    w = w.withColumn("p", (1 + F.floor(F.col("rest") / (3 + F.col("g") % 8))).cast("int"))
+    often = F.ceil(F.col("rest") / F.col("p")).cast("int")
+    rest = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), often)), F.lit(1), F.col("rest"))
+    return w.select("doc_id", F.when(F.size("w") > 0, F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), rest)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    d = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+    length, period = F.col("b.length"), -F.col("b.period")
+    return d.select("doc_id", "n_runs", (-F.col("b.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = written(spelling.word_counts(table(spark, sf_dir, "documents"), misspell=97), "vocabulary")
+    return spelling.variant_groups(vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -70,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_tiff_media": op10_tiff_media,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_files": op12_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _BOILERPLATE = " OR ".join("contains(lower(x), '{}')".format(p.replace("'", "''")) for p in quality.BOILERPLATE)
@@ -118,4 +151,23 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_bas
        coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0) END AS DOUBLE) AS score
 FROM w LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN based USING (doc_id) LEFT JOIN alls USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op8_license_scan": LICENSE_SQL}
+#: CRC-32 by bits: the table holds, for each byte, eight steps of the polynomial.
+SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+occ AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+cnt AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s, w, count(*) AS n FROM occ WHERE length(w) >= 5 GROUP BY 1, 2),
+byt AS (SELECT w, n, flatten(list_transform(string_split(s, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, CAST(unicode(ch) AS BIGINT) - 64] END)) AS b FROM cnt),
+crc AS (SELECT w, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM byt, tab),
+spelt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM crc),
+voc AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM voc)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT c.word, v.word, v.n FROM cut c JOIN voc v ON v.word = c.rest UNION SELECT v.word, c.word, c.n FROM cut c JOIN voc v ON v.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY 1),
+form AS (SELECT word, min(other) AS form FROM near JOIN best USING (word) WHERE other_n = top GROUP BY 1),
+told AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN form END AS form, CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM voc v LEFT JOIN best USING (word) LEFT JOIN form USING (word)),
+way(word, stop) AS (SELECT word, word FROM told UNION ALL SELECT way.word, form FROM way JOIN told ON told.word = way.stop WHERE form IS NOT NULL)
+SELECT told.word, form, stop AS root, n, n_near, form_n FROM told JOIN way ON way.word = told.word JOIN (SELECT word AS stop FROM told WHERE form IS NULL) USING (stop)"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op8_license_scan": LICENSE_SQL, "op13_spelling_variants": SPELLING_SQL}

@@ -67,10 +67,16 @@ class WordEncoder:
             raise ValueError(f"the ids of {path} aren't in order of rank")
         self.words = Encoding(os.path.basename(path), pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str) -> list[int]:
+    def apart(self, text: str) -> str | None:
+        """The text with its words set apart by white space; None for a text that goes to the library."""
         if BEYOND_LATIN.search(text) or LONG.search(text) or any(s in text for s in self.specials):
+            return None
+        return APART.sub(r" \g<0> ", text.lower())
+
+    def ids(self, text: str) -> list[int]:
+        apart = self.apart(text)
+        if apart is None:
             return self.library.encode(text, add_special_tokens=False).ids
-        apart = APART.sub(r" \g<0> ", text.lower())
         return self.words.encode_ordinary(apart.replace("\n", " ").replace("\t", " ").replace("\r", " ") + " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:

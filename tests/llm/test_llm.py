@@ -736,5 +736,5 @@ def test_pipeline_on_odd_rows(spark, docs, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in entry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.QUERIES) == list(range(1, 14))
     assert F is not None
