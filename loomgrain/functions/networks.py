@@ -112,9 +112,10 @@ def clean(xy: Points, pairs: Pairs, within: float) -> tuple[Points, Pairs]:
     return keep_nodes(xy, links, [v for v in sorted(keep) if links.degree(v)])
 
 
-def simplify(xy: Points, pairs: Pairs) -> tuple[Points, Pairs]:
-    """Edges between nodes of degree up to 2, not both 1, are contracted into their lower-degree end until none is left."""
-    links, alive = Links(len(xy), pairs), set(range(len(xy)))
+def contract(n: int, pairs: Pairs) -> tuple[list[int], Links]:
+    """(numbers of the nodes left, links): edges between nodes of degree up to 2, not both 1, are contracted into their
+    lower-degree end until none is left."""
+    links, alive = Links(n, pairs), set(range(n))
     while True:
         todo = []
         for a, b in links.pairs():
@@ -122,13 +123,19 @@ def simplify(xy: Points, pairs: Pairs) -> tuple[Points, Pairs]:
             if max(da, db) <= 2 and da + db > 2:
                 todo.append((a, b) if da <= db else (b, a))
         if not todo:
-            return keep_nodes(xy, links, sorted(alive))
+            return sorted(alive), links
         for a, b in todo:
             if a in alive and b in alive and b in links.near[a]:
                 links.move(b, a)
                 alive.discard(b)
 
 
+def simplify(xy: Points, pairs: Pairs) -> tuple[Points, Pairs]:
+    """The graph after contract()."""
+    left, links = contract(len(xy), pairs)
+    return keep_nodes(xy, links, left)
+
+
 def fibres_of(xy: Points, pairs: Pairs, angle: float = 70.0, least: int = 4) -> list[list[int]]:
     """Paths grown straight ahead from nodes of low degree; a path of at least `least` nodes retires all its nodes as starts."""
     links = Links(len(xy), pairs)
@@ -161,16 +168,20 @@ def fibres_of(xy: Points, pairs: Pairs, angle: float = 70.0, least: int = 4) ->
     return out
 
 
-def networks_with_fibres(xy: Points, pairs: Pairs, angle: float = 70.0, least: int = 4) -> list[list[list[int]]]:
-    """Fibres (as node numbers) of each component that has any, components by node count ascending."""
+def networks_with_fibres(xy: Points, pairs: Pairs, angle: float = 70.0, least: int = 4) -> list[tuple[list[int], Pairs, list[list[int]]]]:
+    """(nodes, edges, fibres) of each component that has any fibre, components by node count ascending."""
+    parts = components(len(xy), pairs)
+    of = {v: k for k, part in enumerate(parts) for v in part}
+    edges: list[Pairs] = [[] for _ in parts]
+    for a, b in pairs:
+        edges[of[a]].append((a, b))
     found = []
-    for part in components(len(xy), pairs):
+    for part, own in zip(parts, edges, strict=True):
         new = {v: i for i, v in enumerate(part)}
-        inner = [(new[a], new[b]) for a, b in pairs if a in new and b in new]
-        fibres = fibres_of([xy[v] for v in part], inner, angle, least)
+        fibres = fibres_of([xy[v] for v in part], [(new[a], new[b]) for a, b in own], angle, least)
         if fibres:
-            found.append((len(part), [[part[i] for i in f] for f in fibres]))
-    return [f for _, f in sorted(found, key=lambda t: t[0])]
+            found.append((part, own, [[part[i] for i in f] for f in fibres]))
+    return sorted(found, key=lambda t: len(t[0]))
 
 
 def spectrum(n: int, e: np.ndarray, r: np.ndarray, dense: int = 2000) -> tuple[float | None, float | None]:

@@ -152,24 +152,44 @@ def spectra(edges: DataFrame, keys: tuple[str, ...] = ("image_id", "network_id")
 # ---------------------------------------------------------------- order-dependent steps, one image at a time
 
 
+#: An image's or network's nodes and edges as they travel through one Python pass.
+NODES, EDGES = "array<struct<node_id:long,y:double,x:double>>", "array<struct<src:long,dst:long,r:double>>"
+
+
+def listed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(image_id, n, e): each image's nodes by id, and its edges by ends; e is null where there is none."""
+    e = edges.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("e"))
+    n = nodes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "y", "x"))).alias("n"))  # one image's
+    return n.join(e, "image_id", "left")
+
+
+def numbered(ns, es) -> tuple[list[int], networks.Points, networks.Pairs]:
+    """(ids, places, edges by place in ids) of one image of listed(); edges whose ends aren't nodes are left out."""
+    ids = [int(r["node_id"]) for r in ns]
+    at = {v: i for i, v in enumerate(ids)}
+    pairs = [(at[r["src"]], at[r["dst"]]) for r in (es if es is not None else []) if r["src"] in at and r["dst"] in at]
+    return ids, [(float(r["y"]), float(r["x"])) for r in ns], pairs
+
+
+def rows_of(ids: list[int], xy: networks.Points, pairs: networks.Pairs) -> tuple[list[dict], list[dict]]:
+    """Nodes and edges as NODES and EDGES, the smaller id of an edge first, r its straight length."""
+    n = [{"node_id": v, "y": y, "x": x} for v, (y, x) in zip(ids, xy, strict=True)]
+    return n, [{"src": min(ids[a], ids[b]), "dst": max(ids[a], ids[b]), "r": math.dist(xy[a], xy[b])} for a, b in pairs]
+
+
 def _per_image(nodes: DataFrame, edges: DataFrame, step) -> tuple[DataFrame, DataFrame]:
     """step(xy, edges) -> (xy, edges) run on each image's graph; ids are renumbered."""
-    e = edges.groupBy("image_id").agg(F.collect_list(F.struct("src", "dst")).alias("e"))
-    n = nodes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "y", "x"))).alias("n"))  # one image's
-    out = "image_id long, n array<struct<node_id:long,y:double,x:double>>, e array<struct<src:long,dst:long,r:double>>"
 
     def run(batches):
         for pdf in batches:
             rows = []
             for image, ns, es in zip(pdf["image_id"], pdf["n"], pdf["e"], strict=True):
-                at = {r["node_id"]: i for i, r in enumerate(ns)}
-                xy = [(float(r["y"]), float(r["x"])) for r in ns]
-                pairs = [(at[r["src"]], at[r["dst"]]) for r in (es if es is not None else [])]
-                xy, pairs = step(xy, pairs)
-                rows.append((image, [{"node_id": i, "y": y, "x": x} for i, (y, x) in enumerate(xy)], [{"src": min(a, b), "dst": max(a, b), "r": math.dist(xy[a], xy[b])} for a, b in pairs]))
+                xy, pairs = step(*numbered(ns, es)[1:])
+                rows.append((image, *rows_of(list(range(len(xy))), xy, pairs)))
             yield pd.DataFrame(rows, columns=["image_id", "n", "e"])
 
-    g = n.join(e, "image_id", "left").mapInPandas(run, out)
+    kind = nodes.schema["image_id"].dataType.simpleString()
+    g = listed(nodes, edges).mapInPandas(run, f"image_id {kind}, n {NODES}, e {EDGES}")
     return g.select("image_id", F.inline("n")), g.select("image_id", F.inline("e"))
 
 
@@ -229,58 +249,78 @@ def new_branches(points: DataFrame, pixels: DataFrame, half: int, least: float)
     return rings.mapInPandas(run, f"image_id {kind}, node_id long, y int, x int, v double, dy int, dx int, r double")
 
 
-def assign_fibres(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least: int = 4) -> DataFrame:
-    """(image_id, network_id, fibre_id, seq, node_id, y, x): fibres of every network, networks by node count ascending."""
-    e = edges.groupBy("image_id").agg(F.collect_list(F.struct("src", "dst")).alias("e"))
-    n = nodes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "y", "x"))).alias("n"))
-    out = "image_id long, network_id int, fibre_id int, seq int, node_id long, y double, x double"
+def network_parts(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least: int = 4) -> DataFrame:
+    """One row a network that has fibres: (image_id, network_id int, nodes, edges, fibres, red_nodes, red_edges).
+
+    A network is a component of an image's graph; networks are numbered by node count ascending, then first node. nodes
+    and edges are all of the component's, in a fibre or not; fibres are paths of node ids; red_nodes and red_edges are
+    those left when chains are contracted to their ends and branch points, with ids as before and straight lengths. Edges
+    whose ends aren't nodes are ignored, nodes in one place are nodes each, images without edges and networks without
+    fibres give no rows, repeated nodes count once. Two shuffles by image and one pass; who needs several of the columns
+    keeps the result (sources.stages.kept()).
+    """
+    kind = nodes.schema["image_id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             rows = []
             for image, ns, es in zip(pdf["image_id"], pdf["n"], pdf["e"], strict=True):
-                ids = [int(r["node_id"]) for r in ns]
-                at = {v: i for i, v in enumerate(ids)}
-                xy = [(float(r["y"]), float(r["x"])) for r in ns]
-                pairs = [(at[r["src"]], at[r["dst"]]) for r in es]
-                for net, fibres in enumerate(networks.networks_with_fibres(xy, pairs, angle, least)):
-                    for k, path in enumerate(fibres):
-                        rows += [(image, net, k, s, ids[i], *xy[i]) for s, i in enumerate(path)]
-            yield pd.DataFrame(rows, columns=["image_id", "network_id", "fibre_id", "seq", "node_id", "y", "x"])
+                ids, xy, pairs = numbered(ns, es)
+                for net, (part, own, fibres) in enumerate(networks.networks_with_fibres(xy, pairs, angle, least)):
+                    new = {v: i for i, v in enumerate(part)}
+                    own = [(new[a], new[b]) for a, b in own]
+                    names, places = [ids[v] for v in part], [xy[v] for v in part]
+                    left, links = networks.contract(len(part), own)
+                    red = networks.keep_nodes(places, links, left)
+                    rows.append((image, net, *rows_of(names, places, own), [[ids[v] for v in f] for f in fibres], *rows_of([names[v] for v in left], *red)))
+            yield pd.DataFrame(rows, columns=["image_id", "network_id", "nodes", "edges", "fibres", "red_nodes", "red_edges"])
 
-    return n.join(e, "image_id").mapInPandas(run, out)
+    whole = listed(nodes.dropDuplicates(["image_id", "node_id"]), edges).filter(F.col("e").isNotNull())
+    return whole.mapInPandas(run, f"image_id {kind}, network_id int, nodes {NODES}, edges {EDGES}, fibres array<array<long>>, red_nodes {NODES}, red_edges {EDGES}")
+
+
+def fibres_of_parts(parts: DataFrame) -> DataFrame:
+    """(image_id, network_id, fibre_id, seq, node_id, y, x) of network_parts()."""
+    places = F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["node_id"], n)))
+    f = parts.select("image_id", "network_id", places.alias("at"), F.posexplode("fibres").alias("fibre_id", "path"))
+    f = f.select("image_id", "network_id", "fibre_id", "at", F.posexplode("path").alias("seq", "node_id"))
+    return f.select("image_id", "network_id", "fibre_id", "seq", "node_id", F.col("at")[F.col("node_id")]["y"].alias("y"), F.col("at")[F.col("node_id")]["x"].alias("x"))
+
+
+def assign_fibres(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least: int = 4) -> DataFrame:
+    """(image_id, network_id, fibre_id, seq, node_id, y, x): fibres of every network; see network_parts()."""
+    return fibres_of_parts(network_parts(nodes, edges, angle, least))
 
 
 def assign_networks(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(fibres, simplified nodes, simplified edges) of the networks that have fibres, all keyed by image_id and network_id.
+    """(fibres, contracted nodes, contracted edges) of the networks that have fibres, by image_id and network_id; see network_parts()."""
+    parts = network_parts(nodes, edges, angle, least)
+    keys = ("image_id", "network_id")
+    return fibres_of_parts(parts), parts.select(*keys, F.inline("red_nodes")), parts.select(*keys, F.inline("red_edges"))
 
-    fibres are those of assign_fibres(); each such network's chains are contracted to their ends and branch points, nodes
-    keep their ids and r is the straight distance. Networks without fibres, and images without edges, give no rows.
-    """
-    fibres = assign_fibres(nodes, edges, angle, least)
-    net = fibres.select("image_id", "network_id", "node_id").distinct()
-    comp = connected_components(nodes, edges)
-    of = comp.join(net, ["image_id", "node_id"]).select("image_id", "component", "network_id").distinct()
-    member = comp.join(of, ["image_id", "component"]).select("image_id", "network_id", "node_id")
-    n = nodes.join(member, ["image_id", "node_id"])
-    e = edges.join(member.withColumnRenamed("node_id", "src"), ["image_id", "src"])
-    key = F.struct("image_id", "network_id").alias("image_id")
-    listed = n.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("node_id", "y", "x"))).alias("n")).join(e.groupBy(key).agg(F.collect_list(F.struct("src", "dst")).alias("e")), "image_id")
-    flat = listed.select("image_id.image_id", "image_id.network_id", "n", "e")
-    image = nodes.schema["image_id"].dataType.simpleString()
-    schema = f"image_id {image}, network_id int, n array<struct<node_id:long,y:double,x:double>>, e array<struct<src:long,dst:long,r:double>>"
+
+def part_spectra(parts: DataFrame, dense: int = 2000) -> DataFrame:
+    """(image_id, network_id, eigenvalue, connectivity) of the contracted networks of network_parts(), without a shuffle."""
+    kind = parts.schema["image_id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for image_id, network, ns, es in zip(pdf["image_id"], pdf["network_id"], pdf["n"], pdf["e"], strict=True):
-                ids = [int(r["node_id"]) for r in ns]
-                at = {v: i for i, v in enumerate(ids)}
-                named = {(float(r["y"]), float(r["x"])): v for r, v in zip(ns, ids, strict=True)}
-                xy, pairs = networks.simplify(list(named), [(at[r["src"]], at[r["dst"]]) for r in es])
-                left = [named[p] for p in xy]
-                rows.append((image_id, network, [{"node_id": v, "y": p[0], "x": p[1]} for v, p in zip(left, xy, strict=True)], [{"src": min(left[a], left[b]), "dst": max(left[a], left[b]), "r": math.dist(xy[a], xy[b])} for a, b in pairs]))
-            yield pd.DataFrame(rows, columns=["image_id", "network_id", "n", "e"])
-
-    g = flat.mapInPandas(run, schema)
-    return fibres, g.select("image_id", "network_id", F.inline("n")), g.select("image_id", "network_id", F.inline("e"))
+            for image, net, ns, es in zip(pdf["image_id"], pdf["network_id"], pdf["red_nodes"], pdf["red_edges"], strict=True):
+                _, _, pairs = numbered(ns, es)
+                e = np.array(pairs, int).reshape(-1, 2)
+                rows.append((image, net, *networks.spectrum(len(ns), e, np.array([r["r"] for r in es], float), dense)))
+            yield pd.DataFrame(rows, columns=["image_id", "network_id", "eigenvalue", "connectivity"])
+
+    return parts.select("image_id", "network_id", "red_nodes", "red_edges").mapInPandas(run, f"image_id {kind}, network_id int, eigenvalue double, connectivity double")
+
+
+def component_metrics(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, n_nodes, cross_links, degree) of whole components: nodes (keys, node_id), edges (keys, src, dst, r).
+
+    cross_links counts nodes of more than two edges, degree is degree_correlation(). Nodes without edges count as nodes.
+    """
+    k = list(keys)
+    ends = edges.select(*k, F.col("src").alias("node_id")).union(edges.select(*k, F.col("dst"))).groupBy(*k, "node_id").agg(F.count("*").alias("d"))
+    n = nodes.select(*k, "node_id").join(ends, [*k, "node_id"], "left").groupBy(*k).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("d") > 2).alias("cross_links"))
+    return n.join(degree_correlation(edges, keys), k, "left")

@@ -12,6 +12,7 @@ from loomgrain.plans.base import GR, PX, SIDE, graph, mosaics, parts_sql, pixels
 from loomgrain.plans.image_queries import GAUSS
 from loomgrain.plans.region_queries import SEGMENT_ROWS, segments_sql
 from loomgrain.sources import tables as stores
+from loomgrain.sources.stages import kept
 
 DEG = "bo AS (SELECT image_id, src AS a, dst AS b, r FROM edges UNION ALL SELECT image_id, dst, src, r FROM edges), dg AS (SELECT n.image_id, n.node_id, count(b) AS degree FROM nodes n LEFT JOIN bo ON bo.image_id = n.image_id AND bo.a = n.node_id GROUP BY 1, 2)"
 
@@ -137,8 +138,20 @@ def g18_assign_fibres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a9_network_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(jobs.network_table(kept(graphs.network_parts(*graph(spark, sf_dir)), "networks")))
+
+
+@query(
+    f"WITH RECURSIVE {GR}, {DEG}, {REACH}, cm AS (SELECT cc.image_id, component, count(*) AS n_nodes, count(*) FILTER (WHERE degree > 2) AS cross_links FROM cc JOIN dg USING (image_id, node_id) GROUP BY 1, 2), "
+    "w AS (SELECT bo.image_id, component, a, b, sum(r) OVER (PARTITION BY bo.image_id, a) AS da, sum(r) OVER (PARTITION BY bo.image_id, b) AS db FROM bo JOIN cc ON cc.image_id = bo.image_id AND cc.node_id = bo.a), "
+    f"co AS (SELECT image_id, component, CASE WHEN stddev_pop(da) * stddev_pop(db) > 1e-12 THEN pow(covar_pop(da, db) / (stddev_pop(da) * stddev_pop(db)), 2) END AS degree FROM w GROUP BY 1, 2) SELECT image_id, component, n_nodes, cross_links, {q6('degree')} AS degree FROM cm LEFT JOIN co USING (image_id, component)"
+)
+def a9_component_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What network_table() counts over whole components, for every component of the foreground graphs."""
     n, e = graph(spark, sf_dir)
-    return rounded(jobs.network_table(n, e, graphs.assign_fibres(n, e)))
+    c = kept(components.connected_components(n, e), "components")
+    own = e.join(c.withColumnRenamed("node_id", "src"), ["image_id", "src"])
+    return rounded(graphs.component_metrics(c, own, ("image_id", "component")))
 
 
 @query()
@@ -151,7 +164,7 @@ def databases(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     n, e = graph(spark, sf_dir)
     p = pixels(spark, sf_dir).drop("label")
     fibre, cell = (components.label_images(p.filter(c), SIDE) for c in ("v > 0.1", "v < -0.1"))
-    return jobs.metric_databases(fibre, cell, n, e, graphs.assign_fibres(n, e), p)
+    return jobs.metric_databases(fibre, cell, graphs.network_parts(n, e), p)
 
 
 @query()

@@ -11,42 +11,37 @@ from loomgrain.functions import networks, stats
 from loomgrain.functions.pixels import pixels_of, rescale, structure_tensor, tiles_of
 from loomgrain.operators import clusters, components, graphs, masks, regions, stencils
 from loomgrain.operators.masks import grid
+from loomgrain.sources.stages import kept
 
 #: Columns of the segment tables, in order.
 SEGMENT_METRICS = ("area", "circularity", "eccentricity", "coverage", "mean", "std", "entropy", "angle_sdi", "coherence", "local_coherence")
 NETWORK_METRICS = ("no_fibres", "cross_link_density", "degree", "eigenvalue", "connectivity", "angle_sdi", "mean_waviness", "mean_length")
 
 
-def build_networks(tiles: DataFrame, scale: float = 1.25, alpha: float = 1.0, sigma: float = 0.5, nuc_thresh: float = 2, lmp_thresh: float = 0.15, angle: float = 70, r_thresh: float = 7) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) traced over each tile in one pass: distance image, growth, scaling back, cleaning."""
+def _traced(tiles: DataFrame, grow) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of grow(image) -> (places, edges) over each tile, in one pass."""
+    kind = tiles.schema["image_id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             rows = []
             for image, h, w, data in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf["data"], strict=True):
-                xy, pairs = trace(np.asarray(data, float).reshape(h, w), scale, alpha, sigma, nuc_thresh, lmp_thresh, angle, r_thresh)
-                e = [{"src": min(a, b), "dst": max(a, b), "r": float(np.hypot(xy[a][0] - xy[b][0], xy[a][1] - xy[b][1]))} for a, b in pairs]
-                rows.append((image, [{"node_id": i, "y": y, "x": x} for i, (y, x) in enumerate(xy)], e))
+                xy, pairs = grow(np.asarray(data, float).reshape(h, w))
+                rows.append((image, *graphs.rows_of(list(range(len(xy))), xy, pairs)))
             yield pd.DataFrame(rows, columns=["image_id", "n", "e"])
 
-    g = tiles.select(F.col("image_id").cast("long"), "height", "width", "data").mapInPandas(run, "image_id long, n array<struct<node_id:long,y:double,x:double>>, e array<struct<src:long,dst:long,r:double>>")
+    g = tiles.select("image_id", "height", "width", "data").mapInPandas(run, f"image_id {kind}, n {graphs.NODES}, e {graphs.EDGES}")
     return g.select("image_id", F.inline("n")), g.select("image_id", F.inline("e"))
 
 
-def trace_networks(tiles: DataFrame, nuc_thresh: float = 2, lmp_thresh: float = 0.15, angle: float = 70, r_thresh: float = 8) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) grown over distance images as they are: seeds, then tips until none moves; image by image."""
+def build_networks(tiles: DataFrame, scale: float = 1.25, alpha: float = 1.0, sigma: float = 0.5, nuc_thresh: float = 2, lmp_thresh: float = 0.15, angle: float = 70, r_thresh: float = 7) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) traced over each tile: distance image, growth, scaling back, cleaning."""
+    return _traced(tiles, lambda img: trace(img, scale, alpha, sigma, nuc_thresh, lmp_thresh, angle, r_thresh))
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for image, h, w, data in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf["data"], strict=True):
-                xy, pairs = networks.Tracer(np.asarray(data, float).reshape(h, w), nuc_thresh, lmp_thresh, angle, r_thresh).run()
-                e = [{"src": min(a, b), "dst": max(a, b), "r": float(np.hypot(xy[a][0] - xy[b][0], xy[a][1] - xy[b][1]))} for a, b in pairs]
-                rows.append((image, [{"node_id": i, "y": y, "x": x} for i, (y, x) in enumerate(xy)], e))
-            yield pd.DataFrame(rows, columns=["image_id", "n", "e"])
 
-    g = tiles.select(F.col("image_id").cast("long"), "height", "width", "data").mapInPandas(run, "image_id long, n array<struct<node_id:long,y:double,x:double>>, e array<struct<src:long,dst:long,r:double>>")
-    return g.select("image_id", F.inline("n")), g.select("image_id", F.inline("e"))
+def trace_networks(tiles: DataFrame, nuc_thresh: float = 2, lmp_thresh: float = 0.15, angle: float = 70, r_thresh: float = 8) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) grown over distance images as they are: seeds, then tips until none moves; image by image."""
+    return _traced(tiles, lambda img: networks.Tracer(img, nuc_thresh, lmp_thresh, angle, r_thresh).run())
 
 
 def trace(img: np.ndarray, scale: float, alpha: float, sigma: float, nuc_thresh: float, lmp_thresh: float, angle: float, r_thresh: float) -> tuple[networks.Points, networks.Pairs]:
@@ -61,7 +56,7 @@ def trace(img: np.ndarray, scale: float, alpha: float, sigma: float, nuc_thresh:
     return networks.clean(xy, pairs, 2.0)
 
 
-def segment_table(region_pixels: DataFrame, pixels: DataFrame, tag: str, area_col: str = "filled_area") -> DataFrame:
+def segment_table(region_pixels: DataFrame, pixels: DataFrame, tag: str) -> DataFrame:
     """One row a region (image_id, region_id, y, x): shape, texture and orientation under the image's pixels.
 
     coverage is the region's share of its bounding box. Everything is keyed by image and region after one join by pixel.
@@ -76,18 +71,20 @@ def segment_table(region_pixels: DataFrame, pixels: DataFrame, tag: str, area_co
     return t.select(*keys, "area", "circularity", "eccentricity", F.col("extent").alias("coverage"), "mean", "std", "entropy", "angle_sdi", "coherence", "local_coherence", F.lit(tag).alias("tag"))
 
 
-def network_table(nodes: DataFrame, edges: DataFrame, fibres: DataFrame) -> DataFrame:
-    """One row a network of fibres (image_id, network_id, fibre_id, seq, node_id, y, x): counts, degrees, spectra, spread."""
+def network_table(parts: DataFrame) -> DataFrame:
+    """One row a network of graphs.network_parts(): counts, degrees, spectra and spread.
+
+    Cross-links (nodes of more than two edges, for each fibre) and the degree correlation are those of the whole
+    component, also of its nodes outside every fibre; eigenvalue and connectivity those of the contracted network; length,
+    waviness and angles those of the fibres. parts is read several times: pass a kept table.
+    """
     keys = ["image_id", "network_id"]
-    props = stats.fibre_properties(fibres)
+    props = stats.fibre_properties(graphs.fibres_of_parts(parts))
     base = props.groupBy(*keys).agg(F.count("*").alias("no_fibres"), F.avg("waviness").alias("mean_waviness"), F.avg("length").alias("mean_length"))
-    member = fibres.select(*keys, "node_id").distinct()
-    e = edges.join(member.withColumnRenamed("node_id", "src"), ["image_id", "src"]).join(member.withColumnRenamed("node_id", "dst"), ["image_id", "dst", "network_id"]).select(*keys, "src", "dst", "r")
-    degree = e.select(*keys, F.col("src").alias("n")).union(e.select(*keys, F.col("dst"))).groupBy(*keys, "n").agg(F.count("*").alias("d"))
-    cross = degree.groupBy(*keys).agg(F.count_if(F.col("d") > 2).alias("__k"))
-    out = base.join(cross, keys, "left").join(graphs.degree_correlation(e, tuple(keys)), keys, "left").join(graphs.spectra(e, tuple(keys)), keys, "left")
+    whole = graphs.component_metrics(parts.select(*keys, F.inline("nodes")), parts.select(*keys, F.inline("edges")), tuple(keys))
+    out = base.join(whole, keys, "left").join(graphs.part_spectra(parts), keys, "left")
     out = out.join(stats.angle_sdi(props, tuple(keys), "angle", name="angle_sdi"), keys, "left")
-    return out.withColumn("cross_link_density", F.col("__k") / F.col("no_fibres")).select(*keys, *NETWORK_METRICS)
+    return out.withColumn("cross_link_density", F.col("cross_links") / F.col("no_fibres")).select(*keys, *NETWORK_METRICS)
 
 
 def image_table(segments: DataFrame, image_size: DataFrame, network_rows: DataFrame | None = None, fibre_rows: DataFrame | None = None) -> DataFrame:
@@ -122,13 +119,18 @@ def cell_table(cells: DataFrame, image_size: DataFrame) -> DataFrame:
     return out.join(image_size, "image_id").withColumn("cell_coverage", F.col("__area") / F.col("pixels")).drop("__area", "pixels")
 
 
-def metric_databases(segments: DataFrame, cells: DataFrame | None, nodes: DataFrame, edges: DataFrame, fibres: DataFrame, pixels: DataFrame) -> dict[str, DataFrame]:
-    """The four tables of a corpus: global, fibre, network and cell (empty, and nothing of cells in global, without cells)."""
+def metric_databases(segments: DataFrame, cells: DataFrame | None, parts: DataFrame, pixels: DataFrame) -> dict[str, DataFrame]:
+    """The four tables of a corpus: global, fibre, network and cell (empty, and nothing of cells in global, without cells).
+
+    parts are the networks (graphs.network_parts()), pixels those of the intensity image. What several tables need is
+    kept once: the networks, and the segment and network rows that the global table averages.
+    """
     size = pixels.groupBy("image_id").agg(F.count("*").alias("pixels"))
-    fibre = segment_table(segments, pixels, "fibre")
-    network = network_table(nodes, edges, fibres)
-    cell = segment_table(cells, pixels, "cell") if cells is not None else fibre.limit(0)
-    whole = image_table(fibre, size, network, stats.fibre_properties(fibres))
+    parts = kept(parts, "networks")
+    fibre = kept(segment_table(segments, pixels, "fibre"), "fibre-segments")
+    network = kept(network_table(parts), "network-rows")
+    cell = kept(segment_table(cells, pixels, "cell"), "cell-segments") if cells is not None else fibre.limit(0)
+    whole = image_table(fibre, size, network, stats.fibre_properties(graphs.fibres_of_parts(parts)))
     if cells is not None:
         whole = whole.join(cell_table(cell, size), "image_id", "left")
     return {"global": whole, "fibre": fibre, "network": network, "cell": cell}

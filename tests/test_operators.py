@@ -180,7 +180,7 @@ def test_cell_table(spark, probe):
     t = jobs.segment_table(cells, probe, "cell")
     r = jobs.cell_table(t, probe.groupBy("image_id").agg(F.count("*").alias("pixels"))).first()
     assert r.no_cells == 1 and r.cell_coverage == pytest.approx(3 / 100) and r.cell_mean == pytest.approx(10)
-    base = jobs.metric_databases(cells, cells, *empty_graph(spark), graphs.assign_fibres(*empty_graph(spark)), probe)
+    base = jobs.metric_databases(cells, cells, graphs.network_parts(*empty_graph(spark)), probe)
     assert set(base) == {"global", "fibre", "network", "cell"} and base["cell"].count() == 1 and base["global"].first().no_cells == 1
 
 
