@@ -82,9 +82,12 @@ def li_threshold(img: np.ndarray) -> float:
 def isodata_threshold(img: np.ndarray, bins: int = 256) -> float:
     """The smallest histogram level that is midway between the means of what is below and above it."""
     lo, hi = float(img.min()), float(img.max())
-    if lo == hi:
-        return lo
-    n, edges = np.histogram(img, bins)
+    return lo if lo == hi else isodata_of(np.histogram(img, bins, (lo, hi))[0], lo, hi)
+
+
+def isodata_of(n: np.ndarray, lo: float, hi: float) -> float:
+    """isodata_threshold() from the counts of equal bins between the extremes."""
+    edges = np.linspace(lo, hi, len(n) + 1)
     mid = (edges[:-1] + edges[1:]) / 2
     width = mid[1] - mid[0]
     below = np.cumsum(n)
@@ -196,11 +199,29 @@ def distance_transform(mask: np.ndarray) -> np.ndarray:
         far[y] = np.minimum(far[y], far[y - 1] + 1)
     for y in range(h - 2, -1, -1):
         far[y] = np.minimum(far[y], far[y + 1] + 1)
-    step = (np.arange(w)[:, None] - np.arange(w)[None]) ** 2.0
-    out = np.empty((h, w))
-    for y in range(h):
-        out[y] = np.sqrt((far[y][None] ** 2 + step).min(axis=1))
-    return out
+    return row_distances(far)
+
+
+def row_distances(far: np.ndarray) -> np.ndarray:
+    """Distances from those along columns: for each pixel the least over its row of the square plus that of the step.
+
+    Steps are tried shortest first, and only as long as any distance found is longer; rows that nowhere are finite stay
+    infinite.
+    """
+    out = far**2
+    w = far.shape[1]
+    rows = np.flatnonzero(np.isfinite(far).any(axis=1)) if far.size else []
+    if len(rows):
+        squares = out[rows]
+        best = squares.copy()
+        for step in range(1, w):
+            if best.max() <= step * step:
+                break
+            near = squares + step * step
+            np.minimum(best[:, step:], near[:, :-step], out=best[:, step:])
+            np.minimum(best[:, :-step], near[:, step:], out=best[:, :-step])
+        out[rows] = best
+    return np.sqrt(out)
 
 
 def local_maxima(img: np.ndarray) -> np.ndarray:

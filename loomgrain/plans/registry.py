@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.plans import file_queries, graph_queries, image_queries, region_queries
+from loomgrain.plans import block_queries, file_queries, graph_queries, image_queries, region_queries
 from loomgrain.plans.base import ORACLES, REGISTERED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = REGISTERED
 ORACLE_SQL: dict[str, str] = ORACLES
 FLAGSHIP = region_queries.w2_region_texture
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "file_queries", "graph_queries", "image_queries", "region_queries"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "block_queries", "file_queries", "graph_queries", "image_queries", "region_queries"]
