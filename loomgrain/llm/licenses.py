@@ -3,9 +3,10 @@
 Blocks are short lines of a text and, across its line breaks, windows of its paragraphs; templates are short license
 notices; both are sets of words. Windows have up to twice as many words as a template and overlap by half, so that no notice
 is cut and no words are gathered from afar. A block holds a template if it has at least the given share of the template's
-words, all of those that tell variants apart, and none that tells of another variant. With words in the order of their document frequency, a block
-that does must share one of the template's rarest words (prefix), have enough words (length) and have enough of them
-after the first shared one (position); what passes is counted in full. DataFrame functions only.
+words, whichever they are. With words in the order of their document frequency, a block that does must share one of the
+template's rarest words (prefix), have enough words (length) and have enough of them after the first shared one
+(position); what passes is counted in full. Whether a block also has all words that tell variants apart, and none that
+tells of another variant, is said of each match but decides none. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ TEMPLATES = {
     "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
 }
-#: Words of a template that a block must have, and words that, next to one of a template's, tell of another.
+#: Words that tell a template from others, and words that, next to one of a template's, tell of another.
 TELLING = {"2", "3", "4", "apache", "attribution", "cc", "gnu", "mit", "mozilla", "nc", "noncommercial"}
 OTHERS = {"gnu": {"affero", "lesser"}, "cc": {"nc", "nd", "sa"}, "attribution": {"nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike"}}
 #: Windows are made for templates of up to so many words, and of up to multiples of it.
@@ -107,7 +108,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, tuple[str
     Columns: id; n_words long; n_base long (places of phrases), first_word and last_word long (their smallest and largest
     start, else null); base_labels and labels string (distinct, sorted, comma-joined, empty if none); score double (the
     largest share of a template's words in a block that holds it, 1 where a phrase stands, else 0); matches
-    array<struct<line int, template string, score double>>.
+    array<struct<line int, template string, score double, told boolean>>, told where the block has all words that tell the
+    template's variant and none of another's.
 
     Null texts count as empty. Null ids stay null; repeated rows give a row each and equal results; other columns are
     ignored; an empty table gives an empty table. Document frequencies are those of all documents and of the templates'
@@ -161,16 +163,16 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, tuple[str
         tokens.join(F.broadcast(prefixes), F.col("token") == F.col("word"))  # bounded by the templates
         .filter((F.col("size") == F.col("step")) & (F.size("block") >= F.col("need")))
         .filter(1 + F.least(F.size("block") - F.col("at") - 1, F.size("words") - F.col("place") - 1) >= F.col("need"))
-        .filter((F.size(F.array_except("must", "block")) == 0) & ~F.arrays_overlap("never", "block"))
-        .select("__key", "line", "template", "label", "need", "words", "block")
+        .withColumn("told", (F.size(F.array_except("must", "block")) == 0) & ~F.arrays_overlap("never", "block"))
+        .select("__key", "line", "template", "label", "need", "words", "block", "told")
         .distinct()
     )
     shared = candidate.withColumn("n", F.size(F.array_intersect("words", "block"))).filter("n >= need")
     found = shared.groupBy(F.col("__key").alias("__k")).agg(
-        F.sort_array(F.collect_set(F.struct("line", F.col("label").alias("template"), (F.col("n") / F.size("words")).alias("score")))).alias("matches")
+        F.sort_array(F.collect_set(F.struct("line", F.col("label").alias("template"), (F.col("n") / F.size("words")).alias("score"), "told"))).alias("matches")
     )
     joined = per_doc.join(found, F.col("__key") == F.col("__k"), "left")
-    no_match = F.array().cast("array<struct<line:int,template:string,score:double>>")
+    no_match = F.array().cast("array<struct<line:int,template:string,score:double,told:boolean>>")
     joined = joined.withColumn("matches", F.coalesce("matches", no_match))
     labels = F.array_distinct(F.concat("__base", F.transform("matches", lambda m: m["template"])))
     return joined.select(

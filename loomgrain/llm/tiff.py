@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the TIFF 6.0 format: tags, field type sizes and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
-STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
+FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 266, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -90,6 +90,8 @@ def lzw_decode(data: bytes) -> bytes:
         if code == 256:
             table, width, last = list(base), 9, None
             continue
+        if code > len(table) - (last is None) or len(table) > 4096:
+            raise ValueError(f"LZW code {code} comes before its entry")
         if last is None:
             entry = table[code]
         else:
@@ -196,15 +198,24 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
     compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
     if bits not in (8, 16) or one(PLANAR, 1) != 1 or predictor not in (1, 2):
         raise ValueError(f"{bits} bits, planar {one(PLANAR, 1)}, predictor {predictor} aren't read here")
+    if one(FILL_ORDER, 1) != 1:
+        raise ValueError("bits in reverse order aren't read here")
     kind = np.dtype("u1") if bits == 8 else np.dtype(order + "u2")
-    if TILE_OFFSETS in tags:
-        w, h = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)
+    # nothing is made before the directory's numbers agree with each other and with the file
+    tiled = TILE_OFFSETS in tags
+    w, h = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    if min(width, height, w, h, samples) < 1 or -(-height // h) * -(-width // w) != len(offsets) or len(counts) != len(offsets):
+        raise ValueError(f"{len(offsets)} blocks of {w} x {h} can't hold {width} x {height} pixels")
+    most = {NONE: 1, PACKBITS: 64, LZW: 2600}.get(compression, 1100)  # bytes that one stored byte can give
+    size = samples * bits // 8
+    short = any(n * most < w * h * size for n in counts) if tiled else sum(counts) * most < width * height * size
+    if short or any(off + n > len(data) for off, n in zip(offsets, counts, strict=True)):
+        raise ValueError(f"{sum(counts)} stored bytes can't hold {width} x {height} pixels")
+    if tiled:
         spots = [(y, x) for y in range(0, height, h) for x in range(0, width, w)]
-        offsets, counts = tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
-        w, h = width, min(one(ROWS_PER_STRIP, height), height)
         spots = [(y, 0) for y in range(0, height, h)]
-        offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
     pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
     for (y, x), off, count in zip(spots, offsets, counts, strict=True):
         rows = h if TILE_OFFSETS in tags else min(h, height - y)
@@ -308,7 +319,7 @@ def media_pages(media: DataFrame, media_col: str = "media", keep: tuple[str, ...
                 raw = p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
                 yield (n, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), page_feature(p.pixels), None, *[raw] * pixels)
                 n += 1
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        except (ValueError, KeyError, IndexError, MemoryError, OverflowError, struct.error, zlib.error) as e:
             yield (n, *[None] * 10, f"{type(e).__name__}: {e}", *[None] * pixels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

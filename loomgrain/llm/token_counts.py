@@ -11,6 +11,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+
+from loomgrain.llm.runs import slices
 from pyspark.sql import DataFrame
 
 #: The byte-level splitting rule, for texts of printable ASCII, common controls and Latin-1 letters.
@@ -105,14 +107,23 @@ class MergeCounter:
         return sum(map(self._plain, parts)) + len(parts) - 1
 
 
+#: Longer words and chunks are counted anew each time.
+LONG_KEY = 64
+
+
 class Kept(dict):
-    """Results by key in two generations of at most `keep` each; what the older one holds moves up when used again."""
+    """Results by key in two generations of at most `keep` each; what the older one holds moves up when used again.
+
+    Keys of more than LONG_KEY characters aren't kept, so the tables are bounded in bytes too.
+    """
 
     def __init__(self, compute, keep: int):
         super().__init__()
         self.compute, self.keep, self.older = compute, keep, {}
 
     def __missing__(self, key):
+        if len(key) > LONG_KEY:
+            return self.compute(key)
         self.make_room()
         value = self.older.get(key)
         if value is None:
@@ -156,13 +167,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            n = [c.count(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["id", "n_bytes", "n_tokens", "over_limit"],
-            )
+        for whole in batches:
+            for b in slices(whole, 1):
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                n = [c.count(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                    names=["id", "n_bytes", "n_tokens", "over_limit"],
+                )
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
