@@ -182,6 +182,48 @@ def erode(mask: np.ndarray, times: int = 1) -> np.ndarray:
     return out
 
 
+def line(a: tuple[int, int], b: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels from a to b by the integer line rule; at a tie the shorter axis steps away from a."""
+    dy, dx = b[0] - a[0], b[1] - a[1]
+    n = max(abs(dy), abs(dx))
+    t = np.arange(n + 1)
+    gone = [np.sign(d) * ((2 * abs(d) * t + n) // (2 * max(n, 1))) for d in (dy, dx)]
+    return a[0] + gone[0], a[1] + gone[1]
+
+
+def network_mask(lines: list, height: int, width: int, times: int, sigma: float | None, area: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ys, xs) of lines drawn, widened, blurred to what isn't zero, and small holes filled, within an image.
+
+    Only the box that can hold the result is made; what lies outside of it belongs to the background that surrounds it.
+    """
+    if not lines:
+        return np.zeros(0, int), np.zeros(0, int)
+    drawn = [line(a, b) for a, b in lines]
+    ys, xs = np.concatenate([d[0] for d in drawn]), np.concatenate([d[1] for d in drawn])
+    inside = (ys >= 0) & (xs >= 0) & (ys < height) & (xs < width)
+    ys, xs = ys[inside], xs[inside]
+    if not len(ys):
+        return ys, xs
+    blur = int(4 * sigma + 0.5) if sigma else 0
+    more = times + blur + 1
+    y0, x0 = max(0, ys.min() - more), max(0, xs.min() - more)
+    m = np.zeros((min(height, ys.max() + more + 1) - y0, min(width, xs.max() + more + 1) - x0), bool)
+    m[ys - y0, xs - x0] = True
+    m = dilate(m, times)
+    for axis in (0, 1):
+        big = np.pad(m, [(blur, blur) if k == axis else (0, 0) for k in (0, 1)])
+        m = np.logical_or.reduce([big.take(np.arange(k, k + m.shape[axis]), axis) for k in range(2 * blur + 1)])
+    holes = label(~m, diagonal=False)
+    n = np.bincount(holes.ravel())
+    # background on a side of the box that isn't the image's goes on outside, together with all of that
+    cut = [holes[0] if y0 else [], holes[-1] if y0 + m.shape[0] < height else [], holes[:, 0] if x0 else [], holes[:, -1] if x0 + m.shape[1] < width else []]
+    outer = np.unique(np.concatenate([np.asarray(c, int) for c in cut]))
+    n[outer] += height * width - m.size
+    m |= (n[holes] < area) & (holes > 0)
+    ys, xs = np.nonzero(m)
+    return ys + y0, xs + x0
+
+
 def square_median(img: np.ndarray, size: int = 3) -> np.ndarray:
     r = size // 2
     big = np.pad(img, r, mode="symmetric")

@@ -17,6 +17,11 @@ from loomgrain.operators import stencils
 BOUNDARY = (0.65, 1.1, 1.40, 0.92)
 
 
+def id_type(df: DataFrame) -> str:
+    """The type that an image's id has in df."""
+    return df.schema["image_id"].dataType.simpleString()
+
+
 def lloyd(v: np.ndarray, k: int, seed: int, rounds: int = 100, sample: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
     """(labels, centres) of a seeded k-means: spread-out first centres from a sample, then means until nothing moves."""
     rng = np.random.default_rng(seed)
@@ -48,8 +53,8 @@ def kmeans_colours(pixels: DataFrame, k: int = 10, runs: int = 2, seed: int = 0)
             out.append(pdf[["image_id", "y", "x"]].assign(run=r, cluster=labels, centre=[c[i].tolist() for i in labels]))
         return pd.concat(out)[["image_id", "run", "y", "x", "cluster", "centre"]]
 
-    src = pixels.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), "red", "green", "blue")
-    return src.groupBy("image_id").applyInPandas(run, "image_id long, run int, y int, x int, cluster int, centre array<double>")
+    src = pixels.select("image_id", F.col("y").cast("int"), F.col("x").cast("int"), "red", "green", "blue")
+    return src.groupBy("image_id").applyInPandas(run, f"image_id {id_type(src)}, run int, y int, x int, cluster int, centre array<double>")
 
 
 def corpus_clusters(pixels: DataFrame, k: int = 10, seed: int = 0) -> DataFrame:
@@ -127,8 +132,8 @@ def scale_images(pixels: DataFrame) -> DataFrame:
         scaled, grey = scale_image(rgb)
         return pdf[["image_id", "y", "x"]].assign(red=scaled[:, :, 0].ravel(), green=scaled[:, :, 1].ravel(), blue=scaled[:, :, 2].ravel(), grey=grey.ravel())
 
-    src = pixels.select(F.col("image_id").cast("long"), "y", "x", "red", "green", "blue")
-    return src.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, red double, green double, blue double, grey double")
+    src = pixels.select("image_id", "y", "x", "red", "green", "blue")
+    return src.groupBy("image_id").applyInPandas(run, f"image_id {id_type(src)}, y int, x int, red double, green double, blue double, grey double")
 
 
 def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
@@ -162,8 +167,8 @@ def cell_masks(pixels: DataFrame, k: int = 10, runs: int = 2, min_object: int =
         rgb, pdf = _dense(pdf)
         return pdf.loc[cell_mask(rgb, k, runs, min_object, classifier, seed).ravel(), ["image_id", "y", "x"]]
 
-    src = pixels.select(F.col("image_id").cast("long"), "y", "x", "red", "green", "blue")
-    return src.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int")
+    src = pixels.select("image_id", "y", "x", "red", "green", "blue")
+    return src.groupBy("image_id").applyInPandas(run, f"image_id {id_type(src)}, y int, x int")
 
 
 def composite_rgb(stacks: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def rgb_segmentation(rgb: DataFrame, scale: float = 1.0, k: int = 10, runs: int
     channels = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("channel"), F.col(c).alias("v")) for i, c in enumerate(("red", "green", "blue"))]))
     long = rgb.select("image_id", "y", "x", channels.alias("p")).select("image_id", "y", "x", "p.channel", "p.v")
     wide = normalise_stack(long).groupBy("image_id", "y", "x").pivot("channel", ["0", "1", "2"]).agg(F.first("v"))
-    src = wide.select(F.col("image_id").cast("long"), "y", "x", F.col("0").alias("red"), F.col("1").alias("green"), F.col("2").alias("blue"))
+    src = wide.select("image_id", "y", "x", F.col("0").alias("red"), F.col("1").alias("green"), F.col("2").alias("blue"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         image, pdf = _dense(pdf)
@@ -191,7 +196,7 @@ def rgb_segmentation(rgb: DataFrame, scale: float = 1.0, k: int = 10, runs: int
             mask = kernels.resize(mask.astype(float), image.shape[:2]) > 0
         return pdf[["image_id", "y", "x"]].assign(is_cell=mask.ravel())
 
-    return src.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, is_cell boolean")
+    return src.groupBy("image_id").applyInPandas(run, f"image_id {id_type(src)}, y int, x int, is_cell boolean")
 
 
 def map_images(pixels: DataFrame, schema: str, fn: Callable[[pd.DataFrame], Iterator[dict]]) -> DataFrame:

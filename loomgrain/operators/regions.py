@@ -150,6 +150,12 @@ def to_segments(mask: DataFrame, tag: str, height: int, width: int, pixels: Data
     return regions(mask, height, width, pixels, min_size, min_frac).withColumn("tag", F.lit(tag))
 
 
+def segment_pixels(mask: DataFrame, tag: str, width: int, pixels: DataFrame, min_size: int = 0, min_frac: float | None = None) -> DataFrame:
+    """(image_id, tag, region_id, y, x): the pixels of a mask's 8-connected parts that pass; see measured() and passing()."""
+    per = measured(mask, width, pixels.select("image_id", "y", "x", "v"), by_pixel=True)
+    return passing(per.withColumn("total", F.col("total_v")), min_size, min_frac).select("image_id", F.lit(tag).alias("tag"), "region_id", "y", "x")
+
+
 def bbox_sample(boxes: DataFrame, pixels: DataFrame) -> DataFrame:
     """Pixels inside the half-open bounding box of each region (image_id, region_id, min_y, min_x, max_y, max_x).
 

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
 
-TILE = "image_id long, channel string, height int, width int, data array<double>"
-
-
 def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """tiles with each image replaced by kernel(image). Null data stays null; values and shapes may change.
 
@@ -35,8 +32,8 @@ def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> D
                     data.append(out.ravel())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hs, pa.int32()), pa.array(ws, pa.int32()), pa.array(data, pa.list_(pa.float64()))], names=["image_id", "channel", "height", "width", "data"])
 
-    src = tiles.select(F.col("image_id").cast("long"), F.col("channel").cast("string"), F.col("height").cast("int"), F.col("width").cast("int"), F.col("data").cast("array<double>"))
-    return src.mapInArrow(run, TILE)
+    src = tiles.select("image_id", F.col("channel").cast("string"), F.col("height").cast("int"), F.col("width").cast("int"), F.col("data").cast("array<double>"))
+    return src.mapInArrow(run, f"image_id {tiles.schema['image_id'].dataType.simpleString()}, channel string, height int, width int, data array<double>")
 
 
 def gaussian(tiles: DataFrame, sigma: float | None) -> DataFrame:

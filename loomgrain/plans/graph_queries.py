@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import stats
-from loomgrain.operators import components, graphs, masks
+from loomgrain.operators import components, graphs, masks, spectra
 from loomgrain.plans import jobs
 from loomgrain.plans.base import GR, PX, SIDE, graph, mosaics, parts_sql, pixels, q6, query, r6, rounded, stacks, table, tiles
 from loomgrain.plans.image_queries import GAUSS
@@ -159,6 +159,15 @@ def a7_a8_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graphs.spectra(graph(spark, sf_dir)[1], ("image_id",)))
 
 
+@query()
+def a7_a8_whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectrum of one graph made of a whole table: parts and suppliers, joined by the lines that name both."""
+    li = table(spark, sf_dir, "lineitem")
+    e = li.groupBy((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.count("*").cast("double").alias("r"))
+    eigenvalue, connectivity = spectra.graph_spectrum(e)
+    return rounded(spark.createDataFrame([(eigenvalue, connectivity)], "eigenvalue double, connectivity double"))
+
+
 def databases(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four tables: bright parts as fibres, dark parts as cells, foreground graphs as networks."""
     n, e = graph(spark, sf_dir)
@@ -242,7 +251,8 @@ def long_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return n, n.select("image_id", F.col("node_id").alias("src"), dst.alias("dst"), F.lit(1.0).alias("r")).filter("dst is not null")
 
 
-LONG = f"{GR}, lg AS (SELECT image_id, y AS y0, x AS x0, lead(y, 3) OVER w AS y1, lead(x, 3) OVER w AS x1 FROM nodes WINDOW w AS (PARTITION BY image_id ORDER BY node_id)), ln AS (SELECT *, greatest(abs(y1 - y0), abs(x1 - x0)) AS n FROM lg WHERE y1 IS NOT NULL), ra AS (SELECT DISTINCT image_id, CAST(floor(y0 + (y1 - y0) * CAST(t AS DOUBLE) / n + 0.5) AS INTEGER) AS y, CAST(floor(x0 + (x1 - x0) * CAST(t AS DOUBLE) / n + 0.5) AS INTEGER) AS x FROM (SELECT *, unnest(range(0, n + 1)) AS t FROM ln) UNION SELECT image_id, y, x FROM nodes)"
+GONE = "len(list_filter(range(1, abs({1} - {0}) + 1), lambda k: (2 * k - 1) * n <= 2 * abs({1} - {0}) * t))"
+LONG = f"{GR}, lg AS (SELECT image_id, y AS y0, x AS x0, lead(y, 3) OVER w AS y1, lead(x, 3) OVER w AS x1 FROM nodes WINDOW w AS (PARTITION BY image_id ORDER BY node_id)), ln AS (SELECT *, greatest(abs(y1 - y0), abs(x1 - x0)) AS n FROM lg WHERE y1 IS NOT NULL), ra AS (SELECT DISTINCT image_id, CAST(y0 + sign(y1 - y0) * {GONE.format('y0', 'y1')} AS INTEGER) AS y, CAST(x0 + sign(x1 - x0) * {GONE.format('x0', 'x1')} AS INTEGER) AS x FROM (SELECT *, unnest(range(0, n + 1)) AS t FROM ln) UNION SELECT image_id, y, x FROM nodes)"
 
 
 @query(f"WITH {LONG} SELECT image_id, y, x FROM ra")

@@ -156,27 +156,25 @@ def segment_by_filter(filtered: DataFrame, height: int, width: int, threshold: f
     return regions.to_segments(fibre, "fibre", height, width).unionByName(regions.to_segments(cell, "cell", height, width))
 
 
-def segment_shg_pl_trans(
+def fibre_and_cell_masks(
     stacks: DataFrame,
     network_pixels: DataFrame,
     height: int,
     width: int,
     scale: float = 1.0,
-    min_sizes: tuple[int, int] = (100, 200),
-    min_fracs: tuple[float, float] = (100, 0.1),
     swap_sizes: tuple[int, int] = (250, 150),
     swap_fracs: tuple[float, float] = (0.01, 0.1),
     holes: int = 64,
     least: float = 0.1,
     **clustering,
-) -> DataFrame:
-    """Fibre and cell segments of three-channel stacks (image_id, channel 0 SHG, 1 PL, 2 transmission, y, x, v).
+) -> tuple[DataFrame, DataFrame]:
+    """Where fibres are and where cells are in three-channel stacks (image_id, channel 0 SHG, 1 PL, 2 transmission, y, x, v).
 
     Colour clusters say which pixels are cell; regions that fit the other side better change sides (sizes and means of
     cell and fibre: swap_sizes, swap_fracs); holes under `holes` pixels are filled. The fibre side, widened twice and
     closed, and the fibre filter of the traced networks (network_pixels: image_id, y, x), cut at its mean, count half each:
-    where their mean times the SHG value (over its range) is above `least` is fibre, all else is cell. min_sizes and
-    min_fracs of fibre and cell decide which regions become segments; further arguments go to rgb_segmentation().
+    where their mean times the SHG value (over its range) is above `least` is fibre, all else is cell. Further arguments go
+    to rgb_segmentation(). What is read several times is kept: the swapped masks and the result.
     """
     keys = ("image_id",)
     norm = rescale(stacks)
@@ -184,14 +182,22 @@ def segment_shg_pl_trans(
     clustered = clusters.rgb_segmentation(clusters.composite_rgb(norm), scale, **clustering)
     sides = clustered.select("image_id", F.when(F.col("is_cell"), 0).otherwise(1).alias("mask_id"), "y", "x")
     value = stacks.filter("channel in ('0', '1')").select("image_id", F.when(F.col("channel") == "1", 0).otherwise(1).alias("mask_id"), "y", "x", "v")
-    swapped = regions.region_swap(sides, value, width, swap_sizes, swap_fracs)
+    swapped = kept(regions.region_swap(kept(sides, "sides"), value, width, swap_sizes, swap_fracs), "swapped")
     fibre = components.fill_small(swapped.filter("mask_id = 1").select("image_id", "y", "x"), images, height, width, holes)
     fibre = masks.closed(masks.dilate(fibre, height, width, 2, keys), height, width, 1, keys)
     drawn = masks.threshold_mean(fibre_filter(network_pixels, images, height, width), keys).select("image_id", "y", "x")
     layers = fibre.withColumn("mask_id", F.lit(1)).unionByName(drawn.withColumn("mask_id", F.lit(0)))
     shg = norm.filter("channel = '0'").select("image_id", "y", "x", "v")
-    fibrous = masks.mean_of_masks(layers, shg, least, height, width, layers=2)
-    cellular = masks.complement(fibrous, images, height, width)
+    fibrous = kept(masks.mean_of_masks(layers, shg, least, height, width, layers=2), "fibrous")
+    return fibrous, masks.complement(fibrous, images, height, width)
+
+
+def segment_shg_pl_trans(stacks: DataFrame, network_pixels: DataFrame, height: int, width: int, scale: float = 1.0, min_sizes: tuple[int, int] = (100, 200), min_fracs: tuple[float, float] = (100, 0.1), **how) -> DataFrame:
+    """Fibre and cell segments of three-channel stacks: the parts of fibre_and_cell_masks() that are large and bright enough.
+
+    min_sizes and min_fracs are those of fibre (in SHG) and cell (in PL); further arguments go to fibre_and_cell_masks().
+    """
+    fibrous, cellular = fibre_and_cell_masks(stacks, network_pixels, height, width, scale, **how)
     raw = {c: stacks.filter(F.col("channel") == c).select("image_id", "y", "x", "v") for c in ("0", "1")}
     made = regions.to_segments(fibrous, "fibre", height, width, raw["0"], min_sizes[0], min_fracs[0])
     return made.unionByName(regions.to_segments(cellular, "cell", height, width, raw["1"], min_sizes[1], min_fracs[1]))

@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from loomgrain.operators import graphs
+from loomgrain.functions import networks
+from loomgrain.operators import graphs, spectra
 from loomgrain.plans import jobs
 from loomgrain.sources.stages import kept
 
@@ -119,3 +120,22 @@ def test_traces_carry_ids_of_any_type(spark):
     n, _ = jobs.trace_networks(tiles, 0.5, 0.1, 70, 4)
     assert {r.image_id for r in n.collect()} == {"a"}
     assert jobs.build_networks(tiles)[1].schema["image_id"].dataType.simpleString() == "string"
+
+
+def test_spectrum_of_a_graph_as_a_table(spark):
+    """10,003 nodes, three of them joined with all others, against the solver on whole graphs."""
+    e = {(h, 3 + k): float(1 + (k % 5 == h)) for k in range(10_000) for h in range(3)}
+    rows = [(a, b, r) for (a, b), r in e.items()] + [(5, 5, 9.0), (3, 0, 0.1)]
+    top, second = spectra.graph_spectrum(spark.createDataFrame(rows, "src long, dst long, r double"))
+    want = networks.spectrum(10_003, np.array(list(e)), np.array(list(e.values())))
+    assert top == pytest.approx(want[0], abs=1e-8) and second == pytest.approx(want[1], abs=1e-8)
+    assert top == pytest.approx(math.sqrt(30_000))
+
+
+def test_spectrum_of_small_tables(spark):
+    def of(rows):
+        return spectra.graph_spectrum(spark.createDataFrame(rows, "src string, dst string, r double"))
+
+    assert of([("a", "b", 2.0), ("b", "a", 1.0), ("b", "b", 7.0)]) == (pytest.approx(1.0), pytest.approx(4.0))
+    assert of([("a", "b", 1.0), ("c", "d", 1.0), ("d", "e", 1.0)]) == (pytest.approx(math.sqrt(2)), 0.0)
+    assert of([("a", "a", 1.0)]) == (None, None)
