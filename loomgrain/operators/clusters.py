@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
@@ -57,14 +57,46 @@ def kmeans_colours(pixels: DataFrame, k: int = 10, runs: int = 2, seed: int = 0)
     return src.groupBy("image_id").applyInPandas(run, f"image_id {id_type(src)}, run int, y int, x int, cluster int, centre array<double>")
 
 
-def corpus_clusters(pixels: DataFrame, k: int = 10, seed: int = 0) -> DataFrame:
-    """pixels plus cluster, by one model for the whole corpus (distributed k-means)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def nearest(centres: list[list[float]]) -> Column:
+    """(d, i): squared distance to, and number of, the nearest centre of (red, green, blue); ties to the first."""
+    far = lambda c: sum(((F.col(x) - F.lit(v)) * (F.col(x) - F.lit(v)) for x, v in zip(COLOURS, c, strict=True)), F.lit(0.0))
+    return F.array_min(F.array(*[F.struct(far(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))
 
-    v = VectorAssembler(inputCols=["red", "green", "blue"], outputCol="__v").transform(pixels)
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(v)
-    return model.transform(v).drop("__v")
+
+COLOURS = ("red", "green", "blue")
+
+
+def corpus_clusters(pixels: DataFrame, k: int = 10, seed: int = 0, share: float = 0.05, rounds: int = 40, first: int = 2000) -> tuple[DataFrame, list[list[float]]]:
+    """(pixels plus cluster int, centres): one mini-batch k-means for the whole corpus of (image_id, y, x, red, green, blue).
+
+    The hash of (seed, image_id, y, x) deals pixels to batches of about `share` of them and names the `first` pixels of
+    which the first centres are drawn, spread out; so the draw is the same however the table is dealt. Each round assigns
+    one batch and moves each centre to the mean of all that it was ever given. Sums are decimal, and so the same in any
+    order. Only centres and sums are on the driver. Null colours are left out of the fit and get a null cluster, fewer
+    distinct pixels than k give fewer centres, an empty table none.
+    """
+    h = F.xxhash64(F.lit(seed), "image_id", "y", "x")
+    whole = F.col("red").isNotNull() & F.col("green").isNotNull() & F.col("blue").isNotNull()
+    numbers = pixels.filter(whole).select(*[F.col(c).cast("double").alias(c) for c in COLOURS], h.alias("h"))
+    pool = np.array([tuple(r) for r in numbers.orderBy("h", *COLOURS).limit(first).select(*COLOURS).collect()], float).reshape(-1, 3)
+    if not len(pool):
+        return pixels.withColumn("cluster", F.lit(None).cast("int")), []
+    rng = np.random.default_rng(seed)
+    centres = [pool[0]]
+    while len(centres) < k:
+        far = np.min([((pool - c) ** 2).sum(1) for c in centres], axis=0)
+        if not far.sum():
+            break
+        centres.append(pool[rng.choice(len(pool), p=far / far.sum())])
+    centres, given = [c.tolist() for c in centres], [0] * len(centres)
+    batches = max(1, round(1 / share))
+    for r in range(rounds):
+        batch = numbers.filter(F.pmod("h", F.lit(batches)) == r % batches).withColumn("near", nearest(centres))
+        sums = batch.groupBy(F.col("near.i").alias("i")).agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("decimal(30,12)")).alias(c) for c in COLOURS]).collect()
+        for s in sums:  # at most k rows
+            given[s.i] += s.n
+            centres[s.i] = [c + (float(s[name]) - s.n * c) / given[s.i] for c, name in zip(centres[s.i], COLOURS, strict=True)]
+    return pixels.withColumn("cluster", F.when(whole, nearest(centres)["i"])), centres
 
 
 def cluster_intensity(labels: DataFrame, grey: DataFrame) -> DataFrame:

@@ -177,6 +177,19 @@ def s18_drop_map_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.drop_map_keys(m, "m").select("doc_id", F.to_json("m").alias("kept"))
 
 
+@query("SELECT conv_id, '{\"id\":' || conv_id || ',\"turns\":[' || string_agg('{\"turn\":' || turn || CASE WHEN turn % 2 = 0 THEN ',\"inner\":[{\"n\":' || coalesce(length(text), 0) || '}]}' ELSE ',\"inner\":{\"deep\":{\"role\":\"' || coalesce(role, '') || '\"}}}' END, ',' ORDER BY turn, role, text) || ']}' AS kept FROM conversations GROUP BY conv_id")
+def s18_drop_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON whose shape changes from turn to turn, with unwanted keys at every level."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    inner = F.when(F.col("turn") % 2 == 0, F.to_json(F.array(F.struct(F.char_length("text").alias("n"), F.lit(1).alias("_n")))))
+    inner = inner.otherwise(F.to_json(F.struct(F.lit(2).alias("contraction_of"), F.struct(F.coalesce("role", F.lit("")).alias("role"), F.array(F.lit(1)).alias("_list")).alias("deep"))))
+    one = F.concat(F.lit('{"_id":7,"turn":'), F.col("turn").cast("string"), F.lit(',"inner":'), inner, F.lit(',"contraction":{"a":[1]}}'))
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text", one.alias("json")))), lambda t: t["json"])
+    rows = c.groupBy("conv_id").agg(turns.alias("t"))
+    whole = F.concat(F.lit('{"id":'), F.col("conv_id").cast("string"), F.lit(',"_all":[{"x":1}],"turns":['), F.array_join("t", ","), F.lit("]}"))
+    return tables.drop_json_keys(rows.select("conv_id", whole.alias("kept")), "kept")
+
+
 @query(f"WITH RECURSIVE {PX}, hi AS (SELECT image_id, y, x, v FROM px WHERE v > 0.1), {parts_sql('a', 'hi')} SELECT image_id // 4 AS image_id, image_id AS mask_id, y, x FROM a_lb WHERE (image_id, region_id) IN (SELECT (image_id, min(region_id)) FROM a_lb GROUP BY image_id)")
 def s19_masks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four layers an image, saved and loaded as objects: of each layer the first part is kept."""

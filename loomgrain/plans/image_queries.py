@@ -15,6 +15,12 @@ def p1_clip_intensities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.clip_intensities(pixels(spark, sf_dir), 2, 98).select("image_id", "y", "x", "v"))
 
 
+@query(f"WITH {PX}, b AS (SELECT image_id, min(v) FILTER (WHERE k >= ceil(0.02 * n)) AS lo, min(v) FILTER (WHERE k >= ceil(0.98 * n)) AS hi FROM (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY v) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM px) GROUP BY 1) SELECT image_id, y, x, {q6('least(greatest(v, lo), hi)')} AS v FROM px JOIN b USING (image_id)")
+def p1_clip_intensities_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of up to a sketch's size: its quantiles are values of exact rank."""
+    return rounded(px.clip_intensities_sketched(pixels(spark, sf_dir), 2, 98).select("image_id", "y", "x", "v"))
+
+
 @query(f"WITH {PX}, b AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1) SELECT image_id, y, x, round(CASE WHEN lo < 0 THEN coalesce((v - lo) / nullif(hi - lo, 0), 0) * 2 - 1 ELSE coalesce((v - lo) / nullif(hi - lo, 0), 0) END, 6) + 0.0 AS v FROM px JOIN b USING (image_id)")
 def p2_rescale_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(px.rescale(pixels(spark, sf_dir)).select("image_id", "y", "x", "v"))
@@ -288,6 +294,13 @@ def k1_kmeans_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy("image_id", "run", "cluster").agg(F.count("*").alias("n"))
 
 
+@query()
+def k1_corpus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mini-batch model for all images: how many pixels each cluster has, and its mean."""
+    labelled, _ = clusters.corpus_clusters(px.composite(stacks(spark, sf_dir)), k=4, share=0.2, rounds=15)
+    return rounded(labelled.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in clusters.COLOURS]))
+
+
 @query()
 def k6_cell_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cell_masks(px.composite(stacks(spark, sf_dir)), k=4, min_object=4)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrain.functions import hooks, stats
 from loomgrain.functions import pixels as px
-from loomgrain.functions import stats
 from loomgrain.operators import components, masks, regions
 from loomgrain.plans import jobs
-from loomgrain.plans.base import FG, PX, SIDE, foreground, parts_sql, pixels, q6, query, r6, rounded
+from loomgrain.plans.base import FG, ORACLES, PX, SIDE, foreground, parts_sql, pixels, q6, query, r6, rounded
 from loomgrain.plans.image_queries import SOB, analysed
 
 TEX = "ent AS (SELECT image_id, -sum(n * 1.0 / t * log2(n * 1.0 / t)) AS entropy FROM (SELECT image_id, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY image_id) AS t FROM fg GROUP BY 1, 2) GROUP BY 1), tex AS (SELECT image_id, avg(v) AS mean, stddev_pop(v) AS std FROM fg GROUP BY 1)"
@@ -250,3 +250,11 @@ def a15_own_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(map_images(pixels(spark, sf_dir).select("image_id", "v"), "image_id long, n long, span double", span))
 
 
+@query(ORACLES["a15_own_metric"])
+def a15_own_metric_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same metric as SQL functions: an aggregate, and a table function over each image's pixels."""
+    hooks.register_metric(spark, "own_span", lambda v: float(v.max() - v.min()))
+    hooks.register_image_table(spark, "own_count", lambda pdf: iter([{"image_id": int(pdf["image_id"].iloc[0]), "n": len(pdf)}]), "image_id long, n long")
+    pixels(spark, sf_dir).select("image_id", "v").createOrReplaceTempView("own_pixels")
+    out = spark.sql("SELECT image_id, n, span FROM own_count(TABLE(own_pixels) PARTITION BY image_id) JOIN (SELECT image_id, own_span(v) AS span FROM own_pixels GROUP BY image_id) USING (image_id)")
+    return rounded(out)

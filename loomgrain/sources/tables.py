@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +108,32 @@ def drop_map_keys(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.map_filter(col, lambda k, v: ~k.startswith("_") & ~k.startswith("contraction")))
 
 
+def drop_json_keys(df: DataFrame, col: str) -> DataFrame:
+    """df with unwanted keys dropped from JSON text of any shape, in objects at every level, also those within arrays.
+
+    Row by row in one Arrow pass, as no schema need hold for two rows. Keys stay in order, repeated keys become the last of
+    them, text is written without spaces. Null stays null, what isn't an object or array stays as it is; text that is no
+    JSON becomes null.
+    """
+
+    def kept(value):
+        if isinstance(value, dict):
+            return {k: kept(v) for k, v in value.items() if not _unwanted(k)}
+        return [kept(v) for v in value] if isinstance(value, list) else value
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(kept(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def dropped(text: pd.Series) -> pd.Series:
+        return text.map(one)
+
+    return df.withColumn(col, dropped(F.col(col)))
+
+
 # ---------------------------------------------------------------- saving
 
 
