@@ -140,6 +140,14 @@ def label(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     return out
 
 
+def filled_area(ys: np.ndarray, xs: np.ndarray) -> int:
+    """Pixels of one part and of what it encloses."""
+    shape = np.zeros((ys.max() - ys.min() + 3, xs.max() - xs.min() + 3), bool)
+    shape[ys - ys.min() + 1, xs - xs.min() + 1] = True
+    around = label(~shape)  # the background beyond the frame is the first part
+    return int((around != around[0, 0]).sum())
+
+
 def hysteresis(img: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """4-connected parts above the low threshold that hold a value above the high one."""
     low = min(alpha * img.mean(), li_threshold(img))

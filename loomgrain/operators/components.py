@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +61,20 @@ def label_mask(mask: DataFrame, width: int, diagonal: bool = True, keys: tuple[s
     return m.join(c, [*keys, "node_id"]).select(*keys, "y", "x", F.col("component").alias("region_id"))
 
 
-def dense(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
+def dense(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, int, int]:
     """One image's mask as an array that just holds it, and where that starts."""
-    y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
-    m = np.zeros((int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1), bool)
-    m[pdf["y"] - y0, pdf["x"] - x0] = True
+    y0, x0 = int(y.min()), int(x.min())
+    m = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), bool)
+    m[y - y0, x - x0] = True
     return m, y0, x0
 
 
+def columns(pixels: pa.ListScalar) -> list[np.ndarray]:
+    """The fields of a list of structs as arrays, and the number of structs."""
+    s = pixels.values
+    return [*(s.field(i).to_numpy(zero_copy_only=False) for i in range(s.type.num_fields)), len(s)]
+
+
 def label_images(mask: DataFrame, width: int, diagonal: bool = True, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """label_mask() for images that fit a task each: one shuffle by image instead of rounds over the whole table.
 
@@ -74,17 +82,28 @@ def label_images(mask: DataFrame, width: int, diagonal: bool = True, keys: tuple
     """
     head = ", ".join(f"`{c}` {mask.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m, y0, x0 = dense(pdf)
-        parts = kernels.label(m, diagonal)
-        ys, xs = np.nonzero(parts)
-        k = parts[ys, xs]
-        _, first = np.unique(k, return_index=True)
-        names = (ys[first] + y0) * width + xs[first] + x0
-        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "y": ys + y0, "x": xs + x0, "region_id": names[k - 1]})
-
-    src = mask.select(*keys, "y", "x").distinct()
-    return src.groupBy(*keys).applyInPandas(run, f"{head}, y int, x int, region_id int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                rows, ys, xs, names = [], [], [], []
+                for k, pixels in enumerate(b.column(len(keys))):
+                    y, x, _ = columns(pixels)
+                    m, y0, x0 = dense(y, x)
+                    parts = kernels.label(m, diagonal)
+                    y, x = np.nonzero(parts)
+                    n = parts[y, x]
+                    _, first = np.unique(n, return_index=True)
+                    rows.append(np.full(len(y), k))
+                    ys.append(y + y0)
+                    xs.append(x + x0)
+                    names.append(((y[first] + y0) * width + x[first] + x0)[n - 1])
+                took = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+                flat = [pa.array(np.concatenate(c).astype(np.int32)) if c else pa.array([], pa.int32()) for c in (ys, xs, names)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(took) for i in range(len(keys))), *flat], names=[*keys, "y", "x", "region_id"])
+
+    per = mask.groupBy(*keys).agg(F.collect_set(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))).alias("pixels"))  # one image's
+    return per.mapInArrow(run, f"{head}, y int, x int, region_id int")
 
 
 def drop_small(mask: DataFrame, width: int, size: int, diagonal: bool = False, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

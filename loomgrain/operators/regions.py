@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
 from loomgrain.functions.pixels import tensor_analysis
 from loomgrain.functions.stats import angle_sdi, entropy_of
-from loomgrain.operators.components import dense, label_images
+from loomgrain.operators.components import columns, dense, label_images
 from loomgrain.operators.masks import CROSS, shifted
 
 REGION = ("image_id", "region_id")
@@ -107,7 +109,7 @@ def measured(mask: DataFrame, width: int, values: DataFrame | None = None, by_pi
     schema = f"image_id {kind}, {MEASURED}" + "".join(f", `total_{c}` double" for c in names) + (", y int, x int" if by_pixel else "")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, y0, x0 = dense(pdf)
+        m, y0, x0 = dense(pdf["y"].to_numpy(), pdf["x"].to_numpy())
         parts = kernels.label(m)
         ys, xs = (pdf["y"] - y0).to_numpy(), (pdf["x"] - x0).to_numpy()
         at = parts[ys, xs]
@@ -116,13 +118,10 @@ def measured(mask: DataFrame, width: int, values: DataFrame | None = None, by_pi
         for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
             py, px_ = ys[own], xs[own]
             box = py.min(), px_.min(), py.max() + 1, px_.max() + 1
-            shape = np.zeros((box[2] - box[0] + 2, box[3] - box[1] + 2), bool)
-            shape[py - box[0] + 1, px_ - box[1] + 1] = True
-            around = kernels.label(~shape)  # the background beyond the frame is the first part
             first = np.lexsort((px_, py))[0]
             v = pdf[names].to_numpy(float)[own]
             totals = [None if np.isnan(c).all() else float(np.nansum(c)) for c in v.T]
-            rows.append((pdf["image_id"].iloc[0], int((py[first] + y0) * width + px_[first] + x0), len(own), int((around != around[0, 0]).sum()), int(box[0] + y0), int(box[1] + x0), int(box[2] + y0), int(box[3] + x0), *totals))
+            rows.append((pdf["image_id"].iloc[0], int((py[first] + y0) * width + px_[first] + x0), len(own), kernels.filled_area(py, px_), int(box[0] + y0), int(box[1] + x0), int(box[2] + y0), int(box[3] + x0), *totals))
             pixels.append(own)
         out = pd.DataFrame(rows, columns=["image_id", "region_id", "area", "filled_area", "min_y", "min_x", "max_y", "max_x", *(f"total_{c}" for c in names)])
         if by_pixel:
@@ -171,17 +170,58 @@ def region_swap(masks: DataFrame, values: DataFrame, width: int, sizes: tuple[in
 
     Regions of mask 0 are tried first; then those of what mask 1 has become. A region stays if it has at least its mask's
     size and mean; else it leaves, and joins the other mask if its mean in the other image is enough, whatever its size.
-    values: (image_id, mask_id, y, x, v). Each mask is labelled and measured against both images in one pass.
+    values: (image_id, mask_id, y, x, v); of a pixel's several values the largest counts, and a region without any has no
+    mean and leaves. Both rounds of an image are one pass after one shuffle; an image must fit a task.
     """
-    now = {k: masks.filter(F.col("mask_id") == k).select("image_id", "y", "x") for k in (0, 1)}
-    both = values.groupBy("image_id", "y", "x").agg(*[F.max(F.when(F.col("mask_id") == k, F.col("v"))).alias(f"v{k}") for k in (0, 1)])
+    kind = masks.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                rows, out = [], []
+                for k, pixels in enumerate(b.column(1)):
+                    mask, y, x, v, _ = columns(pixels)
+                    y0, x0 = y.min(), x.min()
+                    on = np.zeros((2, y.max() - y0 + 1, x.max() - x0 + 1), bool)
+                    light = np.full(on.shape, -np.inf)
+                    own = np.isnan(v)
+                    on[mask[own], y[own] - y0, x[own] - x0] = True
+                    np.maximum.at(light, (mask[~own], y[~own] - y0, x[~own] - x0), v[~own])
+                    swap_masks(on, light, sizes, fracs)
+                    m, y, x = np.nonzero(on)
+                    rows.append(np.full(len(y), k))
+                    out.append((m, y + y0, x + x0))
+                took = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+                flat = [pa.array(np.concatenate(c).astype(np.int32)) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int32())] * 3
+                yield pa.RecordBatch.from_arrays([b.column(0).take(took), *flat], names=["image_id", "mask_id", "y", "x"])
+
+    place = [F.col(c).cast("int").alias(c) for c in ("mask_id", "y", "x")]
+    number = F.when(~F.isnan("v"), F.col("v"))
+    both = masks.filter("mask_id in (0, 1)").select("image_id", *place, F.lit(float("nan")).alias("v")).union(values.filter("mask_id in (0, 1)").select("image_id", *place, number.cast("double").alias("v")).filter("v is not null"))
+    per = both.groupBy("image_id").agg(F.collect_list(F.struct("mask_id", "y", "x", "v")).alias("pixels"))  # one image's
+    return per.mapInArrow(run, f"image_id {kind}, mask_id int, y int, x int")
+
+
+def swap_masks(on: np.ndarray, light: np.ndarray, sizes: tuple[int, int], fracs: tuple[float, float]) -> None:
+    """region_swap() of one image in place; on and light hold both masks and both images, -inf where there is no value."""
     for a, b in ((0, 1), (1, 0)):
-        parts = measured(now[a], width, both, by_pixel=True)
-        mean = {k: F.coalesce(F.col(f"total_v{k}") / F.col("filled_area"), F.lit(float("-inf"))) for k in (a, b)}
-        stays = (F.col("filled_area") >= sizes[a]) & (mean[a] >= fracs[a])
-        now[a] = parts.filter(stays).select("image_id", "y", "x")
-        now[b] = now[b].union(parts.filter(~stays & (mean[b] >= fracs[b])).select("image_id", "y", "x")).distinct()
-    return now[0].withColumn("mask_id", F.lit(0)).union(now[1].withColumn("mask_id", F.lit(1))).select("image_id", "mask_id", "y", "x")
+        parts = kernels.label(on[a])
+        ys, xs = np.nonzero(parts)
+        n = parts[ys, xs]
+        order = np.argsort(n, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(n[order])) + 1) if len(n) else []:
+            y, x = ys[own], xs[own]
+            area = kernels.filled_area(y, x)
+            mean = {}
+            for side in (a, b):
+                v = light[side, y, x]
+                v = v[np.isfinite(v)]
+                mean[side] = v.sum() / area if len(v) else -np.inf
+            if area < sizes[a] or mean[a] < fracs[a]:
+                on[a, y, x] = False
+                if mean[b] >= fracs[b]:
+                    on[b, y, x] = True
 
 
 # ---------------------------------------------------------------- co-occurrence

@@ -119,21 +119,30 @@ def cell_table(cells: DataFrame, image_size: DataFrame) -> DataFrame:
     return out.join(image_size, "image_id").withColumn("cell_coverage", F.col("__area") / F.col("pixels")).drop("__area", "pixels")
 
 
-def metric_databases(segments: DataFrame, cells: DataFrame | None, parts: DataFrame, pixels: DataFrame) -> dict[str, DataFrame]:
-    """The four tables of a corpus: global, fibre, network and cell (empty, and nothing of cells in global, without cells).
+def metric_databases(segments: DataFrame, cells: DataFrame | None, parts: DataFrame, pixels: DataFrame, which: tuple[str, ...] = ("global", "fibre", "network", "cell")) -> dict[str, DataFrame]:
+    """The tables of a corpus named in `which`: global, fibre, network and cell (empty, and nothing of cells in global,
+    without cells).
 
-    parts are the networks (graphs.network_parts()), pixels those of the intensity image. What several tables need is
-    kept once: the networks, and the segment and network rows that the global table averages.
+    parts are the networks (graphs.network_parts()), pixels those of the intensity image. What the global table shares
+    with others is kept once: the networks, and the segment and network rows that it averages.
     """
-    size = pixels.groupBy("image_id").agg(F.count("*").alias("pixels"))
-    parts = kept(parts, "networks")
-    fibre = kept(segment_table(segments, pixels, "fibre"), "fibre-segments")
-    network = kept(network_table(parts), "network-rows")
-    cell = kept(segment_table(cells, pixels, "cell"), "cell-segments") if cells is not None else fibre.limit(0)
-    whole = image_table(fibre, size, network, stats.fibre_properties(graphs.fibres_of_parts(parts)))
-    if cells is not None:
-        whole = whole.join(cell_table(cell, size), "image_id", "left")
-    return {"global": whole, "fibre": fibre, "network": network, "cell": cell}
+    out, share = {}, "global" in which
+    keep = kept if share else lambda df, tag: df
+    if {"global", "network"} & set(which):
+        parts = kept(parts, "networks")
+        out["network"] = keep(network_table(parts), "network-rows")
+    if {"global", "fibre"} & set(which):
+        out["fibre"] = keep(segment_table(segments, pixels, "fibre"), "fibre-segments")
+    if cells is not None and {"global", "cell"} & set(which):
+        out["cell"] = keep(segment_table(cells, pixels, "cell"), "cell-segments")
+    elif "cell" in which:
+        out["cell"] = segment_table(segments.limit(0), pixels, "cell")
+    if share:
+        size = pixels.groupBy("image_id").agg(F.count("*").alias("pixels"))
+        out["global"] = image_table(out["fibre"], size, out["network"], stats.fibre_properties(graphs.fibres_of_parts(parts)))
+        if cells is not None:
+            out["global"] = out["global"].join(cell_table(out["cell"], size), "image_id", "left")
+    return {name: out[name] for name in which}
 
 
 def fibre_filter(network_pixels: DataFrame, images: DataFrame, height: int, width: int) -> DataFrame:

@@ -250,7 +250,7 @@ def test_seeds_and_branches(spark):
     img = np.zeros((20, 20))
     for k in (5, 4):
         img += 2 * np.eye(20, 20, k) + np.rot90(np.eye(20, 20, k))
-    t = table(spark, [(1, "0", 20, 20, img.ravel().tolist()), (2, "0", 20, 20, None)], stencils.TILE)
+    t = table(spark, [(1, "0", 20, 20, img.ravel().tolist()), (2, "0", 20, 20, None)], "image_id long, channel string, height int, width int, data array<double>")
     seeds = graphs.nucleation_points(t, 2.0, 8.0)
     assert [(r.image_id, r.y, r.x) for r in seeds.collect()] == [(1, 5, 10)]
     b = graphs.new_branches(seeds, px.pixels_of(t), 4, 0.15)
@@ -287,5 +287,5 @@ def test_masks_are_saved_and_loaded(spark, probe, tmp_path):
 
 
 def test_stacks_keep_their_shape(spark):
-    t = table(spark, [(1, "b", 1, 2, [1.0, 2.0]), (1, "a", 2, 1, [3.0, 4.0])], stencils.TILE)
+    t = table(spark, [(1, "b", 1, 2, [1.0, 2.0]), (1, "a", 2, 1, [3.0, 4.0])], "image_id long, channel string, height int, width int, data array<double>")
     assert sorted(map(tuple, tables.from_stack(tables.to_stack(t)).collect())) == sorted(map(tuple, t.collect()))
