@@ -115,3 +115,13 @@ def test_network_masks(spark, together):
                     img[kernels.line(places[k][a], places[k][b])] = True
             want = kernels.fill_small(kernels.gaussian(kernels.dilate(img, 2).astype(float), 0.5, "constant") > 0, area)
             assert {(r.y, r.x) for r in got if net is None or r.network_id == net} == set(zip(*map(np.ndarray.tolist, np.nonzero(want))))
+
+
+def test_batches_of_a_stream_are_analysed(spark, tmp_path):
+    spark.createDataFrame(stack("a", 1), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    more = {"preprocess": plain, "buckets": 2}
+    for _ in range(2):  # the second run has nothing new to read
+        analysis.analyse_stream(stream, str(tmp_path / "out"), HOW, str(tmp_path / "state"), **more).awaitTermination()
+    out = analysis.Outputs(spark, str(tmp_path / "out"), 2)
+    assert {r.image_id for r in out.read("global").collect()} == {"a"} and out.read("network").count() >= 1
