@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrain.plans.analysis import Outputs
 from loomgrain.plans.base import PX, SIDE, parts_sql, pixels, q6, query, r6, rounded, table, tiles
 from loomgrain.sources import files, tables
 
@@ -205,6 +206,20 @@ def s20_plan_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.plan_recompute(i, i.filter("image_id % 2 = 0"), i.filter("image_id % 3 = 0"), i.filter("image_id % 5 = 0"))
 
 
+@query("SELECT vec_id AS image_id, g = 0 AS do_network, g < 2 AS do_segment, g < 2 OR k = 1 AS do_metric FROM (SELECT vec_id, coalesce(label, 0) % 3 AS g, coalesce(label, 0) % 2 AS k FROM embeddings)")
+def s20_plan_from_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What written outputs lack: tables made for some labels' images, one of them in two goes, and read back."""
+    label = F.coalesce("label", F.lit(0))
+    i = tiles(spark, sf_dir).select("image_id", "label")
+    out = Outputs(spark, own_folder(spark, "outputs") + "/tables", 4)
+    for group in (1, 2):  # the second go leaves the first one's images as they are
+        out.replace("networks", i.filter(label % 2 == 1), i.filter(label % 3 == group))
+    out.replace("segments", i.limit(0), i.filter(label % 3 == 2))
+    out.replace("metrics", i, i.filter(label % 2 == 0))
+    images = i.select("image_id")
+    return files.plan_recompute(images, *(out.done(name, like=images) for name in ("networks", "segments", "metrics")))
+
+
 @query("SELECT vec_id AS image_id, CASE WHEN vec_id % 2 = 0 THEN label END AS label, CASE WHEN vec_id % 2 = 1 THEN round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 END AS first FROM embeddings")
 def s21_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tiles(spark, sf_dir)
