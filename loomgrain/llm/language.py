@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.llm.runs import slices
+
 U = np.uint64
 ORDER = 4
 DISCOUNT = 0.75
@@ -298,16 +300,17 @@ def _judged(src: DataFrame, model: Model | None, reject_at: float) -> DataFrame:
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column(len(kept)).to_pylist()]
-            names, scores, ents, out = [], [], [], []
-            for at, end in _parts(texts):
-                for row in _judge(model, texts[at:end], reject_at):
-                    names.append(row[0])
-                    scores.append(row[1])
-                    ents.append(row[2])
-                    out.append(row[3])
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ents, pa.float64()), pa.array(out, pa.bool_())], names=[*(f.name for f in kept), "lang_pred", "score", "cross_entropy", "rejected"])
+        for whole in batches:
+            for b in slices(whole, len(kept)):
+                texts = [t or "" for t in b.column(len(kept)).to_pylist()]
+                names, scores, ents, out = [], [], [], []
+                for at, end in _parts(texts):
+                    for row in _judge(model, texts[at:end], reject_at):
+                        names.append(row[0])
+                        scores.append(row[1])
+                        ents.append(row[2])
+                        out.append(row[3])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ents, pa.float64()), pa.array(out, pa.bool_())], names=[*(f.name for f in kept), "lang_pred", "score", "cross_entropy", "rejected"])
 
     return src.mapInArrow(run, head + ", lang_pred string, score double, cross_entropy double, rejected boolean")
 

@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -48,14 +49,13 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tiktoken import Encoding
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        model, added = spec["model"], {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
         mark = model["end_of_word_suffix"]
-        self.library = Tokenizer.from_file(path)
-        added = self.library.get_added_tokens_decoder()
-        self.specials = [t.content for t in added.values()]
+        self.path = path
+        self.specials = list(added.values())
         byte_of = {c: b for b, c in byte_letters().items()}
         ranks = {}
         for token, i in model["vocab"].items():
@@ -67,6 +67,13 @@ class WordEncoder:
             raise ValueError(f"the ids of {path} aren't in order of rank")
         self.words = Encoding(os.path.basename(path), pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, some 30 MB that a worker only holds once a text asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def apart(self, text: str) -> str | None:
         """The text with its words set apart by white space; None for a text that goes to the library."""
         if BEYOND_LATIN.search(text) or LONG.search(text) or any(s in text for s in self.specials):
