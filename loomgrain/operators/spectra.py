@@ -1,94 +1,224 @@
-"""Spectra of graphs too large for a task: Lanczos steps as joins, with all vectors in written tables.
+"""Spectra of graphs too large for a task: products of the packed edges with a few vectors at a time, as keyed passes.
 
-A matrix-vector product is the edges joined with a vector and summed by row. Beside the tables only the projections and
-the small tridiagonal matrix are on the driver: a few numbers a step.
+Nodes are dealt by hash into chunks and numbered within them; edges are packed by their two chunks. A product sends each
+packed part the two chunks it needs and adds up what the parts give. Beside the tables only small matrices of sums are on
+the driver: a few hundred numbers a chunk and step.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrain.operators.components import connected_components
-from loomgrain.sources.stages import kept
+from loomgrain.sources.stages import forget, kept
 
+#: Nodes of a chunk, and edges of a packed part at most (about): what a task holds at a time.
+CHUNK, PART = 1 << 17, 1 << 20
+#: Vectors of either matrix. More of them bring the next eigenvalues along, and the gap behind those sets the pace.
+WIDTH = {"a": 2, "l": 4}
+PARTS = ("x", "y", "p", "q", "w", "z")
+SUMS = "c int, label array<bigint>, a array<double>, l array<double>"
 
-def both_ends(edges: DataFrame) -> DataFrame:
-    """(a, b, r): each edge (src, dst, r) from either end, without loops; of repeated edges the largest r counts."""
+
+def one_way(edges: DataFrame) -> DataFrame:
+    """(a, b, r): each edge (src, dst, r) once, a < b, without loops; of repeated edges the largest r counts."""
     e = edges.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("r").cast("double").alias("r"))
-    one = e.groupBy("a", "b").agg(F.max("r").alias("r"))
-    return one.union(one.select(F.col("b"), F.col("a"), "r"))
+    return e.groupBy("a", "b").agg(F.max("r").alias("r"))
+
+
+def packed(edges: DataFrame, nodes: DataFrame, n: int, chunk: int, part: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks (c, d), parts (ca, cb, k, i, j, r)): weighted degrees, and edges by their ends' chunks and places in them."""
+    dealt = -(-n // chunk)
+    place = (F.row_number().over(Window.partitionBy("c").orderBy("node")) - 1).cast("int")  # a chunk's nodes
+    numbered = kept(nodes.withColumn("c", F.pmod(F.xxhash64("node"), F.lit(dealt)).cast("int")).withColumn("i", place), "spectrum-nodes")
+    chunks = numbered.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("i", "d"))).alias("s")).select("c", F.col("s.d").alias("d"))
+    e = edges.join(numbered.select(F.col("node").alias("a"), F.col("c").alias("ca"), "i"), "a").join(numbered.select(F.col("node").alias("b"), F.col("c").alias("cb"), F.col("i").alias("j")), "b")
+    turned = F.col("ca") > F.col("cb")
+    e = e.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), F.when(turned, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(turned, F.col("i")).otherwise(F.col("j")).alias("j"), "r")
+    many = max(1, math.ceil(edges.count() / (dealt * dealt / 2) / part))
+    rows = e.groupBy("ca", "cb", F.pmod(F.xxhash64("i", "j"), F.lit(many)).cast("int").alias("k")).agg(F.collect_list(F.struct("i", "j", "r")).alias("s"))  # about `part` edges
+    return kept(chunks, "spectrum-chunks"), kept(rows.select("ca", "cb", "k", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.r").alias("r")), "spectrum-edges")
+
+
+def _of(table: pa.Table, name: str, row: int = 0) -> np.ndarray:
+    return table.column(name)[row].values.to_numpy(zero_copy_only=False)
+
+
+def _sums(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["c", "label", "a", "l"])
+
+
+def products(parts: DataFrame, sent: DataFrame) -> DataFrame:
+    """(c, label, a, l) from the same columns: least label of the neighbours, sums of their a, r-weighted sums of their l.
+
+    a and l are matrices of one vector a row.
+    """
+    places = parts.select("ca", "cb", "k")
+    either = places.select(F.col("ca").alias("c"), "*").union(places.filter("ca != cb").select(F.col("cb").alias("c"), "*")).toDF("c", "to_a", "to_b", "to_k")
+
+    def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
+        i, j, r = (_of(edges, c) for c in ("i", "j", "r"))
+        at = {c: k for k, c in enumerate(vectors.column("c").to_pylist())}
+        ends = [at[edges.column(c)[0].as_py()] for c in ("ca", "cb")]
+        label = [_of(vectors, "label", k) for k in range(len(at))]
+        least = [np.full(len(x), np.iinfo(np.int64).max) for x in label]
+        mats = {s: [_of(vectors, s, k).reshape(-1, len(label[k])) for k in range(len(at))] for s in WIDTH}
+        out = {s: [np.zeros(m.shape) for m in mats[s]] for s in WIDTH}
+        for p, q, to, of in ((*ends, i, j), (*ends[::-1], j, i)):
+            np.minimum.at(least[p], to, label[q][of])
+            for s, m in mats.items():
+                for v in range(len(m[q])):
+                    out[s][p][v] += np.bincount(to, m[q][v][of] * (r if s == "l" else 1.0), len(label[p]))
+        return _sums([(c, least[k], out["a"][k].ravel(), out["l"][k].ravel()) for c, k in at.items()])
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = range(table.num_rows)
+        label, a, l = _of(table, "label").copy(), _of(table, "a").copy(), _of(table, "l").copy()  # noqa: E741
+        for k in rows[1:]:
+            np.minimum(label, _of(table, "label", k), out=label)
+            a += _of(table, "a", k)
+            l += _of(table, "l", k)  # noqa: E741
+        return _sums([(table.column("c")[0].as_py(), label, a, l)])
+
+    keys = ("ca", "cb", "k")
+    given = sent.join(F.broadcast(either), "c").select("to_a", "to_b", "to_k", "c", "label", "a", "l")
+    return parts.groupBy(*keys).cogroup(given.groupBy("to_a", "to_b", "to_k")).applyInArrow(run, SUMS).groupBy("c").applyInArrow(total, SUMS)
 
 
 class _Side:
-    """One matrix's tridiagonal form as it grows, and what is known of its largest eigenvalue."""
-
-    def __init__(self) -> None:
-        self.alpha: list[float] = []
-        self.beta: list[float] = []
-        self.value, self.left, self.done = 0.0, math.inf, False
-
-    def close(self, rest: float, tol: float, shift: float | None = None) -> None:
-        """Take the length of what a step left over, and judge: of shift - value, or of value without a shift."""
-        values, vectors = np.linalg.eigh(np.diag(self.alpha) + np.diag(self.beta, 1) + np.diag(self.beta, -1))
-        scale = max(abs(float(values[0])), abs(float(values[-1])), 1e-300)
-        self.value, self.left = float(values[-1]), rest * abs(float(vectors[-1, -1]))
-        others = values[values < self.value - 2 * self.left]  # copies of the largest lie nearer
-        gap = self.value - float(others[-1]) if len(others) else 0.0
-        error = min(self.left, self.left**2 / gap) if gap and len(self.alpha) > 3 else self.left
-        wanted = abs(self.value if shift is None else shift - self.value)
-        self.done = error <= tol * wanted or self.left <= 1e-14 * scale
-        self.beta.append(rest)
-
-
-def graph_spectrum(edges: DataFrame, tol: float = 1e-10, most: int = 1000) -> tuple[float | None, float | None]:
+    """One matrix's vectors as the driver knows them: how the last step's are mixed into the next, and what is found."""
+
+    def __init__(self, sign: float, deflate: bool) -> None:
+        self.sign, self.deflate = sign, deflate
+        self.mix: np.ndarray | None = None
+        self.means = self.theta = self.ritz = np.zeros(0)
+        self.held, self.value, self.left, self.done = 0, 0.0, math.inf, False
+
+    def judge(self, rest: float, tol: float) -> None:
+        """rest: the residual's length of the first vector held."""
+        if self.held and not self.done:
+            self.value = self.sign * float(self.theta[0])
+            others = self.ritz[self.ritz > self.theta[0] + 2 * rest + 1e-9 * abs(self.theta[0])]  # copies lie nearer
+            gap = float(others[0] - self.theta[0]) if len(others) else 0.0
+            self.left = min(rest, rest**2 / gap) if gap else rest
+            self.done = self.left <= tol * abs(self.value) or rest <= 1e-14 * float(np.abs(self.ritz).max())
+
+    def turn(self, g: np.ndarray, h: np.ndarray, sums: np.ndarray, n: int, wide: int) -> None:
+        """The next vectors from the products of all vectors x, w, p with each other (g) and with the matrix's (h)."""
+        self.means = sums / n if self.deflate else np.zeros(len(sums))
+        g = g - n * np.outer(self.means, self.means)
+        scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
+        g, h = g * np.outer(scale, scale), (h + h.T) / 2 * np.outer(scale, scale)
+        size, base = np.linalg.eigh(g)
+        base = base[:, size > 1e-12 * size[-1]] / np.sqrt(size[size > 1e-12 * size[-1]])
+        self.ritz, mix = np.linalg.eigh(base.T @ h @ base)
+        self.theta, mix = self.ritz[:wide], scale[:, None] * (base @ mix[:, :wide])
+        self.mix, self.held, self.before = mix, mix.shape[1], self.held
+
+
+def graph_spectrum(edges: DataFrame, tol: float = 1e-10, most: int = 1000, chunk: int = CHUNK, part: int = PART) -> tuple[float | None, float | None]:
     """(largest adjacency eigenvalue, second-smallest eigenvalue of the r-weighted Laplacian) of one graph (src, dst, r).
 
-    Nodes are the ends of edges; weights r are positive. Two Lanczos runs share each join: one on the adjacency matrix,
-    one on c - L, c twice the largest weighted degree, on vectors of mean 0. Of a run only the last two vectors are kept,
-    so its tables don't grow; what it forgets may repeat eigenvalues but moves none. A run ends when the eigenvalue's error,
-    the residual or its square over the distance to the next eigenvalue, is at most tol times the eigenvalue, or as small
-    as rounding allows; after `most` steps without that there is an error. Steps grow with the root of the spectrum's width
-    over that distance: some dozens for well-knit graphs, far too many for long paths. A graph of several components has connectivity 0; without edges both are
-    null. Loops are left out, of repeated edges the largest r counts.
+    Nodes are the ends of edges; weights r are positive. A few vectors of either matrix are improved at once: each step
+    takes the best mixtures of the vectors, their residuals (of the Laplacian over its diagonal less the eigenvalue) and the
+    last step's changes, on vectors of mean 0 for the Laplacian. A matrix is done when its eigenvalue's error, the
+    residual or its square over the distance to the next eigenvalue, is at most tol times the eigenvalue; after `most` steps
+    without that there is an error. Well-knit graphs take some dozens of steps, also where degrees differ widely; long
+    paths take far too many. Each step also hands the least label to all neighbours; once none changes, the components are
+    known. A graph of several components has connectivity 0; without edges both are null. Loops are left out, of repeated
+    edges the largest r counts.
     """
-    e = kept(both_ends(edges), "spectrum-edges")
-    nodes = kept(e.groupBy(F.col("a").alias("node")).agg(F.sum("r").alias("d")), "spectrum-nodes")
-    n, top = nodes.agg(F.count("*"), F.max("d")).first()
+    e = kept(one_way(edges), "spectrum-pairs")
+    nodes = kept(e.select(F.col("a").alias("node"), "r").union(e.select("b", "r")).groupBy("node").agg(F.sum("r").alias("d")), "spectrum-degrees")
+    n = nodes.count()
     if not n:
         return None, None
-    c = 2.0 * top
-    parts = connected_components(nodes, e, (), "node", "a", "b")
-    whole = parts.select("component").distinct().limit(2).count() == 1
-    # starts: a positive vector, and one of hashed numbers; za and zl are to be scaled, pa and pl are those before
-    h = F.xxhash64("node")
-    state = nodes.select("node", "d", (1.0 + F.pmod(h, F.lit(1000)) / 1000.0).alias("za"), (F.pmod(F.shiftright(h, 20), F.lit(1001)) / 500.0).alias("zl"), F.lit(0.0).alias("pa"), F.lit(0.0).alias("pl"))
-    mean = state.agg(F.avg("zl")).first()[0]
-    state = state.withColumn("zl", F.col("zl") - F.lit(mean))
-    adj, lap, beta_a, beta_l = _Side(), _Side(), 0.0, 0.0
+    chunks, parts = packed(e, nodes, n, chunk, part)
+    sides = {"a": _Side(-1.0, False), "l": _Side(1.0, True)}
+    cols = [s + p for s in WIDTH for p in PARTS]
+    schema = "c int, d array<double>, label array<bigint>, moved bigint, " + ", ".join(f"{c} array<double>" for c in cols)
+
+    def mapped(df: DataFrame, step, ddl: str) -> DataFrame:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        arrow = to_arrow_schema(StructType.fromDDL(ddl))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(b.num_rows):
+                    t = pa.Table.from_batches([b.slice(at, 1)])
+                    yield pa.RecordBatch.from_pylist([step({f: _of(t, f) if pa.types.is_list(t.schema.field(f).type) else t.column(f)[0].as_py() for f in t.schema.names})], arrow)
+
+        return df.mapInArrow(run, ddl)
+
+    def begin(row: dict) -> dict:
+        m, rng = len(row["d"]), np.random.default_rng(row["c"])
+        starts = {"a": 1 + rng.random((WIDTH["a"], m)), "l": rng.standard_normal((WIDTH["l"], m))}
+        empty = np.zeros(0)
+        return {"c": row["c"], "d": row["d"], "label": (row["c"] << 32) + np.arange(m), "moved": 0, **{c: empty for c in cols}, **{s + "w": starts[s].ravel() for s in WIDTH}}
+
+    def forward(how: dict):
+        def step(row: dict) -> dict:
+            m, out = len(row["d"]), dict(row)
+            mat = lambda c: row[c].reshape(-1, m)
+            for s, (mix, means, theta, before, done) in how.items():
+                if done:
+                    out |= {s + p: np.zeros(0) for p in PARTS}
+                    continue
+                all_, of = np.concatenate([mat(s + c) for c in "xwp"]) - means[:, None], np.concatenate([mat(s + c) for c in "yzq"])
+                change = mix.copy()
+                change[:before] = 0
+                x, y = mix.T @ all_, mix.T @ of
+                rest = y - theta[:, None] * x
+                if s == "l":
+                    rest = rest / np.maximum(np.abs(row["d"] - theta[:, None]), 0.05 * np.abs(theta[:, None]) + 1e-300)
+                last = (change.T @ all_, change.T @ of) if before else (np.zeros(0), np.zeros(0))
+                out |= {s + "x": x.ravel(), s + "y": y.ravel(), s + "p": last[0].ravel(), s + "q": last[1].ravel(), s + "w": rest.ravel(), s + "z": np.zeros(0)}
+            return out
+
+        return step
+
+    def met(row: dict) -> dict:
+        label = np.minimum(row["label"], row["least"])
+        return {**{c: row[c] for c in ("c", "d", *cols)}, "label": label, "moved": int((label != row["label"]).sum()), **{s + "z": (-row["w" + s] if s == "a" else (row["d"] * row["lw"].reshape(-1, len(row["d"]))).ravel() - row["wl"]) if len(row[s + "w"]) else np.zeros(0) for s in WIDTH}}
+
+    def sums(row: dict) -> dict:
+        m = len(row["d"])
+        out = {"moved": row["moved"], "roots": int((row["label"] == (row["c"] << 32) + np.arange(m)).sum())}
+        for s, side in thetas.items():
+            all_, of = (np.concatenate([row[s + c].reshape(-1, m) for c in names]) for names in ("xwp", "yzq"))
+            rest = row[s + "y"][:m] - side[0] * row[s + "x"][:m] if len(row[s + "x"]) else np.zeros(0)
+            out |= {s + "g": (all_ @ all_.T).ravel(), s + "h": (all_ @ of.T).ravel(), s + "s": all_.sum(1), s + "r": float(rest @ rest)}
+        return out
+
+    found = "moved bigint, roots bigint, " + ", ".join(f"{s}g array<double>, {s}h array<double>, {s}s array<double>, {s}r double" for s in WIDTH)
+    now, old, whole = mapped(chunks, begin, schema), None, None
     for _ in range(most):
-        norm = state.agg(F.sum(F.col("za") * F.col("za")), F.sum(F.col("zl") * F.col("zl"))).first()
-        beta_a, beta_l = math.sqrt(norm[0]), math.sqrt(norm[1])
-        for run, beta, shift in ((adj, beta_a, None), (lap, beta_l, c)):
-            if run.alpha and not run.done:
-                run.close(beta, tol, shift)
-        lap.done = lap.done or not whole or beta_l == 0.0
-        if adj.done and lap.done:
-            return adj.value, (c - lap.value if lap.alpha else None) if whole else 0.0
-        v = state.select("node", "d", (F.col("za") / (beta_a or 1.0)).alias("va"), (F.col("zl") / (beta_l or 1.0)).alias("vl"), "pa", "pl")
-        times = e.join(v.select(F.col("node").alias("b"), "va", "vl"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("va").alias("ya"), F.sum(F.col("r") * F.col("vl")).alias("yl"))
-        step = v.join(times, "node").withColumn("yl", (c - F.col("d")) * F.col("vl") + F.col("yl"))
-        step = kept(step, "spectrum-step")
-        alpha_a, alpha_l, *means = step.agg(F.sum(F.col("va") * F.col("ya")), F.sum(F.col("vl") * F.col("yl")), *[F.avg(x) for x in ("yl", "vl", "pl")]).first()
-        for run, alpha in ((adj, alpha_a), (lap, alpha_l)):
-            if not run.done:
-                run.alpha.append(alpha)
-        back_a, back_l = (beta_a, beta_l) if len(adj.alpha) > 1 or len(lap.alpha) > 1 else (0.0, 0.0)
-        za = F.col("ya") - alpha_a * F.col("va") - back_a * F.col("pa")
-        off = means[0] - alpha_l * means[1] - back_l * means[2]  # what rounding left of the constant vector, which c - L favours
-        zl = F.col("yl") - F.lit(off) - alpha_l * F.col("vl") - back_l * F.col("pl")
-        state = step.select("node", "d", za.alias("za"), zl.alias("zl"), F.col("va").alias("pa"), F.col("vl").alias("pl"))
-    raise RuntimeError(f"no eigenvalue to {tol} after {most} steps: residuals {adj.left}, {lap.left}")
+        own = now.select("c", "label", F.col("aw").alias("a"), F.col("lw").alias("l"))
+        back = products(parts, own).select("c", F.col("label").alias("least"), F.col("a").alias("wa"), F.col("l").alias("wl"))
+        state = kept(mapped(now.join(back, "c"), met, schema), "spectrum-step")
+        if old is not None:
+            forget(old)
+        old = state
+        thetas = {s: side.theta if len(side.theta) else np.zeros(1) for s, side in sides.items()}
+        rows = mapped(state, sums, found).collect()
+        if whole is None and not sum(r.moved for r in rows):
+            whole = sum(r.roots for r in rows) == 1
+            sides["l"].done = sides["l"].done or not whole
+        for s, side in sides.items():
+            side.judge(math.sqrt(sum(r[s + "r"] for r in rows)), tol)
+        if sides["a"].done and sides["l"].done and whole is not None:
+            return sides["a"].value, sides["l"].value if whole else 0.0
+        for s, side in sides.items():
+            if not side.done:
+                k = len(rows[0][s + "s"])
+                side.turn(*(sum(np.array(r[s + c]) for r in rows).reshape(shape) for c, shape in (("g", (k, k)), ("h", (k, k)), ("s", (k,)))), n, WIDTH[s])
+        now = mapped(state, forward({s: (side.mix, side.means, side.theta, side.before if side.mix is not None else 0, side.done) for s, side in sides.items()}), schema)
+    raise RuntimeError(f"no eigenvalue to {tol} after {most} steps: errors {sides['a'].left}, {sides['l'].left}")

@@ -139,3 +139,14 @@ def test_spectrum_of_small_tables(spark):
     assert of([("a", "b", 2.0), ("b", "a", 1.0), ("b", "b", 7.0)]) == (pytest.approx(1.0), pytest.approx(4.0))
     assert of([("a", "b", 1.0), ("c", "d", 1.0), ("d", "e", 1.0)]) == (pytest.approx(math.sqrt(2)), 0.0)
     assert of([("a", "a", 1.0)]) == (None, None)
+
+
+def test_spectrum_of_uneven_degrees_takes_few_steps(spark):
+    """A hundred hubs of up to 400 edges each: plain Lanczos steps took hundreds; also over several chunks and parts."""
+    rng = random.Random(4)
+    e = {(h, 100 + rng.randrange(1_500)): float(rng.randint(1, 3)) for h in range(100) for _ in range(rng.choice((40, 400)))}
+    e |= {(h, 100 + k): 1.0 for k in range(1_500) for h in rng.sample(range(100), 4)}
+    df = spark.createDataFrame([(a, b, r) for (a, b), r in e.items()], "src long, dst long, r double")
+    top, second = spectra.graph_spectrum(df, most=60, chunk=500, part=2_000)
+    want = networks.spectrum(1_600, np.array(list(e)), np.array(list(e.values())))
+    assert top == pytest.approx(want[0], abs=1e-8) and second == pytest.approx(want[1], abs=1e-8)
