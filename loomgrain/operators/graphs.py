@@ -17,6 +17,7 @@ from loomgrain.functions.pixels import pixels_of
 from loomgrain.operators import stencils
 from loomgrain.operators.components import connected_components
 from loomgrain.operators.masks import shifted, square
+from loomgrain.sources.stages import few_at_once
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -189,7 +190,7 @@ def _per_image(nodes: DataFrame, edges: DataFrame, step) -> tuple[DataFrame, Dat
             yield pd.DataFrame(rows, columns=["image_id", "n", "e"])
 
     kind = nodes.schema["image_id"].dataType.simpleString()
-    g = listed(nodes, edges).mapInPandas(run, f"image_id {kind}, n {NODES}, e {EDGES}")
+    g = few_at_once(listed(nodes, edges), run, f"image_id {kind}, n {NODES}, e {EDGES}")
     return g.select("image_id", F.inline("n")), g.select("image_id", F.inline("e"))
 
 
@@ -246,7 +247,7 @@ def new_branches(points: DataFrame, pixels: DataFrame, half: int, least: float)
 
     kind = points.schema["image_id"].dataType.simpleString()
     rings = ring.groupBy("image_id", F.col("node_id").cast("long").alias("node_id"), "cy", "cx").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("ring"))
-    return rings.mapInPandas(run, f"image_id {kind}, node_id long, y int, x int, v double, dy int, dx int, r double")
+    return few_at_once(rings, run, f"image_id {kind}, node_id long, y int, x int, v double, dy int, dx int, r double")
 
 
 def network_parts(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least: int = 4) -> DataFrame:
@@ -276,7 +277,7 @@ def network_parts(nodes: DataFrame, edges: DataFrame, angle: float = 70.0, least
             yield pd.DataFrame(rows, columns=["image_id", "network_id", "nodes", "edges", "fibres", "red_nodes", "red_edges"])
 
     whole = listed(nodes.dropDuplicates(["image_id", "node_id"]), edges).filter(F.col("e").isNotNull())
-    return whole.mapInPandas(run, f"image_id {kind}, network_id int, nodes {NODES}, edges {EDGES}, fibres array<array<long>>, red_nodes {NODES}, red_edges {EDGES}")
+    return few_at_once(whole, run, f"image_id {kind}, network_id int, nodes {NODES}, edges {EDGES}, fibres array<array<long>>, red_nodes {NODES}, red_edges {EDGES}")
 
 
 def fibres_of_parts(parts: DataFrame) -> DataFrame:
@@ -312,7 +313,7 @@ def part_spectra(parts: DataFrame, dense: int = 2000) -> DataFrame:
                 rows.append((image, net, *networks.spectrum(len(ns), e, np.array([r["r"] for r in es], float), dense)))
             yield pd.DataFrame(rows, columns=["image_id", "network_id", "eigenvalue", "connectivity"])
 
-    return parts.select("image_id", "network_id", "red_nodes", "red_edges").mapInPandas(run, f"image_id {kind}, network_id int, eigenvalue double, connectivity double")
+    return few_at_once(parts.select("image_id", "network_id", "red_nodes", "red_edges"), run, f"image_id {kind}, network_id int, eigenvalue double, connectivity double")
 
 
 def component_metrics(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:

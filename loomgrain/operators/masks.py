@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
+from loomgrain.sources.stages import few_at_once
 
 #: A pixel and its four neighbours.
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
@@ -152,5 +153,5 @@ def network_masks(parts: DataFrame, height: int, width: int, iterations: int = 2
                 ys, xs = kernels.network_mask(lines, height, width, iterations, sigma, area)
                 yield pd.DataFrame({"image_id": [image] * len(ys), "network_id": [net] * len(ys), "y": ys, "x": xs})
 
-    out = own.mapInPandas(run, f"image_id {kind}, network_id int, y int, x int")
+    out = few_at_once(own, run, f"image_id {kind}, network_id int, y int, x int")
     return out if by_network else out.drop("network_id")

@@ -11,7 +11,7 @@ from loomgrain.functions import networks, stats
 from loomgrain.functions.pixels import pixels_of, rescale, structure_tensor, tiles_of
 from loomgrain.operators import clusters, components, graphs, masks, regions, stencils
 from loomgrain.operators.masks import grid
-from loomgrain.sources.stages import kept
+from loomgrain.sources.stages import few_at_once, kept
 
 #: Columns of the segment tables, in order.
 SEGMENT_METRICS = ("area", "circularity", "eccentricity", "coverage", "mean", "std", "entropy", "angle_sdi", "coherence", "local_coherence")
@@ -30,7 +30,7 @@ def _traced(tiles: DataFrame, grow) -> tuple[DataFrame, DataFrame]:
                 rows.append((image, *graphs.rows_of(list(range(len(xy))), xy, pairs)))
             yield pd.DataFrame(rows, columns=["image_id", "n", "e"])
 
-    g = tiles.select("image_id", "height", "width", "data").mapInPandas(run, f"image_id {kind}, n {graphs.NODES}, e {graphs.EDGES}")
+    g = few_at_once(tiles.select("image_id", "height", "width", "data"), run, f"image_id {kind}, n {graphs.NODES}, e {graphs.EDGES}")
     return g.select("image_id", F.inline("n")), g.select("image_id", F.inline("e"))
 
 

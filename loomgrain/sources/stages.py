@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
@@ -35,3 +38,25 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def few_at_once(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 64) -> DataFrame:
+    """df.mapInPandas(run, schema) with frames of at most `rows` rows, whatever the session's batches are.
+
+    For rows that hold lists of structs: as Python objects they take some ten times what they take in a batch.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows).to_pandas()
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in run(small(batches)):
+            yield pa.RecordBatch.from_pandas(made, arrow, preserve_index=False)
+
+    return df.mapInArrow(through, schema)

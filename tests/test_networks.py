@@ -150,3 +150,12 @@ def test_spectrum_of_uneven_degrees_takes_few_steps(spark):
     top, second = spectra.graph_spectrum(df, most=60, chunk=500, part=2_000)
     want = networks.spectrum(1_600, np.array(list(e)), np.array(list(e.values())))
     assert top == pytest.approx(want[0], abs=1e-8) and second == pytest.approx(want[1], abs=1e-8)
+
+
+def test_few_rows_at_once(spark):
+    """Rows of lists go through Python some at a time, though a batch of the session holds them all."""
+    from loomgrain.sources.stages import few_at_once
+
+    df = spark.range(0, 500, 1, 1).selectExpr("id", "array(named_struct('a', id)) as s")
+    sizes = few_at_once(df, lambda frames: (f.assign(k=len(f))[["id", "k"]] for f in frames), "id long, k int", 64).collect()
+    assert max(r.k for r in sizes) <= 64 and len(sizes) == 500
