@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +31,83 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("image_id",), node: str = "node_id", src: str = "src", dst: str = "dst") -> DataFrame:
+#: Nodes and edges, from either end, of a key that one task takes.
+FITS = 1 << 18
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("image_id",), node: str = "node_id", src: str = "src", dst: str = "dst", fits: int = FITS) -> DataFrame:
     """(keys, node, component): each node with the smallest node of its key that edges connect it to.
 
-    Each round takes the least label of a node's neighbours, then that label's own label, so the number of rounds grows
-    with the logarithm of the longest path. Nodes without edges are components. Edges whose ends aren't nodes are ignored.
+    Keys of up to `fits` nodes and edges are done in one pass, each by one task. For larger ones each round takes the least
+    label of a node's neighbours, then that label's own label, so the number of rounds grows with the logarithm of the
+    longest path. Nodes without edges are components. Edges whose ends aren't nodes are ignored.
     """
     k = list(keys)
-    both = edges.select(*k, F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(*k, F.col(dst), F.col(src))).distinct()
-    both = _cut(both)
-    label = _cut(nodes.select(*k, F.col(node).alias("n"), F.col(node).alias("c")).distinct())
+    none = F.lit(None).cast(nodes.schema[node].dataType)
+    both = edges.select(*k, F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(*k, F.col(dst), F.col(src)))
+    if not k:
+        return _by_rounds(nodes.select(F.col(node).alias("n")), both, k, node)
+    rows = _cut(nodes.select(*k, F.col(node).alias("n"), none.alias("a"), none.alias("b")).unionByName(both.filter("a < b").select(*k, none.alias("n"), "a", "b")))
+    large = rows.groupBy(*k).agg(F.count("*").alias("size")).filter(F.col("size") > fits).select(*k)
+    if large.isEmpty():
+        return _cut(_in_tasks(rows, k, node))
+    large = _cut(large)
+    rest = rows.join(large, k, "left_semi")
+    half = rest.filter("a is not null")
+    slow = _by_rounds(rest.filter("n is not null").select(*k, "n"), half.select(*k, "a", "b").union(half.select(*k, "b", "a")), k, node)
+    return _cut(_in_tasks(rows.join(large, k, "left_anti"), k, node)).union(slow)
+
+
+def _in_tasks(rows: DataFrame, k: list[str], node: str) -> DataFrame:
+    """connected_components() of rows (keys, n, a, b), either a node n or an edge from a to b; some keys at a time."""
+    kind = rows.schema["n"].dataType.simpleString()
+    head = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in k)
+
+    def solved(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, of = b.column(len(k)).flatten(), np.repeat(np.arange(b.num_rows), b.column(len(k)).value_lengths())
+        values, at = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+        codes = np.unique(of * len(values) + at)  # a key's nodes side by side, by id
+        ends, known = [], np.True_
+        owner = np.repeat(np.arange(b.num_rows), b.column(len(k) + 1).value_lengths())
+        for c in ("a", "b"):
+            v = pa.compute.struct_field(b.column(len(k) + 1).flatten(), c).to_numpy(zero_copy_only=False)
+            spot = np.minimum(np.searchsorted(values, v), max(len(values) - 1, 0))
+            code = owner * len(values) + spot
+            place = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+            known = known & (values[spot] == v) & (codes[place] == code) if len(codes) else np.zeros(len(v), bool)
+            ends.append(place)
+        p, q = (e[known] for e in ends)
+        label = np.arange(len(codes))
+        while True:
+            least = np.minimum(label[p], label[q])
+            new = label.copy()
+            for e in (label[p], label[q], p, q):  # an end's own label learns of the other's, too
+                np.minimum.at(new, e, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        took = pa.array(codes // max(len(values), 1))
+        named = [pa.array(values[c % max(len(values), 1)], ids.type) for c in (codes, codes[label])]
+        return pa.RecordBatch.from_arrays([*(b.column(i).take(took) for i in range(len(k))), *named], names=[*k, node, "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            size = np.cumsum(whole.column(len(k)).value_lengths().to_numpy() + whole.column(len(k) + 1).value_lengths().to_numpy())
+            at = 0
+            while at < whole.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + FITS, "right")))
+                yield solved(whole.slice(at, end - at))
+                at = end
+
+    per = rows.groupBy(*k).agg(F.collect_list("n").alias("n"), F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("e"))  # a key's, FITS at most
+    return per.mapInArrow(run, f"{head}, `{node}` {kind}, component {kind}")
+
+
+def _by_rounds(nodes: DataFrame, both: DataFrame, k: list[str], node: str) -> DataFrame:
+    """connected_components() of nodes (keys, n) and edges from either end (keys, a, b) of any number."""
+    both = _cut(both.distinct())
+    label = _cut(nodes.select(*k, "n", F.col("n").alias("c")).distinct())
     while True:
         near = both.join(label.withColumnRenamed("n", "b"), [*k, "b"]).groupBy(*k, F.col("a").alias("n")).agg(F.min("c").alias("m"))
         step = label.join(near, [*k, "n"], "left").select(*k, "n", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))

@@ -159,3 +159,22 @@ def test_few_rows_at_once(spark):
     df = spark.range(0, 500, 1, 1).selectExpr("id", "array(named_struct('a', id)) as s")
     sizes = few_at_once(df, lambda frames: (f.assign(k=len(f))[["id", "k"]] for f in frames), "id long, k int", 64).collect()
     assert max(r.k for r in sizes) <= 64 and len(sizes) == 500
+
+
+def test_components_in_tasks_and_by_rounds(spark):
+    """The same components for small keys (one pass, no rounds of joins) and for large ones."""
+    from loomgrain.operators import components
+
+    rng = random.Random(9)
+    n = [(f"i{i}", v * 3) for i in range(40) for v in range(1 + i)]
+    e = [(f"i{i}", rng.randrange(1 + i) * 3, rng.randrange(3 + i) * 3) for i in range(40) for _ in range(i // 2)]
+    e += [("i39", v * 3, v * 3 + 3) for v in range(20, 38)] + [("absent", 0, 3)]
+    nodes, edges = spark.createDataFrame(n, "image_id string, node_id long"), spark.createDataFrame(e, "image_id string, src long, dst long")
+    want = set()
+    for i in range(40):
+        parts = networks.components(1 + i, [(a // 3, b // 3) for k, a, b in e if k == f"i{i}" and max(a, b) // 3 <= i])
+        want |= {(f"i{i}", 3 * v, 3 * part[0]) for part in parts for v in part}
+    for fits in (components.FITS, 30, 0):
+        got = [tuple(r) for r in components.connected_components(nodes, edges, fits=fits).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert components.connected_components(nodes.filter("false"), edges).count() == 0
