@@ -1,4 +1,8 @@
-"""Array work on one image at a time; numpy only, called inside Spark tasks."""
+"""Array work on images; numpy only, called inside Spark tasks.
+
+Blurs, ridges, medians, morphology and non-local means also take stacks (..., height, width) of images of one size, and
+give what they give for each image alone, bit by bit.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +34,7 @@ def gaussian(img: np.ndarray, sigma: float | None, border: str = "symmetric") ->
     if not sigma:
         return img.astype(float)
     w = blur_weights(sigma)
-    return along(along(img.astype(float), w, 0, border), w, 1, border)
+    return along(along(img.astype(float), w, -2, border), w, -1, border)
 
 
 def sobel_tensor(img: np.ndarray, sigma: float) -> np.ndarray:
@@ -46,9 +50,9 @@ def tubeness(img: np.ndarray, sigma_max: int = 3) -> np.ndarray:
     best = np.zeros(img.shape)
     for sigma in range(1, sigma_max + 1):
         soft = gaussian(-img, sigma, "edge")
-        gy, gx = np.gradient(soft)
-        yy, yx = np.gradient(gy)
-        _, xx = np.gradient(gx)
+        gy, gx = np.gradient(soft, axis=(-2, -1))
+        yy, yx = np.gradient(gy, axis=(-2, -1))
+        xx = np.gradient(gx, axis=-1)
         top = (yy + xx) / 2 + np.sqrt(((yy - xx) / 2) ** 2 + yx**2)
         best = np.maximum(best, np.where(top > 0, top, 0) * sigma**2)
     return best
@@ -148,11 +152,16 @@ def filled_area(ys: np.ndarray, xs: np.ndarray) -> int:
     return int((around != around[0, 0]).sum())
 
 
-def hysteresis(img: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """4-connected parts above the low threshold that hold a value above the high one."""
+def hysteresis_limits(img: np.ndarray, alpha: float = 1.0) -> tuple[float, float]:
+    """The low and the high threshold of hysteresis()."""
     low = min(alpha * img.mean(), li_threshold(img))
     high = isodata_threshold(img)
-    low = min(low, high)
+    return float(min(low, high)), high
+
+
+def hysteresis(img: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+    """4-connected parts above the low threshold that hold a value above the high one."""
+    low, high = hysteresis_limits(img, alpha)
     parts = label(img > low, diagonal=False)
     strong = np.unique(parts[(img > high) & (parts > 0)])
     return np.isin(parts, strong) & (parts > 0)
@@ -177,16 +186,16 @@ def fill_enclosed(mask: np.ndarray) -> np.ndarray:
 def dilate(mask: np.ndarray, times: int = 1) -> np.ndarray:
     out = mask.astype(bool)
     for _ in range(times):
-        p = np.pad(out, 1)
-        out = p[1:-1, 1:-1] | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]
+        p = np.pad(out, [(0, 0)] * (out.ndim - 2) + [(1, 1)] * 2)
+        out = p[..., 1:-1, 1:-1] | p[..., :-2, 1:-1] | p[..., 2:, 1:-1] | p[..., 1:-1, :-2] | p[..., 1:-1, 2:]
     return out
 
 
 def erode(mask: np.ndarray, times: int = 1) -> np.ndarray:
     out = mask.astype(bool)
     for _ in range(times):
-        p = np.pad(out, 1)
-        out = p[1:-1, 1:-1] & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+        p = np.pad(out, [(0, 0)] * (out.ndim - 2) + [(1, 1)] * 2)
+        out = p[..., 1:-1, 1:-1] & p[..., :-2, 1:-1] & p[..., 2:, 1:-1] & p[..., 1:-1, :-2] & p[..., 1:-1, 2:]
     return out
 
 
@@ -234,8 +243,8 @@ def network_mask(lines: list, height: int, width: int, times: int, sigma: float
 
 def square_median(img: np.ndarray, size: int = 3) -> np.ndarray:
     r = size // 2
-    big = np.pad(img, r, mode="symmetric")
-    return np.median(np.lib.stride_tricks.sliding_window_view(big, (size, size)), axis=(2, 3))
+    big = np.pad(img, [(0, 0)] * (img.ndim - 2) + [(r, r)] * 2, mode="symmetric")
+    return np.median(np.lib.stride_tricks.sliding_window_view(big, (size, size), axis=(-2, -1)), axis=(-2, -1))
 
 
 def distance_transform(mask: np.ndarray) -> np.ndarray:
@@ -346,45 +355,51 @@ def equalise_adaptive(img: np.ndarray, parts: int = 8, limit: float = 0.01, bins
     return (mix - mix.min()) / max(mix.max() - mix.min(), 1e-300)
 
 
-def noise_level(img: np.ndarray) -> float:
-    """Median absolute diagonal detail of a two-tap-pair wavelet (four coefficients), over 0.6745."""
+def noise_level(img: np.ndarray) -> float | np.ndarray:
+    """Median absolute diagonal detail of a two-tap-pair wavelet (four coefficients), over 0.6745; one for each image."""
     r3 = math.sqrt(3)
     g = np.array([1 - r3, r3 - 3, 3 + r3, -1 - r3]) / (4 * math.sqrt(2))
 
     def detail(a: np.ndarray, axis: int) -> np.ndarray:
-        pad = [(0, 0)] * 2
+        pad = [(0, 0)] * a.ndim
         pad[axis] = (3, 3)
         big = np.pad(a, pad, mode="symmetric")
         n = (a.shape[axis] + 3) // 2
         return sum(x * big.take(np.arange(1, 1 + 2 * n, 2) + k, axis) for k, x in enumerate(g))
 
-    d = detail(detail(img, 0), 1)
-    d = d[np.abs(d) > 1e-12]
-    return float(np.median(np.abs(d)) / 0.6744897501960817) if d.size else 0.0
+    d = np.abs(detail(detail(img, -2), -1)).reshape(*img.shape[:-2], -1)
+    n = (d > 1e-12).sum(-1, keepdims=True)
+    d = np.sort(np.where(d > 1e-12, d, np.inf), axis=-1)
+    middle = [np.take_along_axis(d, np.clip(k, 0, d.shape[-1] - 1), -1) for k in ((n - 1) // 2, n // 2)]
+    level = np.where(n > 0, (middle[0] + middle[1]) / 2 / 0.6744897501960817, 0.0)[..., 0]
+    return level if level.ndim else float(level)
 
 
-def nl_means(img: np.ndarray, patch: int = 5, distance: int = 35, strength: float = 1.2, noise: float | None = None) -> np.ndarray:
+def nl_means(img: np.ndarray, patch: int = 5, distance: int = 35, strength: float = 1.2, noise: float | np.ndarray | None = None) -> np.ndarray:
     """Non-local means over pixels of the image up to `distance` away.
 
     Patch differences come from running sums for one shift at a time, so the cost doesn't depend on the patch size.
-    Weights under exp(-5) count as none.
+    Weights under exp(-5) count as none; images without noise stay.
     """
-    sigma = noise_level(img) if noise is None else noise
+    img = img.astype(float)
+    sigma = np.asarray(noise_level(img) if noise is None else noise, float)[..., None, None]
     h2 = (strength * sigma) ** 2
-    if h2 == 0:
-        return img.astype(float)
-    r, (h, w) = patch // 2, img.shape
-    big = np.pad(img.astype(float), r, mode="reflect" if min(h, w) > r else "edge")
-    total, weight = np.zeros((h, w)), np.zeros((h, w))
+    if not (h2 != 0).any():
+        return img
+    still, h2 = h2 == 0, np.where(h2 == 0, 1.0, h2)
+    r, (h, w) = patch // 2, img.shape[-2:]
+    flat = [(0, 0)] * (img.ndim - 2)
+    big = np.pad(img, [*flat, (r, r), (r, r)], mode="reflect" if min(h, w) > r else "edge")
+    total, weight = np.zeros(img.shape), np.zeros(img.shape)
     for dy in range(-min(distance, h - 1), min(distance, h - 1) + 1):
         for dx in range(-min(distance, w - 1), min(distance, w - 1) + 1):
             y0, y1, x0, x1 = max(0, -dy), min(h, h - dy), max(0, -dx), min(w, w - dx)
-            one = big[y0 : y1 + 2 * r, x0 : x1 + 2 * r]
-            other = big[y0 + dy : y1 + dy + 2 * r, x0 + dx : x1 + dx + 2 * r]
-            s = np.pad(((one - other) ** 2).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-            d = (s[patch:, patch:] - s[:-patch, patch:] - s[patch:, :-patch] + s[:-patch, :-patch]) / patch**2
+            one = big[..., y0 : y1 + 2 * r, x0 : x1 + 2 * r]
+            other = big[..., y0 + dy : y1 + dy + 2 * r, x0 + dx : x1 + dx + 2 * r]
+            s = np.pad(((one - other) ** 2).cumsum(-2).cumsum(-1), [*flat, (1, 0), (1, 0)])
+            d = (s[..., patch:, patch:] - s[..., :-patch, patch:] - s[..., patch:, :-patch] + s[..., :-patch, :-patch]) / patch**2
             d = np.maximum(d - 2 * sigma**2, 0) / h2
             k = np.where(d > 5, 0.0, np.exp(-d))
-            total[y0:y1, x0:x1] += k * img[y0 + dy : y1 + dy, x0 + dx : x1 + dx]
-            weight[y0:y1, x0:x1] += k
-    return total / weight
+            total[..., y0:y1, x0:x1] += k * img[..., y0 + dy : y1 + dy, x0 + dx : x1 + dx]
+            weight[..., y0:y1, x0:x1] += k
+    return np.where(still, img, total / weight)

@@ -11,37 +11,54 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
 
-def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+#: Pixels of images of one size that a kernel takes as one stack.
+STACK = 1 << 16
+
+
+def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], stacked: bool = False, spread: bool = False) -> DataFrame:
     """tiles with each image replaced by kernel(image). Null data stays null; values and shapes may change.
 
-    Rows are taken a few at a time, so the batch size of the session doesn't decide how much memory a task needs.
+    Rows are taken a few at a time, so the batch size of the session doesn't decide how much memory a task needs. With
+    `stacked` the kernel takes stacks (n, height, width) of images of one size, of STACK pixels or one image. With `spread`
+    images are first dealt over the session's partitions, for kernels that take far longer than a shuffle of the images,
+    as the files that they come from may be few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 32):
-                b = whole.slice(at, 32)
-                hs, ws, data = [], [], []
-                for h, w, d in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-                    if not d.is_valid:
-                        hs, ws, data = [*hs, h], [*ws, w], [*data, None]
-                        continue
-                    out = np.asarray(kernel(np.asarray(d.values, dtype=float).reshape(h, w)), dtype=float)
-                    hs.append(out.shape[0])
-                    ws.append(out.shape[1])
-                    data.append(out.ravel())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hs, pa.int32()), pa.array(ws, pa.int32()), pa.array(data, pa.list_(pa.float64()))], names=["image_id", "channel", "height", "width", "data"])
+            for at in range(0, whole.num_rows, 1024 if stacked else 32):
+                b = whole.slice(at, 1024 if stacked else 32)
+                sizes, col = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)), b.column(4)
+                held, ends = col.is_valid().to_pylist(), col.offsets.to_numpy()
+                flat = col.values.to_numpy(zero_copy_only=False).astype(float, copy=False)
+                data, at_size = [None] * len(sizes), {}
+                for i, ok in enumerate(held):
+                    if ok:
+                        at_size.setdefault(sizes[i], []).append(i)
+                for (h, w), own in at_size.items():
+                    step = max(1, STACK // max(1, h * w)) if stacked else 1
+                    for k in range(0, len(own), step):
+                        some = own[k : k + step]
+                        images = np.stack([flat[ends[i] : ends[i + 1]].reshape(h, w) for i in some])
+                        made = kernel(images) if stacked else [kernel(images[0])]
+                        for i, out in zip(some, made, strict=True):
+                            out = np.asarray(out, dtype=float)
+                            sizes[i], data[i] = out.shape, out.ravel()
+                hs, ws = (pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hs, ws, pa.array(data, pa.list_(pa.float64()))], names=["image_id", "channel", "height", "width", "data"])
 
     src = tiles.select("image_id", F.col("channel").cast("string"), F.col("height").cast("int"), F.col("width").cast("int"), F.col("data").cast("array<double>"))
+    if spread:
+        src = src.repartition("image_id", "channel")
     return src.mapInArrow(run, f"image_id {tiles.schema['image_id'].dataType.simpleString()}, channel string, height int, width int, data array<double>")
 
 
 def gaussian(tiles: DataFrame, sigma: float | None) -> DataFrame:
-    return map_tiles(tiles, lambda a: kernels.gaussian(a, sigma))
+    return map_tiles(tiles, lambda a: kernels.gaussian(a, sigma), stacked=True)
 
 
 def tubeness(tiles: DataFrame, sigma_max: int = 3) -> DataFrame:
-    return map_tiles(tiles, lambda a: kernels.tubeness(a, sigma_max))
+    return map_tiles(tiles, lambda a: kernels.tubeness(a, sigma_max), stacked=True)
 
 
 def hysteresis(tiles: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -49,7 +66,7 @@ def hysteresis(tiles: DataFrame, alpha: float = 1.0) -> DataFrame:
 
 
 def nl_means(tiles: DataFrame, patch: int = 5, distance: int = 35) -> DataFrame:
-    return map_tiles(tiles, lambda a: kernels.nl_means(a, patch, distance))
+    return map_tiles(tiles, lambda a: kernels.nl_means(a, patch, distance), stacked=True, spread=True)
 
 
 def median_filter(tiles: DataFrame, size: int = 3, times: int = 1) -> DataFrame:
@@ -58,7 +75,7 @@ def median_filter(tiles: DataFrame, size: int = 3, times: int = 1) -> DataFrame:
             a = kernels.square_median(a, size)
         return a
 
-    return map_tiles(tiles, run)
+    return map_tiles(tiles, run, stacked=True)
 
 
 def equalise_adaptive(tiles: DataFrame, limit: float = 0.01) -> DataFrame:

@@ -108,3 +108,14 @@ def test_spectrum_of_long_paths_and_of_many_parts():
     tail = lambda n: np.array([(0, n + 1), (0, n + 2), (0, n + 3), *((i, i + 1) for i in range(n))])  # noqa: E731  # its first eigenvector fades to 0 along the path
     long, short = (N.spectrum(n + 4, tail(n), np.ones(n + 3))[0] for n in (2400, 300))
     assert long == pytest.approx(short, rel=1e-9) and short > 2.1
+
+
+def test_stacks_equal_images_alone():
+    """Filters of stacks give each image what it gets alone, a constant and a rounded one among them."""
+    rng = np.random.default_rng(8)
+    for shape in ((6, 8, 8), (3, 23, 31)):
+        stack = rng.standard_normal(shape)
+        stack[1] = 1.0
+        stack[2] = stack[2].round()
+        for fn in (lambda a: K.nl_means(a, 3, 7), lambda a: K.tubeness(a, 3), lambda a: K.gaussian(a, 0.5), lambda a: K.square_median(a, 3), lambda a: K.erode(a > 0, 2), lambda a: K.dilate(a > 0, 2)):
+            assert np.array_equal(fn(stack), np.stack([fn(a) for a in stack]))

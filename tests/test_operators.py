@@ -289,3 +289,15 @@ def test_masks_are_saved_and_loaded(spark, probe, tmp_path):
 def test_stacks_keep_their_shape(spark):
     t = table(spark, [(1, "b", 1, 2, [1.0, 2.0]), (1, "a", 2, 1, [3.0, 4.0])], "image_id long, channel string, height int, width int, data array<double>")
     assert sorted(map(tuple, tables.from_stack(tables.to_stack(t)).collect())) == sorted(map(tuple, t.collect()))
+
+
+def test_stacked_tiles(spark):
+    """Images of several sizes and a null one in a batch; a stacked kernel is called far less than once an image."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "0", h, w, None if i == 5 else rng.random(h * w).tolist()) for i in range(90) for h, w in [((4, 6), (3, 3), (7, 2))[i % 3]]]
+    t = spark.createDataFrame(rows, "image_id int, channel string, height int, width int, data array<double>").coalesce(1)
+    got = {r.image_id: r for r in stencils.map_tiles(t, lambda a: a[:, :, ::-1] + len(a), stacked=True).collect()}
+    for i, _, h, w, data in rows:
+        n = 30 - (h == 7)
+        assert (got[i].height, got[i].width) == (h, w)
+        assert got[i].data is None if data is None else np.array_equal(got[i].data, (np.reshape(data, (h, w))[:, ::-1] + n).ravel())
