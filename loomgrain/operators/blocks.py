@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
 from loomgrain.operators.components import connected_components
+from loomgrain.operators.stencils import STACK
 from loomgrain.sources.stages import kept
 
 KEYS = ["image_id", "channel", "height", "width"]
@@ -28,14 +29,43 @@ def _schema(df: DataFrame, *more: str) -> str:
     return ", ".join([f"image_id {df.schema['image_id'].dataType.simpleString()}", "channel string", "height int", "width int", *more])
 
 
+def _values(c: pa.Array) -> Callable[[int], object]:
+    """The i-th value of a column: lists of numbers as numpy arrays that share its memory, lists of structs as dicts."""
+    kind = c.type
+    if not pa.types.is_list(kind) or not (pa.types.is_floating(kind.value_type) or pa.types.is_struct(kind.value_type)):
+        return c.to_pylist().__getitem__
+    ends, there = c.offsets.to_pylist(), c.is_valid().to_pylist()
+    if pa.types.is_floating(kind.value_type):
+        flat = c.values.to_numpy(zero_copy_only=False)
+        return lambda i: flat[ends[i] : ends[i + 1]] if there[i] else None
+    fields = {f.name: _values(c.values.field(k)) for k, f in enumerate(kind.value_type)}
+    return lambda i: [{name: get(j) for name, get in fields.items()} for j in range(ends[i], ends[i + 1])] if there[i] else None
+
+
 def _rows(b: pa.RecordBatch) -> Iterator[dict]:
-    """Rows as dicts, arrays of numbers as numpy arrays; one at a time, so that a batch isn't held twice."""
-    for i in range(b.num_rows):
-        yield {name: (np.asarray(c[i].values) if pa.types.is_list(c.type) and pa.types.is_floating(c.type.value_type) and c[i].is_valid else c[i].as_py()) for name, c in zip(b.schema.names, b.columns, strict=True)}
+    """Rows as dicts, one at a time, so that a batch isn't held twice."""
+    for at in range(0, b.num_rows, 256):
+        part = b.slice(at, 256)
+        columns = {name: _values(c) for name, c in zip(b.schema.names, part.columns, strict=True)}
+        for i in range(part.num_rows):
+            yield {name: get(i) for name, get in columns.items()}
+
+
+#: Numbers that a pass over rows holds of what it makes, before it passes them on.
+HELD = 1 << 18
 
 
 def _mapped(df: DataFrame, step: Callable[[dict], list[dict]], schema: str) -> DataFrame:
-    """step(row) -> rows over df in one Arrow pass; a few rows are passed on at a time."""
+    """step(row) -> rows over df in one Arrow pass; what is made is passed on at 1,024 rows or HELD numbers."""
+
+    def steps(rows: Iterator[dict]) -> Iterator[list[dict]]:
+        yield from map(step, rows)
+
+    return _mapped_rows(df, steps, schema)
+
+
+def _mapped_rows(df: DataFrame, steps: Callable[[Iterator[dict]], Iterator[list[dict]]], schema: str) -> DataFrame:
+    """_mapped() of a step that takes the rows of a batch in turn and may see several before it gives theirs."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -43,18 +73,23 @@ def _mapped(df: DataFrame, step: Callable[[dict], list[dict]], schema: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in _rows(b):
-                out += step(row)
-                if len(out) >= 64:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
-                    out = []
+            out, size = [], 0
+            for made in steps(_rows(b)):
+                out += made
+                size += sum(len(v) for row in made for v in row.values() if isinstance(v, (np.ndarray, list)))
+                if len(out) >= 1024 or size >= HELD:
+                    yield _batch(out, arrow)
+                    out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_pylist(out, arrow)
+                yield _batch(out, arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
 def blocks_of(pixels: DataFrame, side: int, sizes: DataFrame | None = None) -> DataFrame:
     """Blocks from pixels (image_id, channel, y, x, v), of which every one is there.
 
@@ -91,38 +126,67 @@ def _square(row: dict, side: int) -> np.ndarray:
 def map_blocks(blocks: DataFrame, side: int, reach: int, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """blocks with kernel(image) in place of data, for kernels that see no further than `reach` pixels.
 
-    Each block sends its neighbours the strips that they need, which is all that is shuffled beside the blocks; each puts
-    together what it gets, filters it with the image's own border where that is near, and cuts the rest off again.
+    Small blocks are filtered together in fields of at least four reaches, so that a pixel isn't filtered many times as
+    some block's surroundings. Each block sends the fields beside its own the strips that they need, which is all that is
+    shuffled beside the blocks; each field puts together what it gets, is filtered with the image's own border where that
+    is near, and is cut into its blocks again. Fields of one size go through the kernel as one stack (n, height, width).
     """
-    rings = -(-reach // side)
+    many = max(1, -(-4 * reach // side))
+    field = many * side
 
     def send(row: dict) -> list[dict]:
         a, out = _square(row, side), []
         y0, x0 = row["by"] * side, row["bx"] * side
-        for by in range(max(0, row["by"] - rings), min(-(-row["height"] // side), row["by"] + rings + 1)):
-            for bx in range(max(0, row["bx"] - rings), min(-(-row["width"] // side), row["bx"] + rings + 1)):
-                (ya, yb), (xa, xb) = _extent(by, side, row["height"], reach), _extent(bx, side, row["width"], reach)
+        y1, x1 = y0 + a.shape[0], x0 + a.shape[1]
+        last_y, last_x = (row["height"] - 1) // field, (row["width"] - 1) // field
+        for fy in range(max(0, (y0 - reach) // field), min(last_y, (y1 - 1 + reach) // field) + 1):
+            for fx in range(max(0, (x0 - reach) // field), min(last_x, (x1 - 1 + reach) // field) + 1):
+                (ya, yb), (xa, xb) = _extent(fy, field, row["height"], reach), _extent(fx, field, row["width"], reach)
                 part = a[max(ya - y0, 0) : max(yb - y0, 0), max(xa - x0, 0) : max(xb - x0, 0)]
-                if part.size:
-                    out.append({**{k: row[k] for k in KEYS}, "by": by, "bx": bx, "y": max(ya, y0), "x": max(xa, x0), "h": part.shape[0], "w": part.shape[1], "part": part.ravel()})
+                out.append({**{k: row[k] for k in KEYS}, "fy": fy, "fx": fx, "y": max(ya, y0), "x": max(xa, x0), "h": part.shape[0], "w": part.shape[1], "part": part.ravel()})
         return out
 
-    def put(row: dict) -> list[dict]:
-        (ya, yb), (xa, xb) = _extent(row["by"], side, row["height"], reach), _extent(row["bx"], side, row["width"], reach)
+    def put(row: dict) -> np.ndarray:
+        (ya, yb), (xa, xb) = _extent(row["fy"], field, row["height"], reach), _extent(row["fx"], field, row["width"], reach)
         a, filled = np.zeros((yb - ya, xb - xa)), 0
         for p in row["parts"]:
-            a[p["y"] - ya : p["y"] - ya + p["h"], p["x"] - xa : p["x"] - xa + p["w"]] = np.reshape(p["part"], (p["h"], p["w"]))
+            a[p["y"] - ya : p["y"] - ya + p["h"], p["x"] - xa : p["x"] - xa + p["w"]] = p["part"].reshape(p["h"], p["w"])
             filled += p["h"] * p["w"]
         if filled != a.size:
-            raise ValueError(f"blocks around {row['by']}, {row['bx']} of image {row['image_id']} are missing or repeated")
-        (y0, y1), (x0, x1) = _extent(row["by"], side, row["height"]), _extent(row["bx"], side, row["width"])
-        done = np.asarray(kernel(a), float)[y0 - ya : y1 - ya, x0 - xa : x1 - xa]
-        return [{**{k: row[k] for k in (*KEYS, "by", "bx")}, "data": done.ravel()}]
+            raise ValueError(f"blocks around {row['fy'] * many}, {row['fx'] * many} of image {row['image_id']} are missing or repeated")
+        return a
+
+    def cut(row: dict, done: np.ndarray) -> list[dict]:
+        ya, xa = _extent(row["fy"], field, row["height"], reach)[0], _extent(row["fx"], field, row["width"], reach)[0]
+        out = []
+        for by in range(row["fy"] * many, min((row["fy"] + 1) * many, -(-row["height"] // side))):
+            for bx in range(row["fx"] * many, min((row["fx"] + 1) * many, -(-row["width"] // side))):
+                (y0, y1), (x0, x1) = _extent(by, side, row["height"]), _extent(bx, side, row["width"])
+                out.append({**{k: row[k] for k in KEYS}, "by": by, "bx": bx, "data": done[y0 - ya : y1 - ya, x0 - xa : x1 - xa].ravel()})
+        return out
+
+    def filtered(rows: Iterator[dict]) -> Iterator[list[dict]]:
+        waiting: dict[tuple, list] = {}
+
+        def some(shape: tuple) -> Iterator[list[dict]]:
+            own = waiting.pop(shape)
+            done = np.asarray(kernel(np.stack([a for _, a in own])), float)
+            for (row, _), d in zip(own, done, strict=True):
+                yield cut(row, d)
+
+        for row in rows:
+            a = put(row)
+            waiting.setdefault(a.shape, []).append(({k: row[k] for k in (*KEYS, "fy", "fx")}, a))
+            if sum(len(own) * h * w for (h, w), own in waiting.items()) >= STACK:
+                for shape in list(waiting):
+                    yield from some(shape)
+        for shape in list(waiting):
+            yield from some(shape)
 
     src = blocks.select(*KEYS, "by", "bx", F.col("data").cast("array<double>").alias("data"))
-    sent = _mapped(src, send, _schema(blocks, "by int", "bx int", "y int", "x int", "h int", "w int", "part array<double>"))
-    met = sent.groupBy(*KEYS, "by", "bx").agg(F.collect_list(F.struct("y", "x", "h", "w", "part")).alias("parts"))  # (2 * rings + 1) ** 2 at most
-    return _mapped(met, put, _schema(blocks, "by int", "bx int", "data array<double>"))
+    sent = _mapped(src, send, _schema(blocks, "fy int", "fx int", "y int", "x int", "h int", "w int", "part array<double>"))
+    met = sent.groupBy(*KEYS, "fy", "fx").agg(F.collect_list(F.struct("y", "x", "h", "w", "part")).alias("parts"))  # a field's
+    return _mapped_rows(met, filtered, _schema(blocks, "by int", "bx int", "data array<double>"))
 
 
 def gaussian(blocks: DataFrame, side: int, sigma: float) -> DataFrame:

@@ -90,3 +90,17 @@ def test_missing_and_empty(spark, pixels):
         blocks.gaussian(b.filter("not (image_id = 'lines' and by = 1 and bx = 1)"), 8, 1.0).count()
     again = blocks.pixels_of_blocks(b, 8).select(*pixels.columns)
     assert again.exceptAll(pixels.select(*pixels.columns)).count() == 0 and again.count() == pixels.count()
+
+
+def test_a_field_is_filtered_once(spark):
+    """An 8 x 8 image in blocks of 3 goes through a far-reaching kernel once, not once a block."""
+    calls = spark.sparkContext.accumulator(0)
+    rows = [(i, "0", y, x, float(i + y * x)) for i in range(20) for y in range(8) for x in range(8)]
+    b = blocks.blocks_of(spark.createDataFrame(rows, "image_id int, channel string, y int, x int, v double"), 3)
+
+    def kernel(a):
+        calls.add(len(a))
+        return kernels.tubeness(a, 3)
+
+    assert blocks.map_blocks(b, 3, 14, kernel).count() == 180
+    assert calls.value == 20
