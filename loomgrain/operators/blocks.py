@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
-from loomgrain.operators.components import connected_components
+from loomgrain.operators.components import FITS, connected_components
 from loomgrain.operators.stencils import STACK
 from loomgrain.sources.stages import kept
 
@@ -226,10 +226,15 @@ def closed(blocks: DataFrame, side: int, times: int = 1) -> DataFrame:
 
 
 def _with(blocks: DataFrame, images: DataFrame) -> DataFrame:
-    """blocks joined with columns of their image; an image's blocks are dealt over SALTS keys."""
-    salted = blocks.withColumn("__s", F.pmod(F.xxhash64("by", "bx"), F.lit(SALTS)).cast("int"))
-    each = images.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(each, ["image_id", "channel", "__s"]).drop("__s")
+    """blocks joined with columns of their image, images (KEYS, ...); those of one beyond FITS pixels over up to SALTS keys.
+
+    Both sides are dealt: images are as many as blocks of one, so neither may go to the driver and to all tasks whole.
+    """
+    size = F.col("height").cast("long") * F.col("width")
+    salts = F.least(F.lit(SALTS), F.lit(1) + F.floor(size / FITS)).cast("int")
+    salted = blocks.withColumn("__s", F.pmod(F.xxhash64("by", "bx"), salts).cast("int"))
+    each = images.withColumn("__s", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(each.hint("merge"), [*KEYS, "__s"]).drop("__s")
 
 
 def smallest_gap(blocks: DataFrame) -> DataFrame:
@@ -245,20 +250,47 @@ def smallest_gap(blocks: DataFrame) -> DataFrame:
     return per.withColumn("between", between).groupBy("image_id", "channel").agg(F.least(F.min("gap"), F.min("between")).alias("gap"))
 
 
-def thresholds(blocks: DataFrame, alpha: float = 1.0, rounds: int = 1000) -> DataFrame:
-    """(image_id, channel, low, high) of hysteresis(): its two thresholds, from sums and counts of blocks.
+def thresholds(blocks: DataFrame, side: int, alpha: float = 1.0, rounds: int = 1000, fits: int = FITS) -> DataFrame:
+    """(image_id, channel, height, width, low, high) of hysteresis(): its two thresholds. blocks are read several times.
+
+    Images of up to `fits` pixels are put together, each in one task, all in one pass. Those of larger ones come from sums
+    and counts of blocks, see thresholds_by_rounds().
+    """
+    size = F.col("height").cast("long") * F.col("width")
+    small, large = blocks.filter(size <= fits), blocks.filter(size > fits)
+
+    def whole(row: dict) -> list[dict]:
+        a = np.full((row["height"], row["width"]), np.nan)
+        filled = 0
+        for p in row["parts"]:
+            part = _square({**row, **p}, side)
+            y, x = p["by"] * side, p["bx"] * side
+            a[y : y + part.shape[0], x : x + part.shape[1]] = part
+            filled += part.size
+        if filled != a.size:
+            raise ValueError(f"blocks of image {row['image_id']} are missing or repeated")
+        low, high = kernels.hysteresis_limits(a, alpha)
+        return [{**{k: row[k] for k in KEYS}, "low": low, "high": high}]
+
+    parts = small.groupBy(*KEYS).agg(F.collect_list(F.struct("by", "bx", F.col("data").cast("array<double>").alias("data"))).alias("parts"))  # one image's, `fits` pixels at most
+    done = _mapped(parts, whole, _schema(blocks, "low double", "high double"))
+    return done if large.isEmpty() else done.unionByName(thresholds_by_rounds(kept(large, "large"), alpha, rounds))
+
+
+def thresholds_by_rounds(blocks: DataFrame, alpha: float = 1.0, rounds: int = 1000) -> DataFrame:
+    """thresholds() of images of any size, from sums and counts of blocks.
 
     The fixed point of the cross-entropy threshold takes a pass over the blocks a round, all images together, until no
     image moves by half its smallest gap; the other one takes a histogram of 256 bins between the image's extremes.
     """
-    keys = ["image_id", "channel"]
+    keys = KEYS
 
     def part(step: Callable[[np.ndarray, dict], dict], *extra: str):
         return lambda row: [{**{k: row[k] for k in KEYS}, **step(np.asarray(row["data"], float), row)}]
 
     basics = _mapped(blocks, part(lambda a, r: {"s": float(a.sum()), "n": a.size, "lo": float(a.min()), "hi": float(a.max())}), _schema(blocks, "s double", "n long", "lo double", "hi double"))
     base = basics.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    base = kept(base.join(smallest_gap(blocks), keys), "image-range")
+    base = kept(base.join(smallest_gap(blocks), ["image_id", "channel"]), "image-range")
     state = base.select(*keys, "lo", (F.col("gap") / 2).alias("tolerance"), (F.col("mean") - F.col("lo")).alias("t"), (F.col("lo") == F.col("hi")).alias("done"))
     state = kept(state, "threshold")
 
@@ -284,7 +316,7 @@ def thresholds(blocks: DataFrame, alpha: float = 1.0, rounds: int = 1000) -> Dat
 
     bins = _mapped(_with(blocks, base.filter("lo < hi").select(*keys, "lo", "hi")), part(histogram), _schema(blocks, "lo double", "hi double", "counts array<long>"))
     bins = bins.groupBy(*keys, "lo", "hi").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(256)]).alias("counts"))
-    iso = _mapped(bins, lambda r: [{"image_id": r["image_id"], "channel": r["channel"], "high": kernels.isodata_of(np.array(r["counts"]), r["lo"], r["hi"])}], _schema(blocks).split(", height")[0] + ", high double")
+    iso = _mapped(bins, lambda r: [{**{k: r[k] for k in KEYS}, "high": kernels.isodata_of(np.array(r["counts"]), r["lo"], r["hi"])}], _schema(blocks, "high double"))
     t = base.join(li, keys).join(iso, keys, "left").withColumn("high", F.coalesce("high", "lo"))
     return t.select(*keys, F.least(F.lit(alpha) * F.col("mean"), F.col("li"), F.col("high")).alias("low"), "high")
 
@@ -320,10 +352,13 @@ def label_blocks(blocks: DataFrame, side: int, diagonal: bool = True) -> tuple[D
     return numbered, parts.join(found, ["image_id", "channel", "node_id"]).select("image_id", "channel", "by", "bx", "label", "component")
 
 
-def hysteresis(blocks: DataFrame, side: int, alpha: float = 1.0) -> DataFrame:
-    """blocks with 1 where 4-connected parts above the low threshold hold a value above the high one, else 0."""
+def hysteresis(blocks: DataFrame, side: int, alpha: float = 1.0, fits: int = FITS) -> DataFrame:
+    """blocks with 1 where 4-connected parts above the low threshold hold a value above the high one, else 0.
+
+    fits: see thresholds().
+    """
     blocks = kept(blocks, "blocks")
-    limits = kept(thresholds(blocks, alpha), "limits")
+    limits = kept(thresholds(blocks, side, alpha, fits=fits), "limits")
     met = kept(_with(blocks, limits), "limited")
     weak = _mapped(met, lambda r: [{**{k: r[k] for k in (*KEYS, "by", "bx")}, "data": (np.asarray(r["data"]) > r["low"]).astype(float)}], _schema(blocks, "by int", "bx int", "data array<double>"))
     labels, parts = label_blocks(weak, side, False)

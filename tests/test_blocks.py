@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgrain.functions import kernels
 from loomgrain.operators import blocks
 from loomgrain.plans.base import mosaics
+from loomgrain.sources.stages import kept
 
 
 def images():
@@ -92,6 +93,25 @@ def test_missing_and_empty(spark, pixels):
     assert again.exceptAll(pixels.select(*pixels.columns)).count() == 0 and again.count() == pixels.count()
 
 
+def test_thresholds_of_large_images(pixels):
+    """Images beyond what fits go by rounds over blocks, the others in one pass; both as the whole image."""
+    on_blocks = blocks.hysteresis(blocks.blocks_of(pixels, 8), 8, 0.9, fits=100)
+    got = arrays(on_blocks, 8)
+    assert all(np.array_equal(got[k], kernels.hysteresis(a, 0.9).astype(float)) for k, a in images().items())
+
+
+def test_thresholds_take_no_rounds(spark, pixels):
+    """Images that fit take a fixed number of jobs, and no table of images is sent to the driver and on to all tasks."""
+    b, sc = kept(blocks.blocks_of(pixels, 8), "test-blocks"), spark.sparkContext
+    sc.setJobGroup("limits", "")
+    limits = blocks.thresholds(b, 8, 0.9)
+    limits.collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("limits")) <= 4
+    met = blocks._with(b, limits)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_field_is_filtered_once(spark):
     """An 8 x 8 image in blocks of 3 goes through a far-reaching kernel once, not once a block."""
     calls = spark.sparkContext.accumulator(0)
