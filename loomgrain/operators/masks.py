@@ -1,10 +1,13 @@
 """Binary masks as rows: a mask pixel is there (image_id, mask_id, y, x) or it isn't.
 
-Neighbour work multiplies rows by a fixed handful of offsets and joins on whole pixels; nothing dense is built.
+Neighbour work multiplies rows by a fixed handful of offsets and joins on whole pixels, or packs pixels of a row into
+numbers and does so with these; nothing dense is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,30 +34,107 @@ def inside(height: Column | int, width: Column | int) -> Column:
     return (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < height) & (F.col("x") < width)
 
 
+#: Pixels of a row that one number holds, and the furthest that one step reaches.
+WORD, STEP = 32, 8
+
+
+def _words(mask: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, y, w, bits): a mask with WORD pixels of a row, from x = w * WORD on, in one number."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("x"), F.lit(WORD)).cast("int"))
+    place = (F.col("y").cast("int").alias("y"), F.floor(F.col("x") / WORD).cast("int").alias("w"))
+    return mask.groupBy(*keys, *place).agg(F.bit_or(bit).alias("bits"))
+
+
+def _within(words: DataFrame, height: Column | int, width: Column | int) -> DataFrame:
+    """Words without what lies outside the image."""
+    n = F.greatest(F.least(F.lit(width) - F.col("w") * WORD, F.lit(WORD)), F.lit(0)).cast("int")
+    bits = F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1)
+    return words.filter((F.col("w") >= 0) & (F.col("y") >= 0) & (F.col("y") < height)).withColumn("bits", bits).filter("bits != 0")
+
+
+def _pixels(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    on = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)
+    return words.select(*keys, "y", (F.col("w") * WORD).alias("__x"), F.explode(on).alias("__i")).select(*keys, "y", (F.col("__x") + F.col("__i")).cast("int").alias("x"))
+
+
+def _all(cols: list[Column], how: str) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = getattr(out, how)(c)
+    return out
+
+
+def _cross(times: int) -> dict[int, int]:
+    """How far left and right each row (by dy) reaches: `times` steps to the four neighbours."""
+    return {dy: times - abs(dy) for dy in range(-times, times + 1)}
+
+
+def _wider(words: DataFrame, keys: tuple[str, ...], reach: dict[int, int]) -> DataFrame:
+    """Words with each pixel's surroundings, reach[dy] pixels left and right in row y + dy."""
+    sent, low = [], F.lit((1 << WORD) - 1)
+    for dy, r in reach.items():
+        # half a word to the left of the word itself, so that up to STEP pixels on either side are held too
+        wide = _all([F.shiftleft("bits", WORD // 2 + k) for k in range(-r, r + 1)], "bitwiseOR")
+        parts = {0: F.shiftrightunsigned(wide, WORD // 2).bitwiseAND(low)}
+        if r:
+            parts |= {-1: F.shiftleft(wide.bitwiseAND(F.lit((1 << WORD // 2) - 1)), WORD // 2), 1: F.shiftrightunsigned(wide, WORD // 2 + WORD)}
+        sent += [F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw"), bits.cast("long").alias("b")) for dw, bits in parts.items()]
+    each = words.select(*keys, "y", "w", F.explode(F.filter(F.array(*sent), lambda p: p["b"] != 0)).alias("__p"))
+    return each.groupBy(*keys, (F.col("y") + F.col("__p.dy")).alias("y"), (F.col("w") + F.col("__p.dw")).alias("w")).agg(F.bit_or("__p.b").alias("bits"))
+
+
+def _narrower(words: DataFrame, keys: tuple[str, ...], reach: dict[int, int]) -> DataFrame:
+    """Words with the pixels whose surroundings are all there."""
+    places = [(dy, dw) for dy, r in reach.items() for dw in ((-1, 0, 1) if r else (0,))]
+    sent = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(-dy).alias("dy"), F.lit(-dw).alias("dw")) for i, (dy, dw) in enumerate(places)]))
+    each = words.select(*keys, "y", "w", "bits", sent.alias("__p"))
+    met = each.groupBy(*keys, (F.col("y") + F.col("__p.dy")).alias("y"), (F.col("w") + F.col("__p.dw")).alias("w"))
+    met = met.agg(*[F.coalesce(F.max(F.when(F.col("__p.i") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"__b{i}") for i in range(len(places))])
+    at = {place: F.col(f"__b{i}") for i, place in enumerate(places)}
+    rows = []
+    for dy, r in reach.items():
+        wide = F.shiftleft(at[dy, 0], WORD // 2)
+        if r:
+            wide = wide.bitwiseOR(F.shiftrightunsigned(at[dy, -1], WORD // 2)).bitwiseOR(F.shiftleft(at[dy, 1], WORD // 2 + WORD))
+        rows += [F.shiftrightunsigned(wide, WORD // 2 + k) for k in range(-r, r + 1)]
+    bits = _all(rows, "bitwiseAND").bitwiseAND(F.lit((1 << WORD) - 1))
+    return met.select(*keys, "y", "w", bits.cast("long").alias("bits")).filter("bits != 0")
+
+
+def _stepped(words: DataFrame, height: Column | int, width: Column | int, far: int, keys: tuple[str, ...], step: Callable, reach: Callable[[int], dict[int, int]]) -> DataFrame:
+    """`step` by reach(far), STEP pixels at most at a time; what then lies within the image."""
+    while far > 0:
+        words = step(words, keys, reach(min(far, STEP)))
+        far -= STEP
+    return _within(words, height, width)
+
+
 def dilate(mask: DataFrame, height: int, width: int, times: int = 1, keys: tuple[str, ...] = ("image_id", "mask_id")) -> DataFrame:
-    """Each pixel with its four neighbours, `times` times over, within the image."""
-    reach = tuple((dy, dx) for dy, dx in square(times) if abs(dy) + abs(dx) <= times)
-    return shifted(mask.select(*keys, "y", "x"), reach).filter(inside(height, width)).distinct()
+    """Each pixel with its four neighbours, `times` times over, within the image.
+
+    This and the like go by numbers of WORD pixels of a row, so that nothing is multiplied by the pixels reached.
+    """
+    return _pixels(_stepped(_words(mask, keys), height, width, times, keys, _wider, _cross), keys)
 
 
 def erode(mask: DataFrame, height: int, width: int, times: int = 1, keys: tuple[str, ...] = ("image_id", "mask_id")) -> DataFrame:
     """Pixels whose whole neighbourhood is in the mask; outside the image nothing is."""
-    reach = tuple((dy, dx) for dy, dx in square(times) if abs(dy) + abs(dx) <= times)
-    hits = shifted(mask.select(*keys, "y", "x").distinct(), reach).filter(inside(height, width)).groupBy(*keys, "y", "x").agg(F.count("*").alias("__n"))
-    return hits.filter(F.col("__n") == len(reach)).drop("__n")
+    return _pixels(_stepped(_words(mask, keys), height, width, times, keys, _narrower, _cross), keys)
 
 
 def opened(mask: DataFrame, height: int, width: int, times: int = 1, keys: tuple[str, ...] = ("image_id", "mask_id")) -> DataFrame:
-    return dilate(erode(mask, height, width, times, keys), height, width, times, keys)
+    small = _stepped(_words(mask, keys), height, width, times, keys, _narrower, _cross)
+    return _pixels(_stepped(small, height, width, times, keys, _wider, _cross), keys)
 
 
 def closed(mask: DataFrame, height: int, width: int, times: int = 1, keys: tuple[str, ...] = ("image_id", "mask_id")) -> DataFrame:
-    return erode(dilate(mask, height, width, times, keys), height, width, times, keys)
+    large = _stepped(_words(mask, keys), height, width, times, keys, _wider, _cross)
+    return _pixels(_stepped(large, height, width, times, keys, _narrower, _cross), keys)
 
 
 def smooth(mask: DataFrame, height: int, width: int, sigma: float, keys: tuple[str, ...] = ("image_id", "mask_id")) -> DataFrame:
     """Where a blur of the mask isn't zero: the mask widened by the blur's radius in a square."""
-    return shifted(mask.select(*keys, "y", "x"), square(int(4 * sigma + 0.5))).filter(inside(height, width)).distinct()
+    return _pixels(_stepped(_words(mask, keys), height, width, int(4 * sigma + 0.5), keys, _wider, lambda r: dict.fromkeys(range(-r, r + 1), r)), keys)
 
 
 def union_masks(masks: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

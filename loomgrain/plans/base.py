@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions.pixels import tiles_of
-from loomgrain.operators.masks import grid, threshold_mean
+from loomgrain.operators.masks import grid
 
 SIDE = 8
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +72,12 @@ def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def foreground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threshold_mean(pixels(spark, sf_dir)).select("image_id", "y", "x", "v")
+    """threshold_mean() of the images; only as whole arrays are they dealt by id, so a sort holds a row an image."""
+    some, own = F.filter("data", lambda v: v.isNotNull()), Window.partitionBy("image_id")
+    t = tiles(spark, sf_dir).select("image_id", "data", F.aggregate(some, F.lit(0.0), lambda s, v: s + v).alias("s"), F.coalesce(F.size(some), F.lit(0)).alias("n"))
+    t = t.select("image_id", "data", (F.sum("s").over(own) / F.nullif(F.sum("n").over(own), F.lit(0))).alias("m"))
+    p = t.select("image_id", "m", F.posexplode("data").alias("i", "v")).filter("v >= m")
+    return p.select("image_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).cast("int").alias("x"), "v")
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

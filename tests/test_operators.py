@@ -301,3 +301,21 @@ def test_stacked_tiles(spark):
         n = 30 - (h == 7)
         assert (got[i].height, got[i].width) == (h, w)
         assert got[i].data is None if data is None else np.array_equal(got[i].data, (np.reshape(data, (h, w))[:, ::-1] + n).ravel())
+
+
+def test_morphology_goes_by_words(spark):
+    """Masks over word borders as on whole images, repeated pixels too; rows aren't multiplied by the pixels reached."""
+    from loomgrain.functions import kernels
+
+    rng = np.random.default_rng(5)
+    on = {i: rng.random((9, 70)) < share for i, share in enumerate((0.05, 0.9, 0.99))}
+    rows = [(i, int(y), int(x)) for i, m in on.items() for y, x in zip(*np.nonzero(m), strict=True)]
+    mask, key = spark.createDataFrame(rows + rows[:9], "image_id int, y int, x int"), ("image_id",)
+    for t in (1, 10):
+        want = {"dilate": lambda a, t=t: kernels.dilate(a, t), "erode": lambda a, t=t: kernels.erode(a, t)}
+        want |= {"opened": lambda a, w=want: w["dilate"](w["erode"](a)), "closed": lambda a, w=want: w["erode"](w["dilate"](a))}
+        for name, fn in want.items():
+            got = sorted(map(tuple, getattr(masks, name)(mask, 9, 70, t, key).collect()))
+            assert got == sorted((i, int(y), int(x)) for i, m in on.items() for y, x in zip(*np.nonzero(fn(m)), strict=True)), name
+    full = spark.range(50).selectExpr("id as image_id", "explode(sequence(0, 31)) as y").selectExpr("image_id", "y", "explode(sequence(0, 31)) as x")
+    assert masks._wider(masks._words(full, key), key, masks._cross(1)).count() <= 50 * 34 * 3  # 32 x 32 pixels an image
