@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,33 +103,45 @@ def measured(mask: DataFrame, width: int, values: DataFrame | None = None, by_pi
     names = [] if values is None else [c for c in values.columns if c not in ("image_id", "y", "x")]
     if names:
         m = m.join(values, ["image_id", "y", "x"], "left")
-    m = m.select("image_id", "y", "x", *[F.col(c).cast("double") for c in names])
+    m = m.select("image_id", F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(c).cast("double") for c in names]).alias("p"))
     kind = mask.schema["image_id"].dataType.simpleString()
     schema = f"image_id {kind}, {MEASURED}" + "".join(f", `total_{c}` double" for c in names) + (", y int, x int" if by_pixel else "")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, y0, x0 = dense(pdf["y"].to_numpy(), pdf["x"].to_numpy())
-        parts = kernels.label(m)
-        ys, xs = (pdf["y"] - y0).to_numpy(), (pdf["x"] - x0).to_numpy()
-        at = parts[ys, xs]
-        order = np.argsort(at, kind="stable")
-        rows, pixels = [], []
-        for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-            py, px_ = ys[own], xs[own]
-            box = py.min(), px_.min(), py.max() + 1, px_.max() + 1
-            first = np.lexsort((px_, py))[0]
-            v = pdf[names].to_numpy(float)[own]
-            totals = [None if np.isnan(c).all() else float(np.nansum(c)) for c in v.T]
-            rows.append((pdf["image_id"].iloc[0], int((py[first] + y0) * width + px_[first] + x0), len(own), kernels.filled_area(py, px_), int(box[0] + y0), int(box[1] + x0), int(box[2] + y0), int(box[3] + x0), *totals))
-            pixels.append(own)
-        out = pd.DataFrame(rows, columns=["image_id", "region_id", "area", "filled_area", "min_y", "min_x", "max_y", "max_x", *(f"total_{c}" for c in names)])
-        if by_pixel:
-            out = out.loc[np.repeat(np.arange(len(out)), [len(p) for p in pixels])].reset_index(drop=True)
-            flat = np.concatenate(pixels)
-            out["y"], out["x"] = pdf["y"].to_numpy()[flat], pdf["x"].to_numpy()[flat]
-        return out
-
-    return m.groupBy("image_id").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                took, rows, ys, xs = [], [], [], []
+                for k, pixels in enumerate(b.column(1)):
+                    y, x, *v, _ = columns(pixels)
+                    for own, row in _measures(y, x, v, width):
+                        n = len(own) if by_pixel else 1
+                        took += [k] * n
+                        rows += [row] * n
+                        ys.append(y[own])
+                        xs.append(x[own])
+                made = list(zip(*rows, strict=True)) if rows else [()] * (7 + len(names))
+                out = [b.column(0).take(pa.array(took, pa.int64()))] + [pa.array(c, t) for c, t in zip(made, [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.float64()] * len(names)], strict=True)]
+                if by_pixel:
+                    out += [pa.array(np.concatenate(c) if c else [], pa.int32()) for c in (ys, xs)]
+                yield pa.RecordBatch.from_arrays(out, names=["image_id", "region_id", "area", "filled_area", "min_y", "min_x", "max_y", "max_x", *(f"total_{c}" for c in names), *(("y", "x") if by_pixel else ())])
+
+    return m.groupBy("image_id").agg(F.collect_list("p").alias("pixels")).mapInArrow(run, schema)  # one image's pixels
+
+
+def _measures(y: np.ndarray, x: np.ndarray, values: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, tuple]]:
+    """measured() of one image: for each part which of the pixels it has, and its row."""
+    m, y0, x0 = dense(y, x)
+    at = kernels.label(m)[y - y0, x - x0]
+    order = np.argsort(at, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+        py, px_ = y[own], x[own]
+        totals = [None if np.isnan(v[own]).all() else float(np.nansum(v[own])) for v in values]
+        box = int(py.min()), int(px_.min()), int(py.max()) + 1, int(px_.max()) + 1
+        first = int((py.astype(np.int64) * width + px_)[np.lexsort((px_, py))[0]])
+        # what encloses a pixel has at least eight pixels
+        filled = kernels.filled_area(py, px_) if len(own) >= 8 else len(own)
+        yield own, (first, len(own), filled, *box, *totals)
 
 
 def regions(mask: DataFrame, height: int, width: int, pixels: DataFrame | None = None, min_size: int = 0, min_frac: float | None = None) -> DataFrame:

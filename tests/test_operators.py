@@ -319,3 +319,17 @@ def test_morphology_goes_by_words(spark):
             assert got == sorted((i, int(y), int(x)) for i, m in on.items() for y, x in zip(*np.nonzero(fn(m)), strict=True)), name
     full = spark.range(50).selectExpr("id as image_id", "explode(sequence(0, 31)) as y").selectExpr("image_id", "y", "explode(sequence(0, 31)) as x")
     assert masks._wider(masks._words(full, key), key, masks._cross(1)).count() <= 50 * 34 * 3  # 32 x 32 pixels an image
+
+
+def test_measured_in_batches(spark):
+    """Parts of many images are measured some hundred images a call, not by a call an image; empty values give no total."""
+    rows = [(i, y, x) for i in range(300) for y in range(4) for x in range(4) if (y, x) not in ((1, 1), (0, 3))] + [(i, 6, 6) for i in range(300)]
+    mask = spark.createDataFrame(rows + rows[:5], "image_id int, y int, x int")
+    values = spark.createDataFrame([(i, y, x, 1.5) for i, y, x in rows if y < 6], "image_id int, y int, x int, v double")
+    got = regions.measured(mask, 8, values)
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(i, 0, 14, 15, 0, 0, 4, 4, 21.0) for i in range(300)} | {(i, 54, 1, 1, 6, 6, 7, 7, None) for i in range(300)}
+    assert set(map(tuple, got.collect())) == want
+    each = regions.measured(mask, 8, values, by_pixel=True).collect()
+    assert {(r.image_id, r.y, r.x) for r in each} == set(rows) and len(each) == len(rows)
+    assert regions.measured(mask.filter("false"), 8).count() == 0
