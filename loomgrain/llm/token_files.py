@@ -1,13 +1,14 @@
-"""Token ids in files: an adaptive context-mixing range coder over blocks that stand on their own.
+"""Token ids in files: an adaptive context-mixing range coder over blocks side by side.
 
-A file is a head, blocks and a foot. Each block holds up to BLOCK ids, starts from a fresh state and has a checksum of its
-own. All blocks of a file are coded side by side: step t codes id t of every block, with numpy over the blocks.
+A file is a head, blocks and a foot. Each block holds up to BLOCK ids and has a checksum of its own. All blocks of a file
+are coded side by side: step t codes id t of every block, with numpy over the blocks.
 
-What is coded of an id is how it is predicted. The last two ids name the id that followed them last (order 2), the last id
-names another (order 1), and order 0 names ids by how far back in the block they stand; an id that is new to the block is
-named by its size. Two adaptive distributions over these ways, one under how well the predictions did before and one under
-the way taken last, are mixed; the mixing weight of a context follows the one that would have coded better. All numbers
-are integers, so that reader and writer agree on any machine.
+What is coded of an id is how it is predicted. The last two ids name the id that followed them last in the block (order 2),
+the last id names another (order 1), and order 0 names ids by how far back in the block they stand; an id that is new to
+the block is named by its size. Distributions over these ways are learnt from all blocks of the file, at steps ever further
+apart: one under how well the predictions did before, one under the way taken last, and one under both. The first two are
+mixed by weights that follow the one that would have coded better, and the mixture stands in for what the third hasn't seen
+yet. All numbers are integers, so that reader and writer agree on any machine.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.llm.common import fresh_path, written
-from loomgrain.llm.packing import WordEncoder, _encoders
+from loomgrain.llm.packing import APART, WordEncoder, _encoders
 from loomgrain.llm.runs import slices
 from loomgrain.llm.warc import store
 
@@ -34,134 +36,114 @@ BLOCK, BLOCKS = 2048, 2048
 #: Fixed values of the format: its name, and the sizes of its head, block heads and tail.
 MAGIC = b"LGTOKID1"
 BLOCK_HEAD, TAIL = struct.Struct("<III"), struct.Struct("<QII8s")
-#: Ways to name an id: order 2, order 1, six distances by powers of four, eight sizes of new ids.
-WAYS = 16
+#: Ways to name an id: order 2, order 1, six distances, eight sizes of new ids; contexts of the ways.
+WAYS, CONTEXTS = 16, 512
 NEW, BACK = 8, 2
-#: Bits of the distributions, the least share of a way, and slots of the prediction tables.
-BITS, LEAST, SLOTS = 15, 16, 2048
-#: How fast distributions and weights follow, by right shift.
-RATE, WEIGHT_RATE = 5, 4
-
-_SPAN = np.array([1, 1, *(3 * 4**k for k in range(6)), 512, *(512 << k for k in range(7))], np.uint64)
-_BASE = np.array([0, 0, *(4**k for k in range(6)), 0, *(512 << k for k in range(7))], np.int64)
-_ROOM = (1 << BITS) - LEAST * WAYS
-#: Row s: where way s moves a distribution's upper ends to.
-_TOWARDS = np.where(np.arange(WAYS)[None] >= np.arange(WAYS)[:, None], _ROOM, 0).astype(np.int16)
-#: What each way's upper end gets on top, less one so that all fits 16 bits.
-_FLOOR = (LEAST * np.arange(1, WAYS + 1) - 1).astype(np.int16)
-#: Rows of equal numbers: numpy multiplies and compares rows much faster than a column with a table.
-_EIGHTHS = np.repeat(np.arange(9, dtype=np.int16), WAYS).reshape(-1, WAYS)
-_LEVELS = np.repeat(np.arange(1 << BITS).astype(np.int16), WAYS).reshape(-1, WAYS)
+#: Bits of the distributions, and slots of the prediction tables.
+BITS, SLOTS = 12, 512
+#: Steps before which distributions are learnt: each, then ever fewer.
+STEPS = {t for k in range(64) if (t := max(k, int(4 * 1.2**k))) < BLOCK} | {1, 2, 3}
+
+_EXTRA = np.array([0, 0, 2, 4, 6, 8, 10, 10, 9, *range(9, 16)], np.uint64)
+_BASE = np.array([0, 0, 1, 5, 21, 85, 341, 1365, 0, *(512 << k for k in range(7))], np.int64)
+_SIZE = (np.searchsorted(_BASE[NEW:], np.arange(1 << 16), "right") + NEW - 1).astype(np.uint8)
+_NEAR = (np.searchsorted(_BASE[BACK:NEW], np.arange(BLOCK), "right") + BACK - 1).astype(np.uint8)
 #: A prediction's trust after it was right; 1 is that of a fresh one.
 _TRUST = (np.array([1, 2, 3, 3]) << 16).astype(np.uint32)
+#: What a fresh model has seen: predictions that were right go on being right.
+_FRESH = np.ones((2, 4, 4, WAYS, WAYS), np.int64)
+_FRESH[..., 0] += np.array([0, 8, 80, 400])[None, :, None, None]
+_FRESH[0, ..., 1] += np.array([0, 8, 40, 80])[None, :, None]
 
 
-class Rows:
-    """A table of WAYS numbers each, read and written by row number; written as two halves, which numpy does faster."""
-
-    def __init__(self, n: int):
-        even = (np.arange(1, WAYS + 1) * (_ROOM // WAYS)).astype(np.int16)
-        self.rows = np.tile(even, (n, 1))
-        self.halves = self.rows.view(np.complex128).ravel()
-
-    def read(self, at: np.ndarray) -> np.ndarray:
-        return self.rows.take(at, axis=0)
-
-    def write(self, at: np.ndarray, rows: np.ndarray) -> None:
-        at, halves = at * 2, rows.view(np.complex128)
-        self.halves[at] = halves[:, 0]
-        at += 1
-        self.halves[at] = halves[:, 1]
+def shares(seen: np.ndarray) -> np.ndarray:
+    """Rows of counts as shares of 1 << BITS; none is nothing."""
+    out = 1 + seen * ((1 << BITS) - WAYS) // seen.sum(-1, keepdims=True)
+    top = seen.argmax(-1)[..., None]
+    np.put_along_axis(out, top, np.take_along_axis(out, top, -1) + (1 << BITS) - out.sum(-1, keepdims=True), -1)
+    return out
 
 
 class Model:
-    """The state that reader and writer share: prediction tables, distributions and weights of `lanes` blocks."""
+    """The state that reader and writer share: prediction tables of `lanes` blocks, distributions and weights of all."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+        self.slots = np.arange(lanes) * SLOTS
         self.after2, self.after1 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
-        self.by_trust, self.by_last = Rows(lanes * 32), Rows(lanes * WAYS)
-        self.weight = np.full(lanes * 32, 128, np.int16)  # of by_trust, in 256ths
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.last = np.zeros(lanes, np.int64)
-        self.slots, self.lane32, self.lane16 = self.lane * SLOTS, self.lane * 32, self.lane * WAYS
-
-    def look(self, n: int) -> None:
-        """Predictions and distributions for the next id of the first n blocks."""
-        h = self.one[:n] * 40503
-        g = self.two[:n] * 30011
-        g += h
-        g >>= 5
-        g &= SLOTS - 1
-        g += self.slots[:n]
-        h >>= 4
-        h &= SLOTS - 1
-        h += self.slots[:n]
-        self.slot2, self.slot1 = g, h
-        said2, said1 = self.after2.take(g), self.after1.take(h)
-        self.id2, self.id1 = said2 & 0xFFFF, said1 & 0xFFFF
-        said2 >>= 16
-        said1 >>= 16
-        self.trust2, self.trust1 = said2, said1
-        at = self.id1 == self.id2
-        at = at * np.int64(16)
-        at += said2 * np.uint32(4) + said1
-        at += self.lane32[:n]
-        self.at_trust, self.at_last = at, self.lane16[:n] + self.last[:n]
-        self.trusted, self.usual = self.by_trust.read(at), self.by_last.read(self.at_last)
-        self.w = self.weight.take(at)
-        self.apart = self.trusted - self.usual
-        mixed = self.apart >> 3  # eighths: rounding takes at most 8 from a way, and LEAST is more
-        mixed *= _EIGHTHS.take(self.w >> 5, axis=0)
-        mixed += self.usual
-        mixed += _FLOOR
-        self.mixed = mixed  # upper ends less one
-
-    def ends(self, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower end and width of the ways taken."""
-        flat, at = self.mixed.ravel(), self.lane16[: len(way)] + way
-        high = flat.take(at).astype(np.int64)
-        low = flat.take(at - 1, mode="wrap").astype(np.int64)
-        low += 1
-        low *= way > 0
-        high -= low
-        high += 1
-        return low.view(np.uint64), high.view(np.uint64)
-
-    def learn(self, way: np.ndarray, ids: np.ndarray) -> None:
-        n = len(way)
-        at = self.lane16[:n] + way
-        apart = self.apart.ravel()
-        gain = apart.take(at) > apart.take(at - 1, mode="wrap") * (way > 0)
-        w = gain * np.int16(256)
-        w -= self.w
-        w >>= WEIGHT_RATE
-        w += self.w
-        self.weight[self.at_trust] = w
-        to = _TOWARDS.take(way, axis=0)
-        for table, at, rows in ((self.by_trust, self.at_trust, self.trusted), (self.by_last, self.at_last, self.usual)):
-            step = to - rows
-            step >>= RATE
-            step += rows
-            table.write(at, step)
-        fresh = ids.astype(np.uint32)
-        for table, slot, trust, name in ((self.after2, self.slot2, self.trust2, self.id2), (self.after1, self.slot1, self.trust1, self.id1)):
-            trust *= name == fresh
+        self.seen, self.fresh = _FRESH.reshape(32, WAYS, WAYS).copy(), []
+        self.fit()
+
+    def narrow(self, lanes: int) -> None:
+        """Only the first blocks go on."""
+        self.slots, self.one, self.two, self.last = (a[:lanes] for a in (self.slots, self.one, self.two, self.last))
+
+    def fit(self) -> None:
+        """Distributions and weights from what was seen; the older, the less it counts."""
+        if self.fresh:
+            self.seen -= self.seen >> 2
+            self.seen += 16 * np.bincount(np.concatenate(self.fresh), minlength=CONTEXTS * WAYS).reshape(self.seen.shape)
+            self.fresh = []
+        by_trust, by_last = shares(self.seen.sum(1))[:, None], shares(self.seen.sum(0))[None]
+        better = (self.seen * (by_trust > by_last)).sum((1, 2))
+        weight = (256 * better // self.seen.sum((1, 2)))[:, None, None]
+        mixed = weight * by_trust + (256 - weight) * by_last
+        share = shares((self.seen << 8) + mixed)
+        self.share = share.ravel().view(np.uint64)
+        self.start = (share.cumsum(-1) - share).ravel().view(np.uint64)
+
+    def look(self) -> None:
+        """Predictions and context for the next id of each block; one and two are hashes of the last ids."""
+        at = self.one + self.two
+        at >>= 5
+        at &= SLOTS - 1
+        at += self.slots
+        self.slot2 = at
+        at = self.one >> 4
+        at &= SLOTS - 1
+        at += self.slots
+        self.slot1 = at
+        self.said2, self.said1 = self.after2.take(self.slot2), self.after1.take(self.slot1)
+        self.id2, self.id1 = self.said2 & 0xFFFF, self.said1 & 0xFFFF
+        self.trust2, self.trust1 = self.said2 >> 16, self.said1 >> 16
+        at = (self.id1 == self.id2).astype(np.int64)
+        at <<= 2
+        at += self.trust2
+        at <<= 2
+        at += self.trust1
+        at <<= 4
+        at += self.last
+        at <<= 4
+        self.at = at  # of the context's first way
+
+    def learn(self, code: np.ndarray, way: np.ndarray, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
+        """code: context and way; ids as 32-bit numbers; which predictions were right."""
+        self.fresh.append(code)
+        for table, slot, trust, right in ((self.after2, self.slot2, self.trust2, right2), (self.after1, self.slot1, self.trust1, right1)):
+            trust *= right
             kept = _TRUST.take(trust)
-            kept |= fresh
+            kept |= ids
             table[slot] = kept
-        self.two[:n] = self.one[:n]
-        self.one[:n] = ids
-        self.last[:n] = way
+        self.two = self.one * 3
+        self.one = ids * np.int64(40503)
+        self.last = way
 
 
 def distances(ids: np.ndarray) -> np.ndarray:
     """How far back each id of a block stands before (rows are blocks); 0 if it doesn't."""
-    order = np.argsort(ids, axis=1, kind="stable").astype(np.int16)
-    sorted_ = np.take_along_axis(ids, order.astype(np.int64), 1)
     back = np.zeros(ids.shape, np.int16)
-    gap = np.where(sorted_[:, 1:] == sorted_[:, :-1], order[:, 1:] - order[:, :-1], 0)
-    np.put_along_axis(back, order[:, 1:].astype(np.int64), gap, 1)
+    for at in range(0, len(ids), 64):  # what the processor's caches hold
+        key = ids[at : at + 64].astype(np.uint32)
+        key <<= 11
+        key |= np.arange(key.shape[1], dtype=np.uint32)
+        key.sort(axis=1)
+        place = (key & (BLOCK - 1)).astype(np.int16)
+        key >>= 11
+        gap = place[:, 1:] - place[:, :-1]
+        gap *= key[:, 1:] == key[:, :-1]
+        spot = place[:, 1:] + np.arange(len(key))[:, None] * key.shape[1]
+        back[at : at + 64].reshape(-1)[spot] = gap
     return back
 
 
@@ -176,58 +158,68 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     rows = rows.reshape(lanes, BLOCK)[:, :steps]
     back = np.ascontiguousarray(distances(rows).T)
     rows = np.ascontiguousarray(rows.T)
-    size = np.searchsorted(_BASE[NEW:], rows.ravel(), "right").reshape(rows.shape).astype(np.int8) + np.int8(NEW - 1)
-    near = np.searchsorted(_BASE[BACK:NEW], back.ravel(), "right").reshape(rows.shape).astype(np.int8) + np.int8(BACK - 1)
-    far = np.where(back > 0, near, size)
     last = len(ids) - (lanes - 1) * BLOCK  # ids of the last block
     m = Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, pos = np.zeros((lanes, 2 * steps + 4), np.uint16), np.zeros(lanes, np.int64)
-    flat, row = out.ravel(), m.lane * out.shape[1]
-    top, sixteen, bits = np.uint64(1 << 48), np.uint64(16), np.uint64(BITS)
+    lows, widths = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    out, places = np.zeros((lanes, 2 * steps + 6), np.uint16), np.arange(lanes) * (2 * steps + 6)
+    flat = out.ravel()
+    low, width, pos = lows, widths, places
+    top, sixteen, high, bits = np.uint64(1 << 48), np.uint64(16), np.uint64(48), np.uint64(BITS)
     for t in range(steps):
-        n = lanes if t < last else lanes - 1
-        x, gap = rows[t, :n].astype(np.int64), back[t, :n].astype(np.int64)
-        m.look(n)
-        way = far[t, :n].astype(np.int64)
-        way = np.where((m.id1 == x) & (m.trust1 > 0), 1, way)
-        way = np.where((m.id2 == x) & (m.trust2 > 0), 0, way)
-        start, share = m.ends(way)
-        lo, r = low[:n], width[:n] >> bits
-        add = r * start
-        r *= share
-        r //= _SPAN.take(way)
-        extra = np.where(way >= NEW, x, gap) - _BASE.take(way)
-        extra *= way >= BACK
+        if t == last and lanes > 1:
+            m.narrow(lanes - 1)
+            low, width, pos = lows[:-1], widths[:-1], places[:-1]
+        if t in STEPS:
+            m.fit()
+        m.look()
+        n = len(low)
+        x, gap = rows[t, :n].astype(np.uint32), back[t, :n]
+        far = np.where(gap > 0, _NEAR.take(gap), _SIZE.take(x))
+        right2, right1 = m.id2 == x, m.id1 == x
+        known = right2 | right1
+        way = np.where(known, right2 ^ True, far).astype(np.int64)
+        code = m.at + way
+        extra = np.where(gap > 0, gap, x)
+        extra -= _BASE.take(way)
+        extra *= ~known
+        r = width >> bits
+        add = r * m.start.take(code)
+        r *= m.share.take(code)
+        r >>= _EXTRA.take(way)
         add += r * extra.view(np.uint64)
-        new = lo + add
-        over = np.flatnonzero(new < lo)
+        low += add
+        over = np.flatnonzero(low < add)
         while over.size:  # carry into what is written
-            at = row[over] + pos[over] - 1
-            k = 1
+            at = pos[over] - 1
             while over.size:
                 flat[at] += 1
                 more = flat[at] == 0
-                over, at, k = over[more], at[more] - 1, k + 1
-        low[:n], width[:n] = new, r
-        full = np.flatnonzero(r < top)
-        while full.size:
-            flat[row[full] + pos[full]] = low[full] >> np.uint64(48)
-            pos[full] += 1
-            low[full] <<= sixteen
-            width[full] <<= sixteen
-            full = full[width[full] < top]
-        m.learn(way, x)
+                over, at = over[more], at[more] - 1
+        full = r < top
+        flat[pos] = low >> high  # written anew until the place is filled
+        pos += full
+        full = full * sixteen
+        low <<= full
+        r <<= full
+        few = np.flatnonzero(r < top)
+        while few.size:
+            flat[pos[few]] = low[few] >> high
+            pos[few] += 1
+            low[few] <<= sixteen
+            r[few] <<= sixteen
+            few = few[r[few] < top]
+        width[:] = r
+        m.learn(code, way, x, right2, right1)
     # any number from low up to low + width ends a block: the top 16 bits, rounded up, are enough
-    end = low + np.uint64((1 << 48) - 1)
-    over = np.flatnonzero(end < low)
-    at = row[over] + pos[over] - 1
+    end = lows + np.uint64((1 << 48) - 1)
+    over = np.flatnonzero(end < lows)
+    at = places[over] - 1
     while over.size:
         flat[at] += 1
         more = flat[at] == 0
         over, at = over[more], at[more] - 1
-    flat[row + pos] = end >> np.uint64(48)
-    return [out[k, : pos[k] + 1].tobytes() for k in range(lanes)]
+    flat[places] = end >> high
+    return [out[k, : n + 1].tobytes() for k, n in enumerate((places - np.arange(lanes) * out.shape[1]).tolist())]
 
 
 def decode_blocks(codes: list[bytes], counts: list[int]) -> np.ndarray:
@@ -236,45 +228,61 @@ def decode_blocks(codes: list[bytes], counts: list[int]) -> np.ndarray:
     if not lanes:
         return np.zeros(0, np.uint32)
     steps, last = max(counts), counts[-1]
-    words = max(len(c) for c in codes) // 2 + 8
-    src = np.zeros((lanes, words), np.uint64)
+    words = max(2 * steps, max(len(c) for c in codes) // 2) + 8
+    src = np.zeros((lanes, words), np.uint16)
     for k, c in enumerate(codes):
         src[k, : len(c) // 2] = np.frombuffer(c, "<u2")
-    flat, row = src.ravel(), np.arange(lanes) * words
+    flat = src.ravel()
     m = Model(lanes)
-    x, width, pos = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.full(lanes, 4)
+    x, width, pos = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.arange(lanes) * words + 4
     for k in range(4):
         x = x << np.uint64(16) | src[:, k]
-    ids = np.zeros((steps, lanes), np.int64)
-    top, sixteen, bits = np.uint64(1 << 48), np.uint64(16), np.uint64(BITS)
-    flat_ids = ids.ravel()
+    ids = np.zeros((steps, lanes), np.uint16)
+    lane, flat_ids = np.arange(lanes), ids.ravel()
+    top, sixteen, bits, one = np.uint64(1 << 48), np.uint64(16), np.uint64(BITS), np.uint64(1)
+    ways = np.tile(np.arange(WAYS, dtype=np.uint8), CONTEXTS)
     for t in range(steps):
-        n = lanes if t < last else lanes - 1
-        m.look(n)
-        r = width[:n] >> bits
-        at = np.minimum(x[:n] // r, np.uint64((1 << BITS) - 1)).view(np.int64)
-        below = np.bitwise_count((m.mixed < _LEVELS.take(at, axis=0)).view(np.uint64))
-        way = (below[:, 0] + below[:, 1]).astype(np.int64)
-        start, share = m.ends(way)
-        rest = x[:n] - r * start
-        r *= share
-        span = _SPAN.take(way)
-        r //= span
-        extra = np.minimum(rest // r, span - np.uint64(1))
-        rest -= r * extra
-        value = _BASE.take(way) + extra.view(np.int64)
-        back = (way >= BACK) & (way < NEW)
-        value = np.where(back, flat_ids.take((t - value * back) * lanes + m.lane[:n]), value)
-        value = np.where(way == 1, m.id1, np.where(way == 0, m.id2, value))
+        if t == last and lanes > 1:
+            m.narrow(lanes - 1)
+            x, width, pos, lane = x[:-1], width[:-1], pos[:-1], lane[:-1]
+        if t in STEPS:
+            m.fit()
+        if t in STEPS or not t:
+            way_at = np.repeat(ways, m.share.view(np.int64))
+        m.look()
+        n = len(x)
+        r = width >> bits
+        at = np.minimum(x // r, np.uint64((1 << BITS) - 1)).view(np.int64)
+        at += m.at << (BITS - 4)
+        way = way_at.take(at).astype(np.int64)
+        code = m.at + way
+        x -= r * m.start.take(code)
+        r *= m.share.take(code)
+        more = _EXTRA.take(way)
+        r >>= more
+        extra = np.minimum(x // r, (one << more) - one)
+        x -= r * extra
+        value = _BASE.take(way)
+        value += extra.view(np.int64)
+        back = np.flatnonzero((way >= BACK) & (way < NEW))
+        value[back] = flat_ids.take((t - value[back]) * lanes + lane[back])
+        value = np.where(way == 1, m.id1, np.where(way == 0, m.id2, value)).astype(np.uint32)
         ids[t, :n] = value
-        x[:n], width[:n] = rest, r
-        full = np.flatnonzero(r < top)
-        while full.size:
-            x[full] = x[full] << sixteen | flat[np.minimum(row[full] + pos[full], flat.size - 1)]
-            pos[full] += 1
-            width[full] <<= sixteen
-            full = full[width[full] < top]
-        m.learn(way, value)
+        full = r < top
+        read = flat.take(pos) * full
+        pos += full
+        full = full * sixteen
+        x <<= full
+        x |= read
+        r <<= full
+        few = np.flatnonzero(r < top)
+        while few.size:
+            x[few] = x[few] << sixteen | flat[pos[few]]
+            pos[few] += 1
+            r[few] <<= sixteen
+            few = few[r[few] < top]
+        width = r
+        m.learn(code, way, value, m.id2 == value, m.id1 == value)
     return np.ascontiguousarray(ids.T).ravel()[: (lanes - 1) * BLOCK + last].astype(np.uint32)
 
 
@@ -326,27 +334,72 @@ def read_file(data: bytes) -> tuple[pa.Table, np.ndarray]:
     return docs, ids
 
 
+#: What no plain text has; WordEncoder.apart() leaves the others to the library.
+_ODD = np.ones(256, bool)
+_ODD[[*b"\t\n\r", *range(32, 127), 0xC3, *range(0x80, 0xC0)]] = False  # UTF-8 of Latin-1's letters
+#: Words of so many bytes go to the library, whose merging of long words is the faster one.
+_LONG = 1000
+
+
 class CachedWords(dict):
     """Packed ids by word. Long words aren't kept, and all go when there are too many: about 100 MB at most."""
 
     def __init__(self, encoder: WordEncoder, most: int = 400_000):
         super().__init__()
         self.encoder, self.most = encoder, most
-
-    def __missing__(self, word: str) -> bytes:
-        packed = array("I", self.encoder.words.encode_ordinary(word + " ")).tobytes()
-        if len(word) <= 40:
-            if len(self) >= self.most:
+        self.last = np.zeros(encoder.words.n_vocab, bool)
+        self.last[[encoder.words.encode_single_token(w) for w in encoder.words.token_byte_values() if w.endswith(b" ")]] = True  # they end words
+
+    def of_all(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of lower-case words, set apart; those that aren't known in one call."""
+        found = list(map(self.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None and w]
+        made = {"": b""}
+        if new:
+            ids = np.array(self.encoder.words.encode_ordinary(" ".join(new) + " "), "<u4")
+            ends, raw = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
+            made.update(zip(new, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            if len(self) + len(made) > self.most:
                 self.clear()
-            self[word] = packed
-        return packed
-
-    def packed(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a whole text, equal to those of the tokenizers library."""
-        plain = self.encoder.apart(text)
-        if plain is None:
-            return array("I", self.encoder.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, plain.split()))
+            self.update(made if max(map(len, new)) <= 40 else {w: ids for w, ids in made.items() if len(w) <= 40})
+        return [made[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with end_id behind, and how many of each), equal to those of the tokenizers library.
+
+        Texts are split as one array and only distinct words are looked up. A null text is empty.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        n, (_, ends, data) = len(texts), texts.buffers()
+        ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + n + 1]
+        bad = np.flatnonzero(_ODD[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]) if ends[-1] > ends[0] else []
+        odd = np.zeros(n, bool)
+        odd[np.searchsorted(ends, bad + ends[0], "right") - 1 if len(bad) else []] = True
+        for special in self.encoder.specials:
+            odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        while True:
+            plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+            apart = pc.replace_substring_regex(pc.utf8_lower(plain), APART.pattern, r" \0 ")
+            split = pc.ascii_split_whitespace(apart)
+            of, words = split.offsets.to_numpy(), split.flatten()
+            long = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) >= _LONG)
+            if not len(long):
+                break
+            odd[np.searchsorted(of, long, "right") - 1] = True
+        named = words.dictionary_encode()
+        packed = self.of_all(named.dictionary.to_numpy(zero_copy_only=False).tolist())
+        rows, end = np.flatnonzero(odd), len(packed)
+        packed.append(array("I", [end_id]).tobytes())
+        packed += [array("I", self.encoder.library.encode(texts[k].as_py(), add_special_tokens=False).ids).tobytes() for k in rows.tolist()]
+        # behind the words of each text all ids of an odd one, and then end_id
+        place = np.concatenate([rows, np.arange(n)])
+        what = np.concatenate([np.arange(end + 1, len(packed)), np.full(n, end)])
+        order = np.argsort(place, kind="stable")
+        index = np.insert(named.indices.to_numpy().astype(np.int64), of[1:][place[order]], what[order])
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        upto = np.cumsum(sizes[index])
+        ids = np.frombuffer(b"".join(map(packed.__getitem__, index.tolist())), "<u4")
+        return ids, np.diff(upto[index == end], prepend=0)
 
 
 _words: dict[str, CachedWords] = {}
@@ -371,36 +424,35 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _cached(path), array("I", [end_id]).tobytes()
+        words = _cached(path)
         ids, names, counts, held, part, number = [], [], [], 0, None, 0
 
         def close() -> pa.RecordBatch:
             fs, base = store(folder)
             fs.create_dir(base, recursive=True)
             name = uuid.uuid4().hex
-            table = pa.table({"id": pa.chunked_array(names), "n_tokens": pa.array(counts, pa.int64())})
+            table = pa.table({"id": pa.chunked_array(names), "n_tokens": pa.chunked_array([pa.array(c, pa.int64()) for c in counts])})
             with fs.open_output_stream(f"{base}/{name}.part") as out:
-                size = write_file(out, table, np.frombuffer(b"".join(ids), "<u4"))
+                size = write_file(out, table, np.concatenate(ids))
             fs.move(f"{base}/{name}.part", f"{base}/{name}.ids")
-            row = {"path": f"{folder}/{name}.ids", "part": part, "number": number, "n_docs": len(counts), "n_ids": held // 4, "n_bytes": size}
+            row = {"path": f"{folder}/{name}.ids", "part": part, "number": number, "n_docs": sum(map(len, counts)), "n_ids": held, "n_bytes": size}
             return pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
         for whole in batches:
             for b in slices(whole, 1):
                 part = b.column(2)[0].as_py()
-                first, at = 0, 0
-                for text in b.column(1).to_pylist():
-                    packed = (words.packed(text) if text else b"") + end
-                    ids.append(packed)
-                    counts.append(len(packed) // 4)
-                    held += len(packed)
-                    at += 1
-                    if held >= 4 * BLOCK * BLOCKS:
-                        names.append(b.column(0).slice(first, at - first))
+                made, n = words.texts(b.column(1), end_id)
+                upto, first, done = np.cumsum(n), 0, 0
+                while first < len(n):
+                    to = min(int(np.searchsorted(upto, done + BLOCK * BLOCKS - held)) + 1, len(n))
+                    names.append(b.column(0).slice(first, to - first))
+                    counts.append(n[first:to])
+                    ids.append(made[done : upto[to - 1]])
+                    held += int(upto[to - 1]) - done
+                    first, done = to, int(upto[to - 1])
+                    if held >= BLOCK * BLOCKS:
                         yield close()
-                        ids, names, counts, held, number, first = [], [], [], 0, number + 1, at
-                if at > first:
-                    names.append(b.column(0).slice(first, at - first))
+                        ids, names, counts, held, number = [], [], [], 0, number + 1
         if counts:
             yield close()
 

@@ -137,6 +137,23 @@ def test_what_is_predicted_is_small():
     assert sizes[0] * 15 < sizes[1] < 4 * token_files.BLOCK * 2.1  # a repeated order, and no order
 
 
+def test_blocks_learn_from_each_other():
+    """What holds for all blocks is learnt once, not by each block anew."""
+    ids = np.random.default_rng(5).integers(0, 512, 64 * token_files.BLOCK).astype(np.uint32)
+    assert sum(map(len, token_files.encode_blocks(ids))) * 8 < 10.48 * len(ids)
+
+
+def test_texts_in_one_pass():
+    rng, letters = random.Random(6), "abAB '.,-\n\t09ÀÿßÖ×÷sS#é\r"
+    texts = [None, "", " \n\t ", "İ 日本語", "<|endoftext|> x", "x\x1cy\xa0z", "x\x0by \x7f", "y" * 1000, "a" * 999 + " B", "ÿ" * 600, "don't DON'T it's ''s 'SAM É's Ö'LL", None]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    tok, words = Tokenizer.from_file(PATH), token_files.CachedWords(token_files._cached(PATH).encoder, most=500)
+    for held in (pa.array(texts), pa.array(texts).slice(5, 900), pa.array(texts[:20], pa.large_string()), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        ids, n = words.texts(held, 1)
+        want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in held.to_pylist()]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_damage_is_found():
     out, table = io.BytesIO(), pa.table({"id": [3, 4], "n_tokens": [2500, 500]})
     ids = np.random.default_rng(2).integers(0, 49_408, 3000).astype(np.uint32)
