@@ -1,6 +1,6 @@
 """Array work on images; numpy only, called inside Spark tasks.
 
-Blurs, ridges, medians, morphology and non-local means also take stacks (..., height, width) of images of one size, and
+Blurs, ridges, medians, morphology, adaptive equalisation and non-local means also take stacks (..., height, width) of images of one size, and
 give what they give for each image alone, bit by bit.
 """
 
@@ -325,20 +325,31 @@ def rescale(img: np.ndarray, scale: float) -> np.ndarray:
 
 def equalise_adaptive(img: np.ndarray, parts: int = 8, limit: float = 0.01, bins: int = 256) -> np.ndarray:
     """Contrast-limited equalisation: clipped histograms of a grid of blocks, blended bilinearly between block centres."""
-    lo, hi = float(img.min()), float(img.max())
-    if lo == hi:
-        return np.zeros(img.shape)
-    level = np.minimum(((img - lo) / (hi - lo) * bins).astype(int), bins - 1)
-    h, w = img.shape
+    h, w = img.shape[-2:]
     by, bx = max(1, min(parts, h)), max(1, min(parts, w))
+    flat = img.reshape(-1, h, w)
+    some = max(1, (1 << 21) // (by * bx * bins))  # the histograms of so many images are held at once
+    made = [_equalised(flat[at : at + some], by, bx, limit, bins) for at in range(0, len(flat), some)]
+    return np.concatenate(made).reshape(img.shape) if made else np.zeros(img.shape)
+
+
+def _equalised(img: np.ndarray, by: int, bx: int, limit: float, bins: int) -> np.ndarray:
+    """equalise_adaptive() of a stack, with by * bx blocks."""
+    m, h, w = img.shape
+    lo, hi = img.min((1, 2), keepdims=True), img.max((1, 2), keepdims=True)
+    flat = lo == hi
+    level = np.minimum(((img - lo) / np.where(flat, 1, hi - lo) * bins).astype(int), bins - 1)
+    own = np.arange(m)[:, None, None]
     ey, ex = np.linspace(0, h, by + 1).astype(int), np.linspace(0, w, bx + 1).astype(int)
-    maps = np.empty((by, bx, bins))
+    maps = np.empty((by, bx, m, bins))
     for i in range(by):
         for j in range(bx):
-            n = np.bincount(level[ey[i] : ey[i + 1], ex[j] : ex[j + 1]].ravel(), minlength=bins).astype(float)
-            top = max(1.0, limit * n.sum())
-            spare = np.maximum(n - top, 0).sum()
-            maps[i, j] = np.cumsum(np.minimum(n, top) + spare / bins) / n.sum()
+            block = level[:, ey[i] : ey[i + 1], ex[j] : ex[j + 1]]
+            n = np.bincount((own * bins + block).ravel(), minlength=m * bins).astype(float).reshape(m, bins)
+            total = block[0].size
+            top = max(1.0, limit * total)
+            spare = np.maximum(n - top, 0).sum(-1, keepdims=True)
+            maps[i, j] = np.cumsum(np.minimum(n, top) + spare / bins, -1) / total
     cy, cx = (ey[:-1] + ey[1:] - 1) / 2, (ex[:-1] + ex[1:] - 1) / 2
 
     def place(c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,8 +362,9 @@ def equalise_adaptive(img: np.ndarray, parts: int = 8, limit: float = 0.01, bins
     mix = np.zeros(img.shape)
     for ys, wy in ((y0, 1 - fy), (y1, fy)):
         for xs, wx in ((x0, 1 - fx), (x1, fx)):
-            mix += wy[:, None] * wx[None] * maps[ys[:, None], xs[None], level]
-    return (mix - mix.min()) / max(mix.max() - mix.min(), 1e-300)
+            mix += wy[:, None] * wx[None] * maps[ys[:, None], xs[None], own, level]
+    low = mix.min((1, 2), keepdims=True)
+    return np.where(flat, 0.0, (mix - low) / np.maximum(mix.max((1, 2), keepdims=True) - low, 1e-300))
 
 
 def noise_level(img: np.ndarray) -> float | np.ndarray:

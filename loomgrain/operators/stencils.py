@@ -79,7 +79,7 @@ def median_filter(tiles: DataFrame, size: int = 3, times: int = 1) -> DataFrame:
 
 
 def equalise_adaptive(tiles: DataFrame, limit: float = 0.01) -> DataFrame:
-    return map_tiles(tiles, lambda a: kernels.equalise_adaptive(a, limit=limit))
+    return map_tiles(tiles, lambda a: kernels.equalise_adaptive(a, limit=limit), stacked=True)
 
 
 def rescale(tiles: DataFrame, scale: float) -> DataFrame:

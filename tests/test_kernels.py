@@ -7,6 +7,7 @@ import pytest
 
 from loomgrain.functions import kernels as K
 from loomgrain.functions import networks as N
+from loomgrain.operators import clusters
 
 
 @pytest.fixture
@@ -119,3 +120,21 @@ def test_stacks_equal_images_alone():
         stack[2] = stack[2].round()
         for fn in (lambda a: K.nl_means(a, 3, 7), lambda a: K.tubeness(a, 3), lambda a: K.gaussian(a, 0.5), lambda a: K.square_median(a, 3), lambda a: K.erode(a > 0, 2), lambda a: K.dilate(a > 0, 2)):
             assert np.array_equal(fn(stack), np.stack([fn(a) for a in stack]))
+
+
+@pytest.mark.parametrize("shape", [(40, 8, 8), (7, 13, 31), (9, 1, 5)])
+def test_cells_of_stacks_equal_those_of_images_alone(shape):
+    """Adaptive equalisation, scaling, clusters and cell masks of stacks; constant, zero and rounded images among them."""
+    rgb = np.abs(np.random.default_rng(3).standard_normal((*shape, 3)))
+    rgb[0], rgb[1], rgb[2] = 0, rgb[1].round(), rgb[2, :1, :1]
+    assert np.array_equal(K.equalise_adaptive(rgb[..., 0]), np.stack([K.equalise_adaptive(a) for a in rgb[..., 0]]))
+    scaled, grey = clusters.scale_image(rgb)
+    for i, one in enumerate(rgb):
+        assert all(np.array_equal(a, b[i]) for a, b in zip(clusters.scale_image(one), (scaled, grey), strict=True))
+    v = scaled.reshape(shape[0], -1, 3)
+    for k, seed in ((4, 0), (10, 5)):
+        labels, centres = clusters.lloyds(v, k, seed)
+        for i, one in enumerate(v):
+            assert all(np.array_equal(a, b) for a, b in zip(clusters.lloyd(one, k, seed), (labels[i], centres[i]), strict=True))
+        together = clusters.cell_mask(rgb, k, 2, 4, clusters.by_boundary, seed)
+        assert all(np.array_equal(m, clusters.cell_mask(rgb[i : i + 1], k, 2, 4, clusters.by_boundary, seed)[0]) for i, m in enumerate(together))
