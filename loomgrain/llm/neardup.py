@@ -354,9 +354,11 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_
     known, hashed = free_name(docs, "__id"), free_name(docs, "__th")
     change = written(each.filter("bi is null or k > 1").select(F.col("id").alias(known), F.col("th").alias(hashed), F.col("bi").isNotNull().alias("stays")), "copies")
     row = (F.col(id_col) == F.col(known)) & (F.xxhash64(text_col) == F.col(hashed))
-    once = docs.join(change, row, "left_anti")
+    # only rows that may change go through the join with their texts
+    may = key_filter(change.select(F.xxhash64(known, hashed).alias("h")), "h")(F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    once = docs.filter(~may).unionByName(docs.filter(may).join(change, row, "left_anti"))
     repeated = change.filter("stays")
     if repeated.isEmpty():
         return once
-    few = docs.join(repeated.select(known, hashed), row).dropDuplicates([known, hashed]).select(*[f"`{c}`" for c in docs.columns])
+    few = docs.filter(may).join(repeated.select(known, hashed), row).dropDuplicates([known, hashed]).select(*[f"`{c}`" for c in docs.columns])
     return once.unionByName(few)

@@ -453,6 +453,30 @@ def test_one_row_of_each_component_stays(spark):
     assert neardup.drop_near_duplicates(d.filter("false")).count() == 0
 
 
+def test_texts_that_stay_are_not_shuffled(spark):
+    """However many copies there are, only rows that may go meet them in a join."""
+
+    def shuffled():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    rows = [(k, " ".join(f"{k}w{i}" for i in range(20))) for k in range(1000)]
+    rows += [(2000 + k, t) for k, t in rows[:30]] + rows[40:50] + [(None, rows[0][1])]
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        before = shuffled()
+        left = collections.Counter(map(tuple, kept.collect()))
+        after = shuffled()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert left == collections.Counter([*rows[:1000], rows[-1]])
+    assert after - before < 300
+
+
 def test_joins_of_hot_keys(spark):
     from loomgrain.llm.common import hot_keys, spread_join
 
