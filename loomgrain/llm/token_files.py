@@ -17,7 +17,6 @@ import io
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +44,10 @@ BITS, SLOTS = 12, 512
 STEPS = {t for k in range(64) if (t := max(k, int(4 * 1.2**k))) < BLOCK} | {1, 2, 3}
 
 _EXTRA = np.array([0, 0, 2, 4, 6, 8, 10, 10, 9, *range(9, 16)], np.uint64)
+_FULL = (1 << _EXTRA.astype(np.int64)).astype(np.uint64) - np.uint64(1)
 _BASE = np.array([0, 0, 1, 5, 21, 85, 341, 1365, 0, *(512 << k for k in range(7))], np.int64)
 _SIZE = (np.searchsorted(_BASE[NEW:], np.arange(1 << 16), "right") + NEW - 1).astype(np.uint8)
 _NEAR = (np.searchsorted(_BASE[BACK:NEW], np.arange(BLOCK), "right") + BACK - 1).astype(np.uint8)
-#: A prediction's trust after it was right; 1 is that of a fresh one.
-_TRUST = (np.array([1, 2, 3, 3]) << 16).astype(np.uint32)
 #: What a fresh model has seen: predictions that were right go on being right.
 _FRESH = np.ones((2, 4, 4, WAYS, WAYS), np.int64)
 _FRESH[..., 0] += np.array([0, 8, 80, 400])[None, :, None, None]
@@ -65,20 +63,12 @@ def shares(seen: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The state that reader and writer share: prediction tables of `lanes` blocks, distributions and weights of all."""
+    """Distributions and weights, of all blocks together, that reader and writer share."""
 
-    def __init__(self, lanes: int):
-        self.slots = np.arange(lanes) * SLOTS
-        self.after2, self.after1 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.last = np.zeros(lanes, np.int64)
+    def __init__(self) -> None:
         self.seen, self.fresh = _FRESH.reshape(32, WAYS, WAYS).copy(), []
         self.fit()
 
-    def narrow(self, lanes: int) -> None:
-        """Only the first blocks go on."""
-        self.slots, self.one, self.two, self.last = (a[:lanes] for a in (self.slots, self.one, self.two, self.last))
-
     def fit(self) -> None:
         """Distributions and weights from what was seen; the older, the less it counts."""
         if self.fresh:
@@ -93,38 +83,52 @@ class Model:
         self.share = share.ravel().view(np.uint64)
         self.start = (share.cumsum(-1) - share).ravel().view(np.uint64)
 
-    def look(self) -> None:
-        """Predictions and context for the next id of each block; one and two are hashes of the last ids."""
-        at = self.one + self.two
-        at >>= 5
-        at &= SLOTS - 1
-        at += self.slots
-        self.slot2 = at
-        at = self.one >> 4
-        at &= SLOTS - 1
-        at += self.slots
-        self.slot1 = at
-        self.said2, self.said1 = self.after2.take(self.slot2), self.after1.take(self.slot1)
-        self.id2, self.id1 = self.said2 & 0xFFFF, self.said1 & 0xFFFF
-        self.trust2, self.trust1 = self.said2 >> 16, self.said1 >> 16
-        at = (self.id1 == self.id2).astype(np.int64)
-        at <<= 2
-        at += self.trust2
-        at <<= 2
-        at += self.trust1
+
+class Predictions:
+    """What the reader's blocks predict: the ids that followed last, in tables that grow id by id; of order 2, then of order 1."""
+
+    def __init__(self, lanes: int):
+        self.after = np.zeros(2 * lanes * SLOTS, np.uint32)
+        self.tables = (np.arange(2 * lanes) * SLOTS).reshape(2, lanes)
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.int64)
+
+    def narrow(self, lanes: int) -> None:
+        """Only the first blocks go on."""
+        self.tables = self.tables[:, :lanes].copy()
+        self.one, self.two, self.last = (a[:lanes] for a in (self.one, self.two, self.last))
+
+    def look(self) -> np.ndarray:
+        """The context for the next id of each block, as the place of its first way; one and two are hashes of the last ids."""
+        slot = np.empty(self.tables.shape, np.int64)
+        np.add(self.one, self.two, out=slot[0])
+        slot[0] >>= 1
+        slot[1] = self.one
+        slot >>= 4
+        slot &= SLOTS - 1
+        slot += self.tables
+        said = self.after.take(slot)
+        self.slot, self.trust = slot, said >> 16
+        said &= 0xFFFF
+        self.said = said
+        context = self.trust[0] << 2
+        context |= self.trust[1]
+        context |= (said[0] == said[1]).view(np.uint8) << 4
+        at = context.astype(np.int64)
         at <<= 4
-        at += self.last
+        at |= self.last
         at <<= 4
-        self.at = at  # of the context's first way
-
-    def learn(self, code: np.ndarray, way: np.ndarray, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
-        """code: context and way; ids as 32-bit numbers; which predictions were right."""
-        self.fresh.append(code)
-        for table, slot, trust, right in ((self.after2, self.slot2, self.trust2, right2), (self.after1, self.slot1, self.trust1, right1)):
-            trust *= right
-            kept = _TRUST.take(trust)
-            kept |= ids
-            table[slot] = kept
+        return at
+
+    def learn(self, way: np.ndarray, ids: np.ndarray) -> None:
+        """ids as 32-bit numbers. A prediction's trust rises to 3 while it is right; 1 is that of a fresh one."""
+        trust = self.trust
+        trust *= self.said == ids
+        trust += 1
+        np.minimum(trust, 3, out=trust)
+        trust <<= 16
+        trust |= ids
+        self.after[self.slot] = trust
         self.two = self.one * 3
         self.one = ids * np.int64(40503)
         self.last = way
@@ -132,21 +136,73 @@ class Model:
 
 def distances(ids: np.ndarray) -> np.ndarray:
     """How far back each id of a block stands before (rows are blocks); 0 if it doesn't."""
+    key = ids.astype(np.uint32)
+    key <<= 11
+    key |= np.arange(ids.shape[1], dtype=np.uint32)
+    key.sort(axis=1)
+    place = (key & (BLOCK - 1)).astype(np.int16)
+    key >>= 11
+    gap = place[:, 1:] - place[:, :-1]
+    gap *= key[:, 1:] == key[:, :-1]
+    spot = place[:, 1:] + np.arange(len(ids))[:, None] * ids.shape[1]
     back = np.zeros(ids.shape, np.int16)
-    for at in range(0, len(ids), 64):  # what the processor's caches hold
-        key = ids[at : at + 64].astype(np.uint32)
-        key <<= 11
-        key |= np.arange(key.shape[1], dtype=np.uint32)
-        key.sort(axis=1)
-        place = (key & (BLOCK - 1)).astype(np.int16)
-        key >>= 11
-        gap = place[:, 1:] - place[:, :-1]
-        gap *= key[:, 1:] == key[:, :-1]
-        spot = place[:, 1:] + np.arange(len(key))[:, None] * key.shape[1]
-        back[at : at + 64].reshape(-1)[spot] = gap
+    back.reshape(-1)[spot] = gap
     return back
 
 
+def predicted(ids: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, trust) that Predictions says before each id of a block (rows are blocks), if it looks at these slots.
+
+    The ids of one slot are brought together in their order, so each stands behind the one that it is predicted by.
+    """
+    key = slots.astype(np.uint32)
+    key <<= 11
+    key |= np.arange(ids.shape[1], dtype=np.uint32)
+    key.sort(axis=1)
+    spot = (key & (BLOCK - 1)).astype(np.int64)
+    spot += np.arange(len(ids))[:, None] * ids.shape[1]
+    key >>= 11
+    own = ids.reshape(-1).take(spot)
+    again = key[:, 1:] == key[:, :-1]
+    right = own[:, 1:] == own[:, :-1]
+    right &= again
+    trust = again.astype(np.uint8)
+    trust[:, 1:] += right[:, :-1] & again[:, 1:]
+    trust[:, 2:] += right[:, 1:-1] & right[:, :-2] & again[:, 2:]
+    said, trusted = np.zeros(ids.shape, np.uint16), np.zeros(ids.shape, np.uint8)
+    said.reshape(-1)[spot[:, 1:]] = own[:, :-1] * again
+    trusted.reshape(-1)[spot[:, 1:]] = trust
+    return said, trusted
+
+
+def namings(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, extra) of each id of a block (rows are blocks): context and way, and what the way leaves open."""
+    back = distances(ids)
+    one = np.zeros(ids.shape, np.uint16)  # of the hashes, what the slots are made of
+    np.multiply(ids[:, :-1], np.uint16(40503), out=one[:, 1:])
+    both = one.copy()
+    both[:, 1:] += one[:, :-1] * np.uint16(3)
+    id2, trust2 = predicted(ids, both >> np.uint16(5) & np.uint16(SLOTS - 1))
+    id1, trust1 = predicted(ids, one >> np.uint16(4) & np.uint16(SLOTS - 1))
+    right2 = id2 == ids
+    known = right2 | (id1 == ids)
+    near = back > 0
+    way = np.where(known, ~right2, np.where(near, _NEAR.take(back), _SIZE.take(ids)))
+    extra = np.where(near, back.view(np.uint16), ids)
+    extra -= _BASE.astype(np.uint16).take(way)
+    extra *= ~known
+    code = (id1 == id2).astype(np.uint16)
+    code <<= 2
+    code |= trust2
+    code <<= 2
+    code |= trust1
+    code <<= 4
+    code[:, 1:] |= way[:, :-1]
+    code <<= 4
+    code |= way
+    return code, extra
+
+
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Codes of consecutive blocks of BLOCK ids (the last may be shorter); ids are below 65,536."""
     if not len(ids):
@@ -156,10 +212,12 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     rows = np.zeros(lanes * BLOCK, np.uint16)
     rows[: len(ids)] = ids
     rows = rows.reshape(lanes, BLOCK)[:, :steps]
-    back = np.ascontiguousarray(distances(rows).T)
-    rows = np.ascontiguousarray(rows.T)
+    codes, extras = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), np.uint16)
+    for at in range(0, lanes, 64):  # what the processor's caches hold
+        code, extra = namings(np.ascontiguousarray(rows[at : at + 64]))
+        codes[:, at : at + 64], extras[:, at : at + 64] = code.T, extra.T
     last = len(ids) - (lanes - 1) * BLOCK  # ids of the last block
-    m = Model(lanes)
+    m = Model()
     lows, widths = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     out, places = np.zeros((lanes, 2 * steps + 6), np.uint16), np.arange(lanes) * (2 * steps + 6)
     flat = out.ravel()
@@ -167,28 +225,20 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     top, sixteen, high, bits = np.uint64(1 << 48), np.uint64(16), np.uint64(48), np.uint64(BITS)
     for t in range(steps):
         if t == last and lanes > 1:
-            m.narrow(lanes - 1)
             low, width, pos = lows[:-1], widths[:-1], places[:-1]
         if t in STEPS:
             m.fit()
-        m.look()
         n = len(low)
-        x, gap = rows[t, :n].astype(np.uint32), back[t, :n]
-        far = np.where(gap > 0, _NEAR.take(gap), _SIZE.take(x))
-        right2, right1 = m.id2 == x, m.id1 == x
-        known = right2 | right1
-        way = np.where(known, right2 ^ True, far).astype(np.int64)
-        code = m.at + way
-        extra = np.where(gap > 0, gap, x)
-        extra -= _BASE.take(way)
-        extra *= ~known
+        m.fresh.append(codes[t, :n])
+        code = codes[t, :n].astype(np.int64)
         r = width >> bits
         add = r * m.start.take(code)
         r *= m.share.take(code)
-        r >>= _EXTRA.take(way)
-        add += r * extra.view(np.uint64)
+        code &= WAYS - 1
+        r >>= _EXTRA.take(code)
+        add += r * extras[t, :n]
         low += add
-        over = np.flatnonzero(low < add)
+        over = (low < add).nonzero()[0]
         while over.size:  # carry into what is written
             at = pos[over] - 1
             while over.size:
@@ -201,7 +251,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         full = full * sixteen
         low <<= full
         r <<= full
-        few = np.flatnonzero(r < top)
+        few = (r < top).nonzero()[0]
         while few.size:
             flat[pos[few]] = low[few] >> high
             pos[few] += 1
@@ -209,7 +259,6 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             r[few] <<= sixteen
             few = few[r[few] < top]
         width[:] = r
-        m.learn(code, way, x, right2, right1)
     # any number from low up to low + width ends a block: the top 16 bits, rounded up, are enough
     end = lows + np.uint64((1 << 48) - 1)
     over = np.flatnonzero(end < lows)
@@ -233,40 +282,48 @@ def decode_blocks(codes: list[bytes], counts: list[int]) -> np.ndarray:
     for k, c in enumerate(codes):
         src[k, : len(c) // 2] = np.frombuffer(c, "<u2")
     flat = src.ravel()
-    m = Model(lanes)
+    m, p = Model(), Predictions(lanes)
     x, width, pos = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.arange(lanes) * words + 4
     for k in range(4):
         x = x << np.uint64(16) | src[:, k]
     ids = np.zeros((steps, lanes), np.uint16)
-    lane, flat_ids = np.arange(lanes), ids.ravel()
-    top, sixteen, bits, one = np.uint64(1 << 48), np.uint64(16), np.uint64(BITS), np.uint64(1)
+    flat_ids = ids.ravel()
+    top, sixteen, bits, most = np.uint64(1 << 48), np.uint64(16), np.uint64(BITS), np.uint64((1 << BITS) - 1)
     ways = np.tile(np.arange(WAYS, dtype=np.uint8), CONTEXTS)
     for t in range(steps):
         if t == last and lanes > 1:
-            m.narrow(lanes - 1)
-            x, width, pos, lane = x[:-1], width[:-1], pos[:-1], lane[:-1]
+            p.narrow(lanes - 1)
+            x, width, pos = x[:-1], width[:-1], pos[:-1]
         if t in STEPS:
             m.fit()
         if t in STEPS or not t:
             way_at = np.repeat(ways, m.share.view(np.int64))
-        m.look()
+        code = p.look()
         n = len(x)
         r = width >> bits
-        at = np.minimum(x // r, np.uint64((1 << BITS) - 1)).view(np.int64)
-        at += m.at << (BITS - 4)
+        at = x // r
+        np.minimum(at, most, out=at)
+        at = at.view(np.int64)
+        at |= code << (BITS - 4)
         way = way_at.take(at).astype(np.int64)
-        code = m.at + way
+        code |= way
+        m.fresh.append(code.astype(np.uint16))
         x -= r * m.start.take(code)
         r *= m.share.take(code)
-        more = _EXTRA.take(way)
-        r >>= more
-        extra = np.minimum(x // r, (one << more) - one)
+        r >>= _EXTRA.take(way)
+        extra = x // r
+        np.minimum(extra, _FULL.take(way), out=extra)
         x -= r * extra
         value = _BASE.take(way)
         value += extra.view(np.int64)
-        back = np.flatnonzero((way >= BACK) & (way < NEW))
-        value[back] = flat_ids.take((t - value[back]) * lanes + lane[back])
-        value = np.where(way == 1, m.id1, np.where(way == 0, m.id2, value)).astype(np.uint32)
+        back = ((way - BACK).view(np.uint64) < NEW - BACK).nonzero()[0]
+        place = t - value.take(back)
+        place *= lanes
+        place += back
+        value[back] = flat_ids.take(place)
+        value = value.astype(np.uint32)
+        np.copyto(value, p.said[0], where=way == 0)
+        np.copyto(value, p.said[1], where=way == 1)
         ids[t, :n] = value
         full = r < top
         read = flat.take(pos) * full
@@ -275,14 +332,14 @@ def decode_blocks(codes: list[bytes], counts: list[int]) -> np.ndarray:
         x <<= full
         x |= read
         r <<= full
-        few = np.flatnonzero(r < top)
+        few = (r < top).nonzero()[0]
         while few.size:
             x[few] = x[few] << sixteen | flat[pos[few]]
             pos[few] += 1
             r[few] <<= sixteen
             few = few[r[few] < top]
         width = r
-        m.learn(code, way, value, m.id2 == value, m.id1 == value)
+        p.learn(way, value)
     return np.ascontiguousarray(ids.T).ravel()[: (lanes - 1) * BLOCK + last].astype(np.uint32)
 
 
@@ -341,28 +398,35 @@ _ODD[[*b"\t\n\r", *range(32, 127), 0xC3, *range(0x80, 0xC0)]] = False  # UTF-8 o
 _LONG = 1000
 
 
-class CachedWords(dict):
-    """Packed ids by word. Long words aren't kept, and all go when there are too many: about 100 MB at most."""
+class CachedWords:
+    """Known words and their ids: word k has ids[bounds[k] : bounds[k + 1]]. All go when there are too many: about 50 MB at most."""
 
     def __init__(self, encoder: WordEncoder, most: int = 400_000):
-        super().__init__()
         self.encoder, self.most = encoder, most
         self.last = np.zeros(encoder.words.n_vocab, bool)
         self.last[[encoder.words.encode_single_token(w) for w in encoder.words.token_byte_values() if w.endswith(b" ")]] = True  # they end words
-
-    def of_all(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of lower-case words, set apart; those that aren't known in one call."""
-        found = list(map(self.get, words))
-        new = [w for w, ids in zip(words, found, strict=True) if ids is None and w]
-        made = {"": b""}
-        if new:
-            ids = np.array(self.encoder.words.encode_ordinary(" ".join(new) + " "), "<u4")
-            ends, raw = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
-            made.update(zip(new, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-            if len(self) + len(made) > self.most:
-                self.clear()
-            self.update(made if max(map(len, new)) <= 40 else {w: ids for w, ids in made.items() if len(w) <= 40})
-        return [made[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([""])
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def rows(self, words: pa.StringArray) -> np.ndarray:
+        """The places of distinct lower-case words, set apart; those that aren't known are made in one call."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        new = np.flatnonzero(found < 0)
+        if len(new) and len(self.words) > 1 and (len(self.words) + len(new) > self.most or len(self.ids) > 16 * self.most):
+            self.forget()
+            return self.rows(words)
+        if len(new):
+            made = words.take(pa.array(new))
+            ids = self.encoder.words.encode_to_numpy(" ".join(made.to_pylist()) + " ")
+            found = found.copy()
+            found[new] = np.arange(len(new)) + len(self.words)
+            self.words = pa.concat_arrays([self.words, made])
+            self.bounds = np.concatenate([self.bounds, np.flatnonzero(self.last[ids]) + 1 + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+        return found
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with end_id behind, and how many of each), equal to those of the tokenizers library.
@@ -375,7 +439,8 @@ class CachedWords(dict):
         bad = np.flatnonzero(_ODD[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]) if ends[-1] > ends[0] else []
         odd = np.zeros(n, bool)
         odd[np.searchsorted(ends, bad + ends[0], "right") - 1 if len(bad) else []] = True
-        for special in self.encoder.specials:
+        raw = data.slice(ends[0], ends[-1] - ends[0]).to_pybytes() if data else b""
+        for special in (x for x in self.encoder.specials if x.encode() in raw):
             odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         while True:
             plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
@@ -387,18 +452,26 @@ class CachedWords(dict):
                 break
             odd[np.searchsorted(of, long, "right") - 1] = True
         named = words.dictionary_encode()
-        packed = self.of_all(named.dictionary.to_numpy(zero_copy_only=False).tolist())
-        rows, end = np.flatnonzero(odd), len(packed)
-        packed.append(array("I", [end_id]).tobytes())
-        packed += [array("I", self.encoder.library.encode(texts[k].as_py(), add_special_tokens=False).ids).tobytes() for k in rows.tolist()]
+        index = self.rows(named.dictionary).astype(np.int64).take(named.indices.to_numpy())
         # behind the words of each text all ids of an odd one, and then end_id
+        rows, end = np.flatnonzero(odd), len(self.bounds) - 1
+        more = [np.array([end_id], np.uint32), *(np.array(self.encoder.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) for k in rows.tolist())]
+        held = np.concatenate([self.ids, *more])
+        bounds = np.concatenate([self.bounds, len(self.ids) + np.cumsum([len(x) for x in more])])
         place = np.concatenate([rows, np.arange(n)])
-        what = np.concatenate([np.arange(end + 1, len(packed)), np.full(n, end)])
+        what = np.concatenate([np.arange(end + 1, end + len(more)), np.full(n, end)])
         order = np.argsort(place, kind="stable")
-        index = np.insert(named.indices.to_numpy().astype(np.int64), of[1:][place[order]], what[order])
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        upto = np.cumsum(sizes[index])
-        ids = np.frombuffer(b"".join(map(packed.__getitem__, index.tolist())), "<u4")
+        index = np.insert(index, of[1:][place[order]], what[order])
+        sizes = np.diff(bounds).take(index)
+        upto = np.cumsum(sizes)
+        ids = np.empty(upto[-1] if n else 0, "<u4")
+        for at in range(0, len(index), 1 << 16):  # what the processor's caches hold
+            part, size = index[at : at + (1 << 16)], sizes[at : at + (1 << 16)]
+            stop = upto[at : at + (1 << 16)]
+            first = stop[0] - size[0]
+            spot = np.repeat(bounds.take(part) - (stop - size), size)
+            spot += np.arange(first, stop[-1])
+            held.take(spot, out=ids[first : stop[-1]], mode="clip")
         return ids, np.diff(upto[index == end], prepend=0)
 
 

@@ -143,6 +143,21 @@ def test_blocks_learn_from_each_other():
     assert sum(map(len, token_files.encode_blocks(ids))) * 8 < 10.48 * len(ids)
 
 
+def test_writer_predicts_what_the_reader_will():
+    """The writer brings equal slots together instead of filling the reader's tables; both must say the same at each id."""
+    rng = np.random.default_rng(9)
+    rows = np.concatenate([rng.integers(0, 3, (3, 600)), rng.integers(0, 65_536, (2, 600)), np.tile(rng.integers(0, 49_408, 40), 15)[None]]).astype(np.uint16)
+    code, extra = token_files.namings(rows)
+    tables = token_files.Predictions(len(rows))
+    for t in range(rows.shape[1]):
+        context, way = tables.look(), code[:, t].astype(np.int64) & (token_files.WAYS - 1)
+        assert np.array_equal(code[:, t] & ~np.uint16(token_files.WAYS - 1), context)
+        right = tables.said == rows[:, t]
+        assert np.array_equal(way, np.where(right[0], 0, np.where(right[1], 1, way))) and np.all((way > 1) == ~right.any(0))
+        assert np.all(extra[way < 2, t] == 0)
+        tables.learn(way, rows[:, t].astype(np.uint32))
+
+
 def test_texts_in_one_pass():
     rng, letters = random.Random(6), "abAB '.,-\n\t09ÀÿßÖ×÷sS#é\r"
     texts = [None, "", " \n\t ", "İ 日本語", "<|endoftext|> x", "x\x1cy\xa0z", "x\x0by \x7f", "y" * 1000, "a" * 999 + " B", "ÿ" * 600, "don't DON'T it's ''s 'SAM É's Ö'LL", None]
