@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomgrain.functions import kernels
 from loomgrain.operators.components import FITS, connected_components
 from loomgrain.operators.stencils import STACK
-from loomgrain.sources.stages import kept
+from loomgrain.sources.stages import dealt, kept
 
 KEYS = ["image_id", "channel", "height", "width"]
 #: Copies of an image's thresholds, so that one image's blocks are dealt over as many tasks.
@@ -234,7 +234,7 @@ def _with(blocks: DataFrame, images: DataFrame) -> DataFrame:
     salts = F.least(F.lit(SALTS), F.lit(1) + F.floor(size / FITS)).cast("int")
     salted = blocks.withColumn("__s", F.pmod(F.xxhash64("by", "bx"), salts).cast("int"))
     each = images.withColumn("__s", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted.join(each.hint("merge"), [*KEYS, "__s"]).drop("__s")
+    return salted.join(dealt(each), [*KEYS, "__s"]).drop("__s")
 
 
 def smallest_gap(blocks: DataFrame) -> DataFrame:
@@ -347,9 +347,9 @@ def label_blocks(blocks: DataFrame, side: int, diagonal: bool = True) -> tuple[D
     near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps]))
     there = rim.withColumn("o", near).select("image_id", "channel", "by", "bx", F.col("node_id").alias("src"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
     here = rim.select("image_id", "channel", F.col("by").alias("by_"), F.col("bx").alias("bx_"), F.col("node_id").alias("dst"), "y", "x")
-    pairs = there.join(here, ["image_id", "channel", "y", "x"]).filter("by != by_ or bx != bx_").select("image_id", "channel", "src", "dst").distinct()
+    pairs = there.join(dealt(here), ["image_id", "channel", "y", "x"]).filter("by != by_ or bx != bx_").select("image_id", "channel", "src", "dst").distinct()
     found = connected_components(parts, pairs, ("image_id", "channel"))
-    return numbered, parts.join(found, ["image_id", "channel", "node_id"]).select("image_id", "channel", "by", "bx", "label", "component")
+    return numbered, parts.join(dealt(found), ["image_id", "channel", "node_id"]).select("image_id", "channel", "by", "bx", "label", "component")
 
 
 def hysteresis(blocks: DataFrame, side: int, alpha: float = 1.0, fits: int = FITS) -> DataFrame:
@@ -362,16 +362,16 @@ def hysteresis(blocks: DataFrame, side: int, alpha: float = 1.0, fits: int = FIT
     met = kept(_with(blocks, limits), "limited")
     weak = _mapped(met, lambda r: [{**{k: r[k] for k in (*KEYS, "by", "bx")}, "data": (np.asarray(r["data"]) > r["low"]).astype(float)}], _schema(blocks, "by int", "bx int", "data array<double>"))
     labels, parts = label_blocks(weak, side, False)
-    both = labels.withColumnRenamed("data", "labels").join(met, [*KEYS, "by", "bx"])
+    both = labels.withColumnRenamed("data", "labels").join(dealt(met), [*KEYS, "by", "bx"])
 
     def strong(row: dict) -> list[dict]:
         n = np.asarray(row["labels"]).astype(int)
         return [{"image_id": row["image_id"], "channel": row["channel"], "by": row["by"], "bx": row["bx"], "label": int(k)} for k in np.unique(n[(np.asarray(row["data"]) > row["high"]) & (n > 0)])]
 
     hit = _mapped(both, strong, _schema(blocks).split(", height")[0] + ", by int, bx int, label int")
-    good = parts.join(hit, ["image_id", "channel", "by", "bx", "label"]).select("image_id", "channel", "component").distinct()
-    keep = parts.join(good, ["image_id", "channel", "component"]).groupBy("image_id", "channel", "by", "bx").agg(F.collect_list("label").alias("keep"))  # one block's labels
-    last = labels.join(keep, ["image_id", "channel", "by", "bx"], "left")
+    good = parts.join(dealt(hit), ["image_id", "channel", "by", "bx", "label"]).select("image_id", "channel", "component").distinct()
+    keep = parts.join(dealt(good), ["image_id", "channel", "component"]).groupBy("image_id", "channel", "by", "bx").agg(F.collect_list("label").alias("keep"))  # one block's labels
+    last = labels.join(dealt(keep), ["image_id", "channel", "by", "bx"], "left")
     return _mapped(last, lambda r: [{**{k: r[k] for k in (*KEYS, "by", "bx")}, "data": np.isin(np.asarray(r["data"]), r["keep"] or [-1]).astype(float)}], _schema(blocks, "by int", "bx int", "data array<double>"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.functions import kernels
+from loomgrain.sources.stages import dealt
 
 #: Half of the neighbours of a pixel; the other half is the same pairs turned round.
 HALF_CROSS, HALF_SQUARE = ((0, 1), (1, 0)), ((0, 1), (1, -1), (1, 0), (1, 1))
@@ -109,10 +110,10 @@ def _by_rounds(nodes: DataFrame, both: DataFrame, k: list[str], node: str) -> Da
     both = _cut(both.distinct())
     label = _cut(nodes.select(*k, "n", F.col("n").alias("c")).distinct())
     while True:
-        near = both.join(label.withColumnRenamed("n", "b"), [*k, "b"]).groupBy(*k, F.col("a").alias("n")).agg(F.min("c").alias("m"))
-        step = label.join(near, [*k, "n"], "left").select(*k, "n", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        near = both.join(dealt(label.withColumnRenamed("n", "b")), [*k, "b"]).groupBy(*k, F.col("a").alias("n")).agg(F.min("c").alias("m"))
+        step = label.join(dealt(near), [*k, "n"], "left").select(*k, "n", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))
         up = step.select(*k, F.col("n").alias("c"), F.col("c").alias("cc"))
-        step = _cut(step.join(up, [*k, "c"], "left").select(*k, "n", "was", F.least("c", F.coalesce("cc", "c")).alias("c")))
+        step = _cut(step.join(dealt(up), [*k, "c"], "left").select(*k, "n", "was", F.least("c", F.coalesce("cc", "c")).alias("c")))
         label = step.drop("was")
         if step.filter("was != c").isEmpty():
             return label.select(*k, F.col("n").alias(node), F.col("c").alias("component"))

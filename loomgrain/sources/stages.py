@@ -32,6 +32,15 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as one side of a join, so that both sides are dealt by key.
+
+    Spark takes a kept table's size, and that of what is made of it, from its compressed files: small numbers shrink there
+    to some hundredths of their rows. A join that goes by this gathers rows on the driver and sends all to every task.
+    """
+    return df.hint("merge")
+
+
 def forget(df: DataFrame) -> None:
     """Delete a kept table that nothing reads any more."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()

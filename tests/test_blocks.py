@@ -112,6 +112,22 @@ def test_thresholds_take_no_rounds(spark, pixels):
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nothing_is_joined_by_way_of_the_driver(spark, pixels):
+    """Kept tables look small to Spark, as their files are compressed: still no join sends one to the driver and on to all."""
+    from loomgrain.operators import components
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    blocks_ = kept(blocks.blocks_of(pixels, 8), "test-blocks")
+    before = store.executionsCount()
+    assert blocks.hysteresis(blocks_, 8, 0.9).count() == blocks_.count()
+    n, e = spark.range(40).toDF("node_id"), spark.range(39).selectExpr("id as src", "id + 1 as dst").filter("src != 20")
+    assert components.connected_components(n, e, ()).select("component").distinct().count() == 2
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_a_field_is_filtered_once(spark):
     """An 8 x 8 image in blocks of 3 goes through a far-reaching kernel once, not once a block."""
     calls = spark.sparkContext.accumulator(0)
