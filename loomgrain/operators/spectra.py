@@ -1,8 +1,8 @@
 """Spectra of graphs too large for a task: products of the packed edges with a few vectors at a time, as keyed passes.
 
-Nodes are dealt by hash into chunks and numbered within them; edges are packed by their two chunks. A product sends each
-packed part the two chunks it needs and adds up what the parts give. Beside the tables only small matrices of sums are on
-the driver: a few hundred numbers a chunk and step.
+Nodes are dealt by hash into chunks, some chunks make a group, and nodes are numbered within it; edges are packed by their
+two groups. A product sends each packed part the two groups it needs and adds up what the parts give. Beside the tables only
+small matrices of sums are on the driver: a few hundred numbers a chunk and step. No table goes there to be joined.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrain.sources.stages import forget, kept
+from loomgrain.sources.stages import dealt, forget, kept
 
 #: Nodes of a chunk, and edges of a packed part at most (about): what a task holds at a time.
-CHUNK, PART = 1 << 17, 1 << 20
+CHUNK, PART = 1 << 16, 1 << 20
+#: Chunks of a group at most. Vectors are sent once for each other group, so groups are as few as parts of PART edges allow.
+GROUP = 8
 #: Vectors of either matrix. More of them bring the next eigenvalues along, and the gap behind those sets the pace.
 WIDTH = {"a": 2, "l": 4}
 PARTS = ("x", "y", "p", "q", "w", "z")
@@ -31,18 +33,24 @@ def one_way(edges: DataFrame) -> DataFrame:
     return e.groupBy("a", "b").agg(F.max("r").alias("r"))
 
 
-def packed(edges: DataFrame, nodes: DataFrame, n: int, chunk: int, part: int) -> tuple[DataFrame, DataFrame]:
-    """(chunks (c, d), parts (ca, cb, k, i, j, r)): weighted degrees, and edges by their ends' chunks and places in them."""
-    dealt = -(-n // chunk)
-    place = (F.row_number().over(Window.partitionBy("c").orderBy("node")) - 1).cast("int")  # a chunk's nodes
-    numbered = kept(nodes.withColumn("c", F.pmod(F.xxhash64("node"), F.lit(dealt)).cast("int")).withColumn("i", place), "spectrum-nodes")
+def packed(edges: DataFrame, nodes: DataFrame, n: int, chunk: int, part: int) -> tuple[DataFrame, DataFrame, int]:
+    """(chunks (c, d), parts (ga, gb, k, i, j, r), groups): weighted degrees, and edges by their ends' groups and places in them.
+
+    Chunk c belongs to group c % groups. Places run through a group's chunks in order, so a chunk's nodes lie side by side.
+    """
+    count, many_chunks = edges.count(), -(-n // chunk)
+    groups = min(many_chunks, max(math.ceil(math.sqrt(2 * count / part)), -(-many_chunks // GROUP)))
+    place = (F.row_number().over(Window.partitionBy("g").orderBy("c", "node")) - 1).cast("int")  # a group's nodes
+    numbered = nodes.withColumn("c", F.pmod(F.xxhash64("node"), F.lit(many_chunks)).cast("int")).withColumn("g", F.pmod("c", F.lit(groups)))
+    numbered = kept(numbered.withColumn("i", place), "spectrum-nodes")
     chunks = numbered.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("i", "d"))).alias("s")).select("c", F.col("s.d").alias("d"))
-    e = edges.join(numbered.select(F.col("node").alias("a"), F.col("c").alias("ca"), "i"), "a").join(numbered.select(F.col("node").alias("b"), F.col("c").alias("cb"), F.col("i").alias("j")), "b")
-    turned = F.col("ca") > F.col("cb")
-    e = e.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), F.when(turned, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(turned, F.col("i")).otherwise(F.col("j")).alias("j"), "r")
-    many = max(1, math.ceil(edges.count() / (dealt * dealt / 2) / part))
-    rows = e.groupBy("ca", "cb", F.pmod(F.xxhash64("i", "j"), F.lit(many)).cast("int").alias("k")).agg(F.collect_list(F.struct("i", "j", "r")).alias("s"))  # about `part` edges
-    return kept(chunks, "spectrum-chunks"), kept(rows.select("ca", "cb", "k", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.r").alias("r")), "spectrum-edges")
+    a, b = numbered.select(F.col("node").alias("a"), F.col("g").alias("ga"), "i"), numbered.select(F.col("node").alias("b"), F.col("g").alias("gb"), F.col("i").alias("j"))
+    e = edges.join(dealt(a), "a").join(dealt(b), "b")
+    turned = F.col("ga") > F.col("gb")
+    e = e.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"), F.when(turned, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(turned, F.col("i")).otherwise(F.col("j")).alias("j"), "r")
+    many = max(1, math.ceil(count / (groups * groups / 2) / part))
+    rows = e.groupBy("ga", "gb", F.pmod(F.xxhash64("i", "j"), F.lit(many)).cast("int").alias("k")).agg(F.collect_list(F.struct("i", "j", "r")).alias("s"))  # about `part` edges
+    return kept(chunks, "spectrum-chunks"), kept(rows.select("ga", "gb", "k", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.r").alias("r")), "spectrum-edges"), groups
 
 
 def _of(table: pa.Table, name: str, row: int = 0) -> np.ndarray:
@@ -54,28 +62,47 @@ def _sums(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["c", "label", "a", "l"])
 
 
-def products(parts: DataFrame, sent: DataFrame) -> DataFrame:
+def products(parts: DataFrame, sent: DataFrame, groups: int) -> DataFrame:
     """(c, label, a, l) from the same columns: least label of the neighbours, sums of their a, r-weighted sums of their l.
 
-    a and l are matrices of one vector a row.
+    a and l are matrices of one vector a row. What is empty (of all chunks) stays so.
     """
-    places = parts.select("ca", "cb", "k")
-    either = places.select(F.col("ca").alias("c"), "*").union(places.filter("ca != cb").select(F.col("cb").alias("c"), "*")).toDF("c", "to_a", "to_b", "to_k")
+    places = parts.select("ga", "gb", "k")
+    either = places.select(F.col("ga").alias("g"), "*").union(places.filter("ga != gb").select(F.col("gb").alias("g"), "*")).toDF("g", "to_a", "to_b", "to_k")
 
     def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
         i, j, r = (_of(edges, c) for c in ("i", "j", "r"))
-        at = {c: k for k, c in enumerate(vectors.column("c").to_pylist())}
-        ends = [at[edges.column(c)[0].as_py()] for c in ("ca", "cb")]
-        label = [_of(vectors, "label", k) for k in range(len(at))]
-        least = [np.full(len(x), np.iinfo(np.int64).max) for x in label]
-        mats = {s: [_of(vectors, s, k).reshape(-1, len(label[k])) for k in range(len(at))] for s in WIDTH}
-        out = {s: [np.zeros(m.shape) for m in mats[s]] for s in WIDTH}
-        for p, q, to, of in ((*ends, i, j), (*ends[::-1], j, i)):
-            np.minimum.at(least[p], to, label[q][of])
-            for s, m in mats.items():
-                for v in range(len(m[q])):
-                    out[s][p][v] += np.bincount(to, m[q][v][of] * (r if s == "l" else 1.0), len(label[p]))
-        return _sums([(c, least[k], out["a"][k].ravel(), out["l"][k].ravel()) for c, k in at.items()])
+        vectors = vectors.sort_by("c")
+        of_group = np.array(vectors.column("g").to_pylist())
+        size = np.array(vectors.column("m").to_pylist())
+        ends = [edges.column(c)[0].as_py() for c in ("ga", "gb")]
+        out: list[list] = [[np.zeros(0, np.int64)] + [np.zeros(0)] * len(WIDTH) for _ in of_group]
+        rows = {g: np.flatnonzero(of_group == g) for g in set(ends)}
+        cuts = {g: np.cumsum(size[rows[g]])[:-1] for g in rows}
+        turns = ((*ends, i, j), (*ends[::-1], j, i))
+
+        def group(name: str, g: int) -> np.ndarray:
+            return np.concatenate([_of(vectors, name, k).reshape(-1, size[k]) for k in rows[g]], axis=1)
+
+        def deal(at: int, made: dict[int, np.ndarray]) -> None:
+            for g, whole in made.items():
+                for k, own in zip(rows[g], np.split(whole, cuts[g], axis=1), strict=True):
+                    out[k][at] = own.ravel()
+
+        label = {g: group("label", g) for g in rows}
+        if len(label[ends[0]]):
+            least = {g: np.full(x.shape, np.iinfo(np.int64).max) for g, x in label.items()}
+            for p, q, to, of in turns:
+                np.minimum.at(least[p][0], to, label[q][0][of])
+            deal(0, least)
+        for at, s in enumerate(WIDTH, 1):
+            mats = {g: group(s, g) for g in rows}
+            total = {g: np.zeros(m.shape) for g, m in mats.items()}
+            for p, q, to, of in turns:
+                for v in range(len(mats[q])):
+                    total[p][v] += np.bincount(to, mats[q][v][of] * (r if s == "l" else 1.0), total[p].shape[1])
+            deal(at, total)
+        return _sums([(c, *out[k]) for k, c in enumerate(vectors.column("c").to_pylist())])
 
     def total(table: pa.Table) -> pa.Table:
         rows = range(table.num_rows)
@@ -86,9 +113,9 @@ def products(parts: DataFrame, sent: DataFrame) -> DataFrame:
             l += _of(table, "l", k)  # noqa: E741
         return _sums([(table.column("c")[0].as_py(), label, a, l)])
 
-    keys = ("ca", "cb", "k")
-    given = sent.join(F.broadcast(either), "c").select("to_a", "to_b", "to_k", "c", "label", "a", "l")
-    return parts.groupBy(*keys).cogroup(given.groupBy("to_a", "to_b", "to_k")).applyInArrow(run, SUMS).groupBy("c").applyInArrow(total, SUMS)
+    given = sent.withColumn("g", F.pmod("c", F.lit(groups))).join(F.broadcast(either), "g")  # a row for two groups
+    given = given.select("to_a", "to_b", "to_k", "g", "c", "m", "label", "a", "l")
+    return parts.groupBy("ga", "gb", "k").cogroup(given.groupBy("to_a", "to_b", "to_k")).applyInArrow(run, SUMS).groupBy("c").applyInArrow(total, SUMS)
 
 
 class _Side:
@@ -131,7 +158,7 @@ def graph_spectrum(edges: DataFrame, tol: float = 1e-10, most: int = 1000, chunk
     residual or its square over the distance to the next eigenvalue, is at most tol times the eigenvalue; after `most` steps
     without that there is an error. Well-knit graphs take some dozens of steps, also where degrees differ widely; long
     paths take far too many. Each step also hands the least label to all neighbours; once none changes, the components are
-    known. A graph of several components has connectivity 0; without edges both are null. Loops are left out, of repeated
+    known and no labels are sent any more. A graph of several components has connectivity 0; without edges both are null. Loops are left out, of repeated
     edges the largest r counts.
     """
     e = kept(one_way(edges), "spectrum-pairs")
@@ -139,7 +166,7 @@ def graph_spectrum(edges: DataFrame, tol: float = 1e-10, most: int = 1000, chunk
     n = nodes.count()
     if not n:
         return None, None
-    chunks, parts = packed(e, nodes, n, chunk, part)
+    chunks, parts, groups = packed(e, nodes, n, chunk, part)
     sides = {"a": _Side(-1.0, False), "l": _Side(1.0, True)}
     cols = [s + p for s in WIDTH for p in PARTS]
     schema = "c int, d array<double>, label array<bigint>, moved bigint, " + ", ".join(f"{c} array<double>" for c in cols)
@@ -164,9 +191,11 @@ def graph_spectrum(edges: DataFrame, tol: float = 1e-10, most: int = 1000, chunk
         empty = np.zeros(0)
         return {"c": row["c"], "d": row["d"], "label": (row["c"] << 32) + np.arange(m), "moved": 0, **{c: empty for c in cols}, **{s + "w": starts[s].ravel() for s in WIDTH}}
 
-    def forward(how: dict):
+    def forward(how: dict, known: bool):
         def step(row: dict) -> dict:
             m, out = len(row["d"]), dict(row)
+            if known:
+                out["label"] = np.zeros(0, np.int64)
             mat = lambda c: row[c].reshape(-1, m)
             for s, (mix, means, theta, before, done) in how.items():
                 if done:
@@ -191,7 +220,7 @@ def graph_spectrum(edges: DataFrame, tol: float = 1e-10, most: int = 1000, chunk
 
     def sums(row: dict) -> dict:
         m = len(row["d"])
-        out = {"moved": row["moved"], "roots": int((row["label"] == (row["c"] << 32) + np.arange(m)).sum())}
+        out = {"moved": row["moved"], "roots": int((row["label"] == (row["c"] << 32) + np.arange(len(row["label"]))).sum())}
         for s, side in thetas.items():
             all_, of = (np.concatenate([row[s + c].reshape(-1, m) for c in names]) for names in ("xwp", "yzq"))
             rest = row[s + "y"][:m] - side[0] * row[s + "x"][:m] if len(row[s + "x"]) else np.zeros(0)
@@ -201,9 +230,9 @@ def graph_spectrum(edges: DataFrame, tol: float = 1e-10, most: int = 1000, chunk
     found = "moved bigint, roots bigint, " + ", ".join(f"{s}g array<double>, {s}h array<double>, {s}s array<double>, {s}r double" for s in WIDTH)
     now, old, whole = mapped(chunks, begin, schema), None, None
     for _ in range(most):
-        own = now.select("c", "label", F.col("aw").alias("a"), F.col("lw").alias("l"))
-        back = products(parts, own).select("c", F.col("label").alias("least"), F.col("a").alias("wa"), F.col("l").alias("wl"))
-        state = kept(mapped(now.join(back, "c"), met, schema), "spectrum-step")
+        own = now.select("c", F.size("d").alias("m"), "label", F.col("aw").alias("a"), F.col("lw").alias("l"))
+        back = products(parts, own, groups).select("c", F.col("label").alias("least"), F.col("a").alias("wa"), F.col("l").alias("wl"))
+        state = kept(mapped(now.join(dealt(back), "c"), met, schema), "spectrum-step")
         if old is not None:
             forget(old)
         old = state
@@ -220,5 +249,5 @@ def graph_spectrum(edges: DataFrame, tol: float = 1e-10, most: int = 1000, chunk
             if not side.done:
                 k = len(rows[0][s + "s"])
                 side.turn(*(sum(np.array(r[s + c]) for r in rows).reshape(shape) for c, shape in (("g", (k, k)), ("h", (k, k)), ("s", (k,)))), n, WIDTH[s])
-        now = mapped(state, forward({s: (side.mix, side.means, side.theta, side.before if side.mix is not None else 0, side.done) for s, side in sides.items()}), schema)
+        now = mapped(state, forward({s: (side.mix, side.means, side.theta, side.before if side.mix is not None else 0, side.done) for s, side in sides.items()}, whole is not None), schema)
     raise RuntimeError(f"no eigenvalue to {tol} after {most} steps: errors {sides['a'].left}, {sides['l'].left}")

@@ -152,6 +152,34 @@ def test_spectrum_of_uneven_degrees_takes_few_steps(spark):
     assert top == pytest.approx(want[0], abs=1e-8) and second == pytest.approx(want[1], abs=1e-8)
 
 
+def test_spectrum_keeps_tables_off_the_driver(spark):
+    """Joins deal both sides, but for the list of packed parts; edges are packed by a few groups, of several chunks each."""
+    rng = random.Random(5)
+    e = {(h, 60 + k): float(rng.randint(1, 3)) for k in range(900) for h in rng.sample(range(60), 8)}
+    df = spark.createDataFrame([(a, b, r) for (a, b), r in e.items()], "src long, dst long, r double")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    top, second = spectra.graph_spectrum(df, most=60, chunk=50, part=10_000)
+    want = networks.spectrum(960, np.array(list(e)), np.array(list(e.values())))
+    assert top == pytest.approx(want[0], abs=1e-8) and second == pytest.approx(want[1], abs=1e-8)
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription().split("== Initial Plan ==")[0].split("\n\n")[0] for i in range(before, ran.size())]
+    steps = [p for p in plans if "CoGroups" in p]
+    assert steps and all(p.count("BroadcastHashJoin") == 1 for p in steps)
+    assert not [p for p in plans if "Broadcast" in p and p not in steps]
+    named = e_of(spark, e)
+    chunks, parts, groups = spectra.packed(*named, 960, 50, 10_000)
+    assert chunks.count() == 20 and groups == 3 and parts.count() <= 12
+
+
+def e_of(spark, e):
+    """Edges (a, b, r) and nodes (node, d) as spectra.packed() takes them."""
+    d = {}
+    for (a, b), r in e.items():
+        d[a], d[b] = d.get(a, 0.0) + r, d.get(b, 0.0) + r
+    return spark.createDataFrame([(*k, r) for k, r in e.items()], "a long, b long, r double"), spark.createDataFrame(list(d.items()), "node long, d double")
+
+
 def test_few_rows_at_once(spark):
     """Rows of lists go through Python some at a time, though a batch of the session holds them all."""
     from loomgrain.sources.stages import few_at_once
